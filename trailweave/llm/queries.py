@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, sharding
+from trailweave.llm import exact_dedup, sharding, simhash
 from trailweave.llm.common import documents
 
 #: The shards of the registered query.
@@ -20,6 +20,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard", "shard_name")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the near-duplicate component of every document."""
+    groups = simhash.simhash_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document, and whether it stays."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -27,7 +33,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op5_sharding, op7_exact_dedup)}
+    return {f.__name__: f for f in (op5_sharding, op6_simhash, op7_exact_dedup)}
 
 
 def _sharding_sql() -> str:
