@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, sharding, simhash
+from trailweave.llm import exact_dedup, quality, sharding, simhash
 from trailweave.llm.common import documents
 
 #: The shards of the registered query.
@@ -31,9 +31,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document and whether it stays."""
+    docs = documents(spark, sf_dir)
+    forest = quality.fit(docs, documents(spark, sf_dir, "labels"))
+    return quality.quality_rules(docs, forest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op5_sharding, op6_simhash, op7_exact_dedup)}
+    return {f.__name__: f for f in (op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
 
 
 def _sharding_sql() -> str:
