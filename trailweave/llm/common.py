@@ -32,3 +32,10 @@ def durable(df: DataFrame) -> DataFrame:
 def whole_text(col: str | Column) -> Column:
     """The text, an absent one being empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; the driver reads it and sends its content to the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

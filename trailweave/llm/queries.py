@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, quality, sharding, simhash
-from trailweave.llm.common import documents
+from trailweave.llm import exact_dedup, quality, sentencepiece_bpe, sharding, simhash
+from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return sentencepiece_bpe.round_trip_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, by its id."""
     placed = sharding.assign_shards(documents(spark, sf_dir).select("doc_id"), ["doc_id"], SHARDS)
@@ -40,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
 
 
 def _sharding_sql() -> str:
