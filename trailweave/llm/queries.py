@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, quality, sentencepiece_bpe, sharding, simhash
+from trailweave.llm import exact_dedup, language_id, quality, sentencepiece_bpe, sharding, simhash
 from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = documents(spark, sf_dir)
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return sentencepiece_bpe.round_trip_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -45,7 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
 
 
 def _sharding_sql() -> str:
