@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, language_id, quality, sentencepiece_bpe, sharding, simhash
+from trailweave.llm import exact_dedup, language_id, packing, quality, sentencepiece_bpe, sharding, simhash
 from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
@@ -43,6 +43,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    pieces = packing.tokenised_pieces(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(pieces)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and whether it stays."""
     docs = documents(spark, sf_dir)
@@ -52,7 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules)}
 
 
 def _sharding_sql() -> str:
