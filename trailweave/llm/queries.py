@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import exact_dedup, language_id, packing, quality, sentencepiece_bpe, sharding, simhash
+from trailweave.llm import chat, exact_dedup, language_id, packing, quality, sentencepiece_bpe, sharding, simhash
 from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
@@ -56,9 +56,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, forest)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, formatted and read back."""
+    return chat.round_trip_digest(chat.with_probe(documents(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules, op10_chat_formatting)}
 
 
 def _sharding_sql() -> str:
@@ -84,6 +89,23 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM n JOIN g USING (t)"""
 
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/')) AS escaped,
+         4 + length(role) + 2 + 8 AS marks
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(escaped + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
-    return {"op5_sharding": _sharding_sql(), "op7_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op5_sharding": _sharding_sql(), "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_chat_formatting": CHAT_SQL}
