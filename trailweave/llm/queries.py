@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import chat, exact_dedup, language_id, packing, quality, sentencepiece_bpe, sharding, simhash, suffix_dedup
+from trailweave.llm import chat, exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_bpe, sharding, simhash, suffix_dedup
 from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that another has first."""
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated 200-byte strings."""
     return suffix_dedup.removal_digest(documents(spark, sf_dir))
@@ -68,7 +73,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules, op10_chat_formatting)}
 
 
 def _sharding_sql() -> str:
