@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,25 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, which all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is set.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for written tables beside the checkpoints."""
+    return f"{_checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def whole_text(col: str | Column) -> Column:
     """The text, an absent one being empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -101,35 +102,52 @@ def repeated_chunks(rows: DataFrame, id_type: str) -> DataFrame:
     return each.select("_row", "id", "hash").join(often, F.col("hash") == F.col("h")).select("_row", "id", "hash", "first")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed_lines, n_removed_chunks, text) of every row; ``text`` is what is left."""
+def _with_lists(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input with ``own``, the hashes of the repeated chunks a row has first, and ``other``, first elsewhere."""
     id_type = df.schema[id_col].dataType.simpleString()
     rows = _rows(df, id_col, text_col)
     found = repeated_chunks(rows, id_type)
-    # per row: the repeated chunks it keeps the first of, and those that are first elsewhere
     mine = F.coalesce(F.col("id") == F.col("first"), F.col("first").isNull())
     lists = found.groupBy("_row").agg(F.collect_set(F.when(mine, F.col("hash"))).alias("own"), F.collect_set(F.when(~mine, F.col("hash"))).alias("other"))
-    joined = rows.join(lists.withColumnRenamed("_row", "r"), F.col("_row") == F.col("r"), "left").select("id", "text", "own", "other")
+    lists = lists.select(F.col("_row").alias("_r"), F.struct("own", "other").alias("_lists"))
+    keyed = df.withColumn("_row", F.xxhash64(id_col, whole_text(text_col)))
+    return keyed.join(lists, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
+
+
+def _left(text: str | None, lists: dict | None) -> tuple[int, int, int, str | None]:
+    """(lines, lines cut, chunks cut, text left)."""
+    lines = text.split("\n") if text else []
+    kept, cut = without(lines, set(lists["own"]), set(lists["other"])) if lists else (lines, 0)
+    return len(lines), len(lines) - len(kept), cut, "\n".join(kept) if text else text
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_lines, n_removed_lines, n_removed_chunks, text) of every row; ``text`` is what is left."""
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, cut, left = [], [], [], []
-            for cell, own, other in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text = cell.as_py()
-                lines = text.split("\n") if text else []
-                kept, removed = lines, 0
-                if own or other:
-                    kept, removed = without(lines, set(own), set(other))
-                n.append(len(lines))
-                gone.append(len(lines) - len(kept))
-                cut.append(removed)
-                left.append("\n".join(kept) if text else text)
+            found = [_left(t.as_py(), x.as_py()) for t, x in zip(batch.column(1), batch.column(2))]
+            columns = list(zip(*found)) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, pa.int64()), pa.array(left, pa.string())],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
                 names=[id_col, "n_lines", "n_removed_lines", "n_removed_chunks", "text"],
             )
 
-    return joined.mapInArrow(run, f"`{id_col}` {id_type}, n_lines long, n_removed_lines long, n_removed_chunks long, text string")
+    joined = _with_lists(df.select(id_col, text_col), id_col, text_col)
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_lines long, n_removed_lines long, n_removed_chunks long, text string")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input with what is left of each text."""
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, lists: pd.DataFrame) -> pd.Series:
+        return pd.Series([_left(t, {"own": a, "other": b})[3] for t, a, b in zip(text, lists["own"], lists["other"])], dtype=object)
+
+    joined = _with_lists(df, id_col, text_col)
+    changed = F.when(F.col("_lists").isNull(), F.col(text_col)).otherwise(left(text_col, "_lists"))
+    return joined.withColumn(text_col, changed).select(*df.columns)
 
 
 def without(lines: list[str], own: set[bytes], other: set[bytes]) -> tuple[list[str], int]:

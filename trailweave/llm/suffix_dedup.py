@@ -29,6 +29,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -253,7 +254,10 @@ def _grams(rows: DataFrame) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, grams_col: str, id_type: str) -> DataFrame:
-    """(gram, context, _row, id, first) of the anchors whose gram is among the row's ``grams_col``."""
+    """(gram, context, _row, id, first) of the anchors whose gram is among the row's ``grams_col``.
+
+    Takes ``rest`` along unused: the texts' exchange then has the same columns in every join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +276,7 @@ def _contexts(rows: DataFrame, grams_col: str, id_type: str) -> DataFrame:
                 names=["gram", "context", "_row", "id", "first"],
             )
 
-    return rows.select("_row", "id", "text", grams_col).mapInArrow(run, f"gram long, context binary, _row long, id {id_type}, first long")
+    return rows.select("_row", "id", "text", grams_col, "rest").mapInArrow(run, f"gram long, context binary, _row long, id {id_type}, first long")
 
 
 def _cold_spans(contexts: DataFrame, id_type: str) -> DataFrame:
@@ -341,10 +345,11 @@ def _hot_spans(contexts: DataFrame, id_type: str) -> DataFrame:
     )
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_row, id, text): _row is a hash of id and text, by which a row's parts find each other again."""
-    rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return rows.select(F.xxhash64("id", "text").alias("_row"), "id", "text")
+def _texts(df: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """(_row, id, text, rest): _row is a hash of id and text, by which a row's parts find each other again."""
+    others = F.struct(*(F.col(c) for c in rest)) if rest else F.lit(0)
+    rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), others.alias("rest"))
+    return rows.select(F.xxhash64("id", "text").alias("_row"), "id", "text", "rest")
 
 
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
@@ -364,14 +369,14 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     return _cold_spans(cold, id_type).unionByName(_hot_spans(hot_ones, id_type))
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """(id, text, spans) of every row; spans as collected, to be merged."""
-    rows = _texts(df, id_col, text_col)
+def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int, rest: list[str]) -> DataFrame:
+    """(id, text, rest, spans) of every row; spans as collected, to be merged."""
+    rows = _texts(df, id_col, text_col, rest)
     spans = repeated_spans(rows, hot).groupBy("_row", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("_row").alias("r"), F.col("id").alias("i"), "spans")
     # not written as an equality of ids, which would become a second key: the texts' exchange serves both joins
     same_id = F.coalesce((rows["id"] <= spans["i"]) & (rows["id"] >= spans["i"]), rows["id"].isNull() & spans["i"].isNull())
-    return rows.join(spans, (rows["_row"] == spans["r"]) & same_id, "left").select("id", "text", "spans")
+    return rows.join(spans, (rows["_row"] == spans["r"]) & same_id, "left").select("id", "text", "rest", "spans")
 
 
 def _kept(data: bytes, cell: pa.Scalar) -> tuple[bytes, list[tuple[int, int]]]:
@@ -402,7 +407,29 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names=[id_col, "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    return _with_spans(df, id_col, text_col, hot).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    found = _with_spans(df, id_col, text_col, hot, []).select("id", "text", "spans")
+    return found.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The input with what is left of each text; characters cut in two go, and a null text is empty."""
+    rest = [c for c in df.columns if c not in (id_col, text_col)]
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_left(t, s) for t, s in zip(text, spans)], dtype=object)
+
+    found = _with_spans(df, id_col, text_col, hot, rest)
+    changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))
+    made = found.select(F.col("id").alias(id_col), changed.alias(text_col), *(F.col("rest")[c].alias(c) for c in rest))
+    return made.select(*df.columns)
+
+
+def _left(text: str, spans: list[dict] | None) -> str:
+    data = text.encode("utf-8", "surrogatepass")
+    runs = merged((s["start"], s["end"]) for s in (spans if spans is not None else []))
+    ends, starts = [0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)]
+    return "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(ends, starts))
 
 
 def removal_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
