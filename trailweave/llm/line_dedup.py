@@ -143,7 +143,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @F.pandas_udf("string")
     def left(text: pd.Series, lists: pd.DataFrame) -> pd.Series:
-        return pd.Series([_left(t, {"own": a, "other": b})[3] for t, a, b in zip(text, lists["own"], lists["other"])], dtype=object)
+        pairs = zip(text, lists["own"], lists["other"])  # all rows come here, those without lists too
+        return pd.Series([t if a is None else _left(t, {"own": a, "other": b})[3] for t, a, b in pairs], dtype=object)
 
     joined = _with_lists(df, id_col, text_col)
     changed = F.when(F.col("_lists").isNull(), F.col(text_col)).otherwise(left(text_col, "_lists"))
