@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "agg06_distinct_scans"
+from trailweave.plans import navigation
+
+FLAGSHIP = "trj_r2r_summary"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    return [navigation]
 
 
 def queries() -> dict[str, Query]:
