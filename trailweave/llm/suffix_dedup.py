@@ -11,8 +11,9 @@
    bytes before it are the same. Contexts with a stretch of 200 bytes without a word's end are sorted
    byte by byte instead.
 4. A gram with over ``HOT`` occurrences does not go to one task. Its identical contexts are folded by
-   an aggregation with map-side counts, and the windows of what is left are counted by their 128-bit
-   hash in the same way, which is exact for any number.
+   an aggregation with map-side counts, then parts of ``PART`` windows, then single windows (by 128-bit
+   hashes). What occurs twice is repeated as a whole; the rest is looked up at the next level. That is
+   exact for any number.
 5. Spans of repeated windows return to their documents, which lose them.
 
 Shuffled are grams (twice), texts (once: both joins use the same exchange) and contexts. No group of
@@ -43,6 +44,8 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
 #: Occurrences of a gram beyond which they are not brought together in a task.
 HOT = 2000
+#: Windows of a part of a hot gram's context.
+PART = 13
 #: Windows worked on at a time, and bytes sorted at a time.
 BLOCK = 1 << 17
 SORT_BYTES = 1 << 18
@@ -315,31 +318,72 @@ def _cold_spans(contexts: DataFrame, id_type: str) -> DataFrame:
     return met.mapInArrow(run, f"_row long, id {id_type}, start long, end long")
 
 
-def _hot_spans(contexts: DataFrame, id_type: str) -> DataFrame:
-    """The same for grams with any number of occurrences, by counts alone."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
-            key, at, window, n = [], [], [], []
-            for one, context, count in zip(*(c.to_pylist() for c in part.columns)):
-                starts = range(len(context) - LENGTH + 1)
-                key += [one] * len(starts)
-                at += starts
-                window += [xxhash.xxh3_128_digest(context[k : k + LENGTH]) for k in starts]
+def _parts(contexts: DataFrame) -> DataFrame:
+    """(key, n, at, part, piece): the bytes of every PART windows of a context, with where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, at, part, piece = [], [], [], [], []
+            for one, context, count in zip(*(c.to_pylist() for c in batch.columns)):
+                windows = len(context) - LENGTH + 1
+                for k in range(0, windows, PART):
+                    data = context[k : min(k + PART, windows) + LENGTH - 1]
+                    key.append(one)
+                    n.append(count)
+                    at.append(k)
+                    part.append(xxhash.xxh3_128_digest(data))
+                    piece.append(data)
+            columns = [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.binary()), pa.array(piece, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "at", "part", "piece"])
+
+    return contexts.select("key", "context", "n").mapInArrow(run, "key binary, n long, at long, part binary, piece binary")
+
+
+def _windows(parts: DataFrame) -> DataFrame:
+    """(part, n, at, window): every window of a part, as a 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, n, at, window = [], [], [], []
+            for one, piece, count in zip(*(c.to_pylist() for c in batch.columns)):
+                starts = range(len(piece) - LENGTH + 1)
+                part += [one] * len(starts)
                 n += [count] * len(starts)
-            columns = [pa.array(key, pa.binary()), pa.array(at, pa.int64()), pa.array(window, pa.binary()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "window", "n"])
+                at += starts
+                window += [xxhash.xxh3_128_digest(piece[k : k + LENGTH]) for k in starts]
+            columns = [pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(window, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "at", "window"])
+
+    return parts.select("part", "piece", "n").mapInArrow(run, "part binary, n long, at long, window binary")
+
 
+def _hot_spans(contexts: DataFrame, id_type: str) -> DataFrame:
+    """The same for grams with any number of occurrences, by counts alone.
+
+    Contexts, then their parts, then the parts' windows are folded into distinct ones with counts. A
+    context or part that occurs twice is repeated as a whole; only for those that occur once the
+    windows are looked up.
+    """
     keyed = contexts.withColumn("key", F.unhex(F.md5("context")))
     distinct = keyed.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
-    each = distinct.select("key", "context", "n").mapInArrow(windows, "key binary, at long, window binary, n long")
-    often = each.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("window").alias("w"))
-    marked = each.join(often, each["window"] == often["w"]).select("key", "at").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    parts = _parts(distinct)
+    folded = parts.groupBy("part", "piece").agg(F.sum("n").alias("n"))
+    windows = _windows(folded)
+    often = windows.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("window").alias("w"))
+    met = windows.where(F.col("n") == 1).select("part", "at", "window").join(often, F.col("window") == F.col("w"))
+    some = met.groupBy("part").agg(F.collect_set("at").alias("starts"))
+    whole = folded.where(F.col("n") > 1).select("part", F.sequence(F.lit(0), F.length("piece") - LENGTH).cast("array<long>").alias("starts"))
+    judged = some.unionByName(whole).withColumnRenamed("part", "p")
+    of_one = parts.where(F.col("n") == 1).select("key", "at", "part").join(judged, F.col("part") == F.col("p"))
+    moved = of_one.select("key", F.transform("starts", lambda k: k + F.col("at")).alias("starts")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
     # maximal runs: a start more than LENGTH behind the one before opens a new one
     opens = F.filter("starts", lambda s, k: F.coalesce(s > F.get("starts", k - 1) + LENGTH, F.lit(True)))
     closes = F.filter("starts", lambda s, k: F.coalesce(F.get("starts", k + 1) > s + LENGTH, F.lit(True)))
-    spans = marked.select(F.col("key").alias("k"), F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("spans"))
-    joined = keyed.select("key", "_row", "id", "first").join(spans, F.col("key") == F.col("k"))
+    runs = moved.select(F.col("key").alias("k"), F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("spans"))
+    all_of = distinct.where(F.col("n") > 1).select(
+        F.col("key").alias("k"), F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.length("context") - LENGTH).cast("long").alias("b"))).alias("spans")
+    )
+    joined = keyed.select("key", "_row", "id", "first").join(runs.unionByName(all_of), F.col("key") == F.col("k"))
     return joined.select("_row", "id", "first", F.explode("spans").alias("s")).select(
         "_row", "id", (F.col("first") + F.col("s.a")).alias("start"), (F.col("first") + F.col("s.b") + LENGTH).alias("end")
     )
