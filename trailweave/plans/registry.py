@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import navigation
+from trailweave.plans import agents, navigation, text
 
 FLAGSHIP = "trj_r2r_summary"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [navigation]
+    return [navigation, text, agents]
 
 
 def queries() -> dict[str, Query]:
