@@ -78,10 +78,10 @@ def test_windows_belong_to_one_anchor_and_equal_ones_agree(monkeypatch, block):
 @pytest.mark.parametrize("seed", range(3))
 def test_repeated_windows(seed):
     contexts = sorted({t.encode() for t in corpus(seed) if t and len(t.encode()) >= 200})
-    counts = Counter(c[k : k + 200] for c in contexts for k in range(len(c) - 199))
-    for group in (contexts, [c for c in contexts if not S._LONG_WORD.search(c)], [c for c in contexts if S._LONG_WORD.search(c)]):
+    for ends in (None, b" ", b"e", S.WORD_ENDS, S.word_end(contexts)):
+        group = [c for c in contexts if ends is None or not S._long_word(ends).search(c)]
         counts = Counter(c[k : k + 200] for c in group for k in range(len(c) - 199))
-        for c, again in zip(group, S.repeated_windows(group)):
+        for c, again in zip(group, S.repeated_windows(group, ends)):
             assert again.tolist() == [counts[c[k : k + 200]] > 1 for k in range(len(c) - 199)]
 
 

@@ -5,11 +5,11 @@
    every window belongs to just one occurrence of one gram.
 2. Grams that occur once in all documents are done with: their windows occur once. The documents that
    have others are read again, and give each such anchor's context: the bytes its windows cover.
-3. Contexts meet by gram. A task folds identical contexts into one with a count, cuts the others into
-   words, sorts the suffixes that begin at words (``suffix_array``), and compares neighbours. A window
-   that begins x bytes before a word is repeated if a suffix beside it shares 200 - x bytes and the x
-   bytes before it are the same. Contexts with a stretch of 200 bytes without a word's end are sorted
-   byte by byte instead.
+3. Contexts meet by gram. A task folds identical contexts into one with a count and cuts the others into
+   words, which end after a certain byte. It sorts the suffixes that begin at words (``suffix_array``)
+   and compares neighbours. A window that begins x bytes before a word is repeated if a suffix beside it
+   shares 200 - x bytes and the x bytes before it are the same. Where a word would be as long as a
+   window, more bytes end words, at last all.
 4. A gram with over ``HOT`` occurrences does not go to one task. Its identical contexts are folded by
    an aggregation with map-side counts, then parts of ``PART`` windows, then single windows (by 128-bit
    hashes). What occurs twice is repeated as a whole; the rest is looked up at the next level. That is
@@ -49,16 +49,15 @@ PART = 13
 #: Windows worked on at a time, and bytes sorted at a time.
 BLOCK = 1 << 17
 SORT_BYTES = 1 << 18
-#: Bytes that end a word: white space, some punctuation and digits.
+#: The mean length of a word that is aimed at, in bytes.
+WORD = 16
+#: Bytes that end a word where one byte alone leaves too long ones: white space, some punctuation and digits.
 WORD_ENDS = b" \t\n\v\f\r.,;:!?()[]{}<>|/\\'\"#*$%&=+-_0123456789"
 
 _U = np.uint64
 _TABLE = np.random.default_rng(200).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = _U((1 << 20) - 1)
-_LONG_WORD = re.compile(b"[^" + re.escape(WORD_ENDS) + b"]{%d}" % (LENGTH - 1))
-_WORD = re.compile(b"[^" + re.escape(WORD_ENDS) + b"]*[" + re.escape(WORD_ENDS) + b"]|[^" + re.escape(WORD_ENDS) + b"]+")
-_ENDS = np.isin(np.arange(256), np.frombuffer(WORD_ENDS, np.uint8))
 
 
 def _gram_hashes(data: bytes) -> np.ndarray:
@@ -129,25 +128,35 @@ def _thinned(first: np.ndarray, last: np.ndarray, at: np.ndarray, value: np.ndar
 # ---- repeated windows of contexts that met -------------------------------------------------------
 
 
-def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each of some distinct contexts, whether the window at each start occurs elsewhere among them."""
-    dense = any(_LONG_WORD.search(c) for c in contexts)
+def word_end(contexts: list[bytes]) -> bytes:
+    """The byte that ends a word: the one whose share of the contexts is nearest to 1 / WORD."""
+    share = np.bincount(np.frombuffer(b"".join(contexts), np.uint8), minlength=256)
+    return bytes([int(np.abs(share - share.sum() / WORD).argmin())])
+
+
+def _long_word(ends: bytes) -> re.Pattern[bytes]:
+    """A stretch that may hold a whole window without a word's end before its last byte."""
+    return re.compile(b"[^" + re.escape(ends) + b"]{%d}" % (LENGTH - 1), re.DOTALL)
+
+
+def repeated_windows(contexts: list[bytes], ends: bytes | None = None) -> list[np.ndarray]:
+    """For each of some distinct contexts, whether the window at each start occurs elsewhere among them.
+
+    ``ends``: the bytes that end a word; the contexts have no long word for them. None: every byte does.
+    """
     text = b"".join(contexts)
     begins = np.cumsum([0] + [len(c) for c in contexts])
-    if dense:
-        words = [text[k : k + 1] for k in range(len(text))]
-        at = np.arange(len(text))
-        symbols_at = at + np.repeat(np.arange(len(contexts)), np.diff(begins))
-        n_symbols = len(text) + len(contexts)
-    else:
-        words = [w for c in contexts for w in _WORD.findall(c)]
-        at = np.cumsum([0] + [len(w) for w in words])[:-1]
-        symbols_at = np.arange(len(words)) + np.searchsorted(begins[1:], at, side="right")
-        n_symbols = len(words) + len(contexts)
+    of = np.repeat(np.arange(len(contexts)), np.diff(begins))
+    codes = np.frombuffer(text, np.uint8)
+    closes = np.isin(codes, np.frombuffer(ends, np.uint8)) if ends else np.ones(len(codes), bool)
+    at = np.union1d(np.flatnonzero(closes[:-1]) + 1, begins[:-1])  # where words begin
+    cuts = at.tolist() + [len(text)]
+    words = [text[x:y] for x, y in zip(cuts, cuts[1:])]
     rank = {w: k for k, w in enumerate(sorted(set(words)), 1)}
-    symbols = np.zeros(n_symbols, np.int64)  # 0 ends a context
+    symbols_at = np.arange(len(words)) + of[at]
+    symbols = np.zeros(len(words) + len(contexts), np.int64)  # 0 ends a context
     symbols[symbols_at] = [rank[w] for w in words]
-    word_of = np.full(n_symbols, -1, np.int64)
+    word_of = np.full(len(symbols), -1, np.int64)
     word_of[symbols_at] = np.arange(len(words))
     order = word_of[suffix_array(symbols.tolist())]
     order = order[order >= 0]  # words in the order of their suffixes
@@ -155,26 +164,45 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     place[order] = np.arange(len(words))
     shared = _shared_bytes(text, at[order[:-1]], at[order[1:]])
 
-    of = np.repeat(np.arange(len(contexts)), np.diff(begins))
-    starts = np.flatnonzero(np.arange(len(text)) + LENGTH <= begins[1:][of]) if len(text) else np.zeros(0, np.int64)
-    following = np.searchsorted(at, starts, side="right")  # the first word that begins inside a window: its own bytes tell
-    ahead = at[following] - starts
+    starts = np.flatnonzero(np.arange(len(text)) + LENGTH <= begins[1:][of])
+    word = np.searchsorted(at, starts, side="right")  # the first word that begins inside a window: its own bytes tell
+    ahead = at[word] - starts
+    family = np.zeros(len(starts), np.int64)  # of windows that share what follows
+    for x in np.unique(ahead).tolist():
+        now = np.flatnonzero(ahead == x)
+        family[now] = np.concatenate([[0], np.cumsum(shared < LENGTH - x)])[place[word[now]]]
+    named, rest = _before(text, at, word, ahead)
+    keys = (rest, named, family, ahead)
+    by = np.lexsort(keys)
+    same = np.ones(max(0, len(by) - 1), bool)
+    for key in keys:
+        same &= key[by[1:]] == key[by[:-1]]
     again = np.zeros(len(text), bool)
-    codes = np.frombuffer(text, np.uint8).astype(np.int64)
-    before = np.zeros(len(starts), np.int64)  # names the bytes between a start and its word
-    live = np.arange(len(starts))
-    for x in range(int(ahead.max(initial=-1)) + 1):
-        if x:
-            live = live[ahead[live] >= x]
-            before[live] = np.unique(before[live] << 8 | codes[at[following[live]] - x], return_inverse=True)[1]
-        now = live[ahead[live] == x]
-        if len(now):
-            family = np.concatenate([[0], np.cumsum(shared < LENGTH - x)])[place[following[now]]]
-            _, name, count = np.unique(family << 32 | before[now], return_inverse=True, return_counts=True)
-            again[starts[now[count[name] > 1]]] = True
+    again[starts[by[1:][same]]] = True
+    again[starts[by[:-1][same]]] = True
     return [again[b : max(b, e - LENGTH + 1)] for b, e in zip(begins[:-1], begins[1:])]
 
 
+def _before(text: bytes, at: np.ndarray, word: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``ahead`` bytes before each window's word, as a name for whole blocks of eight and the bytes left over."""
+    padded = bytes(LENGTH + 8) + text
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    end = at + LENGTH + 8
+    named = np.zeros(len(at), np.int64)
+    most = np.zeros(len(at), np.int64)
+    np.maximum.at(most, word, ahead)
+    out = np.zeros(len(ahead), np.int64)
+    for block in range(1, int(ahead.max(initial=0)) // 8 + 1):
+        live = np.flatnonzero(most >= 8 * block)
+        bytes_ = np.unique(eight[end[live] - 8 * block], return_inverse=True)[1]
+        named[live] = np.unique(named[live] * len(live) + bytes_, return_inverse=True)[1]
+        now = np.flatnonzero(ahead // 8 == block)
+        out[now] = named[word[now]]
+    left = ahead % 8
+    tail = eight[end[word] - 8 * (ahead // 8) - 8] >> (_U(64) - _U(8) * np.maximum(left, 1).astype(np.uint64))
+    return out, np.where(left > 0, tail, _U(0))
+
+
 def _shared_bytes(text: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The common prefix of the texts from a and from b, up to LENGTH bytes."""
     padded = text + bytes(2 * LENGTH)
@@ -213,14 +241,16 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _judged(groups: list[dict[bytes, list[tuple]]]) -> Iterator[tuple]:
     """(row, id, start, end) of what is repeated among the contexts of some complete groups."""
-    sorted_ones = {False: [], True: []}
-    for group in groups:
-        if len(group) > 1 or any(len(at) == 1 for at in group.values()):  # a lone one is periodic
-            sorted_ones[any(_LONG_WORD.search(c) for c in group)] += group
+    able = [list(g) for g in groups if len(g) > 1 or any(len(at) == 1 for at in g.values())]  # a lone one is periodic
+    ends = [word_end([c for g in able for c in g]), WORD_ENDS] if able else []
+    sorted_ones: dict[bytes | None, list[bytes]] = {e: [] for e in [*ends, None]}
+    for contexts in able:
+        fit = next((e for e in ends if not any(_long_word(e).search(c) for c in contexts)), None)
+        sorted_ones[fit] += contexts
     again: dict[bytes, np.ndarray] = {}
-    for contexts in sorted_ones.values():
+    for fit, contexts in sorted_ones.items():
         if contexts:
-            again.update(zip(contexts, repeated_windows(contexts)))
+            again.update(zip(contexts, repeated_windows(contexts, fit)))
     for group in groups:
         for context, at in group.items():
             found = np.ones(len(context) - LENGTH + 1, bool) if len(at) > 1 else again.get(context)
