@@ -46,7 +46,7 @@ def mth07_views(spark: SparkSession, sf: str) -> DataFrame:
 
 def mth10_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Box features of parts' sizes taken as boxes."""
-    p = table(spark, sf, "part").select("p_partkey", F.array(F.lit(5.0), F.lit(7.0), F.col("p_size").cast("double"), F.col("p_retailprice") / 10).alias("b"))
+    p = table(spark, sf, "part").select("p_partkey", F.array(F.lit(5.0), F.lit(7.0), F.col("p_size").cast("double"), F.col("p_retailprice") / 10.3).alias("b"))
     x, y = G.box_feature_xywh(F.col("b")), G.box_feature_xyxy(F.col("b"))
     return p.select("p_partkey", *(F.round(c, 9).alias(n) for n, c in (("h1", x[0]), ("w1", x[1]), ("a1", x[2]), ("h2", y[0]), ("w2", y[1]), ("a2", y[2]))))
 
@@ -216,7 +216,7 @@ ORACLE = {
     "mth06_relative": f"""WITH {EDGES} SELECT e.scan, e.src, e.dst, round({_HEAD} - 0.25, 6) AS heading, round({_ELEV} + 0.5, 6) AS elevation, round({_FAR}, 6) AS distance FROM edges e JOIN nodes {_ENDS}""",
     "mth07_views": f"""SELECT CAST(base AS INTEGER) AS base, CAST(view AS INTEGER) AS view, round(sin((view % 12 - base % 12) * {_STEP}), 6) + 0.0 AS f0, round(cos((view % 12 - base % 12) * {_STEP}), 6) + 0.0 AS f1,
        round(sin((view // 12 - base // 12) * {_STEP}), 6) + 0.0 AS f2, round(cos((view // 12 - base // 12) * {_STEP}), 6) + 0.0 AS f3 FROM (SELECT unnest(range(36)) AS base), (SELECT unnest(range(36)) AS view)""",
-    "mth10_boxes": """WITH b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, p_retailprice / 10 AS h FROM part)
+    "mth10_boxes": """WITH b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS w, p_retailprice / 10.3 AS h FROM part)
 SELECT p_partkey, round(h / 480, 9) AS h1, round(w / 640, 9) AS w1, round(h / 480 * (w / 640), 9) AS a1, round((h - 7) / 224, 9) AS h2, round((w - 5) / 224, 9) AS w2, round((h - 7) / 224 * ((w - 5) / 224), 9) AS a2 FROM b""",
     "mth13_positions": f"""WITH {DIST},
 f AS (SELECT e.scan, e.src, e.dst, e.src % 3 <> 0 AS k, {_HEAD} AS h, {_ELEV} AS el, {_FAR} AS far, e.d FROM dist e JOIN nodes {_ENDS})

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import agents, navigation, text
+from trailweave.plans import agents, ingest, navigation, state, text
 
 FLAGSHIP = "trj_r2r_summary"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [navigation, text, agents]
+    return [navigation, text, agents, ingest, state]
 
 
 def queries() -> dict[str, Query]:
