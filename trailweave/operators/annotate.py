@@ -75,7 +75,7 @@ def object_rows(df: DataFrame, viewpoints: DataFrame) -> DataFrame:
     rows = numbered(by_instruction(df), "raw_idx", ["j"])
     path = F.coalesce(F.col("path_id").cast("string"), F.col("id").cast("string"))
     rows = rows.withColumn("path_id", path).drop("id")
-    rows = rows.withColumn("instr_id", F.concat_ws("_", F.lit("reverie"), path, F.col("objid").cast("string"), "j"))
+    rows = rows.withColumn("instr_id", F.concat_ws("_", F.lit("reverie"), "path_id", F.col("objid").cast("string"), "j"))
     joined = rows.join(viewpoints.withColumn("_found", F.lit(True)), ["scan", "objid"], "left")
     fine = F.col("objid").isNull() | F.col("_found").isNotNull()
     missing = F.raise_error(F.concat(F.lit("no viewpoint shows object "), F.col("objid").cast("string")))

@@ -87,7 +87,7 @@ def txt08_exact_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def txt09_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """All scores as rows."""
-    return _six(M.bundle(pairs(spark, sf)), "value")
+    return M.bundle(pairs(spark, sf)).select("metric", F.round("value", 3).alias("value"))
 
 
 def txt12_masked_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,3 +210,15 @@ SELECT conv_id, turn, len(w) AS n_words, len(string_split(text, ' ')) AS n_parts
 c AS (SELECT doc_id, CASE WHEN len(w) > 128 THEN array_to_string(w[1:128], ' ') ELSE text END AS t FROM f)
 SELECT doc_id, length(t) AS n_chars_cut, md5(t) AS md5 FROM c""",
 }
+
+
+def _bundle_sql() -> str:
+    bleu = "(" + _TOTAL.replace(", 6) AS bleu", ", 12) AS bleu") + ")"
+    rows = [f"SELECT 'bleu{k}' AS metric, bleu{k} AS v FROM b" for k in (1, 2, 3, 4)]
+    rows.append(f"SELECT 'rouge_l', (SELECT avg(rouge_l) FROM ({_ROUGE} SELECT rouge_l FROM rouge))")
+    rows.append(f"SELECT 'cider', (SELECT avg(cider) FROM (WITH {_cider_sql(_OWN_DF, _LOG_N)} SELECT cider FROM cider))")
+    rows.append(f"SELECT 'em', (SELECT avg(CASE WHEN list_contains(refs, hyp) THEN 1.0 ELSE 0.0 END) FROM (WITH {_PAIRS} SELECT hyp, refs FROM pairs))")
+    return f"WITH b AS {bleu} SELECT metric, round(v * 100, 3) AS value FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+ORACLE["txt09_bundle"] = _bundle_sql()

@@ -1,7 +1,7 @@
 """Agents' memories as Structured Streaming state, keyed by trajectory.
 
-State is as small as what a trajectory has seen; a trajectory without news is dropped after a timeout
-of processing time. The batch form of the same state is ``operators.memory``.
+State is as small as what a trajectory has seen. With a timeout, a trajectory without news is dropped;
+a stream that is drained once takes none, as timeouts would keep it running. The batch form of the same state is ``operators.memory``.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TIMEOUT_MS = 3_600_000
 OUT = "user_id long, n_visits long, n_nodes long, mean_value double, last_event long"
 STATE = "n long, total double, last long, nodes array<long>"
 
 
-def visit_memory(events: DataFrame, nodes: int = 50) -> DataFrame:
+def visit_memory(events: DataFrame, nodes: int = 50, timeout_ms: int | None = None) -> DataFrame:
     """Running visits of each user: how many, to how many viewpoints, the mean value and the last event.
 
     events: (event_id, user_id, value); the viewpoint is the event's number modulo ``nodes``. A row is
@@ -25,6 +24,9 @@ def visit_memory(events: DataFrame, nodes: int = 50) -> DataFrame:
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total, last, seen = state.get if state.exists else (0, 0.0, -1, [])
         seen = set(seen)
         for pdf in parts:
@@ -33,11 +35,12 @@ def visit_memory(events: DataFrame, nodes: int = 50) -> DataFrame:
             last = max(last, int(pdf["event_id"].max()))
             seen |= set((pdf["event_id"] % nodes).tolist())
         state.update((n, total, last, sorted(seen)))
-        state.setTimeoutDuration(TIMEOUT_MS)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"user_id": [key[0]], "n_visits": [n], "n_nodes": [len(seen)], "mean_value": [total / max(n, 1)], "last_event": [last]})
 
     rows = events.select("event_id", "user_id", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "update", "ProcessingTimeTimeout")
+    return rows.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "update", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
 def windowed_visits(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
