@@ -140,11 +140,11 @@ def question_rows(df: DataFrame) -> DataFrame:
 
 def turn_pair_rows(df: DataFrame) -> DataFrame:
     """Image conversations (id, image, conversations): exactly a human's and a model's turn, or an error."""
-    c = F.col("conversations")
-    ok = (F.size(c) == 2) & (c[0]["from"] == "human") & (c[1]["from"] == "gpt")
-    asked = stripped(F.replace(c[0]["value"], F.lit("<image>"), F.lit("")))
+    first, second = F.get("conversations", F.lit(0)), F.get("conversations", F.lit(1))
+    ok = (F.size("conversations") == 2) & (first["from"] == "human") & (second["from"] == "gpt")
+    asked = stripped(F.replace(first["value"], F.lit("<image>"), F.lit("")))
     checked = F.when(F.coalesce(ok, F.lit(False)), asked).otherwise(F.raise_error(F.concat(F.lit("not a human's and a model's turn: "), F.col("id").cast("string"))))
-    return df.select("id", F.split("image", r"\.")[0].alias("image_id"), checked.alias("question"), F.array(c[1]["value"]).alias("answers"))
+    return df.select("id", F.split("image", r"\.")[0].alias("image_id"), checked.alias("question"), F.array(second["value"]).alias("answers"))
 
 
 CAPTION_QUESTION = "What is the caption of this image?"  # a fixed value
