@@ -107,11 +107,11 @@ def document_frequency(rows: DataFrame) -> DataFrame:
 def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None) -> DataFrame:
     """(id, cider). ``frequency`` and ``documents`` may come from another corpus."""
     df = document_frequency(rows) if frequency is None else frequency
-    n_docs = rows.agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_n")) if documents is None else rows.sparkSession.range(1).select(F.lit(math.log(documents)).alias("log_n"))
+    log_n = math.log(max(1, rows.count() if documents is None else documents))  # one number
 
     def weighed(counts: DataFrame) -> DataFrame:
-        w = counts.join(df, ["order", "gram"], "left").crossJoin(F.broadcast(n_docs))  # one row
-        return w.withColumn("w", F.col("n") * (F.col("log_n") - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double"))))).drop("df", "log_n")
+        w = counts.join(df, ["order", "gram"], "left")
+        return w.withColumn("w", F.col("n") * (log_n - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double"))))).drop("df")
 
     hyp = weighed(_gram_counts(rows.withColumn("_h", words("hyp")), "_h", ["id"]))
     refs = rows.select("id", F.posexplode("refs").alias("ref", "text")).withColumn("_t", words("text"))
