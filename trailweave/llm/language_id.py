@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A text is the mean of the embeddings of its subwords (the character n-grams of each marked word,
-hashed into a fixed number of buckets), and a linear layer over that mean gives one logit per
+A text is the mean of the embeddings of its subwords (the byte n-grams of each marked word, hashed
+into a fixed number of buckets), and a linear layer over that mean gives one logit per
 language. Both are trained by stochastic gradient descent in numpy, on whole documents and on random
 short spans of them, so that short texts are known too. A temperature and the score below which a
 prediction is rejected are calibrated on documents that were left out of training, and on scrambled
@@ -36,8 +36,7 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Longer words are cut into parts of this many characters.
 WORD_PART = 40
-WORDS_KEPT = 400_000
-GRAMS_KEPT = 300_000
+WORDS_KEPT = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -48,23 +47,22 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-_GRAM_BUCKETS: dict[str, int] = {}
-
-
-def _bucket(gram: str) -> int:
-    found = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
-    if len(_GRAM_BUCKETS) < GRAMS_KEPT:
-        _GRAM_BUCKETS[gram] = found
-    return found
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of a marked word, and of the word itself."""
-    marked, known, bucket = f"<{word}>", _GRAM_BUCKETS, _bucket
-    grams = [marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)]
-    found = [known[g] if g in known else bucket(g) for g in grams]
-    found.append(zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS)
-    return found
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket): the hashed byte n-grams of each marked word, and the word itself, for many words at once."""
+    raw = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(r) for r in raw], dtype=np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    number, end = np.repeat(np.arange(len(raw)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    word, bucket = [np.arange(len(raw))], [np.array([zlib.crc32(r) % BUCKETS for r in raw], dtype=np.int64)]
+    code = data
+    for n in range(2, GRAMS[-1] + 1):
+        code = code[:-1] | data[n - 1 :] << np.uint64(8 * (n - 1))
+        if n in GRAMS:
+            inside = np.flatnonzero(np.arange(n, n + len(code)) <= end[: len(code)])
+            mixed = (code[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            word.append(number[inside])
+            bucket.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(word), np.concatenate(bucket)
 
 
 def has_letter(text: str | None) -> bool:
@@ -89,45 +87,62 @@ class Model:
 
 
 class Predictor:
-    """A model with a bounded memory of words; one per Python worker."""
+    """A model with a bounded memory of words, in two generations; one per Python worker."""
 
     def __init__(self, model: Model):
         self.model = model
-        self._forget()
+        self._begin()
+        self.old_row, self.old_sums = {}, self.sums
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.row: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.languages) + 1))
+        self.sums = np.zeros((4096, len(self.model.languages) + 1))
 
-    def _add(self, word: str) -> int:
-        k = self.row[word] = len(self.row)
-        if k == len(self.sums):
+    def _learn(self, words: list[str]) -> None:
+        """Add words to the young generation: what they add to the logits, and their numbers of subwords."""
+        first, n = len(self.row), len(self.row) + len(words)
+        while n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        buckets = subwords(word)
-        self.sums[k, :-1] = self.model.scores[buckets].sum(0)
-        self.sums[k, -1] = len(buckets)
-        return k
+        self.row.update(zip(words, range(first, n)))
+        known = [k for k, w in enumerate(words) if w in self.old_row]
+        if known:
+            self.sums[[first + k for k in known]] = self.old_sums[[self.old_row[words[k]] for k in known]]
+        fresh = [k for k, w in enumerate(words) if w not in self.old_row]
+        if fresh:
+            word, bucket = subwords([words[k] for k in fresh])
+            at = [first + k for k in fresh]
+            for lang, scores in enumerate(self.model.scores.T):
+                self.sums[at, lang] = np.bincount(word, scores[bucket], len(fresh))
+            self.sums[at, -1] = np.bincount(word, minlength=len(fresh))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated score, whether the score passes the rejection threshold)."""
         if not self.model.languages or not has_letter(text):
             return UNKNOWN, 0.0, False
-        if len(self.row) > WORDS_KEPT:
-            self._forget()
-        row, add, words = self.row, self._add, words_of(text)
-        total = np.zeros(self.sums.shape[1])
+        words, total = words_of(text), np.zeros(self.sums.shape[1])
         for at in range(0, len(words), 1 << 16):
-            rows = [row[w] if w in row else add(w) for w in words[at : at + (1 << 16)]]
+            part = words[at : at + (1 << 16)]
+            if len(self.row) > WORDS_KEPT:
+                self.old_row, self.old_sums = self.row, self.sums
+                self._begin()
+            rows = list(map(self.row.get, part))
+            if None in rows:
+                self._learn(list(dict.fromkeys(w for w, r in zip(part, rows) if r is None)))
+                rows = list(map(self.row.__getitem__, part))
             total += self.sums[rows].sum(0)
         p = self.model.probabilities(total[:-1] / max(total[-1], 1) + self.model.bias)
         best = int(p.argmax())
         return self.model.languages[best], float(p[best]), bool(p[best] >= self.model.rejected_below)
 
 
-def _counted(words: list[str], known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _counted(words: list[str], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of some words and their shares."""
-    every = [b for w in words for b in (known[w] if w in known else known.setdefault(w, subwords(w)))]
-    ids, n = np.unique(np.array(every, dtype=np.int64), return_counts=True)
+    fresh = list(dict.fromkeys(w for w in words if w not in known))
+    if fresh:
+        word, bucket = subwords(fresh)
+        parts = np.split(bucket[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(fresh)))[:-1])
+        known.update(zip(fresh, parts))
+    ids, n = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
     return ids, (n / n.sum()).astype(np.float32)
 
 
@@ -140,7 +155,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(pairs))
     apart = set(order[: int(held * len(pairs))].tolist()) if len(pairs) >= 20 else set()
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     target = {y: k for k, y in enumerate(names)}
 
     def span(words: list[str]) -> list[str]:
