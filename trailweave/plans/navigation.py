@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailweave.operators import graph, trajectory
 from trailweave.plans.base_sql import DIST, EDGES, STEPS, WALKED
 from trailweave.sources import views
+from trailweave.sources.durable import durable
 
 #: The benchmark's space is a unit cube, so the success margin of 3 metres is scaled to it.
 SCALE = 10.0
@@ -21,9 +22,14 @@ def _metres(dist: DataFrame) -> DataFrame:
     return dist.withColumn("d", F.col("d") * SCALE)
 
 
-def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = views.dist(spark, sf)
-    p = views.predictions(spark, sf, d)
+def _walks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Distances and predictions, each made once and kept: scores read them many times."""
+    d = durable(views.dist(spark, sf))
+    return d, durable(views.predictions(spark, sf, d))
+
+
+def _inputs(d: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, ground truth and distances in metres."""
     return p.drop("scan", "goal"), p.select("instr_id", "scan", F.array(F.flatten("trajectory")[0], "goal").alias("path")), _metres(d)
 
 
@@ -74,18 +80,18 @@ ITEM = ("nav_error", "oracle_error", "trajectory_lengths", "gt_lengths", "succes
 
 def trj_r2r_items(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of every trajectory against its goal."""
-    s = trajectory.score_to_goal(*_inputs(spark, sf))
+    s = trajectory.score_to_goal(*_inputs(*_walks(spark, sf)))
     return s.select("instr_id", F.col("action_steps").cast("long").alias("action_steps"), F.col("trajectory_steps").cast("long").alias("trajectory_steps"), *_six(*ITEM))
 
 
 def trj_r2r_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Mean scores over all trajectories."""
-    return trajectory.summary(trajectory.score_to_goal(*_inputs(spark, sf))).select(*_six("action_steps", "steps", "lengths", "nav_error", "oracle_error", "sr", "oracle_sr", "spl"))
+    return trajectory.summary(trajectory.score_to_goal(*_inputs(*_walks(spark, sf)))).select(*_six("action_steps", "steps", "lengths", "nav_error", "oracle_error", "sr", "oracle_sr", "spl"))
 
 
 def trj_eqa_summary_by_week(spark: SparkSession, sf: str) -> DataFrame:
     """Mean scores by week (per-group running means)."""
-    s = trajectory.score_to_goal(*_inputs(spark, sf))
+    s = trajectory.score_to_goal(*_inputs(*_walks(spark, sf)))
     return trajectory.summary(s, ["week"]).select("week", *_six("steps", "lengths", "nav_error", "sr", "spl"))
 
 
@@ -98,37 +104,42 @@ def agg18_steps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _objects(spark: SparkSession, sf: str) -> DataFrame:
+def _objects(picks: DataFrame) -> DataFrame:
     """(objid, scan, goal_vps): each scan's viewpoints that are the goal's number modulo seven."""
-    picks = views.picks(spark, sf)
     return picks.groupBy("scan", (F.col("k") % 7).alias("objid")).agg(F.array_sort(F.collect_list("vp")).alias("goal_vps"))
 
 
 def trj_reverie_items(spark: SparkSession, sf: str) -> DataFrame:
     """Success in a set of viewpoints, and grounding of the object."""
-    preds, gt, dist = _inputs(spark, sf)
+    d, p = _walks(spark, sf)
+    preds, gt, dist = _inputs(d, p)
+    picks = views.picks(spark, sf, d)
     preds = preds.withColumn("pred_objid", (F.col("user_id") + F.col("week")) % 7)
-    goal_k = views.picks(spark, sf).select("scan", F.col("vp").alias("goal"), (F.col("k") % 7).alias("objid"))
-    gt = gt.withColumn("goal", F.element_at("path", -1)).join(goal_k, ["scan", "goal"]).join(_objects(spark, sf), ["scan", "objid"]).drop("goal")
+    goal_k = picks.select("scan", F.col("vp").alias("goal"), (F.col("k") % 7).alias("objid"))
+    gt = gt.withColumn("goal", F.element_at("path", -1)).join(goal_k, ["scan", "goal"]).join(_objects(picks), ["scan", "objid"]).drop("goal")
     s = trajectory.score_in_set(preds, gt, dist)
     return s.select("instr_id", *_six("trajectory_lengths", "success", "oracle_success", "spl", "rgs", "rgspl"))
 
 
 def trj_soon_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Detection inside a box (a square of 0.2 around the goal's direction), seen from viewpoints with an even id."""
-    preds, gt, dist = _inputs(spark, sf)
+    """Detection inside a box (a square of 0.2 around the goal's direction), seen from viewpoints on the way that have an even id."""
+    d, p = _walks(spark, sf)
+    preds, gt, dist = _inputs(d, p)
     preds = preds.withColumn("obj_heading", F.when(F.col("user_id") % 5 != 0, (F.col("user_id") % 9) / 20.0)).withColumn("obj_elevation", (F.col("week") % 7) / 20.0)
     corner = [(-0.1, 0.1), (0.1, 0.1), (0.1, -0.1), (-0.1, -0.1)]
     head, elev = (F.element_at("path", -1) % 9) / 20.0, (F.element_at("path", -1) % 7) / 20.0
     corners = F.array(*(F.struct((head + a).alias("heading"), (elev + b).alias("elevation")) for a, b in corner))
-    seen = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5000)).cast("array<long>"), lambda v: v % 2 == 0), lambda v: F.struct(v.alias("vp"), head.alias("heading"), elev.alias("elevation"), corners.alias("corners")))
-    s = trajectory.score_detection(preds, gt.withColumn("boxes", seen), dist)
+    even = F.filter(F.array_distinct(F.flatten("trajectory")), lambda v: v % 2 == 0)
+    boxes = F.transform("even", lambda v: F.struct(v.alias("vp"), head.alias("heading"), elev.alias("elevation"), corners.alias("corners")))
+    gt = gt.join(p.select("instr_id", even.alias("even")), "instr_id").withColumn("boxes", boxes).drop("even")
+    s = trajectory.score_detection(preds, gt, dist)
     return s.select("instr_id", *_six("heading_error", "point_det_error", "det_success", "goal_progress", "success", "spl", "det_spl"))
 
 
 def _dialog_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    preds, gt, dist = _inputs(spark, sf)
-    ends = views.picks(spark, sf).where("k < 3").groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("end_panos"))
+    d, p = _walks(spark, sf)
+    preds, gt, dist = _inputs(d, p)
+    ends = views.picks(spark, sf, d).where("k < 3").groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("end_panos"))
     return preds, gt.join(ends, "scan").withColumn("planner_path", F.array(F.col("path")[0], F.col("end_panos")[0])), dist
 
 
@@ -155,7 +166,7 @@ def top04_retarget(spark: SparkSession, sf: str) -> DataFrame:
 def agg16_overall(spark: SparkSession, sf: str) -> DataFrame:
     """The score by which checkpoints are compared: each task's rate over its norm."""
     norms = {0: 60.0, 1: 36.63, 2: 26.58}
-    s = trajectory.score_to_goal(*_inputs(spark, sf)).withColumn("task", F.col("user_id") % 4)
+    s = trajectory.score_to_goal(*_inputs(*_walks(spark, sf))).withColumn("task", F.col("user_id") % 4)
     by_task = s.groupBy("task").agg((F.avg("spl") * 100).alias("spl"))
     share = F.coalesce(*(F.when(F.col("task") == k, F.col("spl") / v) for k, v in norms.items()), F.lit(0.0))
     return by_task.agg(F.round(F.sum(share), 6).alias("overall"))
