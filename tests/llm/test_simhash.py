@@ -87,5 +87,7 @@ def test_empty_and_null_ids(spark):
 
 def test_near_dedup_keeps_one(spark):
     rows = [(3, "a b c d", "k"), (1, "a b  c d", "l"), (2, "other words are here", "m")]
+    rows += [(None, "a b c d", "n"), (3, "some text of its own", "o"), (5, "a b c  d", "p")]
     kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA))
-    assert kept.columns == ["doc_id", "text", "fp"] and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert kept.columns == ["doc_id", "text", "fp"]
+    assert sorted((str(r.doc_id), r.fp) for r in kept.collect()) == [("1", "l"), ("2", "m"), ("3", "k"), ("3", "o"), ("None", "n")]

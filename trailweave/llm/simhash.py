@@ -125,7 +125,12 @@ def simhash_groups(
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of the input that are the smallest id of their group; other columns as they are."""
-    groups = simhash_groups(df, id_col, text_col, shingle_words, max_bits)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.join(keep, id_col, "left_semi")
+    """The rows of the input without those whose group has a smaller id; other columns as they are.
+
+    Rows without an id stay, as nothing tells them apart; an id on several rows goes only if it is the
+    smallest of none of their groups.
+    """
+    groups = simhash_groups(df, id_col, text_col, shingle_words, max_bits).where(F.col(id_col).isNotNull())
+    first = F.bool_or(F.col(id_col) == F.col("component_id"))
+    gone = groups.groupBy(id_col).agg(first.alias("_first")).where(~F.col("_first")).select(id_col)
+    return df.join(gone, id_col, "left_anti")
