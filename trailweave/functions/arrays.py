@@ -79,6 +79,7 @@ def one_line(text: Column | str) -> Column:
 def truth(text: Column | str) -> Column:
     """A word for yes or no as a boolean; others raise."""
     low = F.lower(text)
+    # fixed values
     yes, no = low.isin("yes", "true", "t", "y", "1"), low.isin("no", "false", "f", "n", "0")
     return F.when(yes, F.lit(True)).when(no, F.lit(False)).otherwise(F.raise_error(F.lit("a boolean is expected")).cast("boolean"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.arrays import lcs_length, ngrams, spaced, words
 
+# Fixed values of the scores' definitions.
 ORDERS = (1, 2, 3, 4)
 SMALL, TINY = 1e-9, 1e-15
 BETA = 1.2

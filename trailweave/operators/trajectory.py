@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators.graph import adjacent_pairs
 
-#: Metres from the goal within which a trajectory succeeds (strictly).
+#: Metres from the goal within which a trajectory succeeds (strictly); a fixed value.
 MARGIN = 3.0
 
 
@@ -151,6 +151,7 @@ def retargeted(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(best, "instr_id", "left").withColumn("path", F.coalesce("_way", "path")).drop("_way")
 
 
+# The names under which summaries report.
 RATES = {"success": "sr", "oracle_success": "oracle_sr", "spl": "spl", "rgs": "rgs", "rgspl": "rgspl", "det_success": "det_sr", "det_spl": "det_spl"}
 MEANS = {"action_steps": "action_steps", "trajectory_steps": "steps", "trajectory_lengths": "lengths", "nav_error": "nav_error", "oracle_error": "oracle_error"}
 

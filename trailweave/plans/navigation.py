@@ -165,6 +165,7 @@ def top04_retarget(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg16_overall(spark: SparkSession, sf: str) -> DataFrame:
     """The score by which checkpoints are compared: each task's rate over its norm."""
+    # fixed values: each task's norm
     norms = {0: 60.0, 1: 36.63, 2: 26.58}
     s = trajectory.score_to_goal(*_inputs(*_walks(spark, sf))).withColumn("task", F.col("user_id") % 4)
     by_task = s.groupBy("task").agg((F.avg("spl") * 100).alias("spl"))
