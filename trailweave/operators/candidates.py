@@ -84,3 +84,12 @@ def graph_nodes(memory: DataFrame, keys: list[str], full: bool = True) -> DataFr
     none = F.lit(None).cast(memory.schema["vp"].dataType)
     mask = F.transform("l", lambda x: (1 - x["u"]) if full else F.lit(0))
     return lists.select(*keys, F.concat(F.array(none), F.col("l.vp")).alias("vps"), F.concat(F.array(F.lit(0)), mask).alias("visited_mask"), F.concat(F.array(F.lit(0)), F.col("l.step")).alias("steps"), "no_vp_left")
+
+
+def local_positions(options: DataFrame, start: str, own: str) -> DataFrame:
+    """Fourteen-number positions of options: the start's seven, then the option's own; the stop row's own are zeros.
+
+    options: rows with ``start`` and ``own`` (arrays of seven; ``own`` null for stopping).
+    """
+    none = F.array_repeat(F.lit(0.0), 7)
+    return options.withColumn("position", F.concat(start, F.coalesce(own, none))).drop(start, own)

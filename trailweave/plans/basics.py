@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import arrays, geometry
-from trailweave.operators import sampling
-from trailweave.plans.base_sql import EDGES, STEPS
+from trailweave.operators import candidates, memory, sampling
+from trailweave.plans.base_sql import EDGES, PICKS, STEPS
 from trailweave.sources import annotations, views
 from trailweave.sources.tables import table
 
@@ -157,11 +157,37 @@ def str03_answers(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("conv_id", "turn", F.md5(F.lower(arrays.stripped(F.concat(F.lit(" \n"), "text", F.lit("\t"))))).alias("md5"), arrays.truth(word).alias("truth"), F.regexp_replace(F.concat_ws("_", F.lit("r2r"), "conv_id", "turn"), "^[^_]*_", "").alias("id"))
 
 
+def obs04_local_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Local options of every viewpoint (stop, then neighbours) with positions relative to the scan's first viewpoint: their sums."""
+    n, d = views.nodes(spark, sf), views.dist(spark, sf)
+    first = views.picks(spark, sf, d).where("k = 0").select("scan", F.col("vp").alias("start"))
+    at = lambda s, k: n.select("scan", F.col("vp").alias(k), *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
+    point = lambda s: tuple(F.col(f"{c}{s}") for c in "xyz")
+    rel = lambda b: geometry.relative_position(point("a"), point(b), F.lit(0.0), F.lit(0.0))
+    far = d.select("scan", F.col("src").alias("vp"), F.col("dst").alias("start"), "d")
+    base = first.join(far, ["scan", "start"]).join(at("a", "vp"), ["scan", "vp"]).join(at("s", "start"), ["scan", "start"])
+    base = base.withColumn("begin", geometry.position_feature(rel("s"), F.col("d"), F.lit(0), F.lit(True)))
+    e = views.edges(spark, sf).select("scan", F.col("src").alias("vp"), F.col("dst").alias("nbr"), "w")
+    go = base.join(e, ["scan", "vp"]).join(at("b", "nbr"), ["scan", "nbr"]).withColumn("own", geometry.position_feature(rel("b"), F.col("w"), F.lit(1), F.lit(True)))
+    rows = go.select("scan", "vp", "nbr", "begin", "own").unionByName(base.select("scan", "vp", F.lit(None).cast("long").alias("nbr"), "begin", F.lit(None).cast("array<double>").alias("own")))
+    p = candidates.local_positions(rows, "begin", "own")
+    return p.select("scan", "vp", "nbr", F.size("position").alias("size"), F.round(F.aggregate("position", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def st12_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """Node features of walks: visited ones pool their visits, others the sightings from beside."""
+    s = views.steps(spark, sf).withColumn("v", (F.col("pos") * 3 + F.col("week") % 5).cast("double"))
+    e = views.edges(spark, sf).select("scan", F.col("src").alias("node"), "dst")
+    seen = s.join(e, ["scan", "node"]).select("instr_id", F.col("dst").alias("node"), "v")
+    p = memory.pooled(s.select("instr_id", "node", "v"), seen, "v")
+    return p.groupBy("instr_id", "visited").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mean"), 5).alias("total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flt03_included_edges, flt06_one_way_edges, flt01_ground_truth, flt09_finite, jon05_question_images, jon10_at_goal, jon12_fused, agg07_running_means, agg10_node_embeddings,
-        arr06_permutation, arr07_pair_distances, jsn01_properties, mth15_masks, obs03_types, obs07_objects, smp05_shuffled, st02_status, st13_upsert, str03_answers,
+        arr06_permutation, arr07_pair_distances, jsn01_properties, mth15_masks, obs03_types, obs07_objects, smp05_shuffled, st02_status, st13_upsert, str03_answers, obs04_local_positions, st12_pooled,
     )
 }
 
@@ -196,3 +222,17 @@ SELECT instr_id, count(*) FILTER (visited) AS n_visited, count(*) FILTER (NOT vi
     "st13_upsert": f"WITH {STEPS} SELECT instr_id, node, max(pos) FILTER (pos % 2 = 0) AS s_env, max(pos * 10) FILTER (pos % 3 = 0) AS d_env FROM steps GROUP BY 1, 2",
     "str03_answers": r"SELECT conv_id, turn, md5(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS md5, [true, false, true, false][turn % 4 + 1] AS truth, conv_id || '_' || turn AS id FROM conversations",
 }
+
+_SIDE = "asin((b.x-a.x) / greatest(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)), 1e-8))"
+_HEAD = f"(CASE WHEN b.y < a.y THEN pi() - {_SIDE} ELSE {_SIDE} END)"
+_FAR = "greatest(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)), 1e-8)"
+_ELEV = f"asin((b.z-a.z) / {_FAR})"
+_SUM = f"sin({_HEAD}) + cos({_HEAD}) + sin({_ELEV}) + cos({_ELEV}) + {_FAR} / 30"
+ORACLE["obs04_local_positions"] = f"""WITH {PICKS},
+f AS (SELECT d.scan, d.src AS vp, {_SUM} + d.d / 30 AS t FROM picks p JOIN dist d ON d.scan = p.scan AND d.dst = p.vp AND p.k = 0 JOIN nodes a ON a.scan = d.scan AND a.vp = d.src JOIN nodes b ON b.scan = d.scan AND b.vp = d.dst)
+SELECT f.scan, f.vp, e.dst AS nbr, 14 AS size, round(f.t + {_SUM} + e.w / 30 + 0.1, 6) AS total FROM f JOIN edges e ON e.scan = f.scan AND e.src = f.vp JOIN nodes a ON a.scan = f.scan AND a.vp = f.vp JOIN nodes b ON b.scan = f.scan AND b.vp = e.dst
+UNION ALL SELECT scan, vp, NULL, 14, round(t, 6) FROM f"""
+ORACLE["st12_pooled"] = f"""WITH {STEPS}, v AS (SELECT *, CAST(pos * 3 + week % 5 AS DOUBLE) AS v FROM steps),
+own AS (SELECT instr_id, node, avg(v) AS m FROM v GROUP BY 1, 2),
+seen AS (SELECT v.instr_id, e.dst AS node, avg(v.v) AS m FROM v JOIN edges e ON e.scan = v.scan AND e.src = v.node WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.instr_id = v.instr_id AND o.node = e.dst) GROUP BY 1, 2)
+SELECT instr_id, true AS visited, count(*) AS n, round(sum(m), 5) AS total FROM own GROUP BY 1 UNION ALL SELECT instr_id, false, count(*), round(sum(m), 5) FROM seen GROUP BY 1"""
