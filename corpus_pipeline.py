@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from trailweave.llm import jaccard, line_dedup, packing, quality, suffix_dedup
 from trailweave.llm.common import documents, shared_folder, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,8 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    return jaccard.near_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
