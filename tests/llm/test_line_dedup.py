@@ -80,3 +80,24 @@ def test_shared_hash_is_noticed(spark, monkeypatch):
 
 def test_empty(spark):
     assert L.line_dedup(spark.createDataFrame([], FIELDS)).count() == 0
+
+
+def test_no_chunk_is_thrown_away():
+    for t in [t for seed in range(3) for t in corpus(seed) if t] + ["\n".join(f"line {k}" for k in range(500))]:
+        lines = t.split("\n")
+        borders, worded = L.chunks(lines), [bool(x.strip(L._WHITE)) for x in lines]
+        assert [x for a, b in borders for x in range(a, b)] == list(range(len(lines)))
+        if sum(worded) >= 2:
+            assert all(sum(worded[a:b]) >= 2 for a, b in borders) and len(L.candidates(lines)) == len(borders)
+
+
+def test_shared_passages_are_caught():
+    rnd, caught = random.Random(8), {6: 0, 12: 0, 40: 0}
+    line = lambda: f"line {rnd.random()}"
+    for n in caught:
+        for _ in range(300):
+            shared = [line() for _ in range(n)]
+            one, other = ([line() for _ in range(rnd.randint(0, 9))] + shared + [line() for _ in range(rnd.randint(0, 9))] for _ in range(2))
+            both = {c for _, c in L.candidates(one)} & {c for _, c in L.candidates(other)}
+            caught[n] += sum(c.count("\n") + 1 for c in both) / n / 300
+    assert caught[6] > 0.35 and caught[12] > 0.65 and caught[40] > 0.88

@@ -1,8 +1,11 @@
 """Line dedup: chunks of lines with content-defined borders; repeated ones go, but for the first.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines decides whether a chunk ends after a line, so
-borders depend on nearby lines only and a passage is cut alike wherever it stands. Chunks with at
-least two lines that have a word are compared across all documents. Grouping is by a 128-bit hash and
+Lines without a word don't count for borders. Where the rolling hash over the hashes of the last ``WINDOW``
+lines is less than at the lines before and after, a chunk ends; what lies between two such ends is cut into
+twos, the last being two or three. Ends are never next to each other, so every chunk has two lines with a
+word and counts, unless its document has no more than one; and they depend on nearby lines only, so a passage
+is cut alike wherever it stands, but for the lines about its two edges. Chunks are compared across all
+documents. Grouping is by a 128-bit hash and
 the chunk's bytes, so the bytes are what decides; it aggregates on the map side, and a chunk that a
 third of all documents share sends one row per task. The first occurrence stays: in the smallest id,
 there at the first place. All others are cut out of their documents.
@@ -29,26 +32,34 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import whole_text
 
 WINDOW = 2
-#: A chunk ends where the rolling hash is 0 modulo this: the mean number of lines.
-MEAN_LINES = 3
 LEAST_LINES = 2
 _PRIME, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _WHITE = " \t\n\v\f\r"
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
-    out, start, rolled = [], 0, [0] * WINDOW
-    drop = pow(_PRIME, WINDOW, 1 << 64)
-    hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
-    rolling = 0
-    for k, h in enumerate(hashes):
+def _border_values(lines: list[str]) -> list[int]:
+    """The mixed rolling hash at each of the lines."""
+    drop, rolled, rolling, out = pow(_PRIME, WINDOW, 1 << 64), [0] * WINDOW, 0, []
+    for k, x in enumerate(lines):
+        h = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
         rolling = (rolling * _PRIME + h - drop * rolled[k % WINDOW]) & _MASK
         rolled[k % WINDOW] = h
-        mixed = (rolling ^ (rolling >> 31)) * _PRIME & _MASK
-        if (mixed >> 32) % MEAN_LINES == 0:
-            out.append((start, k + 1))
-            start = k + 1
+        out.append((rolling ^ (rolling >> 31)) * _PRIME & _MASK)
+    return out
+
+
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each chunk."""
+    worded = [k for k, x in enumerate(lines) if x.strip(_WHITE)]
+    value = _border_values([lines[k] for k in worded])
+    n = len(worded)
+    ends = [0 < k < n - 1 and value[k] < value[k - 1] and value[k] <= value[k + 1] for k in range(n)]
+    out, start, held = [], 0, 0
+    for k in range(n - LEAST_LINES):
+        held += 1
+        if held >= LEAST_LINES and (ends[k] or not ends[k + 1]):
+            out.append((start, worded[k] + 1))
+            start, held = worded[k] + 1, 0
     if start < len(lines):
         out.append((start, len(lines)))
     return out
