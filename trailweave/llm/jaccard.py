@@ -35,6 +35,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
 SEED = 42
 TURNS = 2
+#: A shingle in so many nodes or fewer is one by which nodes meet in the last turn.
+RARE = 12
 #: Shingles permuted at a time: bounds memory on very long texts.
 BLOCK = 1 << 10
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64)
@@ -107,11 +109,11 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, found array<long>").dropDuplicates(["node"])
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """(node, e): how many of a node's shingles another of the nodes has too."""
+def _counted(sets: DataFrame) -> DataFrame:
+    """(node, x, c): the shingles that occur in c > 1 of the nodes."""
     each = sets.select("node", F.explode("found").alias("x"))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("x").alias("y"))
-    return each.join(often, F.col("x") == F.col("y")).groupBy("node").agg(F.count(F.lit(1)).alias("e"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumnRenamed("x", "y")
+    return each.join(often, F.col("x") == F.col("y")).select("node", "x", "c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,27 +136,36 @@ def _may_be_alike(n: Column, e: Column, m: Column, f: Column) -> Column:
 
 
 def _mixed(held: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, node, n, e, root) in the buckets with several components; without ``roots`` each node is one."""
+    """(key, node, n, e, h, root) in the buckets with several components; without ``roots`` each node is one."""
     if roots is None:
         rooted = held.withColumn("root", F.col("node"))
     else:
-        rooted = held.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", "n", "e", F.coalesce("root", "node").alias("root"))
+        rooted = held.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", "n", "e", "h", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
     return durable(rooted.join(mixed, F.col("key") == F.col("k"), "left_semi"))
 
 
 def _to_centre(mixed: DataFrame, turn: int) -> DataFrame:
     """Pairs of one node of each bucket and those of other components; the node is another in each turn."""
-    order = F.xxhash64(F.lit(turn), "node") if turn else F.lit(0).cast("long")
+    order = F.xxhash64(F.lit(turn), "node") if turn else -F.col("h")  # first one that is most like all
     centre = mixed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "e", "root")).alias("c")).withColumnRenamed("key", "k")
     met = mixed.join(centre, (F.col("key") == F.col("k")) & (F.col("root") != F.col("c.root")) & _may_be_alike(F.col("n"), F.col("e"), F.col("c.n"), F.col("c.e")))
     return _ordered(met, F.col("c.node"))
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs of nodes that share a bucket but no component."""
-    other = mixed.select(*(F.col(c).alias(f"{c}_b") for c in mixed.columns))
-    return _ordered(mixed.join(other, (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & _may_be_alike(F.col("n"), F.col("e"), F.col("n_b"), F.col("e_b"))), F.col("node_b"))
+def _across(mixed: DataFrame, counted: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a bucket but no component, and can be alike.
+
+    Two sets share a shingle that few nodes have, by which they meet, or only such that many have.
+    """
+    def twice(left: DataFrame, by: str, shared: str) -> DataFrame:
+        other = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
+        may = _may_be_alike(F.col("n"), F.col(shared), F.col("n_b"), F.col(f"{shared}_b"))
+        return _ordered(left.join(other, (F.col(by) == F.col(f"{by}_b")) & (F.col("root") < F.col("root_b")) & may), F.col("node_b"))
+
+    nodes = mixed.select("node", "n", "e", "root").distinct()
+    rare = counted.where(F.col("c") <= RARE).select(F.col("node").alias("m"), "x")
+    return twice(mixed, "key", "h").union(twice(nodes.join(rare, F.col("node") == F.col("m")).drop("m"), "x", "e")).distinct()
 
 
 def _ordered(met: DataFrame, other: Column) -> DataFrame:
@@ -171,12 +182,13 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
     held = durable(held.join(met, F.col("key") == F.col("k"), "left_semi"))
     found = durable(_sets(rows, held.select("node", "r1", "r2").distinct()))
-    shared = _shared(found).withColumnRenamed("node", "m")
-    held = durable(held.join(shared, (F.col("node") == F.col("m")) & (5 * F.col("e") >= 4 * F.col("n"))).select("key", "node", "n", "e"))
+    counted = _counted(found)
+    shared = counted.groupBy(F.col("node").alias("m")).agg(F.count(F.lit(1)).alias("e"), F.count_if(F.col("c") > RARE).alias("h"))
+    held = durable(held.join(shared, (F.col("node") == F.col("m")) & (5 * F.col("e") >= 4 * F.col("n"))).select("key", "node", "n", "e", "h"))
     links = roots = None
     for turn in range(TURNS + 1):
         mixed = _mixed(held, roots)
-        new = durable(_verified(_to_centre(mixed, turn) if turn < TURNS else _across(mixed), found))
+        new = durable(_verified(_to_centre(mixed, turn) if turn < TURNS else _across(mixed, counted), found))
         links = links.union(new) if links else new
         roots = components(links, "a", "b")
     roots = roots.withColumnRenamed("node", "m")
