@@ -4,7 +4,8 @@ The file belongs to the tokenizers library, which encodes with offsets and so ta
 long as it needs. The tiktoken library gives the same ids where the vocabulary's ids are in the order
 of its merges (checked on loading) and where both libraries class a text's characters alike. So it
 encodes texts of scripts that Unicode has not changed for long, without very long words or runs of
-white space; all other texts go to the tokenizers library itself.
+white space and without the string of an added token (``<|endoftext|>``), which the library makes one id;
+all other texts go to the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -28,15 +29,22 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encodes texts to little-endian unsigned 32-bit ids; special strings in a text are plain text."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the library does without special tokens around."""
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = self._fast(json.loads(definition))
+        spec = json.loads(definition)
+        self.fast = self._fast(spec)
+        added = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
+        self.slow = re.compile(f"{_ODD.pattern}|{added}" if added else _ODD.pattern, re.IGNORECASE if self._folds(spec) else 0)
+
+    @staticmethod
+    def _folds(spec: dict) -> bool:
+        """Whether added tokens are looked for in normalised text, which may have another case."""
+        return any(t.get("normalized") for t in spec.get("added_tokens") or [])
 
     @staticmethod
     def _fast(spec: dict):
@@ -56,6 +64,6 @@ class ByteBpe:
         """The ids of a text; none for null or empty."""
         if not text:
             return b""
-        if self.fast is None or _ODD.search(text):
+        if self.fast is None or self.slow.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()

@@ -9,7 +9,7 @@ text), and stream through the closures: a task holds one turn at a time, however
 is. The rows of one conversation must pass through one task, since its digest is sequential.
 
 Defined cases: null texts and roles are empty; null turns come first; a null conversation id is a
-conversation of its own; repeated rows are turns of their own; unknown roles are kept and not under
+conversation of its own, and ids may be numbers or texts; repeated rows are turns of their own; unknown roles are kept and not under
 the mask; an empty table gives an empty result; other columns stay out.
 """
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trailweave.llm.chat_template import Segment, Template
 
@@ -98,12 +99,35 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
         yield key, ({"role": role or "", "text": text or ""} for _, _, role, text in own)
 
 
+#: Rows of a result batch, and characters after which one is sent.
+BATCH = 4096
+BATCH_CHARS = 1 << 22
+
+
+def _sent(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded number of rows and, but for one row, of characters."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += size(row)
+        if len(out) == BATCH or held >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
 def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """(conv_id, n_turns, formatted, loss_spans): the text of every conversation and the spans the loss counts."""
-    kind = df.schema["conv_id"].dataType.simpleString()
+    """(conv_id, n_turns, formatted, loss_spans): the text of every conversation and the spans the loss counts.
+
+    A row holds the whole text of its conversation, so that is what bounds a task's memory here.
+    """
+    kind = df.schema["conv_id"].dataType
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss_spans", spans_type)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         made = compiled(template)
         for conv_id, turns in _conversations(batches):
             n = 0
@@ -114,43 +138,37 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
                     yield turn
 
             text, spans = made.render(messages=counted())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([conv_id], pa.int64()), pa.array([n], pa.int64()), pa.array([text]), pa.array([[{"start": a, "end": b} for a, b in spans]], spans_type)],
-                names=["conv_id", "n_turns", "formatted", "loss_spans"],
-            )
-
-    return _turn_rows(df).mapInArrow(run, f"conv_id {kind}, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>")
+            yield conv_id, n, text, [{"start": a, "end": b} for a, b in spans]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent(rows(batches), schema, lambda row: len(row[2]))
 
-#: Rows of a result batch.
-BATCH = 4096
+    return _turn_rows(df).mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def round_trip_digest(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Per conversation, digests of what is read back from the formatted output."""
-    kind = df.schema["conv_id"].dataType.simpleString()
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    kind = df.schema["conv_id"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, out = compiled(template), []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        made = compiled(template)
         for conv_id, turns in _conversations(batches):
             all_turns, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for role, text, masked, length in read_turns(made.segments(messages=turns)):
                 all_turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 loss.update(masked.encode("utf-8", "surrogatepass"))
                 n, loss_chars, chars = n + 1, loss_chars + len(masked), chars + length
-            out.append((conv_id, n, all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-            if len(out) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            yield conv_id, n, all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent(rows(batches), schema, lambda _: 1)
 
-    return _turn_rows(df).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _turn_rows(df).mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_probe(df: DataFrame, conv_id: int = -7, text: str = r"\### Assistant: </turn> ok") -> DataFrame:
     """The conversations and one more, whose user and assistant both say ``text``."""
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    probe = df.sparkSession.range(0, 2, 1, 1).select(F.lit(conv_id).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
+    probe = df.sparkSession.range(0, 2, 1, 1).select(F.lit(conv_id).cast(df.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(df.schema["turn"].dataType).alias("turn"), role.alias("role"), F.lit(text).alias("text"))
     return df.select(*_KEYS).unionByName(probe)
