@@ -88,3 +88,13 @@ def test_formatted_text_and_spans(spark):
     assert r.formatted == "### User:\n\\# hi</turn>\n### Assistant:\nyes<\\/b></turn>\n### Assistant:\n</turn>\n" and r.n_turns == 3
     assert [r.formatted[s.start : s.end] for s in r.loss_spans] == ["yes<\\/b>"]
     assert len(r.formatted) == chat.round_trip_digest(spark.createDataFrame(rows, FIELDS)).first().formatted_chars
+
+
+@pytest.mark.parametrize(("kind", "ids"), [("string", ("x", "y", None)), ("int", (5, 1, None)), ("long", (5, 1, None))])
+def test_ids_of_any_type(spark, kind, ids):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"{i} says {t}", "x") for i in ids for t in range(4)]
+    df = spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string, n_turns string")
+    got = {r.conv_id: r for r in chat.round_trip_digest(chat.with_probe(df)).collect()}
+    assert set(got) == {*ids, "-7" if kind == "string" else -7} and got[ids[0]].n_turns == 4
+    made = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert set(made) == set(ids) and f"{ids[0]} says 3" in made[ids[0]].formatted

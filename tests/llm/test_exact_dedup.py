@@ -21,11 +21,13 @@ def slow(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[norm(t)].append(i)
-    out = []
+    out, seen = [], set()
     for i, t, _ in rows:
+        again = (i, norm(t)) in seen
+        seen.add((i, norm(t)))
         ids = [x for x in groups[norm(t)] if x is not None]
         keep = min(ids) if ids else None
-        out.append((i, keep, len(groups[norm(t)]), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        out.append((i, keep, len(groups[norm(t)]), i == keep and not again, hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -35,6 +37,18 @@ def test_groups(spark, hash_of):
     assert sorted(map(tuple, got), key=str) == slow(ROWS)
 
 
+def test_groups_beyond_the_broadcast_ones(spark, monkeypatch):
+    monkeypatch.setattr(E, "HOT_GROUPS", 1)
+    assert sorted(map(tuple, E.exact_dedup(spark.createDataFrame(ROWS * 2, FIELDS)).collect()), key=str) == slow(ROWS * 2)
+
+
+def test_two_texts_of_one_name_raise(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], FIELDS)
+    monkeypatch.setattr(E.F, "xxhash64", lambda *_: F.lit(0).cast("long"))
+    with pytest.raises(Exception, match="share both content hashes"):
+        E.exact_dedup(rows, hash_of=lambda t: F.lit(b"")).collect()
+
+
 def test_empty(spark):
     assert E.exact_dedup(spark.createDataFrame([], FIELDS)).count() == 0
 

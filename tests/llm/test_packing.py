@@ -18,9 +18,7 @@ FIELDS = "doc_id long, text string, offset string"
 
 @pytest.fixture(scope="module")
 def library():
-    t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 def test_ids_match_the_library(library):
@@ -34,6 +32,17 @@ def test_ids_match_the_library(library):
         assert fast.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [SPECIAL, f"a{SPECIAL}b", f"{SPECIAL}{SPECIAL} x", f"x {SPECIAL}", "<|endoftext|", "<|ENDOFTEXT|>", "a " * 1022 + SPECIAL + " b", "a " * 1023 + SPECIAL + SPECIAL])
+def test_added_tokens(library, text):
+    with open(PATH, "rb") as f:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert ByteBpe(f.read()).encode(text) == np.array(ids, "<u4").tobytes()
+    assert (SPECIAL in text) == (library.token_to_id(SPECIAL) in ids)
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 2049, 5000])
 def test_cuts(n):
     got = K.cuts(n)
@@ -69,7 +78,7 @@ def test_best_fit_against_a_plain_one(limit):
 def test_packed_documents(spark, library):
     rnd = random.Random(9)
     rows = [(i, " ".join(rnd.choices(["the", "of", "Zusammenhang", "x\ny", "é"], k=rnd.choice([0, 5, 80, 900, 4000]))), "clash") for i in range(150)]
-    rows += [(500, None, ""), (501, "", ""), (7, rows[7][1], ""), (None, "null id", "")]
+    rows += [(500, None, ""), (501, "", ""), (7, rows[7][1], ""), (502, f"a {SPECIAL} b", ""), (503, "the of " * 511 + SPECIAL * 3, ""), (None, "null id", "")]
     docs = spark.createDataFrame(rows, FIELDS)
     packed = K.pack(K.tokenised_pieces(docs, PATH)).cache()
     got = packed.collect()

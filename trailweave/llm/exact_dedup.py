@@ -2,13 +2,14 @@
 
 All of it is DataFrame operators. Texts are grouped by (hash, bytes): the hash spreads the rows and
 the hash aggregate compares the bytes, so two texts that collide stay apart. The first aggregation
-runs on the map side, so a text that a third of all rows share sends one row per task. Documents
-learn their group by a join whose other side has one small row per distinct text; adaptive
-execution splits the documents' side where one text is hot.
+runs on the map side, so a text that a third of all rows share sends one row per task. Each group then
+has a name of 24 bytes by which documents learn it. The ``HOT_GROUPS`` largest groups are sent to all
+tasks; what is left for the join by name has no name with more than 1 / HOT_GROUPS of all rows.
 
 Defined cases: a null text is empty; a null id is never the smallest unless all ids of the group are
-null; rows that repeat an id are all marked kept if that id is the group's smallest; an empty table
-gives an empty result. Only the id and the text are read, so other columns may have any name.
+null; of rows that repeat id and text one is kept if that id is the group's smallest (they are counted
+and then told apart by number); an empty table gives an empty result. Only the id and the text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import WHITE, whole_text
+from trailweave.llm.common import durable, whole_text
+
+#: Groups that are broadcast, the largest first: so many rows of some 100 bytes at any scale.
+HOT_GROUPS = 1000
+#: What differs from single spaces: a run of white space, or one that is no space.
+_UNEVEN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def content_hash(text: Column) -> Column:
@@ -28,7 +34,7 @@ def content_hash(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Every run of ASCII white space as one space."""
-    return F.regexp_replace(text, WHITE, " ")
+    return F.regexp_replace(text, _UNEVEN, " ")
 
 
 def exact_dedup(
@@ -43,33 +49,24 @@ def exact_dedup(
     their bytes.
     """
     rows = (
-        df.select(F.col(id_col).alias("_id"), normalised(whole_text(text_col)).alias("_text"))
-        .withColumn("_hash", hash_of(F.col("_text")))
-        .withColumn("_sha", F.unhex(F.sha2(F.col("_text"), 256)))
-    )
-    groups = (
-        rows.groupBy("_hash", "_text")
-        .agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-        .withColumn("_sha", F.unhex(F.sha2(F.col("_text"), 256)))
-    )
-    # (hash, sha) names a text for the join back; that it names one text only is checked, not assumed.
-    names = (
-        groups.groupBy("_hash", "_sha")
-        .agg(F.min("_keep").alias("_keep"), F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_texts"))
-        .select(
-            F.col("_hash").alias("_h"),
-            F.col("_sha").alias("_s"),
-            F.col("_keep"),
-            F.when(F.col("_texts") == 1, F.col("_size"))
-            .otherwise(F.raise_error(F.lit("two texts share both content hashes")).cast("long"))
-            .alias("_size"),
-        )
-    )
-    light = rows.select("_id", "_hash", "_sha")
-    return light.join(names, (light["_hash"] == names["_h"]) & (light["_sha"] == names["_s"])).select(
-        F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"),
+        df.select(F.col(id_col).alias("id"), normalised(whole_text(text_col)).alias("text"))
+        .withColumn("hash", hash_of(F.col("text")))
+        .withColumn("more", F.xxhash64(F.lit(7), "text"))
     )
+    groups = rows.groupBy("hash", "text").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    # (hash, more) names a text for the join back; that it names one text only is checked, not assumed.
+    named = groups.select("hash", F.xxhash64(F.lit(7), "text").alias("more"), "keep", "size", F.unhex(F.sha2("text", 256)).alias("sha"))
+    named = named.groupBy("hash", "more").agg(F.min("keep").alias("keep"), F.sum("size").alias("size"), F.min("sha").alias("sha"), F.count(F.lit(1)).alias("texts"))
+    one = F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts share both content hashes")).cast("long"))
+    named = durable(named.select(F.col("hash").alias("h"), F.col("more").alias("m"), "keep", one.alias("size"), "sha"))
+    hot = named.where("size > 1").orderBy(F.desc("size"), "h", "m").limit(HOT_GROUPS)
+
+    copies = rows.groupBy("id", "hash", "more").agg(F.count(F.lit(1)).alias("n"))
+    same = (F.col("hash") == F.col("h")) & (F.col("more") == F.col("m"))
+    found = copies.join(F.broadcast(hot), same).unionByName(copies.join(F.broadcast(hot), same, "left_anti").join(named, same))
+    first = F.col("id").eqNullSafe(F.col("keep"))
+    each = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return each.select(
+        F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
+        (first & (F.col("k") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    )
