@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A fixed value: the characters that Unicode has as white space, as a class that Java and SQL engines read alike.
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def words(text: Column | str) -> Column:
-    """Non-empty runs between white space; none for an empty text."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Non-empty runs between Unicode white space; none for an empty text."""
+    return F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "")
 
 
 def spaced(text: Column | str) -> Column:
@@ -22,26 +27,29 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays.
-
-    One row of the dynamic programme is folded over ``a``; each new row is folded over ``b``. All JVM-side.
-    """
-    zero = F.transform(b, lambda _: F.lit(0))
+def _common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each of b's tokens: one addition per token of a."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    rows = full
+    for x in a:
+        hit = rows & at.get(x, 0)
+        rows = (rows + hit | rows - hit) & full
+    return len(b) - rows.bit_count()
 
-    def next_row(row: Column, x: Column) -> Column:
-        # scanned: the new row so far, its last value first in ``left``, and the old row's value before
-        start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("left"), F.lit(0).alias("before"))
 
-        def step(s: Column, pair: Column) -> Column:
-            value = F.when(pair["y"] == x, s["before"] + 1).otherwise(F.greatest(s["left"], pair["up"]))
-            return F.struct(F.concat(s["row"], F.array(value)).alias("row"), value.alias("left"), pair["up"].alias("before"))
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays of tokens."""
+    return pd.Series([_common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
-        pairs = F.zip_with(b, row, lambda y, up: F.struct(y.alias("y"), up.alias("up")))
-        return F.aggregate(pairs, start, step)["row"]
 
-    last = F.aggregate(a, zero, next_row)
-    return F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(0))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def lcs_lengths(many: pd.Series, one: pd.Series) -> pd.Series:
+    """The same of each of an array's texts and one text, both cut at single spaces."""
+    return pd.Series([[_common_subsequence(t.split(" "), y) for t in x] for x, y in zip(many, one.str.split(" "))], dtype=object)
 
 
 def run_lengths(chunks: Column | str) -> Column:
@@ -49,14 +57,26 @@ def run_lengths(chunks: Column | str) -> Column:
     return F.flatten(F.transform(chunks, lambda c, k: F.array_repeat(k, (c[1] - c[0]).cast("int"))))
 
 
-def padded(values: Column, size: Column | int, fill: Column) -> Column:
-    """An array filled up to ``size`` at the end."""
-    return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), F.lit(size) - F.size(values)) if isinstance(size, int) else F.greatest(F.lit(0), size - F.size(values))))
+def _as_size(size: Column | int) -> Column:
+    return F.lit(size) if isinstance(size, int) else size
+
 
+def padded(values: Column, size: Column | int, fill: Column, left: bool = False) -> Column:
+    """An array filled up to ``size`` at the end, or at the beginning."""
+    rest = F.array_repeat(fill, F.greatest(F.lit(0), _as_size(size) - F.size(values)))
+    return F.concat(rest, values) if left else F.concat(values, rest)
 
-def length_mask(values: Column, size: int) -> Column:
+
+def length_mask(values: Column, size: Column | int, left: bool = False) -> Column:
     """True where an array padded to ``size`` has a value of its own."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: k < F.size(values))
+    n = _as_size(size)
+    own = (lambda k: k >= n - F.size(values)) if left else (lambda k: k < F.size(values))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), own)).otherwise(F.array().cast("array<boolean>"))
+
+
+def last_tokens(values: Column, most: int) -> Column:
+    """The last ``most`` of an array: what is left when it is cut on the left."""
+    return F.slice(values, F.greatest(F.size(values) - most, F.lit(0)) + 1, most)
 
 
 def first_words(text: Column | str, n: int) -> Column:
@@ -66,8 +86,8 @@ def first_words(text: Column | str, n: int) -> Column:
 
 
 def stripped(text: Column | str) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(text, rf"\A{SPACES}+|{SPACES}+\z", "")
 
 
 def one_line(text: Column | str) -> Column:

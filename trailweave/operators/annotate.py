@@ -32,6 +32,22 @@ def numbered(df: DataFrame, key: str, order: list[str], out: str = "sample_idx",
     return ranged.withColumn("_k", inside).join(before, "_range").withColumn(out, F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, value: str, width: int = 100_000) -> DataFrame:
+    """``n_before`` and ``sum_before``: of the rows of the same keys that come before in ``order`` (a whole number, no two alike).
+
+    As with ``numbered``, a task sees a range of ``width`` numbers; of a key only the sums of its ranges are
+    ordered as a whole.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    sums = ranged.groupBy(*keys, "_range").agg(F.count(value).alias("_n"), F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_range", F.sum("_n").over(earlier).alias("_n0"), F.sum("_s").over(earlier).alias("_s0"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = ranged.withColumn("_k", F.count(value).over(inside)).withColumn("_t", F.sum(value).over(inside)).join(sums, [*keys, "_range"])
+    return rows.withColumn("n_before", zero("_n0") + F.col("_k")).withColumn("sum_before", zero("_s0") + zero("_t")).drop("_range", "_k", "_t", "_n0", "_s0")
+
+
 def by_instruction(df: DataFrame, array: str = "instructions") -> DataFrame:
     """One row per instruction with its place ``j``; the array goes, all else stays."""
     return df.select(*(c for c in df.columns if c != array), F.posexplode(array).alias("j", "instruction"))

@@ -5,13 +5,13 @@ A graph is keyed by ``scan``; nodes are (scan, vp, x, y, z) and edges (scan, src
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.sources.durable import durable
+
 #: A scan is one building: its matrix of nodes x nodes must fit a task. More nodes are an error, not a cut.
 MOST_NODES = 6000
 
@@ -135,34 +135,24 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     )
 
 
-def min_plus_distances(edges: DataFrame, nodes: DataFrame, squarings: int) -> DataFrame:
-    """The same distances by joins, for scans too large for a task: 2 ** squarings hops at most.
+def min_plus_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same distances by joins, for scans too large for a task: squared until nothing changes.
 
-    Each squaring is a join on the middle node and a minimum that is taken on the map side first.
+    Each squaring doubles the hops that are known. It is a join on the middle node and a minimum that is
+    taken on the map side first, and ends in a checkpoint; the count of pairs and the sum of their
+    distances tell whether it changed any (distances only get shorter).
     """
     d = edges.select("scan", "src", "dst", F.col("w").alias("d")).unionByName(nodes.select("scan", F.col("vp").alias("src"), F.col("vp").alias("dst"), F.lit(0.0).alias("d")))
-    d = d.groupBy("scan", "src", "dst").agg(F.min("d").alias("d"))
-    for _ in range(squarings):
+    d, mark = durable(d.groupBy("scan", "src", "dst").agg(F.min("d").alias("d"))), None
+    while True:
+        # decimals, so that the sum does not depend on the order of rows
+        now = tuple(d.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(38,9)"))).first())
+        if now == mark:
+            return d
+        mark = now
         on = d.select("scan", F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("d").alias("e"))
-        d = d.withColumnRenamed("dst", "mid").join(on, ["scan", "mid"]).groupBy("scan", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("e")).alias("d"))
-    return d
-
-
-def dijkstra(edges: list[tuple], source: object) -> dict:
-    """Plain single-source distances over (src, dst, w) rows: what tests compare with."""
-    out: dict = {}
-    near: dict = {}
-    for a, b, w in edges:
-        near.setdefault(a, []).append((b, w))
-    heap = [(0.0, source)]
-    while heap:
-        d, at = heapq.heappop(heap)
-        if at in out:
-            continue
-        out[at] = d
-        for b, w in near.get(at, []):
-            heapq.heappush(heap, (d + w, b))
-    return out
+        two = d.withColumnRenamed("dst", "mid").join(on, ["scan", "mid"])
+        d = durable(two.groupBy("scan", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("e")).alias("d")))
 
 
 def adjacent_pairs(path: str) -> Column:

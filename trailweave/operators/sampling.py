@@ -57,9 +57,22 @@ def gumbel_choice(scores: str, seed: int, *keys: str) -> Column:
     return -F.array_max(noisy)["k"]
 
 
-def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
-    """All rows in the order of their keys' hashes (a range shuffle)."""
-    return df.orderBy(unit(seed, *keys), *keys)
+#: Ranges of hashes in which ``shuffled`` numbers rows, each on its own.
+RANGES = 4096
+
+
+def shuffled(df: DataFrame, seed: int, *keys: str, ranges: int = RANGES) -> DataFrame:
+    """All rows with their ``place`` from 0 in the order of their keys' hashes.
+
+    Rows fall into ranges of the hash, which are even, and are numbered inside a range; only the counts of
+    the ranges are ordered as a whole, so no task sorts all rows.
+    """
+    u = unit(seed, *keys)
+    rows = df.withColumn("_u", u).withColumn("_range", F.floor(F.col("_u") * ranges))
+    before = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # ``ranges`` rows
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_u", *keys)) - 1
+    return rows.withColumn("_k", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_k")).drop("_u", "_range", "_k", "_before")
 
 
 def of_rank(df: DataFrame, place: str, rank: int, ranks: int) -> DataFrame:

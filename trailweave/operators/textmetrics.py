@@ -1,18 +1,17 @@
 """Text scores: BLEU, ROUGE-L, CIDEr and exact match.
 
-Inputs have (id, hyp string, refs array<string>); every id once. Sums are plain aggregates, so partial
-results merge on the map side.
+Inputs have (id, hyp string, refs array<string>); every id once. Texts are dealt by id once, and what is
+counted per id stays where it is; sums over ids are plain aggregates, so partial results merge on the map side.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.functions.arrays import lcs_length, ngrams, spaced, words
+from trailweave.functions.arrays import lcs_lengths, ngrams, spaced, words
 
 # Fixed values of the scores' definitions.
 ORDERS = (1, 2, 3, 4)
@@ -31,11 +30,23 @@ def paired(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 # ---- BLEU ----------------------------------------------------------------------------------------
 
 
-def _gram_counts(rows: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
-    """(keys, order, gram, n) of the n-grams of a token column."""
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), ngrams(F.col(tokens), n).alias("grams")) for n in ORDERS)))
-    grams = rows.select(*keys, each.alias("g")).select(*keys, "g.order", F.explode("g.grams").alias("gram"))
-    return grams.groupBy(*keys, "order", "gram").agg(F.count(F.lit(1)).alias("n"))
+def _gram_counts(texts: DataFrame) -> DataFrame:
+    """(id, ref, order, gram, n) of the n-grams of rows (id, ref, tokens), counted where the ids are."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), ngrams(F.col("tokens"), n).alias("grams")) for n in ORDERS)))
+    grams = texts.select("id", "ref", each.alias("g")).select("id", "ref", "g.order", F.explode("g.grams").alias("gram"))
+    return grams.groupBy("id", "order", "gram", "ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grams(rows: DataFrame) -> DataFrame:
+    """(id, order, gram, hyp, refs array<struct<ref,n>>): each n-gram's counts in the hypothesis (0: absent) and in references."""
+    own = F.struct(F.lit(-1).alias("ref"), F.col("hyp").alias("text"))
+    others = F.transform("refs", lambda t, k: F.struct(k.alias("ref"), t.alias("text")))
+    each = rows.select("id", "hyp", "refs").repartition("id").select("id", F.explode(F.concat(F.array(own), others)).alias("t"))
+    counts = _gram_counts(each.select("id", "t.ref", words("t.text").alias("tokens")))
+    mine = F.col("ref") < 0
+    return counts.groupBy("id", "order", "gram").agg(
+        F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias("hyp"), F.collect_list(F.when(~mine, F.struct("ref", "n"))).alias("refs")
+    )
 
 
 def reference_length(length: Column, lengths: Column, option: str) -> Column:
@@ -49,11 +60,9 @@ def reference_length(length: Column, lengths: Column, option: str) -> Column:
 
 def bleu_counts(rows: DataFrame, option: str = "closest") -> DataFrame:
     """Per id: testlen, reflen, guess1..4 and correct1..4 (clipped by the greatest count in one reference)."""
+    most = F.coalesce(F.array_max("refs.n"), F.lit(0))
+    hits = _grams(rows).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least(F.col("hyp"), most)).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
     r = rows.withColumn("_hyp", words("hyp"))
-    own = _gram_counts(r, "_hyp", ["id"])
-    each_ref = r.select("id", F.posexplode("refs").alias("ref", "text")).withColumn("_ref", words("text"))
-    most = _gram_counts(each_ref, "_ref", ["id", "ref"]).groupBy("id", "order", "gram").agg(F.max("n").alias("most"))
-    hits = own.join(most, ["id", "order", "gram"]).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least("n", "most")).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
     sizes = F.transform("refs", lambda t: F.size(words(t)))
     base = r.select(
         "id", F.size("_hyp").cast("long").alias("testlen"), reference_length(F.size("_hyp"), sizes, option).alias("reflen"),
@@ -87,9 +96,9 @@ def bleu_sentences(counts: DataFrame) -> DataFrame:
 
 def rouge_l(rows: DataFrame) -> DataFrame:
     """(id, rouge_l): best precision and best recall over the references, each for itself; 0 if either is 0."""
-    hyp = spaced("hyp")
-    each = F.transform("refs", lambda r: F.struct(lcs_length(spaced(r), hyp).alias("lcs"), F.size(spaced(r)).alias("n")))
-    r = rows.select("id", F.size(hyp).alias("_n"), each.alias("_e"))
+    sizes = F.transform("refs", lambda r: F.size(spaced(r)))
+    each = F.zip_with(lcs_lengths("refs", "hyp"), sizes, lambda lcs, n: F.struct(lcs.alias("lcs"), n.alias("n")))
+    r = rows.select("id", F.size(spaced("hyp")).alias("_n"), each.alias("_e"))
     best = lambda f: F.array_max(F.transform("_e", f))
     p, q = best(lambda e: e["lcs"] / F.col("_n")), best(lambda e: e["lcs"] / e["n"])
     score = F.when((p > 0) & (q > 0), (1 + BETA**2) * p * q / (q + BETA**2 * p)).otherwise(0.0)
@@ -101,35 +110,37 @@ def rouge_l(rows: DataFrame) -> DataFrame:
 
 def document_frequency(rows: DataFrame) -> DataFrame:
     """(order, gram, df): in how many ids' references an n-gram occurs."""
-    each = rows.select("id", F.explode("refs").alias("text")).withColumn("_t", words("text"))
-    return _gram_counts(each, "_t", ["id"]).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
+    each = rows.select("id", "refs").repartition("id").select("id", F.posexplode("refs").alias("ref", "text"))
+    counts = _gram_counts(each.select("id", "ref", words("text").alias("tokens")))
+    return counts.select("id", "order", "gram").distinct().groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None) -> DataFrame:
     """(id, cider). ``frequency`` and ``documents`` may come from another corpus."""
-    df = document_frequency(rows) if frequency is None else frequency
-    log_n = math.log(max(1, rows.count() if documents is None else documents))  # one number
-
-    def weighed(counts: DataFrame) -> DataFrame:
-        w = counts.join(df, ["order", "gram"], "left")
-        return w.withColumn("w", F.col("n") * (log_n - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double"))))).drop("df")
-
-    hyp = weighed(_gram_counts(rows.withColumn("_h", words("hyp")), "_h", ["id"]))
-    refs = rows.select("id", F.posexplode("refs").alias("ref", "text")).withColumn("_t", words("text"))
-    ref = weighed(_gram_counts(refs, "_t", ["id", "ref"]))
-    hyp_norm = hyp.groupBy("id", "order").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hyp_norm"))
-    ref_norm = ref.groupBy("id", "ref", "order").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ref_norm"))
-    dots = hyp.select("id", "order", "gram", F.col("w").alias("hw")).join(ref, ["id", "order", "gram"])
-    dots = dots.groupBy("id", "ref", "order").agg(F.sum(F.least("hw", "w") * F.col("w")).alias("dot"))
-    scored = dots.join(hyp_norm, ["id", "order"]).join(ref_norm, ["id", "ref", "order"])
-    lengths = refs.join(rows.select("id", F.size(words("hyp")).alias("_n")), "id")
+    grams = _grams(rows)
+    df = grams.where(F.size("refs") > 0).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df")) if frequency is None else frequency
+    of = rows.agg(F.count(F.lit(1)).cast("double").alias("of")) if documents is None else rows.sparkSession.range(1).select(F.lit(float(documents)).alias("of"))
+    weight = F.log(F.greatest(F.col("of"), F.lit(1.0))) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
+    weighed = grams.join(df, ["order", "gram"], "left").crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
+
+    # per id, order and text (the hypothesis is -1): squared norms, and the products with the hypothesis
+    entries = F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("hyp").alias("n"))), F.col("refs"))
+    each = weighed.select("id", "order", "weight", "hyp", F.explode(entries).alias("e"))
+    w, h = F.col("e.n") * F.col("weight"), F.col("hyp") * F.col("weight")
+    sums = each.repartition("id").groupBy("id", "order", F.col("e.ref").alias("ref")).agg(F.sum(w * w).alias("squares"), F.sum(F.least(h, w) * w).alias("dot"))
+    mine = F.col("ref") < 0
+    by_order = sums.groupBy("id", "order").agg(
+        F.sqrt(F.max(F.when(mine, F.col("squares")))).alias("norm"), F.collect_list(F.when(~mine, F.struct("ref", F.sqrt("squares").alias("norm"), "dot"))).alias("refs")
+    )
+    cosine = F.transform("refs", lambda r: F.struct(r["ref"].alias("ref"), F.when(F.col("norm") * r["norm"] != 0, r["dot"] / (F.col("norm") * r["norm"])).otherwise(r["dot"]).alias("value")))
+    scored = by_order.groupBy("id").agg(F.flatten(F.collect_list(cosine)).alias("scores"))
+
     bigrams = lambda n: F.greatest(F.lit(0), n - 1)
-    delta = bigrams(F.col("_n")) - bigrams(F.size("_t"))
-    penalty = lengths.select("id", "ref", F.exp(-(delta * delta) / (2 * SIGMA**2)).alias("penalty"))
-    norms = F.col("hyp_norm") * F.col("ref_norm")
-    value = F.when(norms != 0, F.col("dot") / norms).otherwise(F.col("dot")) * F.col("penalty")
-    total = scored.join(penalty, ["id", "ref"]).groupBy("id").agg(F.sum(value).alias("total"))
-    return rows.join(total, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) / len(ORDERS) / F.size("refs") * 10.0).alias("cider"))
+    off = lambda t: bigrams(F.size(words("hyp"))) - bigrams(F.size(words(t)))
+    lengths = rows.select("id", F.transform("refs", lambda t: F.exp(-(off(t) * off(t)) / (2 * SIGMA**2))).alias("penalties"))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s["value"] * F.get("penalties", s["ref"]))
+    made = lengths.join(scored, "id", "left")
+    return made.select("id", (F.coalesce(total, F.lit(0.0)) / len(ORDERS) / F.size("penalties") * 10.0).alias("cider"))
 
 
 # ---- exact match and bundles ---------------------------------------------------------------------

@@ -78,7 +78,7 @@ def jon11_unused_views(spark: SparkSession, sf: str) -> DataFrame:
 
 def jon04_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers with the parts they carry, at most five by number, none as an empty list."""
-    o = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    o = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
     s = table(spark, sf, "supplier").select("s_suppkey").join(o, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     parts = F.slice(F.coalesce("parts", F.array().cast("array<long>")), 1, 5)
     return s.select("s_suppkey", F.size(parts).alias("n"), F.array_join(F.transform(parts, lambda p: p.cast("string")), ",").alias("parts"))
@@ -106,24 +106,23 @@ def st09_object_target(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mth14_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    """Probabilities, entropy and the best index of each embedding's first numbers; and the best object."""
-    s = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
-    e = table(spark, sf, "embeddings").select("vec_id", s.alias("s"))
+    """Probabilities, entropy and the best index of each embedding's numbers; and the best object."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
     p = arrays.softmax(F.col("s"))
-    ids = F.array(*(F.lit(f"o{k}") for k in range(5)))
-    return e.select("vec_id", *_six(("p0", p[0]), ("entropy", arrays.entropy(p))), arrays.argmax(F.col("s")).alias("best"), F.lit(ids).alias("ids"), F.col("s")).select("vec_id", "p0", "entropy", "best", C.chosen_object("s", "ids").alias("object"))
+    ids = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda k: F.concat(F.lit("o"), k.cast("string")))
+    made = e.select("vec_id", *_six(("p0", p[0]), ("entropy", arrays.entropy(p))), arrays.argmax(F.col("s")).alias("best"), ids.alias("ids"), "s")
+    return made.select("vec_id", "p0", "entropy", "best", C.chosen_object("s", "ids").alias("object"))
 
 
 def agg09_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean embedding (first four numbers) of every label: by arrays and, for the oracle, by numbers."""
-    e = table(spark, sf, "embeddings").groupBy("label").agg(F.collect_list(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).alias("v"))
-    m = arrays.mean_vector(F.col("v"), 4)
-    return e.select("label", *_six(*((f"m{k}", m[k]) for k in range(4))))
+    """Mean embedding of every label, a row per number: averaged on the map side first."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
+    return e.groupBy("label", "k").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 def prm_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """All prompts, for users' turns with varying history and candidates."""
-    t = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 60).alias("i"), (F.col("turn") % 4).cast("int").alias("h"), (F.col("conv_id") % 5).cast("int").alias("c"))
+    t = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("i"), (F.col("turn") % 4).cast("int").alias("h"), (F.col("conv_id") % 5).cast("int").alias("c"))
     i, h, c = F.col("i"), F.col("h"), F.col("c")
     made = {f"nav_{k}": P.navigation(k, i, h, c) for k in P.NAVIGATION} | {f"sum_{k}": P.summarisation(k, h, c) for k in P.SUMMARISATION}
     made |= {f"obj_{k}": P.grounding(k, i, h, c) for k in ("soon", "reverie")} | {f"qa_{k}": P.question(k, i, h, c) for k in P.QUESTION}
@@ -135,7 +134,7 @@ def prm07_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """The navigation prompt of each document's task, by its number."""
     names = list(P.NAVIGATION)
     task = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    d = table(spark, sf, "documents").select("doc_id", task.alias("task"), F.substring("text", 1, 40).alias("i"))
+    d = table(spark, sf, "documents").select("doc_id", task.alias("task"), F.coalesce("text", F.lit("")).alias("i"))
     return d.select("doc_id", "task", F.md5(P.by_task(F.col("task"), {k: P.navigation(k, F.col("i"), F.lit(2), F.lit(3)) for k in names})).alias("prompt_md5"))
 
 
@@ -227,7 +226,7 @@ SELECT scan, src, dst, round(CASE WHEN k THEN sin(h) ELSE 0.0 END, 6) AS f0, rou
 c AS (SELECT n.scan, n.vp, list(b.view ORDER BY b.nbr) FILTER (b.view IS NOT NULL) AS used FROM nodes n LEFT JOIN best b USING (scan, vp) GROUP BY 1, 2),
 l AS (SELECT scan, vp, coalesce(used, []) AS used, list_filter(range(36), lambda v: NOT list_contains(coalesce(used, []), v)) AS free FROM c)
 SELECT scan, vp, len(used) AS n_candidates, len(free) AS n_free, array_to_string(list_concat(used, free), ',') AS views FROM l""",
-    "jon04_objects": """WITH o AS (SELECT l_suppkey, list(DISTINCT l_partkey ORDER BY l_partkey) AS p FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1),
+    "jon04_objects": """WITH o AS (SELECT l_suppkey, list(DISTINCT l_partkey ORDER BY l_partkey) AS p FROM lineitem GROUP BY 1),
 s AS (SELECT s_suppkey, coalesce(p, [])[1:5] AS p FROM supplier LEFT JOIN o ON s_suppkey = l_suppkey)
 SELECT s_suppkey, len(p) AS n, array_to_string(p, ',') AS parts FROM s""",
     "agg04_object_viewpoints": "SELECT l_partkey, count(*) AS n, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey)) AS suppliers_md5 FROM lineitem GROUP BY 1",
@@ -241,14 +240,15 @@ SELECT x.scan, x.cur, CAST(CASE WHEN x.cur % 11 = 0 THEN -100 WHEN x.cur = x.goa
 FROM (SELECT DISTINCT scan, cur, goal FROM o) x LEFT JOIN best b USING (scan, cur)""",
     "st09_object_target": """WITH o AS (SELECT l_suppkey, list(DISTINCT l_partkey ORDER BY l_partkey) AS p FROM lineitem GROUP BY 1)
 SELECT l_suppkey, CAST(CASE WHEN l_suppkey % 2 = 0 AND list_contains(p, l_suppkey * 7) THEN list_position(p, l_suppkey * 7) ELSE -100 END AS BIGINT) AS target FROM o""",
-    "mth14_softmax": """WITH s AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
+    "mth14_softmax": """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
 x AS (SELECT vec_id, s, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM s), p AS (SELECT vec_id, s, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x)
 SELECT vec_id, round(p[1], 6) AS p0, round(-list_sum(list_transform(p, lambda q: q * ln(q))), 6) AS entropy, list_position(s, list_max(s)) - 1 AS best,
-       'o' || (list_position(s[2:6], list_max(s[2:6])) - 1) AS object FROM p""",
-    "agg09_mean_vector": "SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{k + 1}] AS DOUBLE)), 6) AS m{k}" for k in range(4)) + " FROM embeddings GROUP BY 1",
-    "prm_prompts": "WITH t AS (SELECT conv_id, turn, substr(text, 1, 60) AS i, turn % 4 AS h, conv_id % 5 AS c FROM conversations WHERE role = 'user') SELECT conv_id, turn, "
+       'o' || (list_position(s[2:], list_max(s[2:])) - 1) AS object FROM p""",
+    "agg09_mean_vector": """WITH e AS (SELECT label, unnest(range(len(embedding))) AS k, unnest(embedding) AS x FROM embeddings)
+SELECT label, CAST(k AS INTEGER) AS k, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY 1, 2""",
+    "prm_prompts": "WITH t AS (SELECT conv_id, turn, text AS i, turn % 4 AS h, conv_id % 5 AS c FROM conversations WHERE role = 'user') SELECT conv_id, turn, "
     + ", ".join(f"md5({v}) AS {k}" for k, v in _PROMPTS.items() if k[0] != "_") + " FROM t",
-    "prm07_dispatch": f"""WITH d AS (SELECT doc_id, [{", ".join(repr(k) for k in P.NAVIGATION)}][doc_id % {len(P.NAVIGATION)} + 1] AS task, substr(text, 1, 40) AS i FROM documents)
+    "prm07_dispatch": f"""WITH d AS (SELECT doc_id, [{", ".join(repr(k) for k in P.NAVIGATION)}][doc_id % {len(P.NAVIGATION)} + 1] AS task, coalesce(text, '') AS i FROM documents)
 SELECT doc_id, task, md5({_PROMPTS["_nav_fixed"]}) AS prompt_md5 FROM d""",
 }
 

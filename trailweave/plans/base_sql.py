@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from trailweave.sources.views import RADIUS, SCANS, WEEK
+from trailweave.functions.arrays import SPACES
+from trailweave.sources.views import IDS_OF_A_SCAN, LABELS, RADIUS, WEEK
+
+
+def words_sql(column: str = "text") -> str:
+    """The words of a text, between Unicode white space."""
+    return f"list_filter(regexp_split_to_array({column}, '{SPACES}+'), lambda x: x <> '')"
+
+
+def stripped_sql(column: str) -> str:
+    """A text without Unicode white space at either end."""
+    return rf"regexp_replace({column}, '\A{SPACES}+|{SPACES}+\z', '', 'g')"
 
 
 def _squared(n: int, of: str) -> str:
     return f"{n} AS MATERIALIZED (SELECT a.scan, a.src, b.dst, min(a.d + b.d) AS d FROM {of} a JOIN {of} b ON a.scan = b.scan AND a.dst = b.src GROUP BY 1, 2, 3)"
 
 
-NODES = """nodes AS (
-  SELECT label AS scan, vec_id AS vp, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z
+NODES = f"""nodes AS (
+  SELECT CAST(label + {LABELS} * (vec_id // {IDS_OF_A_SCAN}) AS INTEGER) AS scan, vec_id AS vp, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z
   FROM embeddings)"""
 EDGES = f"""{NODES},
 edges AS MATERIALIZED (
@@ -26,7 +37,7 @@ able AS (SELECT r.scan, r.vp FROM reach r JOIN (SELECT scan, max(reach) AS most
 picks AS (SELECT scan, vp, row_number() OVER (PARTITION BY scan ORDER BY vp) - 1 AS k, count(*) OVER (PARTITION BY scan) AS n FROM able)"""
 STEPS = f"""{PICKS},
 moves AS (
-  SELECT event_id, user_id, CAST(floor(epoch(ts) / {WEEK}) AS BIGINT) AS week, CAST(user_id % {SCANS} AS INTEGER) AS scan,
+  SELECT event_id, user_id, CAST(floor(epoch(ts) / {WEEK}) AS BIGINT) AS week, CAST(user_id % (SELECT max(scan) + 1 FROM nodes) AS INTEGER) AS scan,
          row_number() OVER (PARTITION BY user_id, CAST(floor(epoch(ts) / {WEEK}) AS BIGINT) ORDER BY ts, event_id) - 1 AS pos
   FROM events),
 steps AS MATERIALIZED (

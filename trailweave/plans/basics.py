@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import arrays, geometry
-from trailweave.operators import candidates, memory, sampling
-from trailweave.plans.base_sql import EDGES, PICKS, STEPS
+from trailweave.operators import annotate, candidates, memory, sampling
+from trailweave.plans.base_sql import EDGES, NODES, PICKS, STEPS, stripped_sql, words_sql
 from trailweave.sources import annotations, views
 from trailweave.sources.tables import table
 
@@ -40,10 +40,10 @@ def flt09_finite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jon05_question_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions (scans) with their first images' features, in the images' order."""
-    s = views.nodes(spark, sf).groupBy("scan").agg(F.slice(F.array_sort(F.collect_list("vp")), 1, 6).alias("images"))
+    """Questions (scans) with their images' features, in the images' order."""
+    s = views.nodes(spark, sf).groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("images"))
     each = s.select("scan", F.posexplode("images").alias("pos", "vp"))
-    store = table(spark, sf, "embeddings").select(F.col("label").alias("scan"), F.col("vec_id").alias("vp"), F.col("embedding")[0].cast("double").alias("f"))
+    store = views.nodes(spark, sf).select("scan", "vp", F.col("x").alias("f"))
     got = each.join(store, ["scan", "vp"]).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("pos", "f"))).alias("l"))
     return got.select("scan", F.round(F.aggregate("l", F.lit(0.0), lambda a, x: a + x["f"] * (x["pos"] + 1)), 6).alias("features"))
 
@@ -64,8 +64,8 @@ def jon12_fused(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg07_running_means(spark: SparkSession, sf: str) -> DataFrame:
     """Mean value of every task so far, at each event; nothing yet counts as 0."""
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "events").select("event_id", F.round(F.coalesce(F.avg("value").over(w), F.lit(0.0)) * F.count("value").over(w), 3).alias("mean_times_n"))
+    e = annotate.running_sums(table(spark, sf, "events"), ["event_type"], "event_id", "value")
+    return e.select("event_id", F.round(F.coalesce(F.try_divide("sum_before", "n_before"), F.lit(0.0)) * F.col("n_before"), 3).alias("mean_times_n"))
 
 
 def agg10_node_embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def arr06_permutation(spark: SparkSession, sf: str) -> DataFrame:
     s = views.nodes(spark, sf).groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("v"))
     s = s.withColumn("p", sampling.sampled("v", 1_000_000, 4, "scan"))
     back = F.transform("v", lambda x: F.array_position("p", x))
-    return s.select("scan", F.size("v").alias("n"), F.array_join(F.slice(F.transform("p", lambda x: x.cast("string")), 1, 5), ",").alias("first"), (F.transform(back, lambda k: F.element_at("p", k.cast("int"))) == F.col("v")).alias("restored"))
+    return s.select("scan", F.size("v").alias("n"), F.md5(F.array_join(F.transform("p", lambda x: x.cast("string")), ",")).alias("order_md5"), (F.transform(back, lambda k: F.element_at("p", k.cast("int"))) == F.col("v")).alias("restored"))
 
 
 def arr07_pair_distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,10 +102,11 @@ def jsn01_properties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mth15_masks(spark: SparkSession, sf: str) -> DataFrame:
-    """Additive masks of padded turns."""
-    n = F.least(F.size(arrays.words("text")), F.lit(8))
-    m = geometry.pairwise_mask(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: k < n))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.aggregate(m, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """Additive masks of turns padded to the longest of their conversation."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.size(arrays.words("text")).alias("n"))
+    t = t.withColumn("most", F.max("n").over(Window.partitionBy("conv_id")))
+    m = geometry.pairwise_mask(F.transform(F.sequence(F.lit(1), F.greatest("most", F.lit(1))), lambda k: k <= F.col("n")))
+    return t.select("conv_id", "turn", F.aggregate(m, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 def obs03_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,10 +128,8 @@ def obs07_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smp05_shuffled(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents in the order of hashes of their ids: who comes after whom, inside each source."""
-    u = sampling.unit(9, "doc_id")
-    w = Window.partitionBy("source").orderBy(u, "doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(w).alias("place"))
+    """All documents in the order of hashes of their ids: the place of each, numbered inside ranges of hashes."""
+    return sampling.shuffled(table(spark, sf, "documents").select("doc_id"), 9, "doc_id").select("doc_id", "place")
 
 
 def st02_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,36 +190,37 @@ QUERIES = {
     )
 }
 
-_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+_WORDS = words_sql()
 
 ORACLE = {
     "flt03_included_edges": f"WITH {EDGES} SELECT scan, count(*) AS n_edges FROM edges WHERE src % 7 <> 0 AND dst % 7 <> 0 GROUP BY 1",
     "flt06_one_way_edges": f"WITH {EDGES} SELECT scan, src, dst FROM edges WHERE src % 2 = 1 AND dst % 2 = 0",
     "flt01_ground_truth": f"WITH {STEPS} SELECT instr_id, count(*) AS n FROM steps GROUP BY 1 HAVING count(*) > 1",
     "flt09_finite": "SELECT event_id, CASE WHEN event_id % 10 IN (0, 1) THEN 0.0 ELSE value END AS first, value AS second FROM events",
-    "jon05_question_images": """WITH o AS (SELECT label AS scan, CAST(embedding[1] AS DOUBLE) AS f, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT scan, round(sum(f * k), 6) AS features FROM o WHERE k <= 6 GROUP BY 1""",
+    "jon05_question_images": f"""WITH {NODES}, o AS (SELECT scan, x AS f, row_number() OVER (PARTITION BY scan ORDER BY vp) AS k FROM nodes) SELECT scan, round(sum(f * k), 6) AS features FROM o GROUP BY 1""",
     "jon10_at_goal": f"""WITH {STEPS}, l AS (SELECT instr_id, scan, arg_max(node, pos) AS vp FROM steps GROUP BY 1, 2) SELECT instr_id FROM l WHERE EXISTS (SELECT 1 FROM picks p WHERE p.scan = l.scan AND p.vp = l.vp AND p.k < 3)""",
     "jon12_fused": f"""WITH {EDGES}, c AS (SELECT scan, dst AS vp, count(*) AS score FROM edges GROUP BY 1, 2)
 SELECT c.scan, c.vp, round(c.score + coalesce(round(n.x, 6), 0.0), 6) AS score, CASE WHEN n.vp IS NULL THEN 1 ELSE 0 END AS type FROM c LEFT JOIN nodes n ON n.scan = c.scan AND n.vp = c.vp AND n.vp % 3 = 0""",
     "agg07_running_means": "SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS mean_times_n FROM events",
     "agg10_node_embeddings": f"""WITH {STEPS}, v AS (SELECT *, CAST((pos * 7 + week) % 11 AS DOUBLE) AS v, sum(CASE WHEN pos % 5 = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY instr_id, node ORDER BY pos) AS era FROM steps),
 l AS (SELECT *, max(era) OVER (PARTITION BY instr_id, node) AS last FROM v) SELECT instr_id, node, round(avg(v), 6) AS mean, max(v) AS most, count(*) AS n FROM l WHERE era = last GROUP BY 1, 2""",
-    "arr06_permutation": """WITH p AS (SELECT label AS scan, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('4|' || label || '|' || vec_id), vec_id) AS k FROM embeddings)
-SELECT scan, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5) AS first, true AS restored FROM p GROUP BY 1""",
+    "arr06_permutation": f"""WITH {NODES}, p AS (SELECT scan, vp AS vec_id, row_number() OVER (PARTITION BY scan ORDER BY md5('4|' || scan || '|' || vp), vp) AS k FROM nodes)
+SELECT scan, count(*) AS n, md5(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY k)) AS order_md5, true AS restored FROM p GROUP BY 1""",
     "arr07_pair_distances": f"""WITH {STEPS}, s AS (SELECT DISTINCT instr_id, scan, node FROM steps)
 SELECT a.instr_id, count(*) AS n_pairs, round(sum(d.d), 5) AS total FROM s a JOIN s b ON a.instr_id = b.instr_id AND a.node < b.node JOIN dist d ON d.scan = a.scan AND d.src = a.node AND d.dst = b.node GROUP BY 1""",
     "jsn01_properties": """WITH e AS (SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), -1) AS k FROM events) SELECT event_id, k, -1 AS nope, '{"k":' || k || '}' AS json FROM e""",
-    "mth15_masks": f"SELECT conv_id, turn, -10000.0 * (8 - least(len({_WORDS}), 8)) AS total FROM conversations",
-    "obs03_types": "SELECT 'scan_' || label || '_' || vec_id AS key, 'scan' AS scan, label || '_' || vec_id AS vp, 12 AS n_ones, 36 AS n FROM embeddings",
+    "mth15_masks": f"""WITH t AS (SELECT conv_id, turn, len({_WORDS}) AS n FROM conversations)
+SELECT conv_id, turn, -10000.0 * (greatest(max(n) OVER (PARTITION BY conv_id), 1) - n) AS total FROM t""",
+    "obs03_types": f"WITH {NODES} SELECT 'scan_' || scan || '_' || vp AS key, 'scan' AS scan, scan || '_' || vp AS vp, 12 AS n_ones, 36 AS n FROM nodes",
     "obs07_objects": """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE k <= 3)
 SELECT l_suppkey, l_partkey, round(sin((l_partkey % 13) / 4.0 - 0.5), 6) AS a0, round(cos((l_partkey % 13) / 4.0 - 0.5), 6) AS a1, round(sin((l_partkey % 5) / 8.0 - 0.25), 6) AS a2, round(cos((l_partkey % 5) / 8.0 - 0.25), 6) AS a3,
        round((CAST(l_partkey % 89 AS DOUBLE) + 0.25) / 480 * ((CAST(l_partkey % 97 AS DOUBLE) + 0.5) / 640), 9) AS area FROM o""",
-    "smp05_shuffled": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(md5('9|' || doc_id), 1, 13), doc_id) AS place FROM documents",
+    "smp05_shuffled": "SELECT doc_id, row_number() OVER (ORDER BY substr(md5('9|' || doc_id), 1, 13), doc_id) - 1 AS place FROM documents",
     "st02_status": f"""WITH {STEPS}, m AS (SELECT instr_id, node, pos, true AS visited FROM steps UNION ALL SELECT s.instr_id, e.dst, s.pos, false FROM steps s JOIN edges e ON e.scan = s.scan AND e.src = s.node),
 g AS (SELECT instr_id, node, bool_or(visited) AS visited, max(pos) FILTER (visited) AS o, min(pos) AS f FROM m GROUP BY 1, 2)
 SELECT instr_id, count(*) FILTER (visited) AS n_visited, count(*) FILTER (NOT visited) AS n_seen, CAST(sum(o) AS BIGINT) AS orders, CAST(sum(f) AS BIGINT) AS seen FROM g GROUP BY 1""",
     "st13_upsert": f"WITH {STEPS} SELECT instr_id, node, max(pos) FILTER (pos % 2 = 0) AS s_env, max(pos * 10) FILTER (pos % 3 = 0) AS d_env FROM steps GROUP BY 1, 2",
-    "str03_answers": r"SELECT conv_id, turn, md5(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS md5, [true, false, true, false][turn % 4 + 1] AS truth, conv_id || '_' || turn AS id FROM conversations",
+    "str03_answers": f"SELECT conv_id, turn, md5(lower({stripped_sql('text')})) AS md5, [true, false, true, false][turn % 4 + 1] AS truth, conv_id || '_' || turn AS id FROM conversations",
 }
 
 _SIDE = "asin((b.x-a.x) / greatest(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)), 1e-8))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import arrays
 from trailweave.operators import annotate as A
-from trailweave.plans.base_sql import EDGES, STEPS
+from trailweave.plans.base_sql import EDGES, NODES, STEPS, stripped_sql, words_sql
 from trailweave.sources import annotations, sinks, views
 from trailweave.sources.tables import table
 
@@ -72,9 +72,11 @@ def prj14_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scenes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf, "documents")
-    q = d.select(F.concat(F.lit("scene"), (F.col("doc_id") % 23).cast("string")).alias("scene_id"), F.col("doc_id").cast("string").alias("question_id"), F.substring("text", 1, 30).alias("question"), F.array(F.upper("lang"), F.upper("source")).alias("answers"))
-    i = table(spark, sf, "nation").where("n_nationkey < 20").select(F.concat(F.lit("scene"), F.col("n_nationkey").cast("string")).alias("scene_id"), F.explode(F.sequence(F.lit(8), F.lit(12))).alias("n"))
+    """Forty documents in a row ask about one scene; every fifth scene has no images."""
+    d = table(spark, sf, "documents").withColumn("k", F.floor(F.col("doc_id") / 40))
+    scene = F.concat(F.lit("scene"), F.col("k").cast("string")).alias("scene_id")
+    q = d.select(scene, F.col("doc_id").cast("string").alias("question_id"), F.col("text").alias("question"), F.array(F.upper("lang"), F.upper("source")).alias("answers"))
+    i = d.select("k").distinct().where("k % 5 <> 0").select(scene, F.explode(F.sequence(F.lit(8), F.lit(12))).alias("n"))
     return A.scenes(q, i.select("scene_id", F.col("n").cast("string").alias("image_id"), F.array(F.array(F.lit(1.0))).alias("pose")))
 
 
@@ -128,7 +130,7 @@ def prj20_object_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def prj19_features(spark: SparkSession, sf: str) -> DataFrame:
     """Features looked up by key, their first eight numbers joined with four of an angle and cut apart again."""
-    store = table(spark, sf, "embeddings").select(F.col("label").alias("scan"), F.col("vec_id").alias("vp"), F.transform("embedding", lambda x: x.cast("double")).alias("ft"))
+    store = table(spark, sf, "embeddings").select(views.scan().alias("scan"), F.col("vec_id").alias("vp"), F.transform("embedding", lambda x: x.cast("double")).alias("ft"))
     got = annotations.features(store, views.nodes(spark, sf).select("scan", "vp"), ["scan", "vp"], 8)
     both = F.concat("ft", F.array(*(F.lit(float(k)) for k in range(4))))
     r = got.select("scan", "vp", both.alias("f"))
@@ -230,7 +232,7 @@ def snk04_dialog(spark: SparkSession, sf: str) -> DataFrame:
 
 def snk06_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Question results under the leaderboard's names."""
-    q = table(spark, sf, "benchmark").select("item_id", F.array(F.substring("text", 1, 10)).alias("generated_sentences"))
+    q = table(spark, sf, "benchmark").select("item_id", F.array("text").alias("generated_sentences"))
     return sinks.question_file(q).select("item_id", F.col("answer_top10")[0].alias("answer"), F.size("pred_bbox").alias("n_boxes"))
 
 
@@ -251,13 +253,12 @@ QUERIES = {
     )
 }
 
-_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
 _LINES = """lines AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS j, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"""
-_SCENE = """q AS (SELECT 'scene' || doc_id % 23 AS scene_id, CAST(doc_id AS VARCHAR) AS question_id, substr(text, 1, 30) AS question, lower(upper(lang)) || '|' || lower(upper(source)) AS answers FROM documents),
-i AS (SELECT 'scene' || n_nationkey AS scene_id, 5 AS n_images FROM nation WHERE n_nationkey < 20)"""
+_SCENE = """q AS (SELECT 'scene' || doc_id // 40 AS scene_id, CAST(doc_id AS VARCHAR) AS question_id, text AS question, lower(upper(lang)) || '|' || lower(upper(source)) AS answers FROM documents),
+i AS (SELECT DISTINCT 'scene' || doc_id // 40 AS scene_id, 5 AS n_images FROM documents WHERE (doc_id // 40) % 5 <> 0)"""
 
 ORACLE = {
-    "prj01_instructions": f"""WITH {_LINES}, e AS (SELECT *, list_transform({_WORDS.format("line")}, lambda w: length(w)) AS enc FROM lines)
+    "prj01_instructions": f"""WITH {_LINES}, e AS (SELECT *, list_transform({words_sql("line")}, lambda w: length(w)) AS enc FROM lines)
 SELECT 'r2r_' || doc_id || '_' || j AS instr_id, doc_id AS raw_idx, row_number() OVER (ORDER BY doc_id, j) - 1 AS sample_idx, CASE WHEN doc_id % 3 = 0 THEN doc_id / 10.0 ELSE 0.0 END AS heading,
        source AS scan, length(line) AS n_chars, len(enc[1:100]) AS n_enc, md5(array_to_string(enc[1:100], ',')) AS enc_md5 FROM e""",
     "prj05_fine_grained": f"""WITH {_LINES}
@@ -269,21 +270,21 @@ SELECT l_orderkey, count(*) AS n, string_agg(k || ':' || part, ',' ORDER BY k) A
     "prj11_dialogs": f"""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Question: ' ELSE 'Answer: ' END || text || CASE WHEN right(text, 1) IN ('?', '.') THEN '' ELSE '.' END || chr(10) AS line
   FROM conversations WHERE role IN ('user', 'assistant') AND length(text) > 0),
 d AS (SELECT conv_id, 'The goal room contains a item' || conv_id || '.' || chr(10) || string_agg(line, '' ORDER BY turn) AS t FROM t GROUP BY 1),
-s AS (SELECT conv_id, left(t, length(t) - 1) AS t FROM d), w AS (SELECT *, {_WORDS.format("t")} AS w, row_number() OVER (ORDER BY conv_id) - 1 AS sample_idx FROM s)
+s AS (SELECT conv_id, left(t, length(t) - 1) AS t FROM d), w AS (SELECT *, {words_sql("t")} AS w, row_number() OVER (ORDER BY conv_id) - 1 AS sample_idx FROM s)
 SELECT 'cvdn_' || sample_idx || '_' || conv_id AS instr_id, sample_idx, md5(t) AS text_md5, md5(CASE WHEN len(w) > 128 THEN array_to_string(w[1:128], ' ') ELSE t END) AS cut_md5, 1 AS path_size FROM w""",
     "prj14_questions": f"WITH {_SCENE} SELECT scene_id, question_id, md5(question) AS question_md5, answers, n_images FROM q JOIN i USING (scene_id)",
     "flt05_missing_scenes": f"WITH {_SCENE} SELECT count(*) AS not_exist FROM q WHERE scene_id NOT IN (SELECT scene_id FROM i)",
     "agg05_scenes": f"WITH {_SCENE} SELECT scene_id, count(*) AS n_questions, '8,9,10,11,12' AS images FROM q JOIN i USING (scene_id) GROUP BY 1",
-    "prj15_turn_pairs": r"""WITH t AS (SELECT *, lag(role) OVER w AS role0, lag(text) OVER w AS text0 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    "prj15_turn_pairs": f"""WITH t AS (SELECT *, lag(role) OVER w AS role0, lag(text) OVER w AS text0 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t WHERE role = 'assistant' AND role0 = 'user') WHERE k = 1)
-SELECT conv_id AS id, CAST(conv_id AS VARCHAR) AS image_id, md5(regexp_replace(text0, '^\s+|\s+$', '', 'g')) AS question_md5, md5(text) AS answer_md5 FROM f""",
+SELECT conv_id AS id, CAST(conv_id AS VARCHAR) AS image_id, md5({stripped_sql("text0")}) AS question_md5, md5(text) AS answer_md5 FROM f""",
     "prj16_captions": """SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey || '.jpg' AS image, lower(n_name) || '</s>' AS text FROM nation
 UNION ALL SELECT n_regionkey + 1000, n_regionkey || '.jpg', string_agg(lower(n_name), '|' ORDER BY n_nationkey) FROM nation GROUP BY n_regionkey""",
     "prj17_unit_boxes": """SELECT event_id, round(value / 20 / (2 * pi()), 6) AS heading, round(((user_id % 7) / 3.0 + pi()) / (2 * pi()), 6) AS elevation, round(((user_id % 7) / 3.0 - 0.1 + pi()) / (2 * pi()), 6) AS low FROM events""",
     "prj20_object_records": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row FROM lineitem)
 SELECT l_orderkey, row, l_partkey AS obj_ids, CASE WHEN row < 2 THEN l_suppkey END AS names FROM o""",
-    "prj19_features": """SELECT label AS scan, vec_id AS vp, 12 AS size, round(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE))), 6) AS image_sum, 6.0 AS angle_sum FROM embeddings""",
-    "grf06_resampled": "SELECT label AS scan, true AS is_one FROM embeddings GROUP BY 1",
+    "prj19_features": f"""WITH {NODES} SELECT scan, vp, 12 AS size, round(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE))), 6) AS image_sum, 6.0 AS angle_sum FROM nodes JOIN embeddings ON vec_id = vp""",
+    "grf06_resampled": f"WITH {NODES} SELECT scan, true AS is_one FROM nodes GROUP BY 1",
     "set01_sources": "SELECT 'documents' AS data_type, count(*) AS n, count(lang) AS n_lang, 0 AS n_url FROM documents UNION ALL SELECT 'pages', count(*), 0, count(url) FROM pages",
     "set03_undirected": f"""WITH {STEPS}, e AS (SELECT scan, lag(node) OVER (PARTITION BY instr_id ORDER BY pos) AS a, node AS b FROM steps),
 u AS (SELECT scan, a, b FROM e WHERE a IS NOT NULL AND a <> b UNION SELECT scan, b, a FROM e WHERE a IS NOT NULL AND a <> b) SELECT scan, count(*) AS n_edges FROM u GROUP BY 1""",
@@ -298,6 +299,6 @@ SELECT instr_id, pos, node, prev, sum(CASE WHEN first_visit THEN 1 ELSE 0 END) O
     "snk02_grounding": f"WITH {STEPS} SELECT user_id || '_' || week AS instr_id, CAST(CASE WHEN user_id % 3 <> 0 THEN user_id ELSE 0 END AS INTEGER) AS \"predObjId\" FROM steps GROUP BY user_id, week",
     "snk03_search": f"WITH {STEPS} SELECT CAST(week AS INTEGER) AS instr_id, CASE WHEN user_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS obj_heading, CASE WHEN user_id % 2 = 0 THEN 0.25 ELSE 0.0 END AS obj_elevation, count(*) AS n FROM steps GROUP BY user_id, week",
     "snk04_dialog": f"WITH {STEPS} SELECT instr_id, CAST(any_value(week) AS INTEGER) AS instr_idx, CAST(any_value(week) AS INTEGER) AS inst_idx, count(*) AS n FROM steps GROUP BY 1",
-    "snk06_questions": "SELECT item_id, substr(text, 1, 10) AS answer, 0 AS n_boxes FROM benchmark",
+    "snk06_questions": "SELECT item_id, text AS answer, 0 AS n_boxes FROM benchmark",
     "snk09_graph_json": f"WITH {EDGES} SELECT n.scan, n.k AS n_nodes, count(e.src) AS n_edges, CAST(coalesce(sum(e.src * 3 + e.dst), 0) AS BIGINT) AS checksum FROM (SELECT scan, count(*) AS k FROM nodes GROUP BY 1) n LEFT JOIN edges e USING (scan) GROUP BY 1, 2",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.operators import graph, trajectory
-from trailweave.plans.base_sql import DIST, EDGES, STEPS, WALKED
+from trailweave.plans.base_sql import DIST, EDGES, NODES, STEPS, WALKED
 from trailweave.sources import views
 from trailweave.sources.durable import durable
 
@@ -61,7 +61,7 @@ def grf02_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 def grf02_distances_by_joins(spark: SparkSession, sf: str) -> DataFrame:
     """The same by min-plus joins, for scans of any size."""
-    return graph.min_plus_distances(views.edges(spark, sf), views.nodes(spark, sf), 2).select("scan", "src", "dst", *_six("d"))
+    return graph.min_plus_distances(views.edges(spark, sf), views.nodes(spark, sf)).select("scan", "src", "dst", *_six("d"))
 
 
 def grf03_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,8 +173,6 @@ def agg16_overall(spark: SparkSession, sf: str) -> DataFrame:
     return by_task.agg(F.round(F.sum(share), 6).alias("overall"))
 
 
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -212,15 +210,14 @@ ways(scan, src, dst, cur, path, hops) AS (
   SELECT w.scan, w.src, w.dst, b.mid, b.mid || '>' || w.path, w.hops + 1 FROM ways w JOIN before b ON b.scan = w.scan AND b.src = w.src AND b.dst = w.cur WHERE w.cur <> w.src)"""
 
 ORACLE = {
-    "agg06_distinct_scans": "SELECT label AS scan, count(*) AS n_rows FROM embeddings GROUP BY 1",
+    "agg06_distinct_scans": f"WITH {NODES} SELECT scan, count(*) AS n_rows FROM nodes GROUP BY 1",
     "grf01_edges": f"WITH {EDGES} SELECT scan, src, dst, round(w, 6) AS w FROM edges",
-    "jon06_connectivity": """
-SELECT a.label AS scan, a.vec_id AS src, b.vec_id AS dst,
-       round(sqrt(power(CAST(a.embedding[1] AS DOUBLE) - b.embedding[1], 2) + power(CAST(a.embedding[2] AS DOUBLE) - b.embedding[2], 2) + power(CAST(a.embedding[3] AS DOUBLE) - b.embedding[3], 2)), 6) AS w
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 AND abs(a.vec_id - b.vec_id) % 3 = 0""",
+    "jon06_connectivity": f"""WITH {NODES}
+SELECT a.scan, a.vp AS src, b.vp AS dst, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 6) AS w
+FROM nodes a JOIN nodes b ON a.scan = b.scan AND a.vp <> b.vp
+WHERE a.vp % 2 = 0 AND b.vp % 2 = 0 AND abs(a.vp - b.vp) % 3 = 0""",
     "grf02_distances": f"WITH {DIST} SELECT scan, src, dst, round(d, 6) AS d FROM dist",
-    "grf02_distances_by_joins": f"WITH {DIST} SELECT scan, src, dst, round(d, 6) AS d FROM d4",
+    "grf02_distances_by_joins": f"WITH {DIST} SELECT scan, src, dst, round(d, 6) AS d FROM dist",
     "grf03_paths": f"WITH RECURSIVE {_PATHS} SELECT scan, src, dst, hops, path FROM ways WHERE cur = src",
     "grf_degree": f"WITH {EDGES} SELECT scan, src AS vp, count(*) AS degree, round(min(w), 6) AS nearest FROM edges GROUP BY 1, 2",
     "trj_r2r_items": f"""WITH {_SCORED}

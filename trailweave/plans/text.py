@@ -7,23 +7,18 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import arrays
 from trailweave.operators import textmetrics as M
+from trailweave.plans.base_sql import words_sql
 from trailweave.sources.tables import table
 
-TOKENS = 12
-
-
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, hyp, refs): the reply and, as references, the turn before it and its own words in reverse order."""
+    """(id, hyp, refs): the reply and, as references, the turn before it and its own words, all but the first six in reverse order."""
     t = table(spark, sf, "conversations")
     before = Window.partitionBy("conv_id").orderBy("turn")
     r = t.select("conv_id", "turn", "role", "text", F.lag("role").over(before).alias("role0"), F.lag("text").over(before).alias("text0"))
-    r = r.where("role = 'assistant' AND role0 = 'user'")
-    cut = lambda c: F.slice(arrays.words(c), 1, TOKENS)
+    r = r.where("role = 'assistant' AND role0 = 'user'").withColumn("w", arrays.words("text"))
     join = lambda a: F.array_join(a, " ")
-    return r.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), join(cut("text")).alias("hyp"),
-        F.array(join(cut("text0")), join(F.concat(F.slice(cut("text"), 1, 6), F.reverse(F.slice(cut("text"), 7, 6))))).alias("refs"),
-    )
+    turned = F.concat(F.slice("w", 1, 6), F.reverse(F.slice("w", 7, F.greatest(F.size("w"), F.lit(1)))))
+    return r.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), join("w").alias("hyp"), F.array(join(arrays.words("text0")), join(turned)).alias("refs"))
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -80,8 +75,9 @@ def agg14_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def txt08_exact_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The share of replies of one word that are among the first words of the turns around."""
-    p = pairs(spark, sf).select("id", F.split("hyp", " ")[0].alias("hyp"), F.transform("refs", lambda r: F.split(r, " ")[0]).alias("refs"))
+    """The share of replies that are one of their references, every third having itself among them."""
+    p = pairs(spark, sf)
+    p = p.withColumn("refs", F.when(F.col("id") % 3 == 0, F.array_append("refs", F.col("hyp"))).otherwise(F.col("refs")))
     return M.exact_match(p).agg(F.round(F.avg("em") * 100, 6).alias("em"), F.count(F.lit(1)).alias("n"))
 
 
@@ -125,16 +121,15 @@ QUERIES = {
     )
 }
 
-_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
 _PAIRS = f"""
-turns AS (SELECT conv_id, turn, role, {_WORDS.format("text")} AS w, lag(role) OVER p AS role0, lag({_WORDS.format("text")}) OVER p AS w0
+turns AS (SELECT conv_id, turn, role, {words_sql("text")} AS w, lag(role) OVER p AS role0, lag({words_sql("text")}) OVER p AS w0
   FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
-pairs AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, array_to_string(w[1:{TOKENS}], ' ') AS hyp,
-    [array_to_string(w0[1:{TOKENS}], ' '), array_to_string(list_concat(w[1:6], list_reverse(w[7:{TOKENS}])), ' ')] AS refs
+pairs AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, array_to_string(w, ' ') AS hyp,
+    [array_to_string(w0, ' '), array_to_string(list_concat(w[1:6], list_reverse(w[7:])), ' ')] AS refs
   FROM turns WHERE role = 'assistant' AND role0 = 'user')"""
 _GRAMS = f"""{_PAIRS},
-h AS (SELECT id, {_WORDS.format("hyp")} AS t FROM pairs),
-r AS (SELECT id, unnest(range(1, 3)) AS ref, {_WORDS.format("unnest(refs)")} AS t FROM pairs),
+h AS (SELECT id, {words_sql("hyp")} AS t FROM pairs),
+r AS (SELECT id, unnest(range(1, 3)) AS ref, {words_sql("unnest(refs)")} AS t FROM pairs),
 ks AS (SELECT unnest([1, 2, 3, 4]) AS k),
 hg AS (SELECT id, k, array_to_string(t[i:i+k-1], ' ') AS gram, count(*) AS n FROM (SELECT id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM h, ks) GROUP BY 1, 2, 3),
 rg AS (SELECT id, ref, k, array_to_string(t[i:i+k-1], ' ') AS gram, count(*) AS n FROM (SELECT id, ref, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM r, ks) GROUP BY 1, 2, 3, 4)"""
@@ -184,7 +179,7 @@ cider AS (SELECT p.id, coalesce((SELECT sum(s) FROM sims x WHERE x.id = p.id), 0
 
 
 _OWN_DF = "df AS (SELECT k, gram, count(DISTINCT id) AS df FROM rg GROUP BY 1, 2)"
-_BENCH_DF = f"""bt AS (SELECT item_id, {_WORDS.format("text")} AS t FROM benchmark),
+_BENCH_DF = f"""bt AS (SELECT item_id, {words_sql("text")} AS t FROM benchmark),
 df AS (SELECT k, gram, count(DISTINCT item_id) AS df FROM (SELECT item_id, k, array_to_string(t[i:i+k-1], ' ') AS gram FROM (SELECT item_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM bt, ks)) GROUP BY 1, 2)"""
 _LOG_N = "(SELECT ln(CAST(count(*) AS DOUBLE)) FROM pairs)"
 
@@ -198,15 +193,15 @@ ORACLE = {
     "txt05_cider": f"WITH {_cider_sql(_OWN_DF, _LOG_N)} SELECT id, round(cider, 6) AS cider FROM cider",
     "txt06_cider_given_frequency": f"WITH {_cider_sql(_BENCH_DF, 'ln(1000.0)')} SELECT id, round(cider, 6) AS cider FROM cider",
     "agg14_document_frequency": f"WITH {_GRAMS}, {_OWN_DF} SELECT k AS \"order\", gram, df FROM df",
-    "txt08_exact_match": f"""WITH {_PAIRS}, f AS (SELECT string_split(hyp, ' ')[1] AS h, list_transform(refs, lambda r: string_split(r, ' ')[1]) AS r FROM pairs)
-SELECT round(avg(CASE WHEN list_contains(r, h) THEN 1.0 ELSE 0.0 END) * 100, 6) AS em, count(*) AS n FROM f""",
-    "txt12_masked_labels": f"""WITH {_PAIRS}, f AS (SELECT id, {_WORDS.format("hyp")} AS w FROM pairs)
+    "txt08_exact_match": f"""WITH {_PAIRS}
+SELECT round(avg(CASE WHEN id % 3 = 0 OR list_contains(refs, hyp) THEN 1.0 ELSE 0.0 END) * 100, 6) AS em, count(*) AS n FROM pairs""",
+    "txt12_masked_labels": f"""WITH {_PAIRS}, f AS (SELECT id, {words_sql("hyp")} AS w FROM pairs)
 SELECT id, array_to_string(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN k <= 4 THEN -100 ELSE length(w[k]) END), ',') AS labels FROM f""",
     "agg20_cross_entropy": "SELECT round(sum(CASE WHEN toxic = 1 THEN 0.0 ELSE (doc_id % 10) / 10.0 END), 6) AS loss FROM labels",
-    "str_tokens": f"""WITH f AS (SELECT *, {_WORDS.format("text")} AS w FROM conversations)
+    "str_tokens": f"""WITH f AS (SELECT *, {words_sql("text")} AS w FROM conversations)
 SELECT conv_id, turn, len(w) AS n_words, len(string_split(text, ' ')) AS n_parts, greatest(0, len(w) - 2) AS n_trigrams,
-       md5(CASE WHEN array_to_string({_WORDS.format("replace(text, '|||', ' ')")}, ' ') = '' THEN ' ' ELSE array_to_string({_WORDS.format("replace(text, '|||', ' ')")}, ' ') END) AS line_md5 FROM f""",
-    "prj12_first_words": f"""WITH f AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents),
+       md5(CASE WHEN array_to_string({words_sql("replace(text, '|||', ' ')")}, ' ') = '' THEN ' ' ELSE array_to_string({words_sql("replace(text, '|||', ' ')")}, ' ') END) AS line_md5 FROM f""",
+    "prj12_first_words": f"""WITH f AS (SELECT doc_id, text, {words_sql("text")} AS w FROM documents),
 c AS (SELECT doc_id, CASE WHEN len(w) > 128 THEN array_to_string(w[1:128], ' ') ELSE text END AS t FROM f)
 SELECT doc_id, length(t) AS n_chars_cut, md5(t) AS md5 FROM c""",
 }

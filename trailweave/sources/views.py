@@ -1,27 +1,35 @@
 """Navigation tables derived from the benchmark tables, which have no annotations of their own.
 
-scan = an embedding's label, viewpoint = its id, position = its first three numbers; viewpoints closer
-than RADIUS are linked. A trajectory is what a user did in a week: each event is hashed to a viewpoint
+scan = an embedding's label and a range of its id, viewpoint = its id, position = its first three numbers;
+viewpoints closer than RADIUS are linked. So a scan stays a building of some 200 viewpoints, and more
+data is more scans. A trajectory is what a user did in a week: each event is hashed to a viewpoint
 of the scan's largest connected part; the goal is hashed from user and week.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.operators import graph
 from trailweave.sources.tables import table
 
 RADIUS = 0.2
-SCANS = 10
+#: Labels of the embeddings, and how many ids share a scan of each.
+LABELS = 10
+IDS_OF_A_SCAN = 2000
 WEEK = 604_800
 
 
+def scan() -> Column:
+    """The scan of an embedding."""
+    return (F.col("label") + LABELS * F.floor(F.col("vec_id") / IDS_OF_A_SCAN)).cast("int")
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     """(scan, vp, x, y, z)."""
     at = [F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")]
-    return table(spark, sf, "embeddings").select(F.col("label").alias("scan"), F.col("vec_id").alias("vp"), *at)
+    return table(spark, sf, "embeddings").select(scan().alias("scan"), F.col("vec_id").alias("vp"), *at)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +56,9 @@ def steps(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFram
     """(instr_id, user_id, week, scan, pos, node, goal): one row per step of a trajectory."""
     p = picks(spark, sf, of)
     size = p.select("scan", "n").distinct()
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / WEEK).alias("week"), (F.col("user_id") % SCANS).cast("int").alias("scan"))
+    scans = nodes(spark, sf).agg((F.max("scan") + 1).alias("scans"))  # one row
+    e = table(spark, sf, "events").crossJoin(F.broadcast(scans))
+    e = e.select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / WEEK).alias("week"), (F.col("user_id") % F.col("scans")).cast("int").alias("scan"))
     order = Window.partitionBy("user_id", "week").orderBy("ts", "event_id")
     e = e.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).join(size, "scan")
     e = e.withColumn("k", (F.col("event_id") * 7919 + F.col("pos")) % F.col("n")).withColumn("kg", (F.col("user_id") * 31 + F.col("week") * 17) % F.col("n"))
