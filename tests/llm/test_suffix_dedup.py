@@ -85,17 +85,32 @@ def test_repeated_windows(seed):
             assert again.tolist() == [counts[c[k : k + 200]] > 1 for k in range(len(c) - 199)]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 2000), (2, 2000), (1, 1), (2, 3)])
-def test_removal(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "most"), [(1, 2000, 9), (2, 2000, 9), (1, 1, 1000), (2, 3, 3), (1, 1, 1), (2, 1, 2), (2, 1, 0)])
+def test_removal(spark, seed, hot, most):
     texts = corpus(seed)
     ids = list(range(len(texts)))
     ids[5], ids[6] = None, 7
     rows = [(i, t, "clash") for i, t in zip(ids, texts)]
     rows.append(rows[20])
-    got = sorted((tuple(r) for r in S.removal_digest(spark.createDataFrame(rows, FIELDS), hot=hot).collect()), key=str)
+    got = sorted((tuple(r) for r in S.removal_digest(spark.createDataFrame(rows, FIELDS), hot=hot, most=most).collect()), key=str)
     assert got == sorted(((i, *r) for (i, _, _), r in zip(rows, slow([t for _, t, _ in rows]))), key=str)
 
 
+def test_a_passage_in_thousands_of_documents(spark):
+    """Equal, nearly equal and differently framed: more distinct contexts than meet in a task."""
+    rnd = random.Random(5)
+    passage = "".join(rnd.choices("abcdefgh ", k=230))
+    texts = []
+    for k in range(6000):
+        own = list(passage)
+        if k % 3:
+            own[rnd.randrange(230)] = "#"
+        frame = "".join(rnd.choices("ijklmnop ", k=40))
+        texts.append(("".join(own) if k % 2 else frame[:20] + "".join(own) + frame[20:]) if k % 5 else "".join(own))
+    got = sorted(tuple(r)[1:] for r in S.removal_digest(spark.createDataFrame([(k, t, "") for k, t in enumerate(texts)], FIELDS)).collect())
+    assert got == sorted(slow(texts)) and sum(r[1] > 0 for r in got) > 3000
+
+
 def test_spans_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c " * 50, ""), (2, "unique text", "")], FIELDS)
     got = {r.doc_id: r for r in S.suffix_dedup(docs).collect()}

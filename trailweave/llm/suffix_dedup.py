@@ -10,10 +10,12 @@
    and compares neighbours. A window that begins x bytes before a word is repeated if a suffix beside it
    shares 200 - x bytes and the x bytes before it are the same. Where a word would be as long as a
    window, more bytes end words, at last all.
-4. A gram with over ``HOT`` occurrences does not go to one task. Its identical contexts are folded by
-   an aggregation with map-side counts, then parts of ``PART`` windows, then single windows (by 128-bit
-   hashes). What occurs twice is repeated as a whole; the rest is looked up at the next level. That is
-   exact for any number.
+4. A gram with over ``HOT`` occurrences does not bring them all to one task. Its identical contexts are
+   folded by an aggregation with map-side counts first; those that occur twice are repeated as a whole.
+   If up to ``MOST_CONTEXTS`` distinct ones are left, they are sorted as before. If more, every context is
+   cut again by a second anchor of each window, chosen by another hash, so that equal windows still meet,
+   now by both grams; these parts are folded and sorted in the same way. What even two grams leave in
+   groups beyond the bound is decided by grouping the windows themselves, byte by byte.
 5. Spans of repeated windows return to their documents, which lose them.
 
 Shuffled are grams (twice), texts (once: both joins use the same exchange) and contexts. No group of
@@ -21,7 +23,7 @@ unbounded size meets in a task.
 
 Defined cases: a null text is empty and texts under 200 bytes keep all; rows that repeat an id and
 text are documents of their own, so they remove each other wherever they are long enough; null ids are
-ids; an empty table gives an empty result; other columns stay out.
+ids; an empty table gives an empty result; other columns stay out (``deduplicated`` keeps them).
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ from trailweave.llm.suffix_array import suffix_array
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
-#: Occurrences of a gram beyond which they are not brought together in a task.
-HOT = 2000
-#: Windows of a part of a hot gram's context.
-PART = 13
+#: Occurrences of a gram beyond which identical contexts are folded before they meet in a task.
+HOT = 256
+#: Distinct contexts of a gram that meet in a task.
+MOST_CONTEXTS = 1000
+#: By so many numbers a context's occurrences are dealt when they learn of its spans.
+SALTS = 8
 #: Windows worked on at a time, and bytes sorted at a time.
 BLOCK = 1 << 17
 SORT_BYTES = 1 << 18
@@ -69,22 +73,25 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram, first, last, tied): the windows beginning at first..last have this gram as their anchor.
 
-    ``tied``: the text is periodic there, so that windows of one anchor may equal each other.
+    ``tied``: the text is periodic there, so that windows of one anchor may equal each other. Another
+    ``turn`` takes other anchors.
     """
     windows = len(data) - LENGTH + 1
-    parts = [_anchors(data[a : min(a + BLOCK, windows) + LENGTH - 1], a) for a in range(0, windows, BLOCK)]
+    parts = [_anchors(data[a : min(a + BLOCK, windows) + LENGTH - 1], a, turn) for a in range(0, windows, BLOCK)]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     gram, first, last, tied = (np.concatenate(x) for x in zip(*parts))
     return gram.view(np.int64), first, last, tied
 
 
-def _anchors(data: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: bytes, base: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = _gram_hashes(data)
-    mixed = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    mixed = (h ^ (h >> _U(29 + turn))) * _U(0xBF58476D1CE4E5B9 + 2 * turn)
+    if turn:
+        mixed = (mixed ^ (mixed >> _U(32))) * _U(0x94D049BB133111EB)
     least = (mixed & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= SPAN:
@@ -239,9 +246,9 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _judged(groups: list[dict[bytes, list[tuple]]]) -> Iterator[tuple]:
-    """(row, id, start, end) of what is repeated among the contexts of some complete groups."""
-    able = [list(g) for g in groups if len(g) > 1 or any(len(at) == 1 for at in g.values())]  # a lone one is periodic
+def judged(groups: list[dict[bytes, int]]) -> list[dict[bytes, list[tuple[int, int]]]]:
+    """For each of some complete groups of contexts with counts, the spans of what is repeated in each context."""
+    able = [list(g) for g in groups if len(g) > 1 or any(n == 1 for n in g.values())]  # a lone one is periodic
     ends = [word_end([c for g in able for c in g]), WORD_ENDS] if able else []
     sorted_ones: dict[bytes | None, list[bytes]] = {e: [] for e in [*ends, None]}
     for contexts in able:
@@ -251,14 +258,7 @@ def _judged(groups: list[dict[bytes, list[tuple]]]) -> Iterator[tuple]:
     for fit, contexts in sorted_ones.items():
         if contexts:
             again.update(zip(contexts, repeated_windows(contexts, fit)))
-    for group in groups:
-        for context, at in group.items():
-            found = np.ones(len(context) - LENGTH + 1, bool) if len(at) > 1 else again.get(context)
-            if found is not None and found.any():
-                spans = covered(found)
-                for row, id_, first in at:
-                    for a, b in spans:
-                        yield row, id_, first + a, first + b
+    return [{c: [(0, len(c))] if n > 1 else covered(again[c]) for c, n in g.items()} for g in groups]
 
 
 # ---- frames --------------------------------------------------------------------------------------
@@ -312,111 +312,147 @@ def _contexts(rows: DataFrame, grams_col: str, id_type: str) -> DataFrame:
     return rows.select("_row", "id", "text", grams_col, "rest").mapInArrow(run, f"gram long, context binary, _row long, id {id_type}, first long")
 
 
+def _by_gram(rows: Iterator[tuple], most: int) -> Iterator[list[dict[bytes, list[tuple]]]]:
+    """Groups of complete grams: of each its contexts with what goes with them; cut where over ``most`` bytes are held."""
+    groups: list[dict[bytes, list[tuple]]] = []
+    held, last = 0, None
+    for gram, context, *rest in rows:
+        if gram != last:
+            if held >= most:
+                yield groups
+                groups, held = [], 0
+            groups.append({})
+            last = gram
+        at = groups[-1].setdefault(context, [])
+        if not at:
+            held += len(context)
+        at.append(tuple(rest))
+    if groups:
+        yield groups
+
+
 def _cold_spans(contexts: DataFrame, id_type: str) -> DataFrame:
     """(_row, id, start, end) of repeats among contexts; a gram's contexts meet in one task, at most HOT of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[dict[bytes, list[tuple]]] = []
-        held, last = 0, None
         kind = None
 
-        def result() -> pa.RecordBatch:
-            found = list(_judged(groups))
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(3).type
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        for groups in _by_gram(rows(), SORT_BYTES):
+            spans = judged([{c: len(at) for c, at in g.items()} for g in groups])
+            found = [(row, id_, first + a, first + b) for g, s in zip(groups, spans) for c, at in g.items() for a, b in s[c] for row, id_, first in at]
             columns = list(zip(*found)) if found else [[], [], [], []]
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], kind), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
                 names=["_row", "id", "start", "end"],
             )
 
-        for batch in batches:
-            kind = batch.schema.field(3).type
-            for gram, context, row, id_, first in zip(*(c.to_pylist() for c in batch.columns)):
-                if gram != last:
-                    if held >= SORT_BYTES:
-                        yield result()
-                        groups, held = [], 0
-                    groups.append({})
-                    last = gram
-                at = groups[-1].setdefault(context, [])
-                if not at:
-                    held += len(context)
-                at.append((row, id_, first))
-        if groups:
-            yield result()
-
     met = contexts.repartition("gram").sortWithinPartitions("gram")
     return met.mapInArrow(run, f"_row long, id {id_type}, start long, end long")
 
 
-def _parts(contexts: DataFrame) -> DataFrame:
-    """(key, n, at, part, piece): the bytes of every PART windows of a context, with where they begin."""
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _sorted_spans(distinct: DataFrame) -> DataFrame:
+    """(key, spans) of distinct contexts (key, gram, context, n), at most MOST_CONTEXTS of a gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n, at, part, piece = [], [], [], [], []
-            for one, context, count in zip(*(c.to_pylist() for c in batch.columns)):
-                windows = len(context) - LENGTH + 1
-                for k in range(0, windows, PART):
-                    data = context[k : min(k + PART, windows) + LENGTH - 1]
-                    key.append(one)
-                    n.append(count)
-                    at.append(k)
-                    part.append(xxhash.xxh3_128_digest(data))
-                    piece.append(data)
-            columns = [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.binary()), pa.array(piece, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "at", "part", "piece"])
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for groups in _by_gram(rows, SORT_BYTES):
+            spans = judged([{c: at[0][1] for c, at in g.items()} for g in groups])
+            found = [(at[0][0], [{"a": a, "b": b} for a, b in s[c]]) for g, s in zip(groups, spans) for c, at in g.items() if s[c]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], _SPANS)], names=["key", "spans"])
+
+    met = distinct.select("gram", "context", "key", "n").repartition("gram").sortWithinPartitions("gram")
+    return met.mapInArrow(run, "key binary, spans array<struct<a:long,b:long>>")
 
-    return contexts.select("key", "context", "n").mapInArrow(run, "key binary, n long, at long, part binary, piece binary")
 
+def _folded(contexts: DataFrame) -> DataFrame:
+    """(key, gram, context, n, contexts): distinct contexts, named by 128 bits; ``contexts`` are those of the same gram."""
+    one = contexts.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.max("context").alias("other"))
+    same = F.when(F.col("context") == F.col("other"), F.col("context")).otherwise(F.raise_error(F.lit("two contexts share a 128-bit hash")).cast("binary"))
+    one = one.select("key", "gram", same.alias("context"), "n")
+    sizes = one.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("contexts"))
+    return one.join(sizes, F.col("gram") == F.col("g")).drop("g")
 
-def _windows(parts: DataFrame) -> DataFrame:
-    """(part, n, at, window): every window of a part, as a 128-bit hash."""
+
+def _keyed(contexts: DataFrame) -> DataFrame:
+    return contexts.withColumn("key", F.unhex(F.md5("context")))
+
+
+def _narrowed(distinct: DataFrame) -> DataFrame:
+    """(gram, context, owner, first): the parts of contexts whose windows share a second anchor; gram names both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, n, at, window = [], [], [], []
-            for one, piece, count in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = range(len(piece) - LENGTH + 1)
-                part += [one] * len(starts)
-                n += [count] * len(starts)
-                at += starts
-                window += [xxhash.xxh3_128_digest(piece[k : k + LENGTH]) for k in starts]
-            columns = [pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(window, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "at", "window"])
+            out: list[tuple] = []
+            for key, gram, context in zip(*(c.to_pylist() for c in batch.columns)):
+                second, first, last, _ = anchors(context, 1)
+                both = (second.view(np.uint64) * _U(_BASE) + np.array([gram], np.int64).view(np.uint64)).view(np.int64)
+                out += [(g, context[a : b + LENGTH], key, a) for g, a, b in zip(both.tolist(), first.tolist(), last.tolist())]
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["gram", "context", "owner", "first"])
 
-    return parts.select("part", "piece", "n").mapInArrow(run, "part binary, n long, at long, window binary")
+    return distinct.select("key", "gram", "context").mapInArrow(run, "gram long, context binary, owner binary, first long")
 
 
-def _hot_spans(contexts: DataFrame, id_type: str) -> DataFrame:
-    """The same for grams with any number of occurrences, by counts alone.
+def _windows(distinct: DataFrame) -> DataFrame:
+    """(key, n, at, window): every window of a context."""
 
-    Contexts, then their parts, then the parts' windows are folded into distinct ones with counts. A
-    context or part that occurs twice is repeated as a whole; only for those that occur once the
-    windows are looked up.
-    """
-    keyed = contexts.withColumn("key", F.unhex(F.md5("context")))
-    distinct = keyed.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"))
-    parts = _parts(distinct)
-    folded = parts.groupBy("part", "piece").agg(F.sum("n").alias("n"))
-    windows = _windows(folded)
-    often = windows.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("window").alias("w"))
-    met = windows.where(F.col("n") == 1).select("part", "at", "window").join(often, F.col("window") == F.col("w"))
-    some = met.groupBy("part").agg(F.collect_set("at").alias("starts"))
-    whole = folded.where(F.col("n") > 1).select("part", F.sequence(F.lit(0), F.length("piece") - LENGTH).cast("array<long>").alias("starts"))
-    judged = some.unionByName(whole).withColumnRenamed("part", "p")
-    of_one = parts.where(F.col("n") == 1).select("key", "at", "part").join(judged, F.col("part") == F.col("p"))
-    moved = of_one.select("key", F.transform("starts", lambda k: k + F.col("at")).alias("starts")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, context, count in zip(*(c.to_pylist() for c in batch.columns)):
+                starts = range(len(context) - LENGTH + 1)
+                columns = [
+                    pa.array([one] * len(starts), pa.binary()), pa.array([count] * len(starts), pa.int64()),
+                    pa.array(starts, pa.int64()), pa.array([context[k : k + LENGTH] for k in starts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "at", "window"])
+
+    return distinct.select("key", "context", "n").mapInArrow(run, "key binary, n long, at long, window binary")
+
+
+def _counted_spans(distinct: DataFrame) -> DataFrame:
+    """(key, spans) of distinct contexts (key, context, n) by grouping their windows, any number of them."""
+    windows = _windows(distinct)
+    often = windows.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("window").alias("w"))
+    met = windows.select("key", "at", "window").join(often, F.col("window") == F.col("w"))
+    starts = met.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     # maximal runs: a start more than LENGTH behind the one before opens a new one
     opens = F.filter("starts", lambda s, k: F.coalesce(s > F.get("starts", k - 1) + LENGTH, F.lit(True)))
     closes = F.filter("starts", lambda s, k: F.coalesce(F.get("starts", k + 1) > s + LENGTH, F.lit(True)))
-    runs = moved.select(F.col("key").alias("k"), F.arrays_zip(opens.alias("a"), closes.alias("b")).alias("spans"))
-    all_of = distinct.where(F.col("n") > 1).select(
-        F.col("key").alias("k"), F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.length("context") - LENGTH).cast("long").alias("b"))).alias("spans")
-    )
-    joined = keyed.select("key", "_row", "id", "first").join(runs.unionByName(all_of), F.col("key") == F.col("k"))
-    return joined.select("_row", "id", "first", F.explode("spans").alias("s")).select(
-        "_row", "id", (F.col("first") + F.col("s.a")).alias("start"), (F.col("first") + F.col("s.b") + LENGTH).alias("end")
-    )
+    runs = F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("a"), (b + LENGTH).alias("b")))
+    return starts.select("key", runs.alias("spans"))
+
+
+def _told(occurrences: DataFrame, spans: DataFrame, owner: list[str]) -> DataFrame:
+    """(owner.., a, b): the spans of the contexts of occurrences (key, owner.., first), salted."""
+    dealt = spans.select(F.col("key").alias("k"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t"))
+    salted = occurrences.select("key", *owner, "first", F.pmod(F.xxhash64(*owner, "first"), F.lit(SALTS)).cast("int").alias("s"))
+    met = salted.join(dealt, (F.col("key") == F.col("k")) & (F.col("s") == F.col("t")))
+    return met.select(*owner, "first", F.explode("spans").alias("x")).select(*owner, (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b"))
+
+
+def _hot_spans(contexts: DataFrame, most: int) -> DataFrame:
+    """(_row, id, start, end) for grams with any number of occurrences."""
+    keyed = _keyed(contexts)
+    distinct = _folded(keyed)
+    few, many = F.col("contexts") <= most, F.col("contexts") > most
+    parts = _keyed(_narrowed(distinct.where(many)))
+    folded = _folded(parts)
+    of_parts = _sorted_spans(folded.where(few)).unionByName(_counted_spans(folded.where(many)))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("context").cast("long").alias("b")))
+    twice = distinct.where(many & (F.col("n") > 1)).select("key", whole.alias("spans"))
+    cut = _told(parts, of_parts, ["owner"]).groupBy(F.col("owner").alias("key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = _sorted_spans(distinct.where(few)).unionByName(twice).unionByName(cut)
+    return _told(keyed, spans, ["_row", "id"]).select("_row", "id", F.col("a").alias("start"), F.col("b").alias("end"))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
@@ -426,7 +462,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFr
     return rows.select(F.xxhash64("id", "text").alias("_row"), "id", "text", "rest")
 
 
-def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(rows: DataFrame, hot: int = HOT, most: int = MOST_CONTEXTS) -> DataFrame:
     """(_row, id, start, end) of repeats in rows (_row, id, text); spans may overlap."""
     id_type = rows.schema["id"].dataType.simpleString()
     grams = _grams(rows)
@@ -440,13 +476,13 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     met: Callable[[DataFrame], DataFrame] = lambda these: rows.join(these, rows["_row"] == these["r"])
     cold = _contexts(met(lists.where(F.size("cold_grams") > 0)), "cold_grams", id_type)
     hot_ones = _contexts(met(lists.where(F.size("hot_grams") > 0)), "hot_grams", id_type)
-    return _cold_spans(cold, id_type).unionByName(_hot_spans(hot_ones, id_type))
+    return _cold_spans(cold, id_type).unionByName(_hot_spans(hot_ones, most))
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int, rest: list[str]) -> DataFrame:
+def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int, most: int, rest: list[str]) -> DataFrame:
     """(id, text, rest, spans) of every row; spans as collected, to be merged."""
     rows = _texts(df, id_col, text_col, rest)
-    spans = repeated_spans(rows, hot).groupBy("_row", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(rows, hot, most).groupBy("_row", "id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("_row").alias("r"), F.col("id").alias("i"), "spans")
     # not written as an equality of ids, which would become a second key: the texts' exchange serves both joins
     same_id = F.coalesce((rows["id"] <= spans["i"]) & (rows["id"] >= spans["i"]), rows["id"].isNull() & spans["i"].isNull())
@@ -461,7 +497,7 @@ def _kept(data: bytes, cell: pa.Scalar) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(data[a:b] for a, b in zip(ends, starts)), spans
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most: int = MOST_CONTEXTS) -> DataFrame:
     """(id, n_bytes, n_removed, spans array<struct<start,end>>, kept binary) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -481,11 +517,11 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names=[id_col, "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    found = _with_spans(df, id_col, text_col, hot, []).select("id", "text", "spans")
+    found = _with_spans(df, id_col, text_col, hot, most, []).select("id", "text", "spans")
     return found.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most: int = MOST_CONTEXTS) -> DataFrame:
     """The input with what is left of each text; characters cut in two go, and a null text is empty."""
     rest = [c for c in df.columns if c not in (id_col, text_col)]
 
@@ -493,7 +529,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_left(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    found = _with_spans(df, id_col, text_col, hot, rest)
+    found = _with_spans(df, id_col, text_col, hot, most, rest)
     changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))
     made = found.select(F.col("id").alias(id_col), changed.alias(text_col), *(F.col("rest")[c].alias(c) for c in rest))
     return made.select(*df.columns)
@@ -506,7 +542,7 @@ def _left(text: str, spans: list[dict] | None) -> str:
     return "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(ends, starts))
 
 
-def removal_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def removal_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most: int = MOST_CONTEXTS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    made = suffix_dedup(df, id_col, text_col, hot)
+    made = suffix_dedup(df, id_col, text_col, hot, most)
     return made.select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
