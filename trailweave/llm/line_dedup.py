@@ -43,6 +43,7 @@ LEAST_LINES = 2
 CUTTINGS = 6
 #: Hashes that are broadcast, the most frequent first: so many rows of some 100 bytes at any scale.
 HOT_CHUNKS = 1000
+SALTS = 64
 _WHITE = " \t\n\v\f\r"
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
@@ -186,7 +187,9 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataF
     """(id, text, rest, repeated, copy) of every row; copy numbers rows that repeat id and text."""
     rows = _rows(df, id_col, text_col, rest)
     found = repeated_chunks(rows)
-    sure = found.join(unequal_chunks(rows, found), "hash", "left_anti")
+    # dealt by row as well, as a hash may be very frequent; what it is joined with is next to nothing
+    unequal = unequal_chunks(rows, found).select(F.col("hash").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    sure = found.join(unequal, (F.col("hash") == F.col("h")) & (F.pmod("r1", F.lit(SALTS)) == F.col("s")), "left_anti")
     met = _met(rows, _of_rows(sure, "struct(hash, kept_at)"), "left")
     return met.withColumn("copy", F.row_number().over(Window.partitionBy("r1", "r2").orderBy("r1"))).select("id", "text", "rest", "repeated", "copy")
 
