@@ -20,8 +20,8 @@ rows whose ids are all null has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +47,16 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - 1]]
     ends = [e - 1 for e in ends[min(shingle_words, len(words)) - 1 :]]
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        part = slice(at, at + BLOCK)
-        hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts[part], ends[part])], dtype="<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    hashes = (digest(line[s:e], SEED) for s, e in zip(starts, ends))
+    return majority(np.fromiter(islice(hashes, BLOCK), np.uint64) for _ in range(0, n, BLOCK))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts: the bits that over half of them have; zero for none."""
+    set_bits, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        set_bits += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
@@ -125,12 +130,16 @@ def simhash_groups(
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of the input without those whose group has a smaller id; other columns as they are.
+    """The rows of the input without those whose group has a smaller id; other columns as they are."""
+    return without_larger_ids(df, simhash_groups(df, id_col, text_col, shingle_words, max_bits), id_col)
+
+
+def without_larger_ids(df: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of the input whose id is the least of its group (id, .., component_id).
 
     Rows without an id stay, as nothing tells them apart; an id on several rows goes only if it is the
     smallest of none of their groups.
     """
-    groups = simhash_groups(df, id_col, text_col, shingle_words, max_bits).where(F.col(id_col).isNotNull())
-    first = F.bool_or(F.col(id_col) == F.col("component_id"))
-    gone = groups.groupBy(id_col).agg(first.alias("_first")).where(~F.col("_first")).select(id_col)
-    return df.join(gone, id_col, "left_anti")
+    each = groups.select(F.col(id_col).alias("i"), F.col("component_id").alias("c")).where("i IS NOT NULL")
+    gone = each.groupBy("i").agg(F.bool_or(F.col("i") == F.col("c")).alias("first")).where("NOT first").select("i")
+    return df.join(gone, df[id_col] == gone["i"], "left_anti")
