@@ -36,6 +36,18 @@ def test_stages(spark, tmp_path):
     assert passage[5:-5] not in seen["suffix_array_dedup"][90].text and seen["suffix_array_dedup"][5].text == texts[5]
     assert all(r.n_chars == len(r.text) for r in seen["suffix_array_dedup"].values())
     whole = P.run(spark, str(tmp_path)).collect()
-    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids))
     assert {r.doc_id for r in whole} == set(seen["suffix_array_dedup"])
     assert sorted(map(key, whole)) == sorted(map(key, packing.pack(packing.tokenised_pieces(docs, P.tokenizer_path("byte_bpe_50k.json"))).collect()))
+
+
+def test_written_tables_are_deleted_but_for_the_last(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(40)), "en", "s", 9)], FIELDS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = P.run(spark, str(tmp_path))
+    left = {f.split("/tables-")[1].split("/")[1] for f in made.inputFiles()}
+    assert left == {"best_fit_packing"} and made.count() == 1
+    import os
+
+    folder = os.path.dirname(os.path.dirname(made.inputFiles()[0].removeprefix("file:")))
+    assert os.listdir(folder.replace("///", "/")) == ["best_fit_packing"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.sources.durable import durable, shared_folder
+
+__all__ = ["WHITE", "documents", "dropped", "durable", "shared_folder", "tokenizer_path", "whole_text"]
+
 #: Space and the five ASCII controls \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -17,23 +18,10 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for written tables beside the checkpoints."""
-    return f"{_checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole_text(col: str | Column) -> Column:
