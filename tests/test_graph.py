@@ -79,7 +79,7 @@ def test_too_large_a_scan_is_an_error(spark, monkeypatch):
 
     monkeypatch.setattr(G, "MOST_NODES", 2)
     with pytest.raises(ValueError, match="min_plus"):
-        G._matrix(pd.DataFrame({"scan": ["a"] * 3, "src": [1, 2, 3], "dst": [2, 3, 1], "w": [1.0] * 3}))
+        G.weights(pd.DataFrame({"scan": ["a"] * 3, "src": [1, 2, 3], "dst": [2, 3, 1], "w": [1.0] * 3}))
 
 
 def test_long_chains_by_joins(spark):

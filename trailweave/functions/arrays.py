@@ -96,6 +96,15 @@ def one_line(text: Column | str) -> Column:
     return F.when(flat == "", " ").otherwise(flat)
 
 
+# Tokens that count as punctuation.
+PUNCTUATION = ("''", "'", "``", "`", "-LRB-", "-RRB-", "-LCB-", "-RCB-", ".", "?", "!", ",", ":", "-", "--", "...", ";")
+
+
+def without_punctuation(tokens: Column) -> Column:
+    """Tokens that are no punctuation."""
+    return F.filter(tokens, lambda t: ~t.isin(*PUNCTUATION))
+
+
 def truth(text: Column | str) -> Column:
     """A word for yes or no as a boolean; others raise."""
     low = F.lower(text)

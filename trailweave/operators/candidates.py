@@ -14,22 +14,24 @@ def sweep(viewpoints: DataFrame) -> DataFrame:
     return v.withColumn("view_heading", G.view_heading(F.col("view"))).withColumn("view_elevation", G.view_elevation(F.col("view")))
 
 
-def seen_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scan, vp, nbr, view, heading, elevation, distance): every neighbour in every view, with its angle off the view's middle."""
+def best_views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scan, vp, nbr, view, heading, elevation, distance): every neighbour with the view whose middle it is nearest, and its angle off it.
+
+    Of equally near views the first. Decided in the edge's own row.
+    """
     at = nodes.select("scan", F.col("vp").alias("src"), *(F.col(c).alias(f"{c}a") for c in "xyz"))
     to = nodes.select("scan", F.col("vp").alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"))
     e = edges.select("scan", "src", "dst").join(at, ["scan", "src"]).join(to, ["scan", "dst"])
     a, b = (tuple(F.col(f"{c}{s}") for c in "xyz") for s in "ab")
     heading, elevation, _ = G.relative_position(a, b, F.lit(0.0), F.lit(0.0))
-    rows = sweep(e.select("scan", F.col("src").alias("vp"), F.col("dst").alias("nbr"), heading.alias("heading"), elevation.alias("elevation")))
-    off = F.hypot(G.normalised_angle(F.col("heading") - F.col("view_heading")), F.col("elevation") - F.col("view_elevation"))
-    return rows.select("scan", "vp", "nbr", "view", "heading", "elevation", off.alias("distance"))
+    rows = e.select("scan", F.col("src").alias("vp"), F.col("dst").alias("nbr"), heading.alias("heading"), elevation.alias("elevation"))
 
+    def off(view: Column) -> Column:
+        return F.hypot(G.normalised_angle(F.col("heading") - G.view_heading(view)), F.col("elevation") - G.view_elevation(view))
 
-def best_views(seen: DataFrame) -> DataFrame:
-    """Per neighbour the view it is nearest the middle of; of equal ones the first. Aggregates on the map side."""
-    best = F.min_by(F.struct("view", "heading", "elevation", "distance"), F.struct(F.round("distance", 9), "view"))
-    return seen.groupBy("scan", "vp", "nbr").agg(best.alias("b")).select("scan", "vp", "nbr", "b.view", "b.heading", "b.elevation", "b.distance")
+    views = F.transform(F.sequence(F.lit(0), F.lit(G.VIEWS - 1)), lambda v: F.struct(F.round(off(v), 9).alias("r"), v.alias("view"), off(v).alias("distance")))
+    best = rows.withColumn("b", F.array_min(views))
+    return best.select("scan", "vp", "nbr", "b.view", "heading", "elevation", "b.distance")
 
 
 def view_table(candidates: DataFrame, viewpoints: DataFrame) -> DataFrame:
@@ -59,6 +61,37 @@ def expert_action(rows: DataFrame, dist: DataFrame, keys: list[str]) -> DataFram
     return found.select(*keys, F.when(F.col("e"), -100).when(F.col("g"), 0).otherwise(F.coalesce("b", F.lit(-100))).alias("action"))
 
 
+def expert_step(path: Column, step: Column, options: Column) -> Column:
+    """The action of an expert who follows an annotated path: the place among ``options`` (0: stop) of the path's next viewpoint.
+
+    0 at the path's end; null if the next viewpoint is not among them.
+    """
+    following = F.get(path, step + 1)
+    at = F.array_position(options, following)
+    return F.when(step >= F.size(path) - 1, F.lit(0).cast("long")).when(at > 0, at - 1)
+
+
+def valid_options(own: Column, visited: Column) -> Column:
+    """Whether each option can be chosen: in the length mask and not visited."""
+    return F.zip_with(own, visited, lambda m, v: m & ~v)
+
+
+#: The score of what must not be chosen: a sixteenth of the least single-precision number (a fixed value).
+LEAST_SCORE = -3.4028234663852886e38 / 16
+
+
+def forced_stop(scores: Column, valid: Column, ended: Column) -> Column:
+    """Scores of a row that goes on though nothing is valid: stopping (the first) alone is left; others stay as they are."""
+    none = ~F.coalesce(F.exists(valid, lambda v: v), F.lit(False))
+    only_stop = F.transform(scores, lambda s, k: F.when(k == 0, F.lit(0.0)).otherwise(F.lit(LEAST_SCORE)))
+    return F.when(~ended & none, only_stop).otherwise(scores)
+
+
+def mask_size(mask: Column) -> Column:
+    """How many places a mask has, 1 for none: a divisor of means that is never 0."""
+    return F.greatest(F.size(F.filter(mask, lambda m: m)), F.lit(1))
+
+
 def object_target(objects: str, wanted: Column, arrived: Column) -> Column:
     """Number from 1 of the wanted object among those in sight, -100 if it isn't or the agent is elsewhere. Ids compare as text."""
     at = F.array_position(F.transform(objects, lambda o: o.cast("string")), wanted.cast("string"))

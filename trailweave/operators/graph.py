@@ -59,7 +59,7 @@ def radius_edges(nodes: DataFrame, radius: float) -> DataFrame:
     return pairs.where((F.col("src") != F.col("dst")) & (F.col("w") < radius)).select("scan", "src", "dst", "w")
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def weights(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, weights with inf for absent) of one scan's edges; rows with a null ``dst`` are lone nodes."""
     nodes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].dropna().to_numpy().astype(pdf["src"].dtype)]))
     if len(nodes) > MOST_NODES:
@@ -72,7 +72,8 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return nodes, w
 
 
-def _distances(w: np.ndarray) -> np.ndarray:
+def relaxed(w: np.ndarray) -> np.ndarray:
+    """Shortest distances from weights."""
     d = w.copy()
     for k in range(len(d)):
         np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
@@ -93,8 +94,8 @@ def shortest_distances(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, w = _matrix(pdf)
-        d = _distances(w)
+        ids, w = weights(pdf)
+        d = relaxed(w)
         a, b = np.nonzero(np.isfinite(d))
         return pd.DataFrame({"scan": pdf["scan"].iloc[0], "src": ids[a], "dst": ids[b], "d": d[a, b]})
 
@@ -110,8 +111,8 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, w = _matrix(pdf)
-        d = _distances(w)
+        ids, w = weights(pdf)
+        d = relaxed(w)
         step = w.copy()
         np.fill_diagonal(step, np.inf)
         before = np.full(d.shape, -1)

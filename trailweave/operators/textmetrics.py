@@ -86,6 +86,18 @@ def bleu_corpus(counts: DataFrame) -> DataFrame:
     return total.select(*_bleu(4), "testlen", "reflen")
 
 
+def lengths(counts: DataFrame) -> DataFrame:
+    """One row: ``testlen``, ``reflen`` and their ``ratio``, as BLEU takes it."""
+    total = counts.agg(F.sum("testlen").alias("testlen"), F.sum("reflen").alias("reflen"))
+    return total.withColumn("ratio", (F.col("testlen") + TINY) / (F.col("reflen") + SMALL))
+
+
+def caption_bundle(rows: DataFrame) -> DataFrame:
+    """(metric, value): BLEU-1..4 alone, as they are."""
+    b = bleu_corpus(bleu_counts(rows))
+    return b.select(F.explode(F.array(*(F.struct(F.lit(f"bleu{n}").alias("metric"), F.col(f"bleu{n}").alias("value")) for n in ORDERS))).alias("m")).select("m.*")
+
+
 def bleu_sentences(counts: DataFrame) -> DataFrame:
     """bleu1..4 of every id."""
     return counts.select("id", *_bleu(4))
@@ -153,7 +165,7 @@ def exact_match(rows: DataFrame) -> DataFrame:
 
 def bundle(rows: DataFrame) -> DataFrame:
     """(metric, value) of all scores, times 100."""
-    b = bleu_corpus(bleu_counts(rows)).select(F.explode(F.array(*(F.struct(F.lit(f"bleu{n}").alias("metric"), F.col(f"bleu{n}").alias("value")) for n in ORDERS))).alias("m")).select("m.*")
+    b = caption_bundle(rows)
     one = lambda df, c: df.agg(F.avg(c).alias("value")).select(F.lit(c).alias("metric"), "value")
     all_ = reduce(DataFrame.unionByName, [b, one(rouge_l(rows), "rouge_l"), one(cider(rows), "cider"), one(exact_match(rows), "em")])
     return all_.select("metric", (F.col("value") * 100).alias("value"))

@@ -64,14 +64,14 @@ def mth13_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def top06_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The view of every neighbour."""
-    best = C.best_views(C.seen_neighbours(views.nodes(spark, sf), views.edges(spark, sf)))
+    best = C.best_views(views.nodes(spark, sf), views.edges(spark, sf))
     return best.select("scan", "vp", "nbr", "view", *_six(("distance", F.col("distance"))))
 
 
 def jon11_unused_views(spark: SparkSession, sf: str) -> DataFrame:
     """View lists: candidates first, then the views that none uses."""
     n, e = views.nodes(spark, sf), views.edges(spark, sf)
-    t = C.view_table(C.best_views(C.seen_neighbours(n, e)), n)
+    t = C.view_table(C.best_views(n, e), n)
     used = F.filter("views", lambda v: v["type"] == 1)
     return t.select("scan", "vp", F.size(used).alias("n_candidates"), (F.size("views") - F.size(used)).alias("n_free"), F.array_join(F.transform("views", lambda v: v["view"].cast("string")), ",").alias("views"))
 
@@ -163,10 +163,10 @@ _SIDE = "asin((b.x-a.x) / greatest(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y
 _HEAD = f"(CASE WHEN b.y < a.y THEN pi() - {_SIDE} ELSE {_SIDE} END)"
 _FAR = "greatest(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)), 1e-8)"
 _ELEV = f"asin((b.z-a.z) / {_FAR})"
-_SEEN = f"""{EDGES},
-along AS (SELECT e.scan, e.src AS vp, e.dst AS nbr, {_HEAD} AS h, {_ELEV} AS el FROM edges e JOIN nodes {_ENDS}),
+VIEWS_OF = f"""along AS (SELECT e.scan, e.src AS vp, e.dst AS nbr, {_HEAD} AS h, {_ELEV} AS el FROM edges e JOIN nodes {_ENDS}),
 seen AS (SELECT scan, vp, nbr, view, sqrt(power({_NORM(f"h - (view % 12) * {_STEP}")}, 2) + power(el - (view // 12 - 1) * {_STEP}, 2)) AS off FROM along, (SELECT unnest(range(36)) AS view)),
 best AS (SELECT scan, vp, nbr, CAST(view AS INTEGER) AS view, off FROM (SELECT *, row_number() OVER (PARTITION BY scan, vp, nbr ORDER BY round(off, 9), view) AS o FROM seen) WHERE o = 1)"""
+_SEEN = f"{EDGES},\n{VIEWS_OF}"
 
 
 def _literal(text: str) -> str:

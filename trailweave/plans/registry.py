@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import agents, basics, ingest, navigation, state, text
+from trailweave.plans import agents, basics, ingest, navigation, observations, state, text
 
 FLAGSHIP = "trj_r2r_summary"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [navigation, text, agents, ingest, state, basics]
+    return [navigation, text, agents, ingest, state, basics, observations]
 
 
 def queries() -> dict[str, Query]:

@@ -121,19 +121,19 @@ QUERIES = {
     )
 }
 
-_PAIRS = f"""
+PAIRS = f"""
 turns AS (SELECT conv_id, turn, role, {words_sql("text")} AS w, lag(role) OVER p AS role0, lag({words_sql("text")}) OVER p AS w0
   FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, array_to_string(w, ' ') AS hyp,
     [array_to_string(w0, ' '), array_to_string(list_concat(w[1:6], list_reverse(w[7:])), ' ')] AS refs
   FROM turns WHERE role = 'assistant' AND role0 = 'user')"""
-_GRAMS = f"""{_PAIRS},
+GRAMS = f"""{PAIRS},
 h AS (SELECT id, {words_sql("hyp")} AS t FROM pairs),
 r AS (SELECT id, unnest(range(1, 3)) AS ref, {words_sql("unnest(refs)")} AS t FROM pairs),
 ks AS (SELECT unnest([1, 2, 3, 4]) AS k),
 hg AS (SELECT id, k, array_to_string(t[i:i+k-1], ' ') AS gram, count(*) AS n FROM (SELECT id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM h, ks) GROUP BY 1, 2, 3),
 rg AS (SELECT id, ref, k, array_to_string(t[i:i+k-1], ' ') AS gram, count(*) AS n FROM (SELECT id, ref, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM r, ks) GROUP BY 1, 2, 3, 4)"""
-_COUNTS = f"""{_GRAMS},
+_COUNTS = f"""{GRAMS},
 hits AS (SELECT g.id, g.k, sum(least(g.n, m.most)) AS c FROM hg g JOIN (SELECT id, k, gram, max(n) AS most FROM rg GROUP BY 1, 2, 3) m USING (id, k, gram) GROUP BY 1, 2),
 sizes AS (SELECT h.id, len(h.t) AS testlen, arg_min(len(r.t), abs(len(r.t) - len(h.t)) * 100000 + len(r.t)) AS closest, min(len(r.t)) AS shortest, avg(len(r.t)) AS average
   FROM h JOIN r USING (id) GROUP BY h.id, h.t),
@@ -148,7 +148,7 @@ def _bleu_sql(prefix: str) -> str:
     return ", ".join(f"round(power({' * '.join(parts[:k])}, {1.0 / k!r}) * {brevity}, 6) AS bleu{k}" for k in (1, 2, 3, 4))
 
 
-_TOTAL = f"""WITH {_COUNTS},
+TOTAL = f"""WITH {_COUNTS},
 t AS (SELECT CAST(sum(testlen) AS BIGINT) AS testlen, sum(reflen) AS reflen, {", ".join(f"sum(g{k}) AS g{k}, sum(c{k}) AS c{k}" for k in (1, 2, 3, 4))} FROM counts)
 SELECT {_bleu_sql("")}, testlen, round(reflen, 6) AS reflen FROM t"""
 _LCS = """
@@ -159,7 +159,7 @@ lcs(id, ref, i, line, a, b) AS (
          list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN line[x[1]] + 1 ELSE greatest(acc[len(acc)], line[x[1] + 1]) END), [0]),
          a, b FROM lcs WHERE i < len(a)),
 done AS (SELECT id, ref, line[len(line)] AS lcs, len(a) AS na, len(b) AS nb FROM lcs WHERE i = len(a))"""
-_SEQS = f"""{_PAIRS},
+_SEQS = f"""{PAIRS},
 seqs AS (SELECT id, unnest(range(1, 3)) AS ref, string_split(unnest(refs), ' ') AS a, string_split(hyp, ' ') AS b FROM pairs),"""
 _ROUGE = f"""WITH RECURSIVE {_SEQS}{_LCS},
 best AS (SELECT id, max(lcs / CAST(nb AS DOUBLE)) AS p, max(lcs / CAST(na AS DOUBLE)) AS q FROM done GROUP BY 1),
@@ -167,7 +167,7 @@ rouge AS (SELECT id, CASE WHEN p > 0 AND q > 0 THEN 2.44 * p * q / (q + 1.44 * p
 
 
 def _cider_sql(df: str, log_n: str) -> str:
-    return f"""{_GRAMS}, {df},
+    return f"""{GRAMS}, {df},
 hw AS (SELECT g.id, g.k, g.gram, g.n * ({log_n} - ln(greatest(1.0, coalesce(d.df, 0)))) AS w FROM hg g LEFT JOIN df d USING (k, gram)),
 rw AS (SELECT g.id, g.ref, g.k, g.gram, g.n * ({log_n} - ln(greatest(1.0, coalesce(d.df, 0)))) AS w FROM rg g LEFT JOIN df d USING (k, gram)),
 hn AS (SELECT id, k, sqrt(sum(w * w)) AS n FROM hw GROUP BY 1, 2),
@@ -184,18 +184,18 @@ df AS (SELECT k, gram, count(DISTINCT item_id) AS df FROM (SELECT item_id, k, ar
 _LOG_N = "(SELECT ln(CAST(count(*) AS DOUBLE)) FROM pairs)"
 
 ORACLE = {
-    "txt01_bleu_corpus": _TOTAL,
+    "txt01_bleu_corpus": TOTAL,
     "txt02_bleu_sentences": f"WITH {_COUNTS} SELECT id, {_bleu_sql('')} FROM counts",
     "txt03_bleu_lengths": f"WITH {_COUNTS} SELECT id, CAST(closest AS DOUBLE) AS closest, CAST(shortest AS DOUBLE) AS shortest, average FROM sizes",
-    "agg21_merged_counts": _TOTAL,
+    "agg21_merged_counts": TOTAL,
     "txt04_rouge_l": f"{_ROUGE} SELECT id, round(rouge_l, 6) AS rouge_l FROM rouge",
     "arr04_lcs": f"WITH RECURSIVE {_SEQS}{_LCS} SELECT id, lcs FROM done WHERE ref = 1",
     "txt05_cider": f"WITH {_cider_sql(_OWN_DF, _LOG_N)} SELECT id, round(cider, 6) AS cider FROM cider",
     "txt06_cider_given_frequency": f"WITH {_cider_sql(_BENCH_DF, 'ln(1000.0)')} SELECT id, round(cider, 6) AS cider FROM cider",
-    "agg14_document_frequency": f"WITH {_GRAMS}, {_OWN_DF} SELECT k AS \"order\", gram, df FROM df",
-    "txt08_exact_match": f"""WITH {_PAIRS}
+    "agg14_document_frequency": f"WITH {GRAMS}, {_OWN_DF} SELECT k AS \"order\", gram, df FROM df",
+    "txt08_exact_match": f"""WITH {PAIRS}
 SELECT round(avg(CASE WHEN id % 3 = 0 OR list_contains(refs, hyp) THEN 1.0 ELSE 0.0 END) * 100, 6) AS em, count(*) AS n FROM pairs""",
-    "txt12_masked_labels": f"""WITH {_PAIRS}, f AS (SELECT id, {words_sql("hyp")} AS w FROM pairs)
+    "txt12_masked_labels": f"""WITH {PAIRS}, f AS (SELECT id, {words_sql("hyp")} AS w FROM pairs)
 SELECT id, array_to_string(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN k <= 4 THEN -100 ELSE length(w[k]) END), ',') AS labels FROM f""",
     "agg20_cross_entropy": "SELECT round(sum(CASE WHEN toxic = 1 THEN 0.0 ELSE (doc_id % 10) / 10.0 END), 6) AS loss FROM labels",
     "str_tokens": f"""WITH f AS (SELECT *, {words_sql("text")} AS w FROM conversations)
@@ -208,11 +208,11 @@ SELECT doc_id, length(t) AS n_chars_cut, md5(t) AS md5 FROM c""",
 
 
 def _bundle_sql() -> str:
-    bleu = "(" + _TOTAL.replace(", 6) AS bleu", ", 12) AS bleu") + ")"
+    bleu = "(" + TOTAL.replace(", 6) AS bleu", ", 12) AS bleu") + ")"
     rows = [f"SELECT 'bleu{k}' AS metric, bleu{k} AS v FROM b" for k in (1, 2, 3, 4)]
     rows.append(f"SELECT 'rouge_l', (SELECT avg(rouge_l) FROM ({_ROUGE} SELECT rouge_l FROM rouge))")
     rows.append(f"SELECT 'cider', (SELECT avg(cider) FROM (WITH {_cider_sql(_OWN_DF, _LOG_N)} SELECT cider FROM cider))")
-    rows.append(f"SELECT 'em', (SELECT avg(CASE WHEN list_contains(refs, hyp) THEN 1.0 ELSE 0.0 END) FROM (WITH {_PAIRS} SELECT hyp, refs FROM pairs))")
+    rows.append(f"SELECT 'em', (SELECT avg(CASE WHEN list_contains(refs, hyp) THEN 1.0 ELSE 0.0 END) FROM (WITH {PAIRS} SELECT hyp, refs FROM pairs))")
     return f"WITH b AS {bleu} SELECT metric, round(v * 100, 3) AS value FROM (" + " UNION ALL ".join(rows) + ")"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ DEBUG_ROWS = 20
 
 def resolved(data_dir: str, folder: str, name: str) -> str:
     """An absolute or schemed folder wins; else it lies below ``data_dir``."""
-    own = folder.startswith("/") or "://" in folder
+    own = folder.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", folder)
     return posixpath.join(folder, name) if own else posixpath.join(data_dir, folder, name)
 
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.operators.annotate import numbered
+from trailweave.sources.durable import durable
+
 
 def flat_steps(trajectory: str) -> Column:
     """Segments as one list of [viewpoint, 0, 0], numbers as text."""
@@ -53,11 +56,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_features(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Features with their attributes as columns: metadata as JSON lines and vectors as Parquet, in the same order."""
-    rest = [c for c in df.columns if c not in columns]
-    df.select(*rest).write.mode("overwrite").json(f"{path}/metadata")
-    df.write.mode("overwrite").parquet(f"{path}/features")
+def write_features(df: DataFrame, path: str, columns: list[str], keys: list[str]) -> None:
+    """Features and their metadata as two tables: JSON lines without ``columns``, Parquet with keys and ``columns`` alone.
+
+    Rows of both carry their place in the order of ``keys`` as ``row``, so the tables stay aligned however
+    they are read. The numbering is made once and kept while both are written.
+    """
+    at = df.withColumn("_id", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 40) - 1)))
+    rows = durable(numbered(at, "_id", keys, "row", 1 << 32).drop("_id"))
+    rows.drop(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/metadata")
+    rows.select("row", *keys, *columns).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def answer_file(preds: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """Question answering on walks: predictions as they are, with their own scores if there are any."""
+    return preds if metrics is None else with_metrics(preds, metrics)
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

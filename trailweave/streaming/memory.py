@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.operators.memory import UNKNOWN, GraphMemory
+
 OUT = "user_id long, n_visits long, n_nodes long, mean_value double, last_event long"
 STATE = "n long, total double, last long, nodes array<long>"
 
@@ -43,6 +46,39 @@ def visit_memory(events: DataFrame, nodes: int = 50, timeout_ms: int | None = No
     return rows.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "update", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
+GRAPH_OUT = "instr_id string, n_known long, n_visited long, total double, last long"
+
+
+def graph_memory(observations: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """The whole graph memory of each trajectory as stream state: distances among viewpoints seen, relaxed step by step.
+
+    observations: (instr_id, pos, node, nbrs array<struct<dst,w>>), a trajectory's steps in order over the
+    triggers. A row is emitted per trajectory and trigger: viewpoints known and visited, the sum of the
+    known distances, and the last step.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        memory, last = (GraphMemory.load(state.get[0]), state.get[1]) if state.exists else (GraphMemory(), -1)
+        rows = pd.concat(list(parts)).sort_values("pos")
+        for pos, node, nbrs in rows[["pos", "node", "nbrs"]].itertuples(index=False):
+            for x in nbrs:
+                memory.see(node, x["dst"], x["w"])
+            memory.visit(node, int(pos))
+            last = max(last, int(pos))
+        state.update((memory.dump(), last))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+        n = len(memory.names)
+        above = np.triu(memory.d[:n, :n], 1)
+        total = float(above[(above > 0) & (above < UNKNOWN)].sum())
+        yield pd.DataFrame({"instr_id": [key[0]], "n_known": [n], "n_visited": [len(memory.visited)], "total": [total], "last": [last]})
+
+    return observations.groupBy("instr_id").applyInPandasWithState(run, GRAPH_OUT, "memory string, last long", "update", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
+
+
 def windowed_visits(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Visits by event type and window of event time; windows close once the watermark has passed them."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
