@@ -10,9 +10,10 @@ spans of theirs, which are text of no language.
 Embedding and layer are multiplied out once per bucket after training, so predicting a text adds up a
 few numbers per word; words are remembered per worker within a bound.
 
-The model is fitted on the driver to a bounded sample: about ``per_language`` documents a language,
-chosen by hashes of their ids, none longer than ``longest`` characters. Predictions cover every whole
-text and see the text alone.
+The model is fitted on the driver to a bounded sample: about ``per_language`` documents a language, or
+``in_all`` over all languages if these are more, chosen by hashes of their ids; of a document longer than
+``longest`` characters a span that begins at a hashed place. Predictions cover every whole text and see
+the text alone.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and not accepted; where
 there is nothing to learn from, all are; ties go to the language first in sorted order; an empty table
@@ -146,6 +147,15 @@ def _counted(words: list[str], known: dict[str, np.ndarray]) -> tuple[np.ndarray
     return ids, (n / n.sum()).astype(np.float32)
 
 
+def folded(names: list[str], embed: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> Model:
+    """A model whose embeddings and layer are multiplied out."""
+    return Model(names, (embed @ layer.T).astype(np.float64), bias.astype(np.float64))
+
+
+#: Samples of a step.
+STEP_SAMPLES = 16
+
+
 def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6, held: float = 0.2, seed: int = 3) -> Model:
     """Fit, then calibrate on the ``held`` share of the texts."""
     pairs = [(words_of(t), y) for t, y in zip(texts, langs) if has_letter(t)]
@@ -167,30 +177,39 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6
     layer = np.zeros((len(names), DIMENSIONS), np.float32)
     bias = np.zeros(len(names), np.float32)
     mine = [k for k in range(len(pairs)) if k not in apart]
-    steps, done = epochs * len(mine), 0
+    steps, done = 2 * epochs * len(mine), 0
     for epoch in range(epochs):
+        samples = []
         for k in rng.permutation(mine):
             words, y = pairs[k]
-            pace = np.float32(rate * (1 - done / steps))
-            done += 1
-            for sample in (words, span(words)) if epoch == 0 else (span(words), span(words)):
-                ids, share = _counted(sample, known)
-                mean = share @ embed[ids]
-                z = layer @ mean + bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[target[y]] -= 1
-                back = p @ layer
-                layer -= pace * np.outer(p, mean)
-                bias -= pace * np.float32(0.1) * p
-                embed[ids] -= (pace * share * np.float32(len(ids) ** 0.5))[:, None] * back
-    model = Model(names, (embed @ layer.T).astype(np.float64), bias.astype(np.float64))
+            samples += [(s, target[y]) for s in ((words, span(words)) if epoch == 0 else (span(words), span(words)))]
+        for at in range(0, len(samples), STEP_SAMPLES):
+            part = samples[at : at + STEP_SAMPLES]
+            _step(embed, layer, bias, [_counted(w, known) for w, _ in part], np.array([y for _, y in part]), np.float32(rate * (1 - done / steps)))
+            done += len(part)
+    model = folded(names, embed, layer, bias)
     samples = [(s, target[y]) for k in sorted(apart) for words, y in [pairs[k]] for s in (words, span(words), span(words))]
     noise = [(_scrambled(span(pairs[k][0]), rng), -1) for k in sorted(apart)]
     _calibrate(model, samples, noise, known)
     return model
 
 
+def _step(embed: np.ndarray, layer: np.ndarray, bias: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, pace: np.float32) -> None:
+    """One step of gradient descent on some samples (distinct buckets, their shares), in place."""
+    sizes = np.array([len(ids) for ids, _ in bags])
+    ids, share = np.concatenate([i for i, _ in bags]), np.concatenate([s for _, s in bags])
+    of = np.repeat(np.arange(len(bags)), sizes)
+    mean = np.add.reduceat(embed[ids] * share[:, None], np.cumsum(sizes) - sizes)
+    z = mean @ layer.T + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    back = (p @ layer) * np.sqrt(sizes)[:, None].astype(np.float32)
+    layer -= pace * (p.T @ mean)
+    bias -= pace * np.float32(0.1) * p.sum(axis=0)
+    np.subtract.at(embed, ids, pace * share[:, None] * back[of])
+
+
 def _scrambled(words: list[str], rng: np.random.Generator) -> list[str]:
     """Words of the same lengths from the same characters in random order: text of no language."""
     chars = np.array(list("".join(words)))
@@ -229,28 +248,31 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 1000, longest: int = 20_000, seed: int = 3,
+    per_language: int = 1000, in_all: int = 8000, longest: int = 4000, seed: int = 3,
 ) -> Model:
     """Learn from the documents that are not held out.
 
-    Two scans: languages and their counts (no text), then the chosen documents. More than a thousand
-    distinct labels are not languages; that is an error.
+    Two scans: languages and their counts (no text), then the chosen documents: at most 2 * ``in_all`` of
+    ``longest`` characters, whatever the number of languages and documents. More than a thousand distinct
+    labels are not languages; that is an error.
     """
-    learn = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = learn.groupBy(lang_col).count().limit(1001).collect()
+    rows = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), held_out(id_col).alias("apart"))
+    learn = rows.where("l IS NOT NULL AND t IS NOT NULL AND NOT apart")
+    counts = learn.groupBy("l").count().limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError("more than 1000 labels")
     if not counts:
         return train([], [])
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    shares = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, per_language / r[1])))))
-    chosen = (
-        learn.where((at < F.try_element_at(shares, F.col(lang_col))) & (F.length(text_col) <= longest))
-        .select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-        .limit(2 * per_language * len(counts))
-    )
-    rows = sorted(map(tuple, chosen.collect()), key=lambda r: (r[0] or "", r[1], r[2]))
-    return train([t for _, t, _ in rows], [y for _, _, y in rows], seed=seed)
+    each = min(per_language, in_all // len(counts))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "i"))
+    unit = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / float(1 << 32)
+    shares = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, each / r[1])))))
+    start = (unit(9) * (F.length("t") - longest + 1)).cast("int") + 1
+    text = F.when(F.length("t") > longest, F.substring("t", start, F.lit(longest))).otherwise(F.col("t"))
+    chosen = learn.where(unit(1) < F.try_element_at(shares, F.col("l"))).select("i", text.alias("t"), "l")
+    found = chosen.orderBy(F.md5(F.concat_ws("|", "i", F.lit(seed))), "i", "t", "l").limit(2 * in_all).collect()
+    sample = sorted((r.i or "", r.t, r.l) for r in found)
+    return train([t for _, t, _ in sample], [y for _, _, y in sample], seed=seed)
 
 
 _PREDICTORS: dict[int, Predictor] = {}
