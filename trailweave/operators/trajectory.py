@@ -30,18 +30,19 @@ def matched(preds: DataFrame, gt: DataFrame) -> DataFrame:
     return joined.withColumn("pred_path", _need(F.col("pred_path"), F.col("pred_path")[0] == F.col("path")[0], "wrong start of")).drop("_known")
 
 
-def walked(paths: DataFrame, dist: DataFrame, path: str, goal: str, key: str = "instr_id") -> DataFrame:
-    """Per key over (key, scan, ``path``, ``goal``): length, and distance to the goal at the end, at best, and where.
+def walked(paths: DataFrame, dist: DataFrame, path: str, goal: str, *keys: str) -> DataFrame:
+    """Per keys (``instr_id`` if none are named) over (keys, scan, ``path``, ``goal``): length, and distance to the goal at the end, at best, and where.
 
     Of nodes at equal distance the earlier one is nearest. A pair that is not connected raises.
     """
-    steps = paths.select(key, "scan", F.col(goal).alias("dst"), F.explode(adjacent_pairs(path)).alias("s")).select(key, "scan", "dst", "s.pos", "s.prev", "s.node")
+    keys = keys or ("instr_id",)
+    steps = paths.select(*keys, "scan", F.col(goal).alias("dst"), F.explode(adjacent_pairs(path)).alias("s")).select(*keys, "scan", "dst", "s.pos", "s.prev", "s.node")
     to_goal = dist.select("scan", F.col("src").alias("node"), "dst", F.col("d").alias("to_goal"))
     one_step = dist.select("scan", F.col("src").alias("prev"), F.col("dst").alias("node"), F.col("d").alias("moved"))
     rows = steps.join(to_goal, ["scan", "node", "dst"], "left").join(one_step, ["scan", "prev", "node"], "left")
     lost = F.col("to_goal").isNull() | (F.col("prev").isNotNull() & F.col("moved").isNull())
     rows = rows.withColumn("to_goal", F.when(~lost, F.col("to_goal")).otherwise(F.raise_error(F.lit("not connected")).cast("double")))
-    return rows.groupBy(key).agg(
+    return rows.groupBy(*keys).agg(
         F.max_by("to_goal", "pos").alias("nav_error"),
         F.min("to_goal").alias("oracle_error"),
         F.min_by("node", F.struct("to_goal", "pos")).alias("nearest"),
@@ -55,15 +56,17 @@ def _spl(won: Column) -> Column:
 
 
 def base_scores(preds: DataFrame, gt: DataFrame, dist: DataFrame) -> DataFrame:
-    """Everything the tasks share: both paths walked; keeps the columns of ``matched``."""
+    """Everything the tasks share: both paths walked, together; keeps the columns of ``matched``."""
     m = matched(preds, gt).withColumn("goal", F.element_at("path", -1))
-    mine = walked(m, dist, "pred_path", "goal").withColumnRenamed("length", "trajectory_lengths")
-    theirs = walked(m, dist, "path", "goal").select("instr_id", F.col("length").alias("gt_lengths"), F.col("start_error").alias("start_to_goal"))
-    return (
-        m.join(mine, "instr_id").join(theirs, "instr_id")
-        .withColumn("action_steps", F.size("trajectory") - 1)
-        .withColumn("trajectory_steps", F.size("pred_path") - 1)
-    )
+    ways = F.array(F.struct(F.lit(True).alias("own"), F.col("pred_path").alias("way")), F.struct(F.lit(False).alias("own"), F.col("path").alias("way")))
+    both = m.select("instr_id", "scan", "goal", F.explode(ways).alias("w")).select("instr_id", "scan", "goal", "w.own", "w.way")
+    each = walked(both, dist, "way", "goal", "instr_id", "own")
+    of = lambda own, c: F.max(F.when(F.col("own") == own, F.col(c)))  # noqa: E731  (one row of each kind)
+    measured = each.groupBy("instr_id").agg(
+        *(of(True, c).alias(c) for c in ("nav_error", "oracle_error", "nearest", "start_error")), of(True, "length").alias("trajectory_lengths"),
+        of(False, "length").alias("gt_lengths"), of(False, "start_error").alias("start_to_goal"),
+    )
+    return m.join(measured, "instr_id").withColumn("action_steps", F.size("trajectory") - 1).withColumn("trajectory_steps", F.size("pred_path") - 1)
 
 
 def score_to_goal(preds: DataFrame, gt: DataFrame, dist: DataFrame) -> DataFrame:
@@ -119,20 +122,21 @@ def score_detection(preds: DataFrame, gt: DataFrame, dist: DataFrame) -> DataFra
     return s.withColumn("spl", _spl(F.col("success"))).withColumn("det_spl", _spl(F.col("det_success")))
 
 
-def nearest_of_set(rows: DataFrame, dist: DataFrame, node: str, targets: str, out: str, key: str = "instr_id") -> DataFrame:
-    """(key, out): the least distance from ``node`` to any of ``targets``."""
-    each = rows.select(key, "scan", F.col(node).alias("src"), F.explode(targets).alias("dst"))
-    return each.join(dist, ["scan", "src", "dst"]).groupBy(key).agg(F.min("d").alias(out))
+def nearest_of_set(rows: DataFrame, dist: DataFrame, nodes: dict[str, str], targets: str, key: str = "instr_id") -> DataFrame:
+    """(key, outs): the least distance from each of some nodes (out -> its column) to any of ``targets``."""
+    starts = F.array(*(F.struct(F.lit(out).alias("out"), F.col(c).alias("src")) for out, c in nodes.items()))
+    each = rows.select(key, "scan", targets, F.explode(starts).alias("s")).select(key, "scan", "s.out", "s.src", F.explode(targets).alias("dst"))
+    met = each.join(dist, ["scan", "src", "dst"])
+    return met.groupBy(key).agg(*(F.min(F.when(F.col("out") == out, F.col("d"))).alias(out) for out in nodes))
 
 
 def score_dialog(preds: DataFrame, gt: DataFrame, dist: DataFrame) -> DataFrame:
     """Dialog navigation (gt: ``planner_path``, ``end_panos``): how much nearer the agent came to the end region."""
     s = base_scores(preds, gt, dist)
-    s = s.withColumn("planner_goal", F.element_at("planner_path", -1)).withColumn("first", F.col("pred_path")[0]).withColumn("last", F.element_at("pred_path", -1))
-    plan = walked(s.select("instr_id", "scan", "pred_path", "planner_goal"), dist, "pred_path", "planner_goal").select("instr_id", F.col("oracle_error").alias("oracle_plan_error"))
-    before = nearest_of_set(s, dist, "first", "end_panos", "end_before")
-    after = nearest_of_set(s, dist, "last", "end_panos", "end_after")
-    s = s.join(plan, "instr_id").join(before, "instr_id").join(after, "instr_id")
+    m = matched(preds, gt).withColumn("planner_goal", F.element_at("planner_path", -1)).withColumn("first", F.col("pred_path")[0]).withColumn("last", F.element_at("pred_path", -1))
+    plan = walked(m.select("instr_id", "scan", "pred_path", "planner_goal"), dist, "pred_path", "planner_goal").select("instr_id", F.col("oracle_error").alias("oracle_plan_error"))
+    ends = nearest_of_set(m, dist, {"end_before": "first", "end_after": "last"}, "end_panos")
+    s = s.join(plan, "instr_id").join(ends.where("end_before IS NOT NULL AND end_after IS NOT NULL"), "instr_id")
     s = s.withColumn("dist_to_end_reduction", F.col("end_before") - F.col("end_after")).withColumn("shortest_path_length", F.col("start_to_goal"))
     s = s.withColumn("success", (F.col("nav_error") < MARGIN).cast("double"))
     return s.withColumn("spl", _spl(F.col("success")))
