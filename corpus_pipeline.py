@@ -17,6 +17,10 @@ from trailweave.llm.common import documents, dropped, shared_folder, tokenizer_p
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Words below which a document is rejected without the forest.
+FEWEST_WORDS = 1
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -24,10 +28,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the forest reject go.
 
-    Null, empty and short texts (under 20 words) go; the verdict is the text's alone, so repeated rows and
-    rows without an id share it, and a very long text is judged as a whole.
+    Null, empty and white-space-only texts go; short ones are left to the forest, as clean documents may be
+    short (the query's contract has 20 words at least). The verdict is the text's alone, so repeated rows
+    and rows without an id share it, and a very long text is judged as a whole.
     """
-    return quality.filtered(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
+    forest = quality.fit(docs, documents(spark, sf_dir, "labels"), min_words=FEWEST_WORDS)
+    return quality.filtered(docs, forest, min_words=FEWEST_WORDS)
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

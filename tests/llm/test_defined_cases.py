@@ -62,7 +62,7 @@ def test_stages(spark, docs, labels, tmp_path):
             assert made.columns == docs.columns, name
             assert all(r._lists == "clash" and r.keep_id == "clash" for r in found[name]), name
     kept = {(r.doc_id, r.text[:4]) for r in found["quality_rules"]}
-    assert {1, 2, None} <= {i for i, _ in kept} and not {i for i, _ in kept} & {3, 4, 5, 8}
+    assert {1, 2, None} <= {i for i, _ in kept} and not {i for i, _ in kept} & {3, 4, 5}
     lines = found["line_dedup"]
     assert len(lines) == len(ROWS) and sum(r.text is None for r in lines) == 2
     near = [(r.doc_id, r.text) for r in found["simhash_near_dedup"]]
