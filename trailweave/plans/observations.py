@@ -181,17 +181,15 @@ def st08_expert_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def st01_stream_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph memory of each trajectory as stream state over three triggers, after the last."""
+    """The graph memory of each trajectory as stream state: steps come in three parts, after each the stream goes on from its checkpoint."""
     seen = memory.observed(views.steps(spark, sf), views.edges(spark, sf))
     folder = shared_folder(spark)
     third = F.when(F.col("pos") < 2, 0).when(F.col("pos") < 5, 1).otherwise(2)
     for k in range(3):
         seen.where(third == k).write.mode("append").parquet(f"{folder}/seen")
-        if k == 0:
-            schema = seen.schema
-    source = spark.readStream.schema(schema).parquet(f"{folder}/seen")
-    out = stream.drained(spark, stream.graph_memory(source), f"{folder}/run", "update", stream.GRAPH_OUT)
-    last = out.groupBy("instr_id").agg(F.max_by(F.struct("n_known", "n_visited"), F.struct("batch", "last")).alias("s"))
+        source = spark.readStream.schema(seen.schema).parquet(f"{folder}/seen")
+        out = stream.drained(spark, stream.graph_memory(source), f"{folder}/run", "update", stream.GRAPH_OUT)
+    last = out.groupBy("instr_id").agg(F.max_by(F.struct("n_known", "n_visited"), "batch").alias("s"))
     return last.select("instr_id", "s.n_known", "s.n_visited")
 
 
