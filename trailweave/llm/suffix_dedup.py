@@ -12,10 +12,9 @@
    window, more bytes end words, at last all.
 4. A gram with over ``HOT`` occurrences does not bring them all to one task. Its identical contexts are
    folded by an aggregation with map-side counts first; those that occur twice are repeated as a whole.
-   If up to ``MOST_CONTEXTS`` distinct ones are left, they are sorted as before. If more, every context is
-   cut again by a second anchor of each window, chosen by another hash, so that equal windows still meet,
-   now by both grams; these parts are folded and sorted in the same way. What even two grams leave in
-   groups beyond the bound is decided by grouping the windows themselves, byte by byte.
+   The distinct ones are cut again by a second anchor of each window, chosen by another hash, so that equal
+   windows still meet, now by both grams; these parts are folded and sorted in the same way. Where even two
+   grams share over ``MOST_CONTEXTS`` distinct parts, the windows themselves are grouped, byte by byte.
 5. Spans of repeated windows return to their documents, which lose them.
 
 Shuffled are grams (twice), texts (once: both joins use the same exchange) and contexts. No group of
@@ -46,7 +45,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
 #: Occurrences of a gram beyond which identical contexts are folded before they meet in a task.
 HOT = 256
-#: Distinct contexts of a gram that meet in a task.
+#: Distinct parts of contexts, of two grams, that meet in a task.
 MOST_CONTEXTS = 1000
 #: By so many numbers a context's occurrences are dealt when they learn of its spans.
 SALTS = 8
@@ -374,12 +373,10 @@ def _sorted_spans(distinct: DataFrame) -> DataFrame:
 
 
 def _folded(contexts: DataFrame) -> DataFrame:
-    """(key, gram, context, n, contexts): distinct contexts, named by 128 bits; ``contexts`` are those of the same gram."""
+    """(key, gram, context, n): distinct contexts, named by 128 bits."""
     one = contexts.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.max("context").alias("other"))
     same = F.when(F.col("context") == F.col("other"), F.col("context")).otherwise(F.raise_error(F.lit("two contexts share a 128-bit hash")).cast("binary"))
-    one = one.select("key", "gram", same.alias("context"), "n")
-    sizes = one.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("contexts"))
-    return one.join(sizes, F.col("gram") == F.col("g")).drop("g")
+    return one.select("key", "gram", same.alias("context"), "n")
 
 
 def _keyed(contexts: DataFrame) -> DataFrame:
@@ -444,14 +441,14 @@ def _hot_spans(contexts: DataFrame, most: int) -> DataFrame:
     """(_row, id, start, end) for grams with any number of occurrences."""
     keyed = _keyed(contexts)
     distinct = _folded(keyed)
-    few, many = F.col("contexts") <= most, F.col("contexts") > most
-    parts = _keyed(_narrowed(distinct.where(many)))
+    parts = _keyed(_narrowed(distinct))
     folded = _folded(parts)
-    of_parts = _sorted_spans(folded.where(few)).unionByName(_counted_spans(folded.where(many)))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("context").cast("long").alias("b")))
-    twice = distinct.where(many & (F.col("n") > 1)).select("key", whole.alias("spans"))
+    sizes = folded.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("contexts"))
+    sized = folded.join(sizes, F.col("gram") == F.col("g"))
+    of_parts = _sorted_spans(sized.where(F.col("contexts") <= most)).unionByName(_counted_spans(sized.where(F.col("contexts") > most)))
     cut = _told(parts, of_parts, ["owner"]).groupBy(F.col("owner").alias("key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = _sorted_spans(distinct.where(few)).unionByName(twice).unionByName(cut)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("context").cast("long").alias("b")))
+    spans = distinct.where("n > 1").select("key", whole.alias("spans")).unionByName(cut)
     return _told(keyed, spans, ["_row", "id"]).select("_row", "id", F.col("a").alias("start"), F.col("b").alias("end"))
 
 
