@@ -87,3 +87,11 @@ def test_long_chains_by_joins(spark):
     n = spark.createDataFrame([("s", k, float(k), 0.0, 0.0) for k in range(41)], NODES)
     e = spark.createDataFrame([("s", a, b, 1.0) for k in range(40) for a, b in ((k, k + 1), (k + 1, k))], EDGES)
     assert {(r.src, r.dst): r.d for r in G.min_plus_distances(e, n).collect()} == {(a, b): abs(a - b) for a in range(41) for b in range(41)}
+
+
+def test_scans_of_any_size(spark, nodes):
+    edges = spark.createDataFrame([r for r in near(nodes, 0.7) if r[0] == "a" or r[1] < 20 and r[2] < 20], EDGES)
+    some = nodes.where("scan = 'a' OR vp < 20")
+    want = {(r.scan, r.src, r.dst): r.d for r in G.shortest_distances(edges, some).collect()}
+    got = {(r.scan, r.src, r.dst): r.d for r in G.distances(edges, some, most=30).collect()}
+    assert got == pytest.approx(want) and {k[0] for k in got} == {"a", "b"}

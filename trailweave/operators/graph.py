@@ -63,7 +63,7 @@ def weights(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, weights with inf for absent) of one scan's edges; rows with a null ``dst`` are lone nodes."""
     nodes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].dropna().to_numpy().astype(pdf["src"].dtype)]))
     if len(nodes) > MOST_NODES:
-        raise ValueError(f"a scan has {len(nodes)} nodes; more than {MOST_NODES} need min_plus_distances")
+        raise ValueError(f"a scan has {len(nodes)} nodes; more than {MOST_NODES} need min_plus_distances, or distances for both kinds")
     w = np.full((len(nodes), len(nodes)), np.inf)
     np.fill_diagonal(w, 0.0)
     real = pdf["dst"].notna().to_numpy()
@@ -156,6 +156,14 @@ def min_plus_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         d = durable(two.groupBy("scan", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("e")).alias("d")))
 
 
+def distances(edges: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """(scan, src, dst, d) for scans of any size: those of up to ``most`` nodes by ``shortest_distances``, larger ones by joins."""
+    large = nodes.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("scan")
+    part = lambda df, how: df.join(large, "scan", how)
+    small = shortest_distances(part(edges, "left_anti"), part(nodes, "left_anti"))
+    return small.unionByName(min_plus_distances(part(edges, "left_semi"), part(nodes, "left_semi")))
+
+
 def adjacent_pairs(path: str) -> Column:
     """A path as an array of (pos, prev, node); ``prev`` is null at the start."""
     return F.transform(path, lambda x, k: F.struct(k.alias("pos"), F.get(path, k - 1).alias("prev"), x.alias("node")))
