@@ -265,12 +265,66 @@ def jon02_objects(spark: SparkSession, sf: str) -> DataFrame:
     return seen.select("scan", "objid", F.size("end_vps").alias("n"), F.md5(F.array_join("end_vps", ",")).alias("vps_md5"))
 
 
+def agg11_object_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean feature of the objects in sight of every viewpoint (its embedding times 1 to n)."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    seen = F.transform(F.sequence(F.lit(1), (F.col("vec_id") % 5 + 1).cast("int")), lambda k: F.transform("v", lambda x: x * k))
+    m = e.select("vec_id", arrays.mean_vector(seen, 64).alias("m"))
+    return m.select("vec_id", F.round(_total("m"), 5).alias("total"), F.size("m").alias("n"))
+
+
+def _written(df: DataFrame, folder: str, kind: str) -> str:
+    """A folder of text or JSON files of a frame."""
+    df.write.mode("overwrite").format(kind).save(folder)
+    return folder
+
+
+def src01_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Instruction records written as JSON lines and read by their schema; absent fields are null, places are without gaps."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path_id"), F.col("source").alias("scan"), F.split("text", "\n").alias("instructions"))
+    r = annotations.records(spark, _written(d, f"{shared_folder(spark)}/r2r.jsonl", "json"), "r2r")
+    n = r.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_idx").alias("places"), F.max("raw_idx").alias("last"))  # one row
+    return r.crossJoin(F.broadcast(n)).select("path_id", "scan", F.size("instructions").alias("n_instructions"), F.col("heading").isNull().alias("no_heading"), ((F.col("n") == F.col("places")) & (F.col("last") == F.col("n") - 1)).alias("whole"))
+
+
+def src06_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes read from one JSON object of objects by viewpoint, here nations by region."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("r_"), F.col("n_regionkey").cast("string")).alias("vp"), F.col("n_nationkey").cast("string").alias("o"), F.struct(F.array(F.col("n_nationkey").cast("int")).alias("visible_pos")).alias("x"))
+    by_vp = n.groupBy("vp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o", "x")))).alias("m"))
+    one = by_vp.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("vp", "m")))).alias("value"))
+    b = annotations.visible_boxes(spark, _written(one.coalesce(1), f"{shared_folder(spark)}/boxes", "text"))
+    return b.select("scan_vp", "objid", F.col("visible_pos")[0].alias("visible"))
+
+
+def src14_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Matrices read from texts of numbers between spaces, empty lines left out."""
+    t = table(spark, sf, "region").select(F.concat_ws(" ", F.lit(" 1.5"), F.col("r_regionkey").cast("string"), F.lit("\n\n-2"), F.lit("0.25 ")).alias("value")).orderBy("r_regionkey")
+    m = annotations.matrix(spark, _written(t.coalesce(1), f"{shared_folder(spark)}/matrix", "text"))
+    each = m.select(F.posexplode("rows").alias("row", "r")).select("row", F.posexplode("r").alias("column", "x"))
+    return each.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+
+
+def src16_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of scans read from lines, stripped, empty ones left out."""
+    t = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("  scan"), F.col("c_custkey").cast("string"), F.lit(" "))).otherwise(F.lit(" ")).alias("value"))
+    return annotations.lines(spark, _written(t, f"{shared_folder(spark)}/lines", "text"))
+
+
+def src15_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a folder by name, without those of a certain ending."""
+    folder = shared_folder(spark)
+    for name in ("train", "val"):
+        _written(table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("value"), F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("key")).repartition(1), f"{folder}/{name}", "json")
+    found = annotations.listing(spark, folder, "*.json", "_SUCCESS")
+    return found.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         obs11_samples, obs02_views_with_objects, st04_candidate_cache, trj15_missing_edges, flt02_object_truth, flt11_valid_options, flt12_nonfinite, agg17_parameter_groups, udf04_extracted,
         txt13_left, txt10_ratio, txt11_captions, str06_without_punctuation, st07_jumps, st08_expert_steps, st01_stream_graph, src09_catalog, snk08_aligned_features, snk05_answers, set02_merged,
-        set06_paired, prj21_decoded, obs12_image_samples, jon02_objects,
+        set06_paired, prj21_decoded, obs12_image_samples, jon02_objects, agg11_object_means, src01_records, src06_boxes, src14_matrix, src15_listing, src16_lines,
     )
 }
 
@@ -303,6 +357,12 @@ def _ratio_sql() -> str:
 _PUNCTUATION = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in arrays.PUNCTUATION) + "]"
 
 ORACLE = {
+    "agg11_object_means": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * (vec_id % 5 + 2) / 2, 5) AS total, len(embedding) AS n FROM embeddings",
+    "src01_records": "SELECT doc_id AS path_id, source AS scan, len(string_split(text, chr(10))) AS n_instructions, true AS no_heading, true AS whole FROM documents",
+    "src06_boxes": "SELECT 'r_' || n_regionkey AS scan_vp, CAST(n_nationkey AS VARCHAR) AS objid, CAST(n_nationkey AS INTEGER) AS visible FROM nation",
+    "src14_matrix": """SELECT 0 AS "column", 2 * count(*) AS n, CAST(count(*) * -0.5 AS DOUBLE) AS total FROM region UNION ALL SELECT 1, 2 * count(*), CAST(sum(r_regionkey) + count(*) * 0.25 AS DOUBLE) FROM region""",
+    "src15_listing": "SELECT 'train' AS folder, 1 AS n UNION ALL SELECT 'val', 1",
+    "src16_lines": "SELECT 'scan' || c_custkey AS value FROM customer WHERE c_custkey % 4 <> 0",
     "obs11_samples": f"""WITH {_FIRSTS}, wide AS (SELECT instr_id, sum(img + ang) AS t FROM sweep GROUP BY 1)
 SELECT row_number() OVER (ORDER BY f.user_id, f.week) - 1 AS sample_idx, f.instr_id, CAST(f.b AS INTEGER) AS view_index, coalesce(c.n, 0) AS n_candidates, 36 AS n_views, round(w.t, 5) AS feature_sum,
        round(coalesce(c.img + c.ang, 0.0), 5) AS candidate_sum, round(n.x + 2 * n.y + 3 * n.z, 6) AS place, n_path
