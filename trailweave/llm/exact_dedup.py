@@ -23,8 +23,6 @@ from trailweave.llm.common import durable, whole_text
 
 #: Groups that are broadcast, the largest first: so many rows of some 100 bytes at any scale.
 HOT_GROUPS = 1000
-#: What differs from single spaces: a run of white space, or one that is no space.
-_UNEVEN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def content_hash(text: Column) -> Column:
@@ -33,8 +31,10 @@ def content_hash(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Every run of ASCII white space as one space."""
-    return F.regexp_replace(text, _UNEVEN, " ")
+    """Every run of ASCII white space as one space; the pattern is only for texts that have a run then."""
+    for control in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(control), F.lit(" "))
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 
 def exact_dedup(
