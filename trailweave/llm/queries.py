@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import chat, exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_bpe, sharding, simhash, suffix_dedup
+from trailweave.llm import (
+    chat, exact_dedup, hard_negatives, language_id, line_dedup, packing, prefix_trie, quality, quality_classifier, sentencepiece_bpe, sharding, simhash, suffix_dedup,
+)
 from trailweave.llm.common import documents, tokenizer_path
 
 #: The shards of the registered query.
@@ -71,9 +73,29 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip_digest(chat.with_probe(documents(spark, sf_dir, "conversations")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector; every seventh has another label than the table says."""
+    rows = documents(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), hard_negatives.scaled("embedding", 256).alias("vector"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, each begun as its family's first."""
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(documents(spark, sf_dir, "conversations")))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = documents(spark, sf_dir)
+    found = quality_classifier.scored(docs, quality_classifier.fit(docs, documents(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_language_id, op4_sentencepiece, op5_sharding, op6_simhash, op7_exact_dedup, op8_packing, op9_quality_rules, op10_chat_formatting, op11_hard_negatives, op12_prefix_trie, op13_quality_classifier)}
 
 
 def _sharding_sql() -> str:
@@ -116,6 +138,59 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, b.r,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, r AS positive, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor, anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor, positive ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+PREFIX_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS word,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id AS c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM conversations WHERE conv_id IS NOT NULL),
+parts AS (
+  SELECT c, 0 AS own, pos, word, chars FROM c JOIN t ON t.conv_id = c - c % 100 AND pos <= h
+  UNION ALL SELECT c, 1, pos, word, chars FROM c JOIN t ON t.conv_id = c AND pos > h),
+prefixes AS (
+  SELECT c, 0 AS d, '' AS key, 0 AS chars FROM c
+  UNION ALL
+  SELECT c, row_number() OVER w, string_agg(CAST(word AS VARCHAR), ',') OVER (w ROWS UNBOUNDED PRECEDING), chars
+  FROM parts WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+nodes AS (SELECT key, min(c) AS id, min(d) AS d, count(*) AS n, min(chars) AS chars FROM prefixes GROUP BY key),
+spots AS (SELECT c, nodes.d, id FROM prefixes JOIN nodes USING (key)),
+linked AS (SELECT n.*, p.id AS up FROM nodes n LEFT JOIN spots p ON p.c = n.id AND p.d = n.d - 1),
+children AS (SELECT up AS id, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT spots.id, spots.d, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((n.n - 1) * n.chars) AS saved
+  FROM nodes n LEFT JOIN children k ON k.id = n.id AND k.d = n.d JOIN spots ON spots.c = n.id AND spots.d <= n.d GROUP BY ALL),
+ends AS (
+  SELECT id, d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+  FROM spots JOIN (SELECT c, max(d) AS d FROM prefixes GROUP BY c) USING (c, d) GROUP BY ALL)
+SELECT id AS conv_id, d AS depth, up AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM linked LEFT JOIN children USING (id, d) JOIN below USING (id, d) LEFT JOIN ends USING (id, d)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
-    return {"op5_sharding": _sharding_sql(), "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {"op5_sharding": _sharding_sql(), "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_chat_formatting": CHAT_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL}
