@@ -30,23 +30,28 @@ def paired(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 # ---- BLEU ----------------------------------------------------------------------------------------
 
 
-def _gram_counts(texts: DataFrame) -> DataFrame:
-    """(id, ref, order, gram, n) of the n-grams of rows (id, ref, tokens), counted where the ids are."""
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), ngrams(F.col("tokens"), n).alias("grams")) for n in ORDERS)))
-    grams = texts.select("id", "ref", each.alias("g")).select("id", "ref", "g.order", F.explode("g.grams").alias("gram"))
-    return grams.groupBy("id", "order", "gram", "ref").agg(F.count(F.lit(1)).alias("n"))
+def _key(tokens: Column, n: int) -> Column:
+    """The n-grams of a text, each as two independent hashes of its tokens: 128 bits, and no text to carry."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    keys = F.transform(starts, lambda k: F.struct(F.xxhash64(F.slice(tokens, k, n)).alias("h1"), F.xxhash64(F.lit(n), F.slice(tokens, k, n)).alias("h2")))
+    return F.when(F.size(tokens) >= n, keys).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """(id, order, gram, hyp, refs array<struct<ref,n>>): each n-gram's counts in the hypothesis (0: absent) and in references."""
-    own = F.struct(F.lit(-1).alias("ref"), F.col("hyp").alias("text"))
-    others = F.transform("refs", lambda t, k: F.struct(k.alias("ref"), t.alias("text")))
-    each = rows.select("id", "hyp", "refs").repartition("id").select("id", F.explode(F.concat(F.array(own), others)).alias("t"))
-    counts = _gram_counts(each.select("id", "t.ref", words("t.text").alias("tokens")))
-    mine = F.col("ref") < 0
-    return counts.groupBy("id", "order", "gram").agg(
-        F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias("hyp"), F.collect_list(F.when(~mine, F.struct("ref", "n"))).alias("refs")
-    )
+def _most_refs(rows: DataFrame) -> int:
+    """The greatest number of references an id has: one number."""
+    return rows.agg(F.max(F.size("refs"))).first()[0] or 0
+
+
+def _grams(rows: DataFrame, most: int) -> DataFrame:
+    """(id, order, h1, h2, hyp, ref0..): each n-gram's count in the hypothesis and in each of at most ``most`` references.
+
+    One aggregation, whose buffers are plain numbers; the texts are dealt by id before, so it adds no exchange.
+    """
+    texts = rows.select("id", F.concat(F.array("hyp"), "refs").alias("texts")).repartition("id").select("id", F.posexplode("texts").alias("of", "text"))
+    tokens = texts.select("id", "of", words("text").alias("tokens"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), _key(F.col("tokens"), n).alias("keys")) for n in ORDERS)))
+    grams = tokens.select("id", "of", each.alias("g")).select("id", "of", "g.order", F.explode("g.keys").alias("k")).select("id", "of", "order", "k.h1", "k.h2")
+    return grams.groupBy("id", "order", "h1", "h2").agg(*(F.count(F.when(F.col("of") == k, 1)).alias(f"ref{k - 1}" if k else "hyp") for k in range(most + 1)))
 
 
 def reference_length(length: Column, lengths: Column, option: str) -> Column:
@@ -60,8 +65,9 @@ def reference_length(length: Column, lengths: Column, option: str) -> Column:
 
 def bleu_counts(rows: DataFrame, option: str = "closest") -> DataFrame:
     """Per id: testlen, reflen, guess1..4 and correct1..4 (clipped by the greatest count in one reference)."""
-    most = F.coalesce(F.array_max("refs.n"), F.lit(0))
-    hits = _grams(rows).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least(F.col("hyp"), most)).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
+    n_refs = _most_refs(rows)
+    greatest = F.greatest(F.lit(0), F.lit(0), *(F.col(f"ref{k}") for k in range(n_refs)))
+    hits = _grams(rows, n_refs).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least("hyp", greatest)).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
     r = rows.withColumn("_hyp", words("hyp"))
     sizes = F.transform("refs", lambda t: F.size(words(t)))
     base = r.select(
@@ -122,37 +128,41 @@ def rouge_l(rows: DataFrame) -> DataFrame:
 
 def document_frequency(rows: DataFrame) -> DataFrame:
     """(order, gram, df): in how many ids' references an n-gram occurs."""
-    each = rows.select("id", "refs").repartition("id").select("id", F.posexplode("refs").alias("ref", "text"))
-    counts = _gram_counts(each.select("id", "ref", words("text").alias("tokens")))
-    return counts.select("id", "order", "gram").distinct().groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
+    texts = rows.select("id", F.transform("refs", lambda t: words(t)).alias("texts"))
+    per_id = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), F.array_distinct(F.flatten(F.transform("texts", lambda t: ngrams(t, n)))).alias("grams")) for n in ORDERS)))
+    grams = texts.select(per_id.alias("g")).select("g.order", F.explode("g.grams").alias("gram"))
+    return grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None) -> DataFrame:
-    """(id, cider). ``frequency`` and ``documents`` may come from another corpus."""
-    grams = _grams(rows)
-    df = grams.where(F.size("refs") > 0).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df")) if frequency is None else frequency
+    """(id, cider). ``frequency`` (as ``document_frequency`` makes it) and ``documents`` may come from another corpus."""
+    most = _most_refs(rows)
+    refs = [f"ref{k}" for k in range(most)]
+    grams = _grams(rows, most)
+    if frequency is None:
+        df = grams.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in refs), F.lit(False))).groupBy("order", "h1", "h2").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        tokens = F.split("gram", " ", -1)
+        df = frequency.select("order", F.xxhash64(tokens).alias("h1"), F.xxhash64("order", tokens).alias("h2"), "df")
     of = rows.agg(F.count(F.lit(1)).cast("double").alias("of")) if documents is None else rows.sparkSession.range(1).select(F.lit(float(documents)).alias("of"))
     weight = F.log(F.greatest(F.col("of"), F.lit(1.0))) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
-    weighed = grams.join(df, ["order", "gram"], "left").crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
-
-    # per id, order and text (the hypothesis is -1): squared norms, and the products with the hypothesis
-    entries = F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("hyp").alias("n"))), F.col("refs"))
-    each = weighed.select("id", "order", "weight", "hyp", F.explode(entries).alias("e"))
-    w, h = F.col("e.n") * F.col("weight"), F.col("hyp") * F.col("weight")
-    sums = each.repartition("id").groupBy("id", "order", F.col("e.ref").alias("ref")).agg(F.sum(w * w).alias("squares"), F.sum(F.least(h, w) * w).alias("dot"))
-    mine = F.col("ref") < 0
-    by_order = sums.groupBy("id", "order").agg(
-        F.sqrt(F.max(F.when(mine, F.col("squares")))).alias("norm"), F.collect_list(F.when(~mine, F.struct("ref", F.sqrt("squares").alias("norm"), "dot"))).alias("refs")
-    )
-    cosine = F.transform("refs", lambda r: F.struct(r["ref"].alias("ref"), F.when(F.col("norm") * r["norm"] != 0, r["dot"] / (F.col("norm") * r["norm"])).otherwise(r["dot"]).alias("value")))
-    scored = by_order.groupBy("id").agg(F.flatten(F.collect_list(cosine)).alias("scores"))
+    weighed = grams.join(df, ["order", "h1", "h2"], "left").crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
+
+    # per id and order: squared norms of the hypothesis and of each reference, and their products
+    h, w = F.col("hyp") * F.col("weight"), {c: F.col(c) * F.col("weight") for c in refs}
+    sums = [F.sum(h * h).alias("norm"), *(F.sum(w[c] * w[c]).alias(f"{c}_norm") for c in refs), *(F.sum(F.least(h, w[c]) * w[c]).alias(f"{c}_dot") for c in refs)]
+    by_order = weighed.groupBy("id", "order").agg(*sums)
+
+    def cosine(c: str) -> Column:
+        norm = F.sqrt("norm") * F.sqrt(f"{c}_norm")
+        return F.when(norm != 0, F.col(f"{c}_dot") / norm).otherwise(F.col(f"{c}_dot"))
 
+    scored = by_order.groupBy("id").agg(*(F.sum(cosine(c)).alias(c) for c in refs))
     bigrams = lambda n: F.greatest(F.lit(0), n - 1)
     off = lambda t: bigrams(F.size(words("hyp"))) - bigrams(F.size(words(t)))
     lengths = rows.select("id", F.transform("refs", lambda t: F.exp(-(off(t) * off(t)) / (2 * SIGMA**2))).alias("penalties"))
-    total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s["value"] * F.get("penalties", s["ref"]))
-    made = lengths.join(scored, "id", "left")
-    return made.select("id", (F.coalesce(total, F.lit(0.0)) / len(ORDERS) / F.size("penalties") * 10.0).alias("cider"))
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * F.get("penalties", F.lit(k)), F.lit(0.0)) for k, c in enumerate(refs)), F.lit(0.0))
+    return lengths.join(scored, "id", "left").select("id", (total / len(ORDERS) / F.size("penalties") * 10.0).alias("cider"))
 
 
 # ---- exact match and bundles ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import arrays
+from trailweave.operators import meteor
 from trailweave.operators import textmetrics as M
 from trailweave.plans.base_sql import words_sql
 from trailweave.sources.tables import table
@@ -74,6 +75,16 @@ def agg14_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return M.document_frequency(pairs(spark, sf))
 
 
+def txt07_meteor(spark: SparkSession, sf: str) -> DataFrame:
+    """METEOR (exact and stem) of every pair, with the words matched and their chunks."""
+    return meteor.best(meteor.counts(pairs(spark, sf))).select("id", F.round("meteor", 9).alias("meteor"), "matched", "chunks")
+
+
+def txt07_meteor_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """METEOR of all pairs together."""
+    return meteor.corpus(meteor.best(meteor.counts(pairs(spark, sf)))).select(F.round("meteor", 9).alias("meteor"))
+
+
 def txt08_exact_match(spark: SparkSession, sf: str) -> DataFrame:
     """The share of replies that are one of their references, every third having itself among them."""
     p = pairs(spark, sf)
@@ -117,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt01_bleu_corpus, txt02_bleu_sentences, txt03_bleu_lengths, agg21_merged_counts, txt04_rouge_l, arr04_lcs, txt05_cider, txt06_cider_given_frequency,
-        agg14_document_frequency, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, prj12_first_words,
+        agg14_document_frequency, txt07_meteor, txt07_meteor_corpus, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, prj12_first_words,
     )
 }
 
