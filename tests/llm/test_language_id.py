@@ -129,3 +129,15 @@ def test_forgetting_words_changes_nothing(rows, monkeypatch):
     monkeypatch.setattr(L, "WORDS_KEPT", 5)
     bound = L.Predictor(model)
     assert [bound.predict(r[1])[0] for r in rows] == [f[0] for f in free]
+
+
+def test_every_part_of_a_document_may_be_learned_from(spark, monkeypatch):
+    """Pieces that are taken together are the whole text, and all are taken where there are few."""
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda texts, langs, seed: seen.update(texts=texts))
+    whole = " ".join(f"word{k}" for k in range(5000))
+    L.fit(spark.createDataFrame([(1, whole, "aa", "x"), (3, "", "aa", "x")], FIELDS), longest=700)
+    assert "" in seen["texts"] and sum(map(len, seen["texts"])) == len(whole) and all(t in whole for t in seen["texts"])
+    L.fit(spark.createDataFrame([(1, whole, "aa", "x")], FIELDS), longest=7, per_language=300)
+    at = sorted(whole.find(t) for t in seen["texts"] if whole.count(t) == 1)
+    assert 200 < len(seen["texts"]) < 400 and at[-1] > 0.95 * len(whole)

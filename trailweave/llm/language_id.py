@@ -10,9 +10,9 @@ spans of theirs, which are text of no language.
 Embedding and layer are multiplied out once per bucket after training, so predicting a text adds up a
 few numbers per word; words are remembered per worker within a bound.
 
-The model is fitted on the driver to a bounded sample: about ``per_language`` documents a language, or
-``in_all`` over all languages if these are more, chosen by hashes of their ids; of a document longer than
-``longest`` characters a span that begins at a hashed place. Predictions cover every whole text and see
+The model is fitted on the driver to a bounded sample: about ``per_language`` pieces a language, or
+``in_all`` over all languages if these are more. Pieces are whole documents, or parts of ``longest`` characters
+of longer ones, any of which its hash may choose. Predictions cover every whole text and see
 the text alone.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and not accepted; where
@@ -252,25 +252,25 @@ def fit(
 ) -> Model:
     """Learn from the documents that are not held out.
 
-    Two scans: languages and their counts (no text), then the chosen documents: at most 2 * ``in_all`` of
-    ``longest`` characters, whatever the number of languages and documents. More than a thousand distinct
-    labels are not languages; that is an error.
+    Whole texts are cut into pieces of ``longest`` characters at most, and each piece is chosen by its hash: so every part of
+    every document is as likely to be learned from, long ones by more pieces, and what reaches the driver is
+    at most 2 * ``in_all`` pieces, whatever the number of languages and documents. Two scans: languages and
+    their numbers of pieces, then the chosen ones. More than a thousand distinct labels are not languages; that
+    is an error.
     """
     rows = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), held_out(id_col).alias("apart"))
-    learn = rows.where("l IS NOT NULL AND t IS NOT NULL AND NOT apart")
-    counts = learn.groupBy("l").count().limit(1001).collect()
+    learn = rows.where("l IS NOT NULL AND t IS NOT NULL AND NOT apart").withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("t") / longest)).cast("int"))
+    counts = learn.groupBy("l").agg(F.sum("n").alias("n")).limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError("more than 1000 labels")
     if not counts:
         return train([], [])
     each = min(per_language, in_all // len(counts))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "i"))
-    unit = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / float(1 << 32)
     shares = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, each / r[1])))))
-    start = (unit(9) * (F.length("t") - longest + 1)).cast("int") + 1
-    text = F.when(F.length("t") > longest, F.substring("t", start, F.lit(longest))).otherwise(F.col("t"))
-    chosen = learn.where(unit(1) < F.try_element_at(shares, F.col("l"))).select("i", text.alias("t"), "l")
-    found = chosen.orderBy(F.md5(F.concat_ws("|", "i", F.lit(seed))), "i", "t", "l").limit(2 * in_all).collect()
+    unit = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "i", k)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    picked = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: unit(k) < F.try_element_at(shares, F.col("l")))
+    chosen = learn.select("i", "t", "l", F.explode(picked).alias("k")).select("i", "k", F.substring("t", F.col("k") * longest + 1, F.lit(longest)).alias("t"), "l")
+    found = chosen.orderBy(F.md5(F.concat_ws("|", "i", "k", F.lit(seed))), "i", "k", "t", "l").limit(2 * in_all).collect()
     sample = sorted((r.i or "", r.t, r.l) for r in found)
     return train([t for _, t, _ in sample], [y for _, _, y in sample], seed=seed)
 
