@@ -95,3 +95,40 @@ def test_scans_of_any_size(spark, nodes):
     want = {(r.scan, r.src, r.dst): r.d for r in G.shortest_distances(edges, some).collect()}
     got = {(r.scan, r.src, r.dst): r.d for r in G.distances(edges, some, most=30).collect()}
     assert got == pytest.approx(want) and {k[0] for k in got} == {"a", "b"}
+
+
+def test_forms_for_large_scans_are_the_same(spark):
+    """Bounds that no scan keeps, so that everything goes by joins; also one that parts the scans."""
+    rng = random.Random(12)
+    nodes, edges = [], []
+    for scan, n in ((1, 14), (2, 5), (3, 1)):
+        at = {v: [rng.random() for _ in range(3)] for v in range(scan * 100, scan * 100 + n)}
+        nodes += [(scan, v, *p) for v, p in at.items()]
+        for a in at:
+            for b in at:
+                if a < b and rng.random() < 0.25:
+                    w = sum((x - y) ** 2 for x, y in zip(at[a], at[b])) ** 0.5
+                    edges += [(scan, a, b, w), (scan, b, a, w)]
+    nodes = spark.createDataFrame(nodes, "scan int, vp long, x double, y double, z double")
+    edges = spark.createDataFrame(edges, "scan int, src long, dst long, w double")
+    rows = lambda df: sorted((r.scan, r.src, r.dst, round(r.d, 9), *((r.hops, tuple(r.path)) if "path" in df.columns else ())) for r in df.collect())
+    every = rows(G.shortest_paths(edges, nodes))
+    for most in (0, 6, 100):
+        assert rows(G.paths(edges, nodes, most)) == every
+        assert rows(G.distances(edges, nodes, most)) == [r[:4] for r in every]
+        reach = {(r.scan, r.vp): r.reach for r in G.reached(edges, nodes, most).collect()}
+        assert reach == {(s, v): sum(r[:2] == (s, v) for r in every) for s, v, *_ in every}
+    ends = nodes.select("scan", "vp")
+    asked = ends.withColumnRenamed("vp", "src").join(ends.withColumnRenamed("vp", "dst"), "scan").where("(src * 7 + dst) % 3 = 0")
+    wanted = [r for r in every if (r[1] * 7 + r[2]) % 3 == 0]
+    for most in (0, 20, 1000):
+        assert rows(G.asked_paths(edges, asked.unionByName(asked), most)) == wanted
+    assert not G.asked_paths(edges, asked.limit(0)).count() and not G.asked_paths(edges.limit(0), asked.where("src <> dst")).count()
+
+
+def test_asked_paths_in_blocks_of_sources(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, a, b, 1.0) for k in range(30) for a, b in ((k, k + 1), (k + 1, k))], "scan int, src long, dst long, w double")
+    asked = spark.createDataFrame([(1, a, 29 - a) for a in range(30)] + [(1, 3, 99)], "scan int, src long, dst long")
+    monkeypatch.setattr(G, "BLOCK", 1)
+    got = {r.src: (r.d, r.path) for r in G.asked_paths(edges, asked).collect()}
+    assert len(got) == 30 and got[0] == (29.0, list(range(30))) and got[20] == (11.0, list(range(20, 8, -1)))

@@ -156,14 +156,180 @@ def min_plus_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         d = durable(two.groupBy("scan", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("e")).alias("d")))
 
 
+def _large(nodes: DataFrame, most: int) -> DataFrame | None:
+    """(scan) of more than ``most`` nodes; None if there is none."""
+    large = nodes.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("scan")
+    return large if large.limit(1).count() else None
+
+
 def distances(edges: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """(scan, src, dst, d) for scans of any size: those of up to ``most`` nodes by ``shortest_distances``, larger ones by joins."""
-    large = nodes.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("scan")
+    large = _large(nodes, most)
+    if large is None:
+        return shortest_distances(edges, nodes)
     part = lambda df, how: df.join(large, "scan", how)
     small = shortest_distances(part(edges, "left_anti"), part(nodes, "left_anti"))
     return small.unionByName(min_plus_distances(part(edges, "left_semi"), part(nodes, "left_semi")))
 
 
+def paths(edges: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """(scan, src, dst, d, hops, path) of all pairs for scans of any size, larger ones by labels that spread from every node."""
+    large = _large(nodes, most)
+    if large is None:
+        return shortest_paths(edges, nodes)
+    part = lambda df, how: df.join(large, "scan", how)
+    ends = part(nodes, "left_semi").select("scan", F.col("vp").alias("src"))
+    every = ends.join(ends.withColumnRenamed("src", "dst"), "scan")  # the pairs of a scan are what is asked for
+    small = shortest_paths(part(edges, "left_anti"), part(nodes, "left_anti"))
+    return small.unionByName(_asked_by_joins(part(edges, "left_semi"), every))
+
+
+#: Edges of a scan up to which one task holds them all; of more, rows are relaxed by joins. Scores of one block of sources.
+MOST_EDGES = 2_000_000
+BLOCK = 4_000_000
+
+
+class _Relaxed:
+    """A scan's edges, and least distances from some of its nodes to all."""
+
+    def __init__(self, steps: pd.DataFrame, sources: np.ndarray):
+        order = np.lexsort((steps["src"].to_numpy(), steps["dst"].to_numpy()))
+        src, dst, self.w = (steps[c].to_numpy()[order] for c in ("src", "dst", "w"))
+        self.names = np.unique(np.concatenate([src, dst, sources]))
+        self.src, self.dst = np.searchsorted(self.names, src), np.searchsorted(self.names, dst)
+        self.first = np.flatnonzero(np.r_[True, self.dst[1:] != self.dst[:-1]]) if len(src) else np.zeros(0, int)
+        self.rows = {s: k for k, s in enumerate(sources.tolist())}
+        self.d = np.full((len(sources), len(self.names)), np.inf)
+        self.d[np.arange(len(sources)), np.searchsorted(self.names, sources)] = 0.0
+        while len(src):
+            better = np.minimum.reduceat(self.d[:, self.src] + self.w, self.first, axis=1)
+            ends = self.dst[self.first]
+            if not (better < self.d[:, ends]).any():
+                break
+            self.d[:, ends] = np.minimum(self.d[:, ends], better)
+        self.into = dict(zip(self.dst[self.first].tolist(), zip(self.first, [*self.first[1:], len(src)])))
+
+    def way(self, source: object, goal: object) -> tuple[float, list] | None:
+        """(distance, nodes); of equally short ways the one whose last step comes from the smallest node, at each step."""
+        at = np.searchsorted(self.names, goal)
+        d = self.d[self.rows[source]]
+        if at == len(self.names) or self.names[at] != goal or not np.isfinite(d[at]):
+            return None
+        way, total = [at], float(d[at])
+        while self.names[way[-1]] != source:
+            lo, hi = self.into[int(way[-1])]
+            via = d[self.src[lo:hi]] + self.w[lo:hi]
+            ok = (via <= via.min() + 1e-12) & (self.src[lo:hi] != way[-1])
+            way.append(self.src[lo:hi][ok].min())
+        return total, self.names[way[::-1]].tolist()
+
+
+def _asked_in_tasks(edges: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
+    """Paths of asked pairs, the sources of a scan dealt to some tasks that each get its edges."""
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(buckets)).cast("int"))
+    wanted = dealt.select(F.col("scan").alias("scan"), F.col("bucket").alias("part")).distinct()
+    near = edges.select("scan", "src", "dst", "w").join(wanted, "scan")
+
+    def run(pairs: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sources = np.unique(pairs["src"].to_numpy()) if len(pairs) else np.zeros(0)
+        size = max(1, BLOCK // max(1, len(steps)))
+        for k in range(0, len(sources), size):
+            known = _Relaxed(steps, sources[k : k + size])
+            for r in pairs[pairs["src"].isin(sources[k : k + size])].itertuples(index=False):
+                if found := known.way(r.src, r.dst):
+                    out.append((r.scan, r.src, r.dst, found[0], len(found[1]) - 1, found[1]))
+        return pd.DataFrame(out, columns=["scan", "src", "dst", "d", "hops", "path"])
+
+    form = f"scan {kinds['scan']}, src {kinds['src']}, dst {kinds['dst']}, d double, hops long, path array<{kinds['src']}>"
+    return dealt.groupBy("scan", "bucket").cogroup(near.groupBy("scan", "part")).applyInPandas(run, form)
+
+
+def _asked_by_joins(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for scans of any size: labels (source, node, distance, way) spread from the asked sources, a step per round.
+
+    A label goes on only while it is shorter than the longest way that its source still needs: the greatest
+    distance to an asked goal, once all of them are reached. Each round is a join with the edges and a
+    minimum, and ends in a checkpoint; two numbers tell whether anything changed.
+    """
+    goals = durable(asked.select("scan", "src", F.col("dst").alias("node")))
+    steps = durable(edges.select("scan", F.col("src").alias("node"), F.col("dst").alias("to"), "w"))
+    label = F.struct("d", F.reverse("path").alias("back"))
+    known = goals.select("scan", "src", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.array("src").alias("path"), F.lit(True).alias("new")).distinct()
+    while True:
+        known = durable(known)
+        if not known.where("new").limit(1).count():
+            break
+        # how far a source has to go: null (no bound) while a goal is unknown
+        need = goals.join(known.select("scan", "src", "node", "d"), ["scan", "src", "node"], "left").groupBy("scan", "src").agg(F.when(F.count_if(F.col("d").isNull()) == 0, F.max("d")).alias("far"))
+        front = known.where("new").join(need, ["scan", "src"]).where(F.col("far").isNull() | (F.col("d") < F.col("far")))
+        moved = front.join(steps, ["scan", "node"]).select("scan", "src", F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.array_append("path", F.col("to")).alias("path"), F.lit(True).alias("new"))
+        both = known.withColumn("new", F.lit(False)).unionByName(moved)
+        best = both.groupBy("scan", "src", "node").agg(F.min(F.struct(label.alias("label"), "new")).alias("b"))
+        known = best.select("scan", "src", "node", F.col("b.label.d").alias("d"), F.reverse("b.label.back").alias("path"), "b.new")
+    found = goals.join(known, ["scan", "src", "node"])
+    return found.select("scan", "src", F.col("node").alias("dst"), "d", (F.size("path") - 1).cast("long").alias("hops"), "path")
+
+
+def asked_paths(edges: DataFrame, asked: DataFrame, most_edges: int = MOST_EDGES, buckets: int = 4) -> DataFrame:
+    """(scan, src, dst, d, hops, path) of the asked (scan, src, dst) that are connected, each once, for scans of any size.
+
+    The work follows the asked sources, not all pairs. Scans whose edges fit a task are relaxed there; those
+    of more than ``most_edges``, if there are any, by joins.
+    """
+    pairs = asked.select("scan", "src", "dst").distinct()
+    large = edges.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("scan")
+    if not large.limit(1).count():
+        return _asked_in_tasks(edges, pairs, buckets)
+    part = lambda df, how: df.join(large, "scan", how)
+    small = _asked_in_tasks(part(edges, "left_anti"), part(pairs, "left_anti"), buckets)
+    return small.unionByName(_asked_by_joins(part(edges, "left_semi"), part(pairs, "left_semi")))
+
+
+def _reached_in_tasks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(pdf["src"].to_numpy())
+        real = pdf["dst"].notna().to_numpy()
+        a, b = (np.searchsorted(names, pdf[c].to_numpy()[real]) for c in ("src", "dst"))
+        least, before = np.arange(len(names)), None
+        while before is None or (least != before).any():
+            before = least.copy()
+            np.minimum.at(least, b, least[a])
+            least = least[least]
+        return pd.DataFrame({"scan": pdf["scan"].iloc[0], "vp": names, "reach": np.bincount(least, minlength=len(names))[least]})
+
+    return _with_lone(edges, nodes).groupBy("scan").applyInPandas(run, f"scan {kinds['scan']}, vp {kinds['src']}, reach long")
+
+
+def _reached_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The least node of a part spreads over its nodes; each then takes the label of its label, so few rounds are needed.
+
+    A round is joins and a minimum and ends in a checkpoint; two numbers tell whether it changed anything.
+    """
+    rows = durable(nodes.select("scan", F.col("vp").alias("node"), F.col("vp").alias("least")))
+    links = durable(edges.select("scan", F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
+    mark = None
+    while (now := tuple(rows.agg(F.count_if(F.col("node") == F.col("least")), F.sum(F.xxhash64("scan", "node", "least").cast("decimal(38,0)"))).first())) != mark:
+        mark = now
+        spread = links.join(rows, ["scan", "node"]).select("scan", F.col("to").alias("node"), "least").unionByName(rows).groupBy("scan", "node").agg(F.min("least").alias("least"))
+        jump = spread.select("scan", F.col("node").alias("least"), F.col("least").alias("further"))
+        rows = durable(spread.join(jump, ["scan", "least"]).select("scan", "node", F.least("least", "further").alias("least")))
+    size = rows.groupBy("scan", "least").agg(F.count(F.lit(1)).alias("reach"))
+    return rows.join(size, ["scan", "least"]).select("scan", F.col("node").alias("vp"), "reach")
+
+
+def reached(edges: DataFrame, nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """(scan, vp, reach): how many nodes each can come to, itself included, for scans of any size and edges both ways."""
+    large = _large(nodes, most)
+    if large is None:
+        return _reached_in_tasks(edges, nodes)
+    part = lambda df, how: df.join(large, "scan", how)
+    return _reached_in_tasks(part(edges, "left_anti"), part(nodes, "left_anti")).unionByName(_reached_by_joins(part(edges, "left_semi"), part(nodes, "left_semi")))
+
+
 def adjacent_pairs(path: str) -> Column:
     """A path as an array of (pos, prev, node); ``prev`` is null at the start."""
     return F.transform(path, lambda x, k: F.struct(k.alias("pos"), F.get(path, k - 1).alias("prev"), x.alias("node")))

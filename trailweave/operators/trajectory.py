@@ -51,6 +51,18 @@ def walked(paths: DataFrame, dist: DataFrame, path: str, goal: str, *keys: str)
     )
 
 
+def asked_pairs(paths: DataFrame, path: str, *goals: str) -> DataFrame:
+    """(scan, src, dst): the distances that scoring (scan, ``path``, ``goals``) needs. A goal is a viewpoint or an array of them.
+
+    Every step on the way, and from each node to each goal.
+    """
+    kinds = dict(paths.dtypes)
+    targets = F.concat(*(F.col(g) if kinds[g].startswith("array") else F.array(g) for g in goals))
+    steps = paths.select("scan", F.explode(adjacent_pairs(path)).alias("s"), targets.alias("to"))
+    moved = steps.select("scan", F.col("s.prev").alias("src"), F.col("s.node").alias("dst")).where("src IS NOT NULL")
+    return moved.unionByName(steps.select("scan", F.col("s.node").alias("src"), F.explode("to").alias("dst"))).distinct()
+
+
 def _spl(won: Column) -> Column:
     return won * F.col("gt_lengths") / F.greatest("trajectory_lengths", "gt_lengths", F.lit(0.01))
 

@@ -93,7 +93,7 @@ def agg04_object_viewpoints(spark: SparkSession, sf: str) -> DataFrame:
 def st08_expert(spark: SparkSession, sf: str) -> DataFrame:
     """An expert's action from every viewpoint towards its scan's first one."""
     e, d = views.edges(spark, sf), views.dist(spark, sf)
-    goal = views.picks(spark, sf, d).where("k = 0").select("scan", F.col("vp").alias("goal"))
+    goal = views.picks(spark, sf, views.reach_of(d)).where("k = 0").select("scan", F.col("vp").alias("goal"))
     o = e.groupBy("scan", F.col("src").alias("cur")).agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
     rows = o.join(goal, "scan").select("scan", "cur", "goal", (F.col("cur") % 11 == 0).alias("ended"), F.posexplode(F.concat(F.array(F.col("cur")), "nbrs")).alias("option", "vp"))
     return C.expert_action(rows.withColumn("visited", F.col("vp") % 4 == 0), d, ["scan", "cur"])

@@ -88,7 +88,7 @@ def arr06_permutation(spark: SparkSession, sf: str) -> DataFrame:
 def arr07_pair_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Sum of the distances among each trajectory's distinct viewpoints."""
     d = views.dist(spark, sf)
-    s = views.steps(spark, sf, d).select("instr_id", "scan", "node").distinct()
+    s = views.steps(spark, sf, views.picks(spark, sf, views.reach_of(d))).select("instr_id", "scan", "node").distinct()
     pairs = s.join(s.select("instr_id", F.col("node").alias("other")), "instr_id").where("node < other")
     near = d.select("scan", F.col("src").alias("node"), F.col("dst").alias("other"), "d")
     return pairs.join(near, ["scan", "node", "other"]).groupBy("instr_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("d"), 5).alias("total"))
@@ -159,7 +159,7 @@ def str03_answers(spark: SparkSession, sf: str) -> DataFrame:
 def obs04_local_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Local options of every viewpoint (stop, then neighbours) with positions relative to the scan's first viewpoint: their sums."""
     n, d = views.nodes(spark, sf), views.dist(spark, sf)
-    first = views.picks(spark, sf, d).where("k = 0").select("scan", F.col("vp").alias("start"))
+    first = views.picks(spark, sf, views.reach_of(d)).where("k = 0").select("scan", F.col("vp").alias("start"))
     at = lambda s, k: n.select("scan", F.col("vp").alias(k), *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
     point = lambda s: tuple(F.col(f"{c}{s}") for c in "xyz")
     rel = lambda b: geometry.relative_position(point("a"), point(b), F.lit(0.0), F.lit(0.0))

@@ -22,13 +22,28 @@ def _metres(dist: DataFrame) -> DataFrame:
     return dist.withColumn("d", F.col("d") * SCALE)
 
 
-def _walks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Distances and predictions, each made once and kept: scores read them many times."""
-    d = durable(views.dist(spark, sf))
-    return d, durable(views.predictions(spark, sf, d))
+def _walks(spark: SparkSession, sf: str, ends: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distances asked for, predictions and viewpoints, each made once and kept: scores read them many times.
 
+    Distances are of the pairs that scores ask for: steps, and from each node to its goal and, if there are any,
+    to the first ``ends`` viewpoints of the scan.
+    """
+    e = durable(views.edges(spark, sf))
+    picks = durable(views.picks(spark, sf, graph.reached(e, views.nodes(spark, sf))))
+    p = durable(views.predictions(spark, sf, picks))
+    ways, goals = p.select("scan", F.flatten("trajectory").alias("way"), "goal"), ["goal"]
+    if ends:
+        ways, goals = ways.join(_ends(picks, ends), "scan"), ["goal", "end_panos"]
+    asked = trajectory.asked_pairs(ways, "way", *goals).unionByName(p.select("scan", F.col("goal").alias("src"), F.col("goal").alias("dst")))
+    return durable(graph.asked_paths(e, asked).select("scan", "src", "dst", "d")), p, picks
 
-def _inputs(d: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _ends(picks: DataFrame, n: int) -> DataFrame:
+    """(scan, end_panos): the first viewpoints of each scan."""
+    return picks.where(F.col("k") < n).groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("end_panos"))
+
+
+def _inputs(d: DataFrame, p: DataFrame, *_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Predictions, ground truth and distances in metres."""
     return p.drop("scan", "goal"), p.select("instr_id", "scan", F.array(F.flatten("trajectory")[0], "goal").alias("path")), _metres(d)
 
@@ -66,10 +81,32 @@ def grf02_distances_by_joins(spark: SparkSession, sf: str) -> DataFrame:
 
 def grf03_paths(spark: SparkSession, sf: str) -> DataFrame:
     """All-pairs shortest paths as node lists, of up to ten nodes in the oracle's reach."""
-    p = graph.shortest_paths(views.edges(spark, sf), views.nodes(spark, sf))
+    p = graph.paths(views.edges(spark, sf), views.nodes(spark, sf))
     return p.select("scan", "src", "dst", "hops", F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"))
 
 
+def grf03_asked_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest paths from where each trajectory starts to its goal, and nothing but those."""
+    e, asked = _asked(spark, sf)
+    return _as_rows(graph.asked_paths(e, asked))
+
+
+def grf03_asked_paths_by_joins(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by labels that spread from the asked sources through joins: the form for scans that no task can hold."""
+    e, asked = _asked(spark, sf)
+    return _as_rows(graph.asked_paths(e, asked, most_edges=0))
+
+
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = durable(views.edges(spark, sf))
+    p = views.predictions(spark, sf, views.picks(spark, sf, graph.reached(e, views.nodes(spark, sf))))
+    return e, p.select("scan", F.flatten("trajectory")[0].alias("src"), F.col("goal").alias("dst"))
+
+
+def _as_rows(p: DataFrame) -> DataFrame:
+    return p.select("scan", "src", "dst", "hops", *_six("d"), F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"))
+
+
 def grf_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Degree and nearest neighbour of every viewpoint that has any."""
     return graph.degree(views.edges(spark, sf)).select("scan", "vp", "degree", *_six("nearest"))
@@ -111,9 +148,8 @@ def _objects(picks: DataFrame) -> DataFrame:
 
 def trj_reverie_items(spark: SparkSession, sf: str) -> DataFrame:
     """Success in a set of viewpoints, and grounding of the object."""
-    d, p = _walks(spark, sf)
+    d, p, picks = _walks(spark, sf)
     preds, gt, dist = _inputs(d, p)
-    picks = views.picks(spark, sf, d)
     preds = preds.withColumn("pred_objid", (F.col("user_id") + F.col("week")) % 7)
     goal_k = picks.select("scan", F.col("vp").alias("goal"), (F.col("k") % 7).alias("objid"))
     gt = gt.withColumn("goal", F.element_at("path", -1)).join(goal_k, ["scan", "goal"]).join(_objects(picks), ["scan", "objid"]).drop("goal")
@@ -123,7 +159,7 @@ def trj_reverie_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def trj_soon_items(spark: SparkSession, sf: str) -> DataFrame:
     """Detection inside a box (a square of 0.2 around the goal's direction), seen from viewpoints on the way that have an even id."""
-    d, p = _walks(spark, sf)
+    d, p, _ = _walks(spark, sf)
     preds, gt, dist = _inputs(d, p)
     preds = preds.withColumn("obj_heading", F.when(F.col("user_id") % 5 != 0, (F.col("user_id") % 9) / 20.0)).withColumn("obj_elevation", (F.col("week") % 7) / 20.0)
     corner = [(-0.1, 0.1), (0.1, 0.1), (0.1, -0.1), (-0.1, -0.1)]
@@ -137,10 +173,9 @@ def trj_soon_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dialog_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d, p = _walks(spark, sf)
+    d, p, picks = _walks(spark, sf, 3)
     preds, gt, dist = _inputs(d, p)
-    ends = views.picks(spark, sf, d).where("k < 3").groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("end_panos"))
-    return preds, gt.join(ends, "scan").withColumn("planner_path", F.array(F.col("path")[0], F.col("end_panos")[0])), dist
+    return preds, gt.join(_ends(picks, 3), "scan").withColumn("planner_path", F.array(F.col("path")[0], F.col("end_panos")[0])), dist
 
 
 def trj_cvdn_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,8 +193,8 @@ def trj_cvdn_summary(spark: SparkSession, sf: str) -> DataFrame:
 def top04_retarget(spark: SparkSession, sf: str) -> DataFrame:
     """Paths that end outside their end panoramas, led to the one of fewest hops."""
     _, gt, _ = _dialog_inputs(spark, sf)
-    paths = graph.shortest_paths(views.edges(spark, sf), views.nodes(spark, sf))
-    made = trajectory.retargeted(gt.select("instr_id", "scan", "path", "end_panos"), paths)
+    asked = gt.select("scan", F.col("path")[0].alias("src"), F.explode("end_panos").alias("dst"))
+    made = trajectory.retargeted(gt.select("instr_id", "scan", "path", "end_panos"), graph.asked_paths(views.edges(spark, sf), asked))
     return made.select("instr_id", F.element_at("path", -1).alias("goal"))
 
 
@@ -176,7 +211,7 @@ def agg16_overall(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        agg06_distinct_scans, grf01_edges, jon06_connectivity, grf02_distances, grf02_distances_by_joins, grf03_paths, grf_degree, trj_r2r_items, trj_r2r_summary,
+        agg06_distinct_scans, grf01_edges, jon06_connectivity, grf02_distances, grf02_distances_by_joins, grf03_paths, grf03_asked_paths, grf03_asked_paths_by_joins, grf_degree, trj_r2r_items, trj_r2r_summary,
         trj_eqa_summary_by_week, agg18_steps, trj_reverie_items, trj_soon_items, trj_cvdn_items, trj_cvdn_summary, top04_retarget, agg16_overall,
     )
 }
@@ -260,3 +295,8 @@ SELECT f.instr_id, CASE WHEN EXISTS (SELECT 1 FROM ends e WHERE e.scan = f.scan
 t AS (SELECT user_id % 4 AS task, avg(won * eff) * 100 AS spl FROM final GROUP BY 1)
 SELECT round(sum(CASE task WHEN 0 THEN spl / 60.0 WHEN 1 THEN spl / 36.63 WHEN 2 THEN spl / 26.58 ELSE 0.0 END), 6) AS overall FROM t""",
 }
+
+_ASKED = f"""WITH RECURSIVE {_PATHS.replace(DIST, STEPS, 1)},
+asked AS (SELECT DISTINCT scan, first(node ORDER BY pos) AS src, any_value(goal) AS dst FROM steps GROUP BY instr_id, scan)
+SELECT w.scan, w.src, w.dst, w.hops, round(d.d, 6) AS d, w.path FROM ways w JOIN asked a USING (scan, src, dst) JOIN dist d USING (scan, src, dst) WHERE w.cur = w.src"""
+ORACLE |= {"grf03_asked_paths": _ASKED, "grf03_asked_paths_by_joins": _ASKED}

@@ -39,13 +39,17 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def dist(spark: SparkSession, sf: str) -> DataFrame:
     """(scan, src, dst, d)."""
-    return graph.shortest_distances(edges(spark, sf), nodes(spark, sf))
+    return graph.distances(edges(spark, sf), nodes(spark, sf))
+
+
+def reach_of(d: DataFrame) -> DataFrame:
+    """(scan, vp, reach) from kept distances."""
+    return d.groupBy("scan", F.col("src").alias("vp")).agg(F.count(F.lit(1)).alias("reach"))
 
 
 def picks(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
-    """(scan, k, vp, n): the viewpoints of each scan's largest connected part, numbered from 0."""
-    d = dist(spark, sf) if of is None else of
-    reach = d.groupBy("scan", F.col("src").alias("vp")).agg(F.count(F.lit(1)).alias("reach"))
+    """(scan, k, vp, n): the viewpoints of each scan's largest connected part, numbered from 0. ``of``: kept ``graph.reached``."""
+    reach = graph.reached(edges(spark, sf), nodes(spark, sf)) if of is None else of
     most = reach.groupBy("scan").agg(F.max("reach").alias("most"))
     able = reach.join(most, "scan").where("reach = most")
     by_scan = Window.partitionBy("scan")
@@ -54,7 +58,7 @@ def picks(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFram
 
 def steps(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """(instr_id, user_id, week, scan, pos, node, goal): one row per step of a trajectory."""
-    p = picks(spark, sf, of)
+    p = picks(spark, sf) if of is None else of
     size = p.select("scan", "n").distinct()
     scans = nodes(spark, sf).agg((F.max("scan") + 1).alias("scans"))  # one row
     e = table(spark, sf, "events").crossJoin(F.broadcast(scans))
