@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "trj_r2r_summary", "trj_reverie_items", "trj_soon_items", "top04_retarget", "grf03_paths", "top06_candidates", "txt01_bleu_corpus", "txt04_rouge_l", "txt05_cider", "prj01_instructions",
     "prj11_dialogs", "prj02_numbers", "prm_prompts", "smp01_mixture", "smp06_ranks", "obs05_graph", "win01_moves", "snk03_search", "st01_stream_memory", "st02_status",
+    "st03_stream_nodes", "st11_greedy", "st11_beams", "grf03_asked_paths", "grf03_asked_paths_by_joins", "src13_records", "src10_objects", "src11_renamed", "snk07_matrix",
     "obs11_samples", "st07_jumps", "txt13_left", "smp05_shuffled", "agg07_running_means", "grf02_distances_by_joins", "snk08_aligned_features",
 ]
 
