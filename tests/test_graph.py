@@ -123,6 +123,7 @@ def test_forms_for_large_scans_are_the_same(spark):
     wanted = [r for r in every if (r[1] * 7 + r[2]) % 3 == 0]
     for most in (0, 20, 1000):
         assert rows(G.asked_paths(edges, asked.unionByName(asked), most)) == wanted
+        assert rows(G.asked_distances(edges, asked.unionByName(asked), most)) == [r[:4] for r in wanted]
     assert not G.asked_paths(edges, asked.limit(0)).count() and not G.asked_paths(edges.limit(0), asked.where("src <> dst")).count()
 
 

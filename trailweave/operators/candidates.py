@@ -17,7 +17,7 @@ def sweep(viewpoints: DataFrame) -> DataFrame:
 def best_views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scan, vp, nbr, view, heading, elevation, distance): every neighbour with the view whose middle it is nearest, and its angle off it.
 
-    Of equally near views the first. Decided in the edge's own row.
+    Of equally near views the first. Decided in the edge's own row, by arithmetic.
     """
     at = nodes.select("scan", F.col("vp").alias("src"), *(F.col(c).alias(f"{c}a") for c in "xyz"))
     to = nodes.select("scan", F.col("vp").alias("dst"), *(F.col(c).alias(f"{c}b") for c in "xyz"))
@@ -26,11 +26,14 @@ def best_views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     heading, elevation, _ = G.relative_position(a, b, F.lit(0.0), F.lit(0.0))
     rows = e.select("scan", F.col("src").alias("vp"), F.col("dst").alias("nbr"), heading.alias("heading"), elevation.alias("elevation"))
 
-    def off(view: Column) -> Column:
-        return F.hypot(G.normalised_angle(F.col("heading") - G.view_heading(view)), F.col("elevation") - G.view_elevation(view))
-
-    views = F.transform(F.sequence(F.lit(0), F.lit(G.VIEWS - 1)), lambda v: F.struct(F.round(off(v), 9).alias("r"), v.alias("view"), off(v).alias("distance")))
-    best = rows.withColumn("b", F.array_min(views))
+    # rings and headings are even steps apart, so the nearest view is one of the two rings and two headings around
+    ring = F.least(F.greatest(F.floor((F.col("elevation") + G.STEP) / G.STEP), F.lit(0)), F.lit(G.VIEWS // G.RING - 2))
+    turn = F.floor(F.pmod(F.col("heading"), F.lit(G.FULL)) / G.STEP)
+    near = rows.withColumn("ring", ring.cast("int")).withColumn("turn", turn.cast("int"))
+    near = near.select("*", *(G.normalised_angle(F.col("heading") - (F.col("turn") + k) * G.STEP).alias(f"h{k}") for k in (0, 1)), *(((F.col("elevation") - (F.col("ring") + k - 1) * G.STEP)).alias(f"e{k}") for k in (0, 1)))
+    near = near.select("*", *(F.hypot(f"h{k % 2}", f"e{k // 2}").alias(f"o{k}") for k in range(4)), *(((F.col("ring") + k // 2) * G.RING + (F.col("turn") + k % 2) % G.RING).alias(f"v{k}") for k in range(4)))
+    options = [F.struct(F.round(f"o{k}", 9).alias("r"), F.col(f"v{k}").alias("view"), F.col(f"o{k}").alias("distance")) for k in range(4)]
+    best = near.withColumn("b", F.least(*options))
     return best.select("scan", "vp", "nbr", "b.view", "heading", "elevation", "b.distance")
 
 

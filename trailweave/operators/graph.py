@@ -209,6 +209,12 @@ class _Relaxed:
             self.d[:, ends] = np.minimum(self.d[:, ends], better)
         self.into = dict(zip(self.dst[self.first].tolist(), zip(self.first, [*self.first[1:], len(src)])))
 
+    def distances(self, sources: np.ndarray, goals: np.ndarray) -> np.ndarray:
+        """Of pairs; infinite where there is no way."""
+        at = np.minimum(np.searchsorted(self.names, goals), len(self.names) - 1)
+        rows = np.array([self.rows[s] for s in sources.tolist()], dtype=int)
+        return np.where(self.names[at] == goals, self.d[rows, at], np.inf)
+
     def way(self, source: object, goal: object) -> tuple[float, list] | None:
         """(distance, nodes); of equally short ways the one whose last step comes from the smallest node, at each step."""
         at = np.searchsorted(self.names, goal)
@@ -224,8 +230,8 @@ class _Relaxed:
         return total, self.names[way[::-1]].tolist()
 
 
-def _asked_in_tasks(edges: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
-    """Paths of asked pairs, the sources of a scan dealt to some tasks that each get its edges."""
+def _asked_in_tasks(edges: DataFrame, asked: DataFrame, buckets: int, ways: bool) -> DataFrame:
+    """Distances of asked pairs, and paths if ``ways``, the sources of a scan dealt to some tasks that each get its edges."""
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
     dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(buckets)).cast("int"))
     wanted = dealt.select(F.col("scan").alias("scan"), F.col("bucket").alias("part")).distinct()
@@ -237,12 +243,19 @@ def _asked_in_tasks(edges: DataFrame, asked: DataFrame, buckets: int) -> DataFra
         size = max(1, BLOCK // max(1, len(steps)))
         for k in range(0, len(sources), size):
             known = _Relaxed(steps, sources[k : k + size])
-            for r in pairs[pairs["src"].isin(sources[k : k + size])].itertuples(index=False):
+            mine = pairs[pairs["src"].isin(sources[k : k + size])]
+            if not ways:
+                out.append(mine[["scan", "src", "dst"]].assign(d=known.distances(mine["src"].to_numpy(), mine["dst"].to_numpy())))
+                continue
+            for r in mine.itertuples(index=False):
                 if found := known.way(r.src, r.dst):
                     out.append((r.scan, r.src, r.dst, found[0], len(found[1]) - 1, found[1]))
+        if not ways:
+            every = pd.concat(out) if out else pd.DataFrame({"scan": [], "src": [], "dst": [], "d": []})
+            return every[np.isfinite(every["d"])]
         return pd.DataFrame(out, columns=["scan", "src", "dst", "d", "hops", "path"])
 
-    form = f"scan {kinds['scan']}, src {kinds['src']}, dst {kinds['dst']}, d double, hops long, path array<{kinds['src']}>"
+    form = f"scan {kinds['scan']}, src {kinds['src']}, dst {kinds['dst']}, d double" + (f", hops long, path array<{kinds['src']}>" if ways else "")
     return dealt.groupBy("scan", "bucket").cogroup(near.groupBy("scan", "part")).applyInPandas(run, form)
 
 
@@ -272,19 +285,28 @@ def _asked_by_joins(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select("scan", "src", F.col("node").alias("dst"), "d", (F.size("path") - 1).cast("long").alias("hops"), "path")
 
 
+def _asked(edges: DataFrame, asked: DataFrame, most_edges: int, buckets: int, ways: bool) -> DataFrame:
+    pairs = asked.select("scan", "src", "dst").distinct()
+    large = edges.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("scan")
+    if not large.limit(1).count():
+        return _asked_in_tasks(edges, pairs, buckets, ways)
+    part = lambda df, how: df.join(large, "scan", how)
+    small = _asked_in_tasks(part(edges, "left_anti"), part(pairs, "left_anti"), buckets, ways)
+    return small.unionByName(_asked_by_joins(part(edges, "left_semi"), part(pairs, "left_semi")).select(small.columns))
+
+
 def asked_paths(edges: DataFrame, asked: DataFrame, most_edges: int = MOST_EDGES, buckets: int = 4) -> DataFrame:
     """(scan, src, dst, d, hops, path) of the asked (scan, src, dst) that are connected, each once, for scans of any size.
 
     The work follows the asked sources, not all pairs. Scans whose edges fit a task are relaxed there; those
     of more than ``most_edges``, if there are any, by joins.
     """
-    pairs = asked.select("scan", "src", "dst").distinct()
-    large = edges.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("scan")
-    if not large.limit(1).count():
-        return _asked_in_tasks(edges, pairs, buckets)
-    part = lambda df, how: df.join(large, "scan", how)
-    small = _asked_in_tasks(part(edges, "left_anti"), part(pairs, "left_anti"), buckets)
-    return small.unionByName(_asked_by_joins(part(edges, "left_semi"), part(pairs, "left_semi")))
+    return _asked(edges, asked, most_edges, buckets, ways=True)
+
+
+def asked_distances(edges: DataFrame, asked: DataFrame, most_edges: int = MOST_EDGES, buckets: int = 4) -> DataFrame:
+    """(scan, src, dst, d) of the same."""
+    return _asked(edges, asked, most_edges, buckets, ways=False)
 
 
 def _reached_in_tasks(edges: DataFrame, nodes: DataFrame) -> DataFrame:

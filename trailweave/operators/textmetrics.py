@@ -30,27 +30,44 @@ def paired(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 # ---- BLEU ----------------------------------------------------------------------------------------
 
 
-def _key(tokens: Column, n: int) -> Column:
-    """The n-grams of a text, each as two independent hashes of its tokens: 128 bits, and no text to carry."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    keys = F.transform(starts, lambda k: F.struct(F.xxhash64(F.slice(tokens, k, n)).alias("h1"), F.xxhash64(F.lit(n), F.slice(tokens, k, n)).alias("h2")))
-    return F.when(F.size(tokens) >= n, keys).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+def _hashes(tokens: Column) -> tuple[Column, Column]:
+    """Two independent hashes of every token."""
+    return F.transform(tokens, lambda w: F.xxhash64(w)), F.transform(tokens, lambda w: F.xxhash64(F.lit(1), w))
 
 
-def _most_refs(rows: DataFrame) -> int:
-    """The greatest number of references an id has: one number."""
-    return rows.agg(F.max(F.size("refs"))).first()[0] or 0
+def _key(first: list[Column], second: list[Column]) -> tuple[Column, Column]:
+    """An n-gram as 128 bits of its tokens' hashes: no text to carry."""
+    return F.xxhash64(*first), F.xxhash64(*second)
+
+
+def _most_refs(rows: DataFrame, known: int | None) -> int:
+    """The greatest number of references an id has: what the caller knows, or one number asked for."""
+    return known if known is not None else rows.agg(F.max(F.size("refs"))).first()[0] or 0
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Texts where their ids are; all that is counted per id begins here, so they cross once."""
+    return rows.select("id", "hyp", "refs").repartition("id")
 
 
 def _grams(rows: DataFrame, most: int) -> DataFrame:
     """(id, order, h1, h2, hyp, ref0..): each n-gram's count in the hypothesis and in each of at most ``most`` references.
 
-    One aggregation, whose buffers are plain numbers; the texts are dealt by id before, so it adds no exchange.
+    One aggregation, whose buffers are plain numbers; ``rows`` are dealt by id, so it adds no exchange. More references
+    than ``most`` raise.
     """
-    texts = rows.select("id", F.concat(F.array("hyp"), "refs").alias("texts")).repartition("id").select("id", F.posexplode("texts").alias("of", "text"))
-    tokens = texts.select("id", "of", words("text").alias("tokens"))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("order"), _key(F.col("tokens"), n).alias("keys")) for n in ORDERS)))
-    grams = tokens.select("id", "of", each.alias("g")).select("id", "of", "g.order", F.explode("g.keys").alias("k")).select("id", "of", "order", "k.h1", "k.h2")
+    few = F.when(F.size("refs") <= most, F.concat(F.array("hyp"), "refs")).otherwise(F.raise_error(F.lit(f"an id has more than {most} references")))
+    texts = rows.select("id", few.alias("texts")).select("id", F.posexplode("texts").alias("of", "text"))
+    one, two = _hashes(words("text"))
+    hashed = texts.select("id", "of", one.alias("one"), two.alias("two")).where(F.size("one") > 0)
+    # a row per place with the hashes of its token and the next ones, null beyond the end
+    ahead = F.arrays_zip(*(F.slice(c, n, F.size(c)).alias(f"{c}{n}") for c in ("one", "two") for n in ORDERS))
+    places = hashed.select("id", "of", F.inline(ahead))
+    keys = []
+    for n in ORDERS:
+        h1, h2 = _key(*([F.col(f"{c}{k}") for k in ORDERS[:n]] for c in ("one", "two")))
+        keys.append(F.struct(F.when(F.col(f"one{n}").isNotNull(), F.lit(n)).alias("order"), h1.alias("h1"), h2.alias("h2")))
+    grams = places.select("id", "of", F.inline(F.array(*keys))).where("order IS NOT NULL")
     return grams.groupBy("id", "order", "h1", "h2").agg(*(F.count(F.when(F.col("of") == k, 1)).alias(f"ref{k - 1}" if k else "hyp") for k in range(most + 1)))
 
 
@@ -63,9 +80,12 @@ def reference_length(length: Column, lengths: Column, option: str) -> Column:
     return F.array_min(F.transform(lengths, lambda x: F.struct(F.abs(x - length).alias("off"), x.alias("n"))))["n"].cast("double")
 
 
-def bleu_counts(rows: DataFrame, option: str = "closest") -> DataFrame:
-    """Per id: testlen, reflen, guess1..4 and correct1..4 (clipped by the greatest count in one reference)."""
-    n_refs = _most_refs(rows)
+def bleu_counts(rows: DataFrame, option: str = "closest", most_refs: int | None = None) -> DataFrame:
+    """Per id: testlen, reflen, guess1..4 and correct1..4 (clipped by the greatest count in one reference).
+
+    ``most_refs``: how many references an id has at most, where that is known; else it is asked for first.
+    """
+    n_refs, rows = _most_refs(rows, most_refs), _dealt(rows)
     greatest = F.greatest(F.lit(0), F.lit(0), *(F.col(f"ref{k}") for k in range(n_refs)))
     hits = _grams(rows, n_refs).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least("hyp", greatest)).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
     r = rows.withColumn("_hyp", words("hyp"))
@@ -98,9 +118,9 @@ def lengths(counts: DataFrame) -> DataFrame:
     return total.withColumn("ratio", (F.col("testlen") + TINY) / (F.col("reflen") + SMALL))
 
 
-def caption_bundle(rows: DataFrame) -> DataFrame:
+def caption_bundle(rows: DataFrame, most_refs: int | None = None) -> DataFrame:
     """(metric, value): BLEU-1..4 alone, as they are."""
-    b = bleu_corpus(bleu_counts(rows))
+    b = bleu_corpus(bleu_counts(rows, most_refs=most_refs))
     return b.select(F.explode(F.array(*(F.struct(F.lit(f"bleu{n}").alias("metric"), F.col(f"bleu{n}").alias("value")) for n in ORDERS))).alias("m")).select("m.*")
 
 
@@ -134,16 +154,19 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None) -> DataFrame:
+def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None, most_refs: int | None = None) -> DataFrame:
     """(id, cider). ``frequency`` (as ``document_frequency`` makes it) and ``documents`` may come from another corpus."""
-    most = _most_refs(rows)
+    most, rows = _most_refs(rows, most_refs), _dealt(rows)
     refs = [f"ref{k}" for k in range(most)]
     grams = _grams(rows, most)
     if frequency is None:
         df = grams.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in refs), F.lit(False))).groupBy("order", "h1", "h2").agg(F.count(F.lit(1)).alias("df"))
     else:
-        tokens = F.split("gram", " ", -1)
-        df = frequency.select("order", F.xxhash64(tokens).alias("h1"), F.xxhash64("order", tokens).alias("h2"), "df")
+        one, two = _hashes(F.split("gram", " ", -1))
+        known = frequency.select("order", one.alias("one"), two.alias("two"), "df")
+        of_order = [_key(*([F.col(c)[k] for k in range(n)] for c in ("one", "two"))) for n in ORDERS]
+        pick = lambda k: F.coalesce(*(F.when(F.col("order") == n, of_order[n - 1][k]) for n in ORDERS))
+        df = known.select("order", pick(0).alias("h1"), pick(1).alias("h2"), "df")
     of = rows.agg(F.count(F.lit(1)).cast("double").alias("of")) if documents is None else rows.sparkSession.range(1).select(F.lit(float(documents)).alias("of"))
     weight = F.log(F.greatest(F.col("of"), F.lit(1.0))) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
     weighed = grams.join(df, ["order", "h1", "h2"], "left").crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row

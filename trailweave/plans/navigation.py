@@ -35,7 +35,7 @@ def _walks(spark: SparkSession, sf: str, ends: int = 0) -> tuple[DataFrame, Data
     if ends:
         ways, goals = ways.join(_ends(picks, ends), "scan"), ["goal", "end_panos"]
     asked = trajectory.asked_pairs(ways, "way", *goals).unionByName(p.select("scan", F.col("goal").alias("src"), F.col("goal").alias("dst")))
-    return durable(graph.asked_paths(e, asked).select("scan", "src", "dst", "d")), p, picks
+    return durable(graph.asked_distances(e, asked)), p, picks
 
 
 def _ends(picks: DataFrame, n: int) -> DataFrame:

@@ -11,7 +11,7 @@ from trailweave.plans import text
 from trailweave.plans.agents import VIEWS_OF
 from trailweave.plans.base_sql import EDGES, NODES, STEPS, WALKED, words_sql
 from trailweave.sources import annotations, catalog, sinks, views
-from trailweave.sources.durable import shared_folder
+from trailweave.sources.durable import durable, shared_folder
 from trailweave.sources.tables import table
 from trailweave.streaming import memory as stream
 
@@ -35,10 +35,10 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _observed(spark: SparkSession, sf: str) -> DataFrame:
+def _observed(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFrame:
     n = views.nodes(spark, sf)
     lists = O.candidate_lists(C.best_views(n, views.edges(spark, sf)), n)
-    return O.observed(_items(spark, sf), n, lists, _store(spark, sf), SIZE)
+    return O.observed(_items(spark, sf) if items is None else items, n, lists, _store(spark, sf), SIZE)
 
 
 def _total(numbers: str | Column) -> Column:
@@ -47,7 +47,7 @@ def _total(numbers: str | Column) -> Column:
 
 def obs11_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Samples: each trajectory's item with its first observation, features of all views and of the neighbours."""
-    s = O.samples(annotate.numbered(_observed(spark, sf), "user_id", ["week"]))
+    s = O.samples(_observed(spark, sf, annotate.numbered(durable(_items(spark, sf)), "user_id", ["week"])))
     ob = F.col("observations")
     return s.select(
         "sample_idx", "instr_id", ob["view_index"].alias("view_index"), F.size(ob["candidate"]).alias("n_candidates"), F.size(ob["feature"]).alias("n_views"),

@@ -11,6 +11,10 @@ from trailweave.operators import textmetrics as M
 from trailweave.plans.base_sql import words_sql
 from trailweave.sources.tables import table
 
+#: References of a pair.
+REFS = 2
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(id, hyp, refs): the reply and, as references, the turn before it and its own words, all but the first six in reverse order."""
     t = table(spark, sf, "conversations")
@@ -28,12 +32,12 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 def txt01_bleu_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """BLEU-1..4 of all pairs together."""
-    return _six(M.bleu_corpus(M.bleu_counts(pairs(spark, sf))), "bleu1", "bleu2", "bleu3", "bleu4", "reflen")
+    return _six(M.bleu_corpus(M.bleu_counts(pairs(spark, sf), most_refs=REFS)), "bleu1", "bleu2", "bleu3", "bleu4", "reflen")
 
 
 def txt02_bleu_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """BLEU-1..4 of every pair."""
-    return _six(M.bleu_sentences(M.bleu_counts(pairs(spark, sf))), "bleu1", "bleu2", "bleu3", "bleu4")
+    return _six(M.bleu_sentences(M.bleu_counts(pairs(spark, sf), most_refs=REFS)), "bleu1", "bleu2", "bleu3", "bleu4")
 
 
 def txt03_bleu_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,13 +65,13 @@ def arr04_lcs(spark: SparkSession, sf: str) -> DataFrame:
 
 def txt05_cider(spark: SparkSession, sf: str) -> DataFrame:
     """CIDEr of every pair."""
-    return _six(M.cider(pairs(spark, sf)), "cider")
+    return _six(M.cider(pairs(spark, sf), most_refs=REFS), "cider")
 
 
 def txt06_cider_given_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """CIDEr with document frequencies of the benchmark's passages."""
     refs = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array("text").alias("refs"))
-    return _six(M.cider(pairs(spark, sf), M.document_frequency(refs), 1000.0), "cider")
+    return _six(M.cider(pairs(spark, sf), M.document_frequency(refs), 1000.0, REFS), "cider")
 
 
 def agg14_document_frequency(spark: SparkSession, sf: str) -> DataFrame:

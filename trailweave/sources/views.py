@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.operators import graph
+from trailweave.sources.durable import durable
 from trailweave.sources.tables import table
 
 RADIUS = 0.2
@@ -58,7 +59,7 @@ def picks(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFram
 
 def steps(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """(instr_id, user_id, week, scan, pos, node, goal): one row per step of a trajectory."""
-    p = picks(spark, sf) if of is None else of
+    p = durable(picks(spark, sf)) if of is None else of  # read three times
     size = p.select("scan", "n").distinct()
     scans = nodes(spark, sf).agg((F.max("scan") + 1).alias("scans"))  # one row
     e = table(spark, sf, "events").crossJoin(F.broadcast(scans))
