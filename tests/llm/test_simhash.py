@@ -91,3 +91,12 @@ def test_near_dedup_keeps_one(spark):
     kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp"]
     assert sorted((str(r.doc_id), r.fp) for r in kept.collect()) == [("1", "l"), ("2", "m"), ("3", "k"), ("3", "o"), ("None", "n")]
+
+
+def test_groups_beyond_the_broadcast_ones(spark, monkeypatch):
+    rows = [(k, t, "") for k, t in enumerate(["a b c d"] * 5 + [""] * 4 + [None] * 3 + ["one two three"] * 2 + ["alone in here"])]
+    want = sorted(map(tuple, simhash.simhash_groups(spark.createDataFrame(rows, SCHEMA)).collect()))
+    for hot in (0, 1):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert sorted(map(tuple, simhash.simhash_groups(spark.createDataFrame(rows, SCHEMA)).collect())) == want
+    assert [w[2] for w in want] == [0] * 5 + [5] * 7 + [12] * 2 + [14]

@@ -78,6 +78,10 @@ def _blocks(half: Column, n: int) -> list[Column]:
     return [F.shiftright(half, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+#: Fingerprints that are broadcast, the most frequent first: so many rows of 24 bytes at any scale.
+HOT = 1000
+
+
 def _clear_at(near: Column) -> Callable[[Column], Column]:
     return lambda flip: near.bitwiseAND(flip.bitwiseAND(-flip)) == 0
 
@@ -119,14 +123,18 @@ def simhash_groups(
 ) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long), ``component_id`` (smallest id reachable by links)."""
     rows = durable(fingerprints(df, id_col, text_col, shingle_words))
-    nodes = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    nodes = durable(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("size")))
     roots = components(near_links(nodes.select("fp"), max_bits), "a", "b")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("group")
+        "fp", "least_id", "size", F.coalesce("root", "fp").alias("group")
     )
     least = rooted.groupBy("group").agg(F.min("least_id").alias("component_id")).withColumnRenamed("group", "g")
-    named = rooted.join(least, rooted["group"] == least["g"]).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(named, rows["fp"] == named["f"]).select(id_col, "fp", "component_id")
+    named = durable(rooted.join(least, rooted["group"] == least["g"]).select(F.col("fp").alias("f"), "component_id", "size"))
+    # the most frequent fingerprints are sent to all tasks, so the join by fingerprint has no key with over 1 / HOT of all rows
+    hot = F.broadcast(named.where("size > 1").orderBy(F.desc("size"), "f").limit(HOT))
+    same = F.col("fp") == F.col("f")
+    found = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(named, same))
+    return found.select(id_col, "fp", "component_id")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
