@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.llm import packing as K
 from trailweave.llm.byte_bpe import ByteBpe
@@ -100,3 +101,25 @@ def test_packed_documents(spark, library):
     for r in K.sequences(packed).collect():
         assert len(r.ids) == sum(n for _, n in where[r.sequence_id]) and len(r.starts) == len(where[r.sequence_id])
     assert K.pack(K.tokenised_pieces(docs.limit(0), PATH, with_ids=False)).count() == 0
+
+
+def test_few_sequences_at_any_number_of_partitions(spark):
+    """By the number of tasks that suits the texts, whatever the session's own number is; one id and no ids are no hot key."""
+    rnd = random.Random(10)
+    lengths = [rnd.choice([rnd.randint(1, 1024), rnd.randint(1, 200)]) for _ in range(6000)]
+    rows = [(None if k % 3 else 7, 0, 0, n, k, "x") for k, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, offset string").repartition(40)
+    docs = spark.createDataFrame([("x" * 1000,), (None,)], "text string")
+    assert K.tasks_for(docs) == 1 and K.tasks_for(docs.limit(0)) == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        packed = K.pack(pieces, tasks=K.tasks_for(docs))
+        n = packed.select("sequence_id").distinct().count()
+        spread = K.pack(pieces).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert n <= 1.02 * -(-sum(lengths) // 1024)
+    assert len(spread) > 50 and spread.max() < 3 * spread.mean()

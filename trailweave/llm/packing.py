@@ -122,11 +122,25 @@ def tokenised_pieces(
     return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, fields)
 
 
-def pack(pieces: DataFrame, id_col: str = "doc_id", size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``; ``length`` must be 1 to ``size``."""
+#: Characters of text for each task: its open bins, left unfilled at its end, are then few of its sequences.
+TASK_CHARS = 100_000_000
+
+
+def tasks_for(df: DataFrame, text_col: str = "text") -> int:
+    """How many tasks the texts are packed in: one number is asked for."""
+    return 1 + (df.agg(F.sum(F.length(text_col))).first()[0] or 0) // TASK_CHARS
+
+
+def pack(pieces: DataFrame, id_col: str = "doc_id", size: int = SEQUENCE, open_bins: int = OPEN_BINS, tasks: int | None = None) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``; ``length`` must be 1 to ``size``.
+
+    Pieces are dealt by their content as well as their id, so no id and no text makes a task larger. Each task leaves up to
+    ``open_bins`` sequences unfilled; ``tasks_for`` gives a number at which those count for little.
+    """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    key = F.xxhash64(id_col, "piece")
-    dealt = pieces.select(*columns).repartition(key).sortWithinPartitions(key, *(c for c in columns if c != "ids"))
+    key = F.xxhash64(id_col, "piece", *(c for c in ("start", "ids_crc32") if c in columns))
+    dealt = pieces.select(*columns)
+    dealt = (dealt.repartition(tasks, key) if tasks else dealt.repartition(key)).sortWithinPartitions(key, *(c for c in columns if c != "ids"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,8 +57,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
-    pieces = packing.tokenised_pieces(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
-    return packing.pack(pieces)
+    docs = documents(spark, sf_dir)
+    pieces = packing.tokenised_pieces(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(pieces, tasks=packing.tasks_for(docs))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
