@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules or the forest reject go.
 
     Null, empty and white-space-only texts go; short ones are left to the forest, as clean documents may be
-    short (the query's contract has 20 words at least). The verdict is the text's alone, so repeated rows
+    short (the query's contract has 20 words at least): a text of one plain word stays. The verdict is the text's alone, so repeated rows
     and rows without an id share it, and a very long text is judged as a whole.
     """
     forest = quality.fit(docs, documents(spark, sf_dir, "labels"), min_words=FEWEST_WORDS)
@@ -69,7 +69,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece of just the end id; repeated rows are packed each; other columns go.
     ``packing.sequences`` makes whole sequences of the result.
     """
-    return packing.pack(packing.tokenised_pieces(docs, tokenizer_path("byte_bpe_50k.json")))
+    return packing.pack(packing.tokenised_pieces(docs, tokenizer_path("byte_bpe_50k.json")), tasks=packing.tasks_for(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
