@@ -135,3 +135,35 @@ def mean_vector(vectors: Column, size: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), size)
     total = F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+
+
+# The rules of Penn Treebank tokens for English, taken in this order. Groups are written \1; no rule looks around itself, so
+# that Java and SQL engines read the patterns alike.
+TREEBANK = (
+    (r"[\t\n\x0b\f\r ]+", " "),
+    (r"^\"|([ (\[{<])\"", "\\1 `` "),
+    (r"\"", " '' "),
+    (r"\.\.\.", " ... "),
+    (r"([;@#$%&?!])", " \\1 "),
+    (r"([,:])([^0-9])", " \\1 \\2"),
+    (r"([,:])$", " \\1 "),
+    (r"([^ .])(\.)([)\]}>' ]*)$", "\\1 \\2\\3 "),
+    (r"([a-z)][a-z)])(\.) ", "\\1 \\2 "),
+    (r"\(", " -LRB- "), (r"\)", " -RRB- "), (r"\{", " -LCB- "), (r"\}", " -RCB- "), (r"\[", " -LSB- "), (r"\]", " -RSB- "),
+    (r"--+", " -- "),
+    (r" ", "  "),
+    (r"([A-Za-z])(n't|N'T)( |$)", "\\1 \\2\\3"),
+    (r"([A-Za-z0-9])('(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE))( |$)", "\\1 \\2\\3"),
+    (r"([^ '])'( |$)", "\\1 '\\2"),
+    (r"(^| )([Cc]an)(not)( |$)", "\\1\\2 \\3\\4"), (r"(^| )([Gg]on|[Ww]an)(na)( |$)", "\\1\\2 \\3\\4"), (r"(^| )([Gg]ot)(ta)( |$)", "\\1\\2 \\3\\4"),
+    (r"(^| )([Gg]im|[Ll]em)(me)( |$)", "\\1\\2 \\3\\4"), (r"(^| )('[Tt])(is|was)( |$)", "\\1\\2 \\3\\4"),
+    (r" +", " "),
+)
+
+
+def treebank(text: Column | str) -> Column:
+    """Penn Treebank tokens in lower case: the rules one after another, as one expression."""
+    out = F.col(text) if isinstance(text, str) else text
+    for pattern, by in TREEBANK:
+        out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
+    return F.filter(F.split(F.lower(out), " "), lambda w: w != "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import arrays
-from trailweave.operators import meteor
+from trailweave.operators import annotate, meteor, subwords
 from trailweave.operators import textmetrics as M
 from trailweave.plans.base_sql import words_sql
 from trailweave.sources.tables import table
@@ -122,6 +122,46 @@ def str_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("conv_id", "turn", F.size(w).alias("n_words"), F.size(arrays.spaced("text")).alias("n_parts"), F.size(arrays.ngrams(w, 3)).alias("n_trigrams"), F.md5(arrays.one_line("text")).alias("line_md5"))
 
 
+#: What stands around the texts of the queries of tokens, so that every rule has something to do.
+QUOTED = ' He\'d said: "we can\'t (or won\'t) pay 1,000 dollars; isn\'t it 3:30 -- gonna cannot cannot..." [John\'s], \'tis 50% {so}. '
+
+
+def str06_treebank(spark: SparkSession, sf: str) -> DataFrame:
+    """Treebank tokens of every turn with some quoted speech, and what is left of them without punctuation."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", arrays.treebank(F.concat(F.lit(QUOTED), "text", F.lit(QUOTED))).alias("w"))
+    made = lambda w: F.md5(F.array_join(w, " "))
+    return t.select("conv_id", "turn", F.size("w").alias("n"), made("w").alias("md5"), made(arrays.without_punctuation(F.col("w"))).alias("plain_md5"))
+
+
+#: Marks that are one id each, and the other ids that are no tokens.
+SPECIALS = {"<cand>": 4, "<hist>": 5, "<obj>": 6}
+PAD, BEGIN, UNKNOWN, FIRST_ID = 0, 1, 2, 10
+
+
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """(token, id): words of the benchmark's passages, and the parts of up to three letters that they begin or go on with; ids by order.
+
+    A vocabulary is a bounded table, so that it is put in order as a whole.
+    """
+    w = table(spark, sf, "benchmark").select(F.explode(subwords.words("text", [])).alias("w")).distinct().where(F.length("w") <= 16)
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda a: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(a.alias("a"), n.alias("n")))))
+    each = w.select("w", F.explode(spans).alias("s")).select("w", "s.a", "s.n").where(F.col("a") + F.col("n") - 1 <= F.length("w"))
+    part = F.substring(F.col("w"), F.col("a"), F.col("n"))
+    tokens = each.select(F.when(F.col("a") > 1, F.concat(F.lit(subwords.MARK), part)).otherwise(part).alias("token")).union(w.select("w")).distinct()
+    return tokens.select("token", (F.row_number().over(Window.orderBy("token")) + F.lit(FIRST_ID)).cast("long").alias("id"))
+
+
+def txt13_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as subword ids, marks among them, cut on the left to 1024 and padded on the left to the longest of their batch of 32."""
+    marked = F.concat(F.lit("<hist> "), F.coalesce("text", F.lit("")), F.lit(" <cand><obj>"))
+    docs = table(spark, sf, "documents").select("doc_id", marked.alias("text"))
+    ids = subwords.encoded(docs, "doc_id", "text", _vocabulary(spark, sf), SPECIALS, UNKNOWN, BEGIN)
+    b = annotate.numbered(ids, "doc_id", []).withColumn("batch", F.floor(F.col("sample_idx") / 32))
+    made = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ","))
+    out = subwords.left_batches(b, "batch", 1024, PAD)
+    return out.select("doc_id", "batch", F.size("ids").alias("n"), F.size("input_ids").alias("width"), made("input_ids").alias("ids_md5"), made("attention_mask").alias("mask_md5"))
+
+
 def prj12_first_words(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut to 128 words where they are longer."""
     cut = arrays.first_words("text", 128)
@@ -132,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt01_bleu_corpus, txt02_bleu_sentences, txt03_bleu_lengths, agg21_merged_counts, txt04_rouge_l, arr04_lcs, txt05_cider, txt06_cider_given_frequency,
-        agg14_document_frequency, txt07_meteor, txt07_meteor_corpus, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, prj12_first_words,
+        agg14_document_frequency, txt07_meteor, txt07_meteor_corpus, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, str06_treebank, txt13_tokens, prj12_first_words,
     )
 }
 
@@ -232,3 +272,42 @@ def _bundle_sql() -> str:
 
 
 ORACLE["txt09_bundle"] = _bundle_sql()
+
+
+def _treebank_sql() -> str:
+    out = "q || text || q"
+    for pattern, by in arrays.TREEBANK:
+        p, b = (x.replace("'", "''") for x in (pattern, by))
+        out = f"regexp_replace({out}, '{p}', '{b}', 'g')"
+    marks = ", ".join("'" + m.replace("'", "''") + "'" for m in arrays.PUNCTUATION)
+    quoted = QUOTED.replace("'", "''")
+    return f"""WITH f AS (SELECT conv_id, turn, list_filter(string_split(lower({out}), ' '), lambda w: w <> '') AS w FROM (SELECT *, '{quoted}' AS q FROM conversations))
+SELECT conv_id, turn, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(w, ' ')) AS md5, md5(array_to_string(list_filter(w, lambda x: x NOT IN ({marks})), ' ')) AS plain_md5 FROM f"""
+
+
+ORACLE["str06_treebank"] = _treebank_sql()
+_FOUND = r"[\p{L}\p{N}]+|[^\t-\r \p{L}\p{N}]"
+ORACLE["txt13_tokens"] = rf"""WITH RECURSIVE vw AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{_FOUND}'))) AS w FROM benchmark),
+sw AS (SELECT w FROM vw WHERE length(w) <= 16),
+tok AS (SELECT DISTINCT CASE WHEN a > 1 THEN '##' || substr(w, a, n) ELSE substr(w, a, n) END AS token FROM (SELECT w, unnest(range(1, length(w) + 1)) AS a FROM sw), (SELECT unnest([1, 2, 3]) AS n) WHERE a + n - 1 <= length(w)
+  UNION SELECT w FROM sw),
+voc AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) + {FIRST_ID} AS id FROM tok),
+places AS MATERIALIZED (SELECT doc_id, w AS raw, CASE WHEN w IN ('<cand>', '<hist>', '<obj>') THEN w ELSE lower(w) END AS word, pos
+  FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all('<hist> ' || coalesce(text, '') || ' <cand><obj>', '<cand>|<hist>|<obj>|{_FOUND}') AS l FROM documents))),
+known AS MATERIALIZED (SELECT DISTINCT word FROM places WHERE word NOT IN ('<cand>', '<hist>', '<obj>')),
+parts AS (SELECT word, a, n, CASE WHEN a > 1 THEN '##' ELSE '' END || substr(word, a, n) AS token
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS a FROM known WHERE length(word) <= {subwords.LONGEST}), (SELECT unnest(range(1, 17)) AS n) WHERE a + n - 1 <= length(word)),
+longest AS MATERIALIZED (SELECT word, a, max(n) AS n, arg_max(id, n) AS id FROM parts JOIN voc USING (token) GROUP BY 1, 2),
+walk(word, spot, ids, alive) AS (
+  SELECT word, 1::BIGINT, CAST([] AS BIGINT[]), length(word) <= {subwords.LONGEST} FROM known
+  UNION ALL
+  SELECT w.word, coalesce(w.spot + m.n, w.spot), CASE WHEN m.n IS NULL THEN w.ids ELSE list_append(w.ids, m.id) END, m.n IS NOT NULL
+  FROM walk w LEFT JOIN longest m ON m.word = w.word AND m.a = w.spot WHERE w.alive AND w.spot <= length(w.word)),
+done AS MATERIALIZED (SELECT word, arg_max(ids, spot) AS ids, max(spot) > length(word) AND bool_and(alive) AS ok FROM walk GROUP BY word),
+met AS (SELECT p.doc_id, p.pos, CASE p.word WHEN '<cand>' THEN [4::BIGINT] WHEN '<hist>' THEN [5::BIGINT] WHEN '<obj>' THEN [6::BIGINT] ELSE CASE WHEN d.ok THEN d.ids ELSE [{UNKNOWN}::BIGINT] END END AS ids
+  FROM places p LEFT JOIN done d ON d.word = p.word),
+seqs AS (SELECT doc_id, list_prepend({BEGIN}, flatten(list(ids ORDER BY pos))) AS ids FROM met GROUP BY 1),
+cut AS (SELECT doc_id, ids[greatest(len(ids) - 1023, 1):] AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM seqs),
+wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM cut)
+SELECT doc_id, batch, CAST(len(ids) AS INTEGER) AS n, CAST(width AS INTEGER) AS width, md5(array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), ids), ',')) AS ids_md5,
+       md5(array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)), ',')) AS mask_md5 FROM wide"""
