@@ -30,6 +30,14 @@ def matched(preds: DataFrame, gt: DataFrame) -> DataFrame:
     return joined.withColumn("pred_path", _need(F.col("pred_path"), F.col("pred_path")[0] == F.col("path")[0], "wrong start of")).drop("_known")
 
 
+def offenders(preds: DataFrame, gt: DataFrame) -> DataFrame:
+    """(instr_id, why): the predictions at which ``matched`` would raise, ``unknown`` or ``start``; for a look before a long run."""
+    known = gt.select("instr_id", F.col("path")[0].alias("_start"), F.lit(True).alias("_known"))
+    joined = preds.select("instr_id", F.flatten("trajectory")[0].alias("_first")).join(known, "instr_id", "left")
+    why = F.when(F.col("_known").isNull(), "unknown").when(~F.col("_first").eqNullSafe(F.col("_start")), "start")
+    return joined.select("instr_id", why.alias("why")).where("why IS NOT NULL")
+
+
 def walked(paths: DataFrame, dist: DataFrame, path: str, goal: str, *keys: str) -> DataFrame:
     """Per keys (``instr_id`` if none are named) over (keys, scan, ``path``, ``goal``): length, and distance to the goal at the end, at best, and where.
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import agents, basics, ingest, navigation, observations, state, stores, text
+from trailweave.plans import agents, basics, files, ingest, navigation, observations, state, stores, text
 
 FLAGSHIP = "trj_r2r_summary"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [navigation, text, agents, ingest, state, basics, observations, stores]
+    return [navigation, text, agents, ingest, state, basics, observations, stores, files]
 
 
 def queries() -> dict[str, Query]:

@@ -75,6 +75,21 @@ def images(spark: SparkSession, wanted: DataFrame, folders: list[str]) -> DataFr
     return wanted.join(best, "image", "left")
 
 
+def decoded_images(spark: SparkSession, wanted: DataFrame, folders: list[str]) -> DataFrame:
+    """``wanted`` (with ``image``, a file's name) and ``height``, ``width``, ``channels`` and ``pixels`` (bytes, row by row) from the first of the folders that has it.
+
+    Decoded by Spark's image source. All are null if no folder has it, or what is there is no image.
+    """
+    found = None
+    for place, folder in enumerate(folders):
+        i = F.col("image")
+        files = spark.read.format("image").load(folder).select(F.regexp_extract(i["origin"], r"([^/]+)$", 1).alias("name"), F.lit(place).alias("place"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("pixels"))
+        found = files if found is None else found.unionByName(files)
+    best = found.join(wanted.select(F.col("image").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min_by(F.struct("height", "width", "channels", "pixels"), "place").alias("i"))
+    ok = F.col("i.height") > 0
+    return wanted.join(best, wanted["image"] == best["name"], "left").select(*wanted.columns, *(F.when(ok, F.col(f"i.{c}")).alias(c) for c in ("height", "width", "channels", "pixels")))
+
+
 def as_text(raw: Column) -> Column:
     """Bytes as text; what is no UTF-8 becomes the replacement character."""
     return F.make_valid_utf8(raw.cast("string"))
