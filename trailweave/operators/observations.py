@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import geometry as G
+from trailweave.functions.arrays import first_words
+from trailweave.operators import graph, sampling
 from trailweave.sources.annotations import features
 
 ANGLES = 4
@@ -22,6 +24,44 @@ def view_at(heading: Column, elevation: Column) -> Column:
     return ring * G.RING + F.pmod(F.round(heading / G.STEP).cast("int"), F.lit(G.RING))
 
 
+#: Where a search looks at its start in evaluation; words of a dialog.
+SEARCH_HEADING = 1.52
+DIALOG_WORDS = 128
+
+
+def search_items(rows: DataFrame, edges: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """Object-search records (instr_id, scan, path, end_image_ids) as items: ``vp``, ``heading``, ``elevation``, ``gt_path``.
+
+    In training (``edges`` given) an agent looks anywhere and is led along a shortest way to one of the end viewpoints;
+    both are drawn by hashes of id and seed. A goal that can't be reached leaves no way: null. In evaluation the path stays.
+    """
+    start = rows.withColumn("vp", F.col("path")[0]).withColumn("elevation", F.lit(0.0))
+    if edges is None:
+        return start.withColumn("heading", F.lit(SEARCH_HEADING)).withColumnRenamed("path", "gt_path")
+    n = F.size("end_image_ids")
+    end = F.get("end_image_ids", F.floor(sampling.unit(seed, "instr_id") * n).cast("int"))
+    drawn = start.withColumn("end_vp", end).withColumn("heading", sampling.unit(seed + 1, "instr_id") * G.FULL)
+    asked = drawn.select("scan", F.col("vp").alias("src"), F.col("end_vp").alias("dst"))
+    ways = graph.asked_paths(edges, asked).select("scan", F.col("src").alias("vp"), F.col("dst").alias("end_vp"), F.col("path").alias("gt_path"))
+    return drawn.drop("path").join(ways, ["scan", "vp", "end_vp"], "left")
+
+
+def dialog_items(rows: DataFrame) -> DataFrame:
+    """Dialog records (path, start_heading, instruction) as items: they look where the dialog began, and say 128 words at most."""
+    return rows.select(
+        *(c for c in rows.columns if c not in ("path", "start_heading", "instruction")), F.col("path")[0].alias("vp"), F.col("path").alias("gt_path"),
+        F.col("start_heading").alias("heading"), F.lit(0.0).alias("elevation"), first_words("instruction", DIALOG_WORDS).alias("instruction"),
+    )
+
+
+def relative_views(viewpoints: DataFrame) -> DataFrame:
+    """Rows with ``base`` (a view) and, for each of all views, its angles off that one: a join with the table of 36 x 36 pairs."""
+    v = viewpoints.sparkSession.range(G.VIEWS).select(F.col("id").cast("int").alias("base"))
+    pairs = v.crossJoin(v.withColumnRenamed("base", "view"))  # 1296 rows
+    f = G.angle_feature(G.view_heading(F.col("view")) - G.view_heading(F.col("base")), G.view_elevation(F.col("view")) - G.view_elevation(F.col("base")))
+    return viewpoints.join(F.broadcast(pairs.withColumn("angles", f)), "base")
+
+
 def candidate_lists(best: DataFrame, nodes: DataFrame) -> DataFrame:
     """(scan, vp, candidates): the neighbours of every viewpoint with their views, angles and positions."""
     place = nodes.select("scan", F.col("vp").alias("nbr"), F.struct("x", "y", "z").alias("position"))

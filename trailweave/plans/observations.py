@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import arrays, geometry
-from trailweave.operators import annotate, candidates as C, memory, observations as O, registry as tasks, textmetrics
-from trailweave.plans import text
+from trailweave.operators import annotate, candidates as C, graph, memory, meteor, observations as O, registry as tasks, sampling, textmetrics
+from trailweave.plans import navigation, text
 from trailweave.plans.agents import VIEWS_OF
-from trailweave.plans.base_sql import EDGES, NODES, STEPS, WALKED, words_sql
+from trailweave.plans.base_sql import DIST, EDGES, NODES, PICKS, STEPS, WALKED, words_sql
 from trailweave.sources import annotations, catalog, sinks, views
 from trailweave.sources.durable import durable, shared_folder
 from trailweave.sources.tables import table
@@ -56,6 +56,49 @@ def obs11_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def obs11_search_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of object search in training: a hashed direction, and a shortest way to one of the scan's first three viewpoints."""
+    e = durable(views.edges(spark, sf))
+    picks = durable(views.picks(spark, sf, graph.reached(e, views.nodes(spark, sf))))
+    ends = picks.where("k < 3").groupBy("scan").agg(F.array_sort(F.collect_list("vp")).alias("end_image_ids"))
+    p = views.predictions(spark, sf, picks).join(ends, "scan")
+    rows = p.select("instr_id", "user_id", "week", "scan", F.flatten("trajectory").alias("path"), "end_image_ids", F.lit("find it").alias("instruction"), F.concat_ws("_", "user_id", "week").alias("path_id"), F.lit("soon").alias("data_type"))
+    items = annotate.numbered(durable(O.search_items(rows, e, 23)), "user_id", ["week"])
+    s = O.samples(_observed(spark, sf, items))
+    ob = F.col("observations")
+    return s.select("sample_idx", "instr_id", ob["view_index"].alias("view_index"), F.element_at(ob["gt_path"], -1).alias("goal"), F.size(ob["gt_path"]).cast("long").alias("n_path"), F.md5(F.array_join(F.transform(ob["gt_path"], lambda v: v.cast("string")), ">")).alias("path_md5"), F.size(ob["feature"]).alias("n_views"), "data_type")
+
+
+def obs11_dialog_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of dialog navigation: a dialog for every conversation, from where its scan's first viewpoints are."""
+    e = durable(views.edges(spark, sf))
+    picks = durable(views.picks(spark, sf, graph.reached(e, views.nodes(spark, sf))))
+    first = picks.where("k = 0").select("scan", F.col("vp").alias("start"))
+    n = first.agg(F.count(F.lit(1)).alias("scans"))  # one row
+    placed = first.select("start", "scan", (F.row_number().over(Window.orderBy("scan")) - 1).alias("place"))  # a row a scan
+    d = views.dialogs(spark, sf).crossJoin(F.broadcast(n)).withColumn("place", F.col("conv_id") % F.col("scans")).join(placed, "place")
+    rows = d.select(
+        F.concat_ws("_", F.lit("cvdn"), "conv_id").alias("instr_id"), "conv_id", "scan", F.array("start").alias("path"), ((F.col("conv_id") % 12) / 2.0).alias("start_heading"),
+        annotate.dialog_text(F.col("target"), "dialog_history").alias("instruction"), F.col("conv_id").alias("path_id"), F.lit("cvdn").alias("data_type"),
+    )
+    s = O.samples(_observed(spark, sf, annotate.numbered(O.dialog_items(rows), "conv_id", [])))
+    ob = F.col("observations")
+    return s.select("sample_idx", "instr_id", ob["vp"].alias("vp"), ob["view_index"].alias("view_index"), F.md5(ob["instruction"]).alias("instruction_md5"), F.size(ob["gt_path"]).alias("n_path"), "data_type")
+
+
+def mth12_relative_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Every viewpoint's views by their angles off the one it looks into: sums over the 36, weighed by their numbers."""
+    r = O.relative_views(views.nodes(spark, sf).select("scan", "vp", (F.col("vp") % 36).cast("int").alias("base")))
+    return r.groupBy("scan", "vp").agg(*(F.round(F.sum(F.col("angles")[k] * (F.col("view") + 1)), 5).alias(f"f{k}") for k in range(4)), F.count(F.lit(1)).alias("n"))
+
+
+def txt09_scene_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """The bundle of scene questions: all scores with METEOR, times 100."""
+    p = text.pairs(spark, sf)
+    m = meteor.corpus(meteor.best(meteor.counts(p))).select(F.lit("meteor").alias("metric"), (F.col("meteor") * 100).alias("value"))
+    return textmetrics.bundle(p).unionByName(m).select("metric", F.round("value", 3).alias("value"))
+
+
 def obs02_views_with_objects(spark: SparkSession, sf: str) -> DataFrame:
     """View lists of the first observations, candidates' views first, with the objects in sight (every third viewpoint has some)."""
     e = table(spark, sf, "embeddings").where("vec_id % 3 = 0")
@@ -322,7 +365,7 @@ def src15_listing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        obs11_samples, obs02_views_with_objects, st04_candidate_cache, trj15_missing_edges, flt02_object_truth, flt11_valid_options, flt12_nonfinite, agg17_parameter_groups, udf04_extracted,
+        obs11_samples, obs11_search_samples, obs11_dialog_samples, mth12_relative_views, txt09_scene_bundle, obs02_views_with_objects, st04_candidate_cache, trj15_missing_edges, flt02_object_truth, flt11_valid_options, flt12_nonfinite, agg17_parameter_groups, udf04_extracted,
         txt13_left, txt10_ratio, txt11_captions, str06_without_punctuation, st07_jumps, st08_expert_steps, st01_stream_graph, src09_catalog, snk08_aligned_features, snk05_answers, set02_merged,
         set06_paired, prj21_decoded, obs12_image_samples, jon02_objects, agg11_object_means, src01_records, src06_boxes, src14_matrix, src15_listing, src16_lines,
     )
@@ -415,3 +458,21 @@ UNION ALL SELECT 'reverie', 'objects', 'reverie', round(s, 4), n FROM t UNION AL
 SELECT conv_id, turn, CAST(vec_id AS VARCHAR) AS image_id, md5(text) AS question_md5, total FROM conversations JOIN e ON vec_id = conv_id % (SELECT max(vec_id) + 1 FROM embeddings) WHERE role = 'user'""",
     "jon02_objects": """SELECT 's' AS scan, l_partkey % 50 AS objid, count(*) AS n, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR))) AS vps_md5 FROM lineitem WHERE l_linenumber > 1 GROUP BY 2""",
 }
+
+_DRAW = lambda seed: f"(CAST(('0x' || substr(md5('{seed}|' || instr_id), 1, {sampling.DIGITS})) AS BIGINT) / {float(16**sampling.DIGITS)!r})"
+ORACLE["obs11_search_samples"] = f"""WITH RECURSIVE {navigation._PATHS.replace(DIST, STEPS, 1)},
+f AS (SELECT instr_id, user_id, week, scan, first(node ORDER BY pos) AS vp FROM steps GROUP BY ALL),
+c AS (SELECT *, CAST(floor({_DRAW(23)} * 3) AS BIGINT) AS pick, {_DRAW(24)} * {geometry.FULL!r} AS heading, row_number() OVER (ORDER BY user_id, week) - 1 AS sample_idx FROM f)
+SELECT c.sample_idx, c.instr_id, CAST(12 + CAST(round(heading / {geometry.STEP!r}) AS BIGINT) % 12 AS INTEGER) AS view_index, p.vp AS goal, CAST(w.hops + 1 AS BIGINT) AS n_path, md5(w.path) AS path_md5, 36 AS n_views, 'soon' AS data_type
+FROM c JOIN picks p ON p.scan = c.scan AND p.k = c.pick JOIN ways w ON w.scan = c.scan AND w.src = c.vp AND w.dst = p.vp AND w.cur = w.src"""
+ORACLE["obs11_dialog_samples"] = f"""WITH {PICKS},
+t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Question: ' ELSE 'Answer: ' END || text || CASE WHEN right(text, 1) IN ('?', '.') THEN '' ELSE '.' END || chr(10) AS line
+  FROM conversations WHERE role IN ('user', 'assistant') AND length(text) > 0),
+dd AS (SELECT conv_id, 'The goal room contains a item' || conv_id || '.' || chr(10) || string_agg(line, '' ORDER BY turn) AS t FROM t GROUP BY 1),
+s AS (SELECT conv_id, left(t, length(t) - 1) AS t FROM dd), w AS (SELECT *, {words_sql("t")} AS w, row_number() OVER (ORDER BY conv_id) - 1 AS sample_idx FROM s),
+z AS (SELECT scan, vp, row_number() OVER (ORDER BY scan) - 1 AS place, count(*) OVER () AS scans FROM picks WHERE k = 0)
+SELECT sample_idx, 'cvdn_' || conv_id AS instr_id, z.vp, CAST(12 + CAST(round((conv_id % 12) / 2.0 / {geometry.STEP!r}) AS BIGINT) % 12 AS INTEGER) AS view_index,
+       md5(CASE WHEN len(w) > 128 THEN array_to_string(w[1:128], ' ') ELSE t END) AS instruction_md5, 1 AS n_path, 'cvdn' AS data_type FROM w JOIN z ON z.place = conv_id % scans"""
+_REL = f"sin((view % 12 - base % 12) * {geometry.STEP!r}), cos((view % 12 - base % 12) * {geometry.STEP!r}), sin((view // 12 - base // 12) * {geometry.STEP!r}), cos((view // 12 - base // 12) * {geometry.STEP!r})"
+ORACLE["mth12_relative_views"] = f"""WITH {NODES}, r AS (SELECT scan, vp, view, [{_REL}] AS f FROM (SELECT scan, vp, vp % 36 AS base FROM nodes), (SELECT unnest(range(36)) AS view))
+SELECT scan, vp, {", ".join(f"round(sum(f[{k + 1}] * (view + 1)), 5) AS f{k}" for k in range(4))}, count(*) AS n FROM r GROUP BY 1, 2"""
