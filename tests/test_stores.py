@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave.sources import catalog
 from trailweave.sources import matrixstore as M
 from trailweave.sources import pagefile as P
 from trailweave.sources.records import packed, unpacked
@@ -132,3 +133,14 @@ def test_tasks_that_fail_are_tried_again(tmp_path):
     env = os.environ | {"PYTHONPATH": ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(FAILS), str(tmp_path)], env=env, capture_output=True, text=True, timeout=240)
     assert done.stdout.strip().endswith("whole"), done.stderr[-2000:]
+
+
+def test_stores_by_their_endings(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [[1.0, 2.0, 3.0]]), ("b", [])], "key string, m array<array<double>>")
+    M.written(rows, f"{tmp_path}/f.matrix", "key", "m", 3)
+    P.written(rows.where("key = 'a'"), f"{tmp_path}/o.pages")
+    rows.write.parquet(f"{tmp_path}/plain")
+    stores = catalog.Catalog(spark, {"f": "f.matrix", "o": "o.pages", "p": f"{tmp_path}/plain"}, str(tmp_path), catalog.store_of(2, "key string, m array<array<double>>"))
+    assert {r.key: r.matrix for r in stores.store("f").collect()} == {"a": [[1.0, 2.0]], "b": []}
+    assert [(r.key, r.m) for r in stores.store("o").collect()] == [("a", [[1.0, 2.0, 3.0]])] and stores.store("p").count() == 2
+    assert stores.store("f") is stores.store("f")

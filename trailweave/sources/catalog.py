@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.sources import matrixstore, pagefile
 from trailweave.sources.annotations import resolved
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,17 @@ def parquet_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_of(first: int | None = None, record: str = "key string, value binary") -> Reader:
+    """A reader that takes a store by its path's ending: ``.matrix`` (the first columns of matrices), ``.pages`` (records), else Parquet."""
+
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        if path.endswith(".matrix"):
+            return matrixstore.read(spark, path, first)
+        return pagefile.read(spark, path, record) if path.endswith(".pages") else parquet_store(spark, path)
+
+    return read
+
+
 class Catalog:
     """Stores by name; each is read when it is first asked for, and the same frame is given again."""
 
