@@ -14,7 +14,7 @@ SOME = [
     "prj11_dialogs", "prj02_numbers", "prm_prompts", "smp01_mixture", "smp06_ranks", "obs05_graph", "win01_moves", "snk03_search", "st01_stream_memory", "st02_status",
     "st03_stream_nodes", "st11_greedy", "st11_beams", "grf03_asked_paths", "grf03_asked_paths_by_joins", "src13_records", "src10_objects", "src11_renamed", "snk07_matrix",
     "src02_arrays", "src04_search", "jon02_grounding", "prj09_augmented", "src05_dialogs", "src07_connectivity", "src18_answers", "cfg_mixture", "snk11_scenes", "flt07_offenders", "src17_images",
-    "str06_treebank", "txt13_tokens", "obs11_search_samples", "obs11_dialog_samples", "mth12_relative_views", "trj_cvdn_items", "txt06_cider_given_frequency", "txt09_bundle",
+    "str06_treebank", "txt13_tokens", "obs11_search_samples", "obs11_dialog_samples", "mth12_relative_views", "trj_cvdn_items", "txt06_cider_given_frequency", "txt09_bundle", "txt07_exact_counts",
     "obs11_samples", "st07_jumps", "txt13_left", "smp05_shuffled", "agg07_running_means", "grf02_distances_by_joins", "snk08_aligned_features",
 ]
 

@@ -79,10 +79,11 @@ _COUNTS = "hyp_content long, hyp_function long, ref_content long, ref_function l
 COUNTS = [c.split()[0] for c in _COUNTS.split(", ")]
 
 
-def _with_stems(texts: DataFrame) -> DataFrame:
+def _with_stems(texts: DataFrame, stemmed: bool) -> DataFrame:
     """(id, of, tokens, stems, function) of rows (id, of, tokens): each distinct word is stemmed once and joined back by its text."""
     places = texts.select("id", "of", F.posexplode("tokens").alias("pos", "word"))
-    known = stems(places.select("word").distinct())
+    distinct = places.select("word").distinct()
+    known = stems(distinct) if stemmed else distinct.withColumn("stem", F.col("word"))
     refs = places.where("of > 0")
     total = refs.agg(F.count(F.lit(1)).alias("total"))  # one row
     frequent = refs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > FREQUENT * F.col("total"))
@@ -91,10 +92,10 @@ def _with_stems(texts: DataFrame) -> DataFrame:
     return texts.select("id", "of").join(joined, ["id", "of"], "left").withColumn("w", F.coalesce("w", F.array().cast(joined.schema["w"].dataType)))
 
 
-def counts(rows: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(id, of, counts) of every hypothesis with each of its references: rows (id, hyp, refs)."""
+def counts(rows: DataFrame, beam: int = BEAM, stemmed: bool = True) -> DataFrame:
+    """(id, of, counts) of every hypothesis with each of its references: rows (id, hyp, refs). Unless ``stemmed`` only equal words match."""
     texts = rows.select("id", F.concat(F.array("hyp"), "refs").alias("t")).select("id", F.posexplode("t").alias("of", "text")).select("id", "of", tokens("text").alias("tokens"))
-    ready = _with_stems(texts)
+    ready = _with_stems(texts, stemmed)
     hyps = ready.where("of = 0").select("id", F.col("w").alias("h"))
     pairs = ready.where("of > 0").withColumnRenamed("w", "r").join(hyps, "id")
     names = [f"{side}{part}" for side in "hr" for part in ("word", "stem", "function")]

@@ -9,7 +9,7 @@ from trailweave.functions import arrays, geometry
 from trailweave.operators import annotate, candidates as C, graph, memory, meteor, observations as O, registry as tasks, sampling, textmetrics
 from trailweave.plans import navigation, text
 from trailweave.plans.agents import VIEWS_OF
-from trailweave.plans.base_sql import DIST, EDGES, NODES, PICKS, STEPS, WALKED, words_sql
+from trailweave.plans.base_sql import DIST, NODES, PICKS, STEPS, WALKED, words_sql
 from trailweave.sources import annotations, catalog, sinks, views
 from trailweave.sources.durable import durable, shared_folder
 from trailweave.sources.tables import table

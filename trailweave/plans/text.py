@@ -89,6 +89,13 @@ def txt07_meteor_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return meteor.corpus(meteor.best(meteor.counts(pairs(spark, sf)))).select(F.round("meteor", 9).alias("meteor"))
 
 
+def txt07_exact_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What METEOR counts of equal words for every pair and reference: content and function words of both sides, and those matched."""
+    c = meteor.counts(pairs(spark, sf), stemmed=False)
+    whole = ["content", "function", "ref_content_matched", "ref_function_matched"]
+    return c.select("id", F.col("of").alias("ref"), *(F.col(n).cast("long").alias(n) for n in whole), "hyp_content", "hyp_function", "ref_content", "ref_function", "matched")
+
+
 def txt08_exact_match(spark: SparkSession, sf: str) -> DataFrame:
     """The share of replies that are one of their references, every third having itself among them."""
     p = pairs(spark, sf)
@@ -172,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt01_bleu_corpus, txt02_bleu_sentences, txt03_bleu_lengths, agg21_merged_counts, txt04_rouge_l, arr04_lcs, txt05_cider, txt06_cider_given_frequency,
-        agg14_document_frequency, txt07_meteor, txt07_meteor_corpus, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, str06_treebank, txt13_tokens, prj12_first_words,
+        agg14_document_frequency, txt07_meteor, txt07_meteor_corpus, txt07_exact_counts, txt08_exact_match, txt09_bundle, txt12_masked_labels, agg20_cross_entropy, str_tokens, str06_treebank, txt13_tokens, prj12_first_words,
     )
 }
 
@@ -311,3 +318,19 @@ cut AS (SELECT doc_id, ids[greatest(len(ids) - 1023, 1):] AS ids, (row_number()
 wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM cut)
 SELECT doc_id, batch, CAST(len(ids) AS INTEGER) AS n, CAST(width AS INTEGER) AS width, md5(array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), ids), ',')) AS ids_md5,
        md5(array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)), ',')) AS mask_md5 FROM wide"""
+
+_METEOR_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}]+)?|[^\s\p{{L}}\p{{N}}]')"
+ORACLE["txt07_exact_counts"] = f"""WITH {PAIRS},
+ht AS (SELECT id, unnest({_METEOR_TOKENS.format("hyp")}) AS w FROM pairs),
+rt AS (SELECT id, ref, unnest({_METEOR_TOKENS.format("t")}) AS w FROM (SELECT id, unnest([1, 2]) AS ref, unnest(refs) AS t FROM pairs)),
+often AS (SELECT w FROM rt GROUP BY w HAVING count(*) > {meteor.FREQUENT} * (SELECT count(*) FROM rt)),
+hc AS (SELECT id, w, count(*) AS n, w IN (SELECT w FROM often) AS f FROM ht GROUP BY 1, 2),
+rc AS (SELECT id, ref, w, count(*) AS n, w IN (SELECT w FROM often) AS f FROM rt GROUP BY 1, 2, 3),
+hs AS (SELECT id, sum(CASE WHEN f THEN 0 ELSE n END) AS hyp_content, sum(CASE WHEN f THEN n ELSE 0 END) AS hyp_function FROM hc GROUP BY 1),
+rs AS (SELECT id, ref, sum(CASE WHEN f THEN 0 ELSE n END) AS ref_content, sum(CASE WHEN f THEN n ELSE 0 END) AS ref_function FROM rc GROUP BY 1, 2),
+m AS (SELECT r.id, r.ref, sum(CASE WHEN r.f THEN 0 ELSE least(h.n, r.n) END) AS c, sum(CASE WHEN r.f THEN least(h.n, r.n) ELSE 0 END) AS fn FROM rc r JOIN hc h ON h.id = r.id AND h.w = r.w GROUP BY 1, 2),
+ks AS (SELECT id, CAST(unnest([1, 2]) AS INTEGER) AS ref FROM pairs)
+SELECT k.id, k.ref, CAST(coalesce(c, 0) AS BIGINT) AS content, CAST(coalesce(fn, 0) AS BIGINT) AS function, CAST(coalesce(c, 0) AS BIGINT) AS ref_content_matched, CAST(coalesce(fn, 0) AS BIGINT) AS ref_function_matched,
+       CAST(coalesce(hyp_content, 0) AS BIGINT) AS hyp_content, CAST(coalesce(hyp_function, 0) AS BIGINT) AS hyp_function, CAST(coalesce(ref_content, 0) AS BIGINT) AS ref_content, CAST(coalesce(ref_function, 0) AS BIGINT) AS ref_function,
+       CAST(coalesce(c, 0) + coalesce(fn, 0) AS BIGINT) AS matched
+FROM ks k LEFT JOIN hs ON hs.id = k.id LEFT JOIN rs ON rs.id = k.id AND rs.ref = k.ref LEFT JOIN m ON m.id = k.id AND m.ref = k.ref"""
