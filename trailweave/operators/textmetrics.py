@@ -6,12 +6,19 @@ counted per id stays where it is; sums over ids are plain aggregates, so partial
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailweave.functions.arrays import lcs_lengths, ngrams, spaced, words
+from trailweave.sources.durable import durable
+from trailweave.sources.spread import spread
 
 # Fixed values of the scores' definitions.
 ORDERS = (1, 2, 3, 4)
@@ -35,40 +42,94 @@ def _hashes(tokens: Column) -> tuple[Column, Column]:
     return F.transform(tokens, lambda w: F.xxhash64(w)), F.transform(tokens, lambda w: F.xxhash64(F.lit(1), w))
 
 
-def _key(first: list[Column], second: list[Column]) -> tuple[Column, Column]:
-    """An n-gram as 128 bits of its tokens' hashes: no text to carry."""
-    return F.xxhash64(*first), F.xxhash64(*second)
-
-
 def _most_refs(rows: DataFrame, known: int | None) -> int:
     """The greatest number of references an id has: what the caller knows, or one number asked for."""
     return known if known is not None else rows.agg(F.max(F.size("refs"))).first()[0] or 0
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Texts where their ids are; all that is counted per id begins here, so they cross once."""
-    return rows.select("id", "hyp", "refs").repartition("id")
+def _few_refs(most: int | None) -> Column:
+    """The references; of an id that has more than ``most`` they raise."""
+    if most is None:
+        return F.col("refs")
+    return F.when(F.size("refs") <= most, F.col("refs")).otherwise(F.raise_error(F.lit(f"an id has more than {most} references")))
+
+
+def _windows(tokens: Sequence[str], n: int) -> Counter:
+    """How often each n-gram occurs."""
+    return Counter(zip(*(tokens[k:] for k in range(n))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _clipped(hyp: pd.Series, refs: pd.Series) -> pd.Series:
+    """Per order: the n-grams of an array of tokens, each counted up to its greatest count in one of some arrays."""
+
+    def of(h: Sequence[str] | None, rs: Sequence[Sequence[str]] | None) -> list[int]:
+        rs = [] if rs is None else [list(r) for r in rs if r is not None]
+        h, out = [] if h is None else list(h), []
+        for n in ORDERS:
+            own, greatest = _windows(h, n), {}
+            for r in rs:
+                for g, c in _windows(r, n).items():
+                    if g in own and c > greatest.get(g, 0):
+                        greatest[g] = c
+            out.append(sum(min(own[g], c) for g, c in greatest.items()))
+        return out
+
+    return pd.Series([of(h, rs) for h, rs in zip(hyp, refs)], dtype=object)
+
+
+#: Odd multipliers that make one key of the hashes of an n-gram's tokens.
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _keys(one: np.ndarray, two: np.ndarray, n: int) -> list[np.ndarray]:
+    """Every n-gram of a text as 128 bits of its tokens' hashes: no text to carry."""
+    made = []
+    for hashes, by in zip((one, two), _MIX):
+        h, size = hashes.astype(np.int64).view(np.uint64), max(0, len(hashes) - n + 1)
+        key = np.full(size, n, np.uint64)
+        for k in range(n):
+            key = key * by + h[k : k + size]
+            key = key ^ key >> np.uint64(29)
+        made.append(key.view(np.int64))
+    return made
 
 
 def _grams(rows: DataFrame, most: int) -> DataFrame:
     """(id, order, h1, h2, hyp, ref0..): each n-gram's count in the hypothesis and in each of at most ``most`` references.
 
-    One aggregation, whose buffers are plain numbers; ``rows`` are dealt by id, so it adds no exchange. More references
-    than ``most`` raise.
+    An id's texts are counted where they are, one id after the other, so that a task holds the n-grams of one
+    id at a time. More references than ``most`` raise.
     """
-    few = F.when(F.size("refs") <= most, F.concat(F.array("hyp"), "refs")).otherwise(F.raise_error(F.lit(f"an id has more than {most} references")))
-    texts = rows.select("id", few.alias("texts")).select("id", F.posexplode("texts").alias("of", "text"))
-    one, two = _hashes(words("text"))
-    hashed = texts.select("id", "of", one.alias("one"), two.alias("two")).where(F.size("one") > 0)
-    # a row per place with the hashes of its token and the next ones, null beyond the end
-    ahead = F.arrays_zip(*(F.slice(c, n, F.size(c)).alias(f"{c}{n}") for c in ("one", "two") for n in ORDERS))
-    places = hashed.select("id", "of", F.inline(ahead))
-    keys = []
-    for n in ORDERS:
-        h1, h2 = _key(*([F.col(f"{c}{k}") for k in ORDERS[:n]] for c in ("one", "two")))
-        keys.append(F.struct(F.when(F.col(f"one{n}").isNotNull(), F.lit(n)).alias("order"), h1.alias("h1"), h2.alias("h2")))
-    grams = places.select("id", "of", F.inline(F.array(*keys))).where("order IS NOT NULL")
-    return grams.groupBy("id", "order", "h1", "h2").agg(*(F.count(F.when(F.col("of") == k, 1)).alias(f"ref{k - 1}" if k else "hyp") for k in range(most + 1)))
+    texts = F.transform(F.concat(F.array("hyp"), _few_refs(most)), lambda t: F.coalesce(words(t), F.array().cast("array<string>")))
+    hashed = rows.select("id", F.transform(texts, lambda t: _hashes(t)[0]).alias("one"), F.transform(texts, lambda t: _hashes(t)[1]).alias("two"))
+    counts = ["hyp", *(f"ref{k}" for k in range(most))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), 1000):
+                made: list[list] = [[] for _ in range(5)]
+                for number, one, two in zip(range(lo, len(f)), f["one"][lo : lo + 1000], f["two"][lo : lo + 1000]):
+                    if one is None:
+                        continue
+                    for n in ORDERS:
+                        each = [_keys(a, b, n) for a, b in zip(one, two)]
+                        h1, h2 = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+                        if not len(h1):
+                            continue
+                        order = np.lexsort((h2, h1))
+                        h1, h2, of = h1[order], h2[order], np.repeat(np.arange(len(each)), [len(e[0]) for e in each])[order]
+                        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+                        found = np.zeros((int(new.sum()), most + 1), np.int64)
+                        np.add.at(found, (np.cumsum(new) - 1, of), 1)
+                        for to, x in zip(made, (np.full(len(found), number), np.full(len(found), n), h1[new], h2[new], found)):
+                            to.append(x)
+                if made[0]:
+                    number, order, h1, h2, found = (np.concatenate(x) for x in made)
+                    yield pd.DataFrame({"id": f["id"].to_numpy()[number], "order": order, "h1": h1, "h2": h2} | {c: found[:, k] for k, c in enumerate(counts)})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return hashed.mapInPandas(run, f"id {kind}, order int, h1 long, h2 long, " + ", ".join(f"{c} long" for c in counts))
 
 
 def reference_length(length: Column, lengths: Column, option: str) -> Column:
@@ -83,18 +144,15 @@ def reference_length(length: Column, lengths: Column, option: str) -> Column:
 def bleu_counts(rows: DataFrame, option: str = "closest", most_refs: int | None = None) -> DataFrame:
     """Per id: testlen, reflen, guess1..4 and correct1..4 (clipped by the greatest count in one reference).
 
-    ``most_refs``: how many references an id has at most, where that is known; else it is asked for first.
+    Nothing but the texts is dealt: an id is counted where its texts are. More references than ``most_refs``, if it is given, raise.
     """
-    n_refs, rows = _most_refs(rows, most_refs), _dealt(rows)
-    greatest = F.greatest(F.lit(0), F.lit(0), *(F.col(f"ref{k}") for k in range(n_refs)))
-    hits = _grams(rows, n_refs).groupBy("id").agg(*(F.sum(F.when(F.col("order") == n, F.least("hyp", greatest)).otherwise(0)).alias(f"correct{n}") for n in ORDERS))
-    r = rows.withColumn("_hyp", words("hyp"))
-    sizes = F.transform("refs", lambda t: F.size(words(t)))
-    base = r.select(
+    r = spread(rows.select("id", "hyp", "refs"), "id").select("id", words("hyp").alias("_hyp"), F.transform(_few_refs(most_refs), lambda t: words(t)).alias("_refs"))
+    sizes = F.transform("_refs", lambda t: F.size(t))
+    r = r.withColumn("_hits", _clipped("_hyp", "_refs"))
+    return r.select(
         "id", F.size("_hyp").cast("long").alias("testlen"), reference_length(F.size("_hyp"), sizes, option).alias("reflen"),
-        *(F.greatest(F.lit(0), F.size("_hyp") - (n - 1)).cast("long").alias(f"guess{n}") for n in ORDERS),
+        *(F.greatest(F.lit(0), F.size("_hyp") - (n - 1)).cast("long").alias(f"guess{n}") for n in ORDERS), *(F.col("_hits")[n - 1].alias(f"correct{n}") for n in ORDERS),
     )
-    return base.join(hits, "id", "left").na.fill(0, [f"correct{n}" for n in ORDERS])
 
 
 def _bleu(orders: int) -> list[Column]:
@@ -154,22 +212,32 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(order, h1, h2, df) of rows (order, one, two, df): hashes of an n-gram's tokens become its key."""
+    for f in frames:
+        keys = [[k[0] for k in _keys(np.asarray(a), np.asarray(b), len(a))] for a, b in zip(f["one"], f["two"])]
+        yield pd.DataFrame({"order": f["order"], "h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "df": f["df"]})
+
+
 def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None, most_refs: int | None = None) -> DataFrame:
     """(id, cider). ``frequency`` (as ``document_frequency`` makes it) and ``documents`` may come from another corpus."""
-    most, rows = _most_refs(rows, most_refs), _dealt(rows)
+    most = _most_refs(rows, most_refs)
+    rows = durable(spread(rows.select("id", "hyp", "refs"), "id"))  # read three times
     refs = [f"ref{k}" for k in range(most)]
     grams = _grams(rows, most)
+    key = ["order", "h1", "h2"]
     if frequency is None:
-        df = grams.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in refs), F.lit(False))).groupBy("order", "h1", "h2").agg(F.count(F.lit(1)).alias("df"))
+        # the n-grams cross once; how many ids' references have one is counted where its rows meet
+        met = spread(grams, *key).withColumn("df", F.sum(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in refs), F.lit(False)).cast("long")).over(Window.partitionBy(*key)))
     else:
         one, two = _hashes(F.split("gram", " ", -1))
-        known = frequency.select("order", one.alias("one"), two.alias("two"), "df")
-        of_order = [_key(*([F.col(c)[k] for k in range(n)] for c in ("one", "two"))) for n in ORDERS]
-        pick = lambda k: F.coalesce(*(F.when(F.col("order") == n, of_order[n - 1][k]) for n in ORDERS))
-        df = known.select("order", pick(0).alias("h1"), pick(1).alias("h2"), "df")
+        known = frequency.select("order", one.alias("one"), two.alias("two"), "df").mapInPandas(_keyed, "order int, h1 long, h2 long, df long")
+        met = grams.join(known, key, "left")
     of = rows.agg(F.count(F.lit(1)).cast("double").alias("of")) if documents is None else rows.sparkSession.range(1).select(F.lit(float(documents)).alias("of"))
     weight = F.log(F.greatest(F.col("of"), F.lit(1.0))) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
-    weighed = grams.join(df, ["order", "h1", "h2"], "left").crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
+    # rows go back to their ids as small whole numbers and are weighed and summed there
+    back = spread(met.select("id", "order", "hyp", *refs, "df"), "id")
+    weighed = back.crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
 
     # per id and order: squared norms of the hypothesis and of each reference, and their products
     h, w = F.col("hyp") * F.col("weight"), {c: F.col(c) * F.col("weight") for c in refs}
@@ -198,6 +266,7 @@ def exact_match(rows: DataFrame) -> DataFrame:
 
 def bundle(rows: DataFrame) -> DataFrame:
     """(metric, value) of all scores, times 100."""
+    rows = durable(spread(rows.select("id", "hyp", "refs"), "id"))  # read once for each score
     b = caption_bundle(rows)
     one = lambda df, c: df.agg(F.avg(c).alias("value")).select(F.lit(c).alias("metric"), "value")
     all_ = reduce(DataFrame.unionByName, [b, one(rouge_l(rows), "rouge_l"), one(cider(rows), "cider"), one(exact_match(rows), "em")])
