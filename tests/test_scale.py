@@ -2,7 +2,10 @@
 
 import contextlib
 import io
+import random
+import time
 
+from trailweave.operators import memory, meteor
 from trailweave.operators import textmetrics as M
 
 
@@ -28,3 +31,24 @@ def test_cider_counts_ids_where_rows_meet(spark):
     made = plan(scored)
     assert "Window" in made and made.count("REPARTITION_BY_NUM") >= 2 and "Generate" not in made
     assert len({round(r.cider, 9) for r in scored.collect()}) == 1
+
+
+def test_equal_words_are_counted_without_a_search(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "a b a c " * 3 + f"w{k}", ["a a b " * 3, f"c w{k} c"]) for k in range(30)], "id long, hyp string, refs array<string>")
+    searched = meteor.counts(rows, stemmed=False)
+    counted = meteor.equal_counts(rows)
+    assert sorted(counted.collect()) == sorted(searched.select(counted.columns).collect())
+
+
+def test_meteor_is_dealt_to_a_stated_number_of_tasks(spark):
+    rows = spark.createDataFrame([(k, "the cats sit", ["the cat sat"]) for k in range(8)], "id long, hyp string, refs array<string>")
+    assert "REPARTITION_BY_NUM" in plan(meteor.counts(rows))
+
+
+def test_a_long_pair_is_aligned_in_short_time():
+    words = [f"w{k % 12}" if k % 2 else f"u{k}" for k in range(200)]
+    turned = words[:6] + words[6:][::-1]
+    t = time.process_time()
+    for _ in range(20):
+        found = meteor.aligned(words, words, turned, turned)
+    assert len(found) == 200 and (time.process_time() - t) / 20 < 0.05

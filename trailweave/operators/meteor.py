@@ -10,13 +10,17 @@ Synonyms and paraphrases are left out: their tables are not public data of this
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators.stemming import stems
+from trailweave.sources.durable import durable
+from trailweave.sources.spread import spread
 
 # Fixed values of the score's definition for English.
 ALPHA, BETA, GAMMA, DELTA = 0.85, 0.2, 0.6, 0.75
@@ -42,32 +46,105 @@ def aligned(hyp: Sequence[str], hyp_stems: Sequence[str], ref: Sequence[str], re
     rivals: dict[str, int] = {}
     for s in hyp_stems:
         rivals[s] = rivals.get(s, 0) + 1
-    # (matched, -chunks, -distance, -stem matches), used places, last place, pairs as a linked list
-    states: list[tuple[tuple[int, int, int, int], int, int, tuple | None]] = [((0, 0, 0, 0), 0, -2, None)]
-    for i, s in enumerate(hyp_stems):
-        places = at.get(s, ())
+    # a score is one number that orders like (matched, -chunks, -distance, -stem matches)
+    most = max(len(hyp), len(ref)) + 1
+    far = most + 1
+    chunk = far * (most * most + 1)
+    word = chunk * (most + 1)
+    # score, used places, last place, pairs as a linked list; the best first, of equals the one made first
+    states: list[tuple[int, int, int, tuple | None]] = [(0, 0, -2, None)]
+    broken, alike, i = True, True, 0  # no last word was matched; no two states used the same places
+    while i < len(hyp_stems):
+        places = at.get(hyp_stems[i])
         if not places:
-            states = [(score, used, -2, way) for score, used, _, way in states]
+            broken, i = True, i + 1
             continue
-        forced = len(places) == rivals[s] == 1
-        best: dict[tuple[int, int], tuple] = {}
-        for (n, chunks, off, by_stem), used, last, way in states:
-            for j in places:
-                if not used >> j & 1:
-                    score = (n + 1, chunks - (j != last + 1 or last < 0), off - abs(i - j), by_stem - (hyp[i] != ref[j]))
-                    key = (used | 1 << j, j)
-                    if key not in best or score > best[key][0]:
-                        best[key] = (score, *key, (i, j, way))
-            if not forced:
-                key = (used, -2)
-                if key not in best or (n, chunks, off, by_stem) > best[key][0]:
-                    best[key] = ((n, chunks, off, by_stem), used, -2, way)
-        states = sorted(best.values(), key=lambda x: x[0], reverse=True)[:beam]
-    way, out = max(states, key=lambda x: x[0])[3], []
+        forced = len(places) == rivals[hyp_stems[i]] == 1
+        # of states that used the same places the first is the best: the others only matter where they go on with a chunk
+        if alike:
+            members = [[s] for s in states]
+        else:
+            groups: dict[int, list] = {}
+            for s in states:
+                groups.setdefault(s[1], []).append(s)
+            members = list(groups.values())
+        if forced:
+            # what follows is the same for all states, as far as words can only match each other
+            j = places[0]
+            delta, bit, more, to = word - chunk - far * abs(i - j) - (hyp[i] != ref[j]), 1 << j, [(i, j)], j
+            while i + len(more) < len(hyp_stems):
+                k = i + len(more)
+                after = at.get(hyp_stems[k])
+                if not after or not len(after) == rivals[hyp_stems[k]] == 1:
+                    break
+                delta += word - chunk * (after[0] != to + 1) - far * abs(k - after[0]) - (hyp[k] != ref[after[0]])
+                to = after[0]
+                bit |= 1 << to
+                more.append((k, to))
+            made_states, goes_on = [], False
+            for group in members:
+                score, used, _, way = group[0]
+                if not broken and j:
+                    for other, _, last, its in group:
+                        if last == j - 1 and other + chunk > score:
+                            score, way, goes_on = other + chunk, its, True
+                made_states.append((score + delta, used | bit, to, (more, way)))
+            if goes_on:
+                made_states.sort(key=itemgetter(0), reverse=True)
+            states, broken, alike, i = made_states, False, True, i + len(more)
+            continue
+        # a candidate is one number: its score, then minus its rank of making (group and place); the least that may stay is known early
+        width = len(places) + 1
+        bits = (len(members) * width).bit_length()
+        low = (1 << bits) - 1
+        steps = [((word - chunk - far * abs(i - j) - (hyp[i] != ref[j])) << bits) - k for k, j in enumerate(places)]
+        order = sorted(zip(steps, [1 << j for j in places], range(len(places))), reverse=True)
+        made: list[int] = []
+        goes: dict[int, tuple | None] = {}
+        if not broken:
+            rank_of = {j - 1: k for k, j in enumerate(places) if j}
+            for g, group in enumerate(members):
+                for other, used, last, way in group:
+                    if last in rank_of and other + chunk > group[0][0] and not used >> last + 1 & 1:
+                        k = rank_of[last]
+                        made.append((other + chunk << bits) + low - g * width + steps[k])
+                        goes[g * width + k] = way
+        least, top = None, order[0][0]
+        for g, group in enumerate(members):
+            score, used = group[0][:2]
+            base = (score << bits) + low - g * width
+            if least is not None and base + top < least:
+                break
+            for d, bit, k in order:
+                if not used & bit and (not goes or g * width + k not in goes):
+                    x = base + d
+                    if least is not None and x < least:
+                        break
+                    made.append(x)
+            x = base - width + 1  # the word stays alone
+            if least is None or x > least:
+                made.append(x)
+            if len(made) >= beam + 16:
+                made.sort(reverse=True)
+                del made[beam:]
+                least = made[-1]
+        made.sort(reverse=True)
+        states = []
+        for x in made[:beam]:
+            rank = low - (x & low)
+            g, k = divmod(rank, width)
+            _, used, _, way = members[g][0]
+            if k == width - 1:
+                states.append((x >> bits, used, -2, way))
+            else:
+                j = places[k]
+                states.append((x >> bits, used | 1 << j, j, ([(i, j)], goes.get(rank, way))))
+        broken, alike, i = False, False, i + 1
+    way, parts = states[0][3], []
     while way:
-        out.append(way[:2])
-        way = way[2]
-    return out[::-1]
+        parts.append(way[0])
+        way = way[1]
+    return [p for part in reversed(parts) for p in part]
 
 
 def chunks(pairs: Sequence[tuple[int, int]]) -> int:
@@ -79,44 +156,79 @@ _COUNTS = "hyp_content long, hyp_function long, ref_content long, ref_function l
 COUNTS = [c.split()[0] for c in _COUNTS.split(", ")]
 
 
-def _with_stems(texts: DataFrame, stemmed: bool) -> DataFrame:
-    """(id, of, tokens, stems, function) of rows (id, of, tokens): each distinct word is stemmed once and joined back by its text."""
-    places = texts.select("id", "of", F.posexplode("tokens").alias("pos", "word"))
-    distinct = places.select("word").distinct()
-    known = stems(distinct) if stemmed else distinct.withColumn("stem", F.col("word"))
-    refs = places.where("of > 0")
-    total = refs.agg(F.count(F.lit(1)).alias("total"))  # one row
-    frequent = refs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > FREQUENT * F.col("total"))
-    named = known.join(frequent.select("word", F.lit(True).alias("function")), "word", "left")
-    joined = places.join(named, "word").groupBy("id", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "stem", F.coalesce("function", F.lit(False)).alias("function")))).alias("w"))
-    return texts.select("id", "of").join(joined, ["id", "of"], "left").withColumn("w", F.coalesce("w", F.array().cast(joined.schema["w"].dataType)))
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(id, texts): the tokens of the hypothesis, then of each reference. Read several times, so written once, dealt to enough tasks for a search in every row."""
+    texts = F.transform(F.concat(F.array("hyp"), "refs"), lambda t: tokens(t))
+    return durable(spread(rows.select("id", "hyp", "refs"), "id").select("id", texts.alias("texts")))
+
+
+def _frequent(texts: DataFrame) -> set[str]:
+    """The function words, fewer than 1 / ``FREQUENT``."""
+    refs = texts.select(F.explode(F.flatten(F.slice("texts", 2, F.size("texts")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    refs = durable(refs)
+    total = refs.agg(F.sum("n").alias("total"))  # one row
+    return {r.word for r in refs.crossJoin(F.broadcast(total)).where(F.col("n") > FREQUENT * F.col("total")).select("word").collect()}
+
+
+def _with_stems(texts: DataFrame) -> DataFrame:
+    """(id, texts, stems): of an id's words those that their stem differs from, as a map. Each distinct word is stemmed once."""
+    words = texts.select("id", F.explode(F.array_distinct(F.flatten("texts"))).alias("word"))
+    known = durable(durable(stems(spread(words.select("word").distinct(), "word"))).where("stem <> word"))  # a filter on stems would be worked out apart from them
+    of = words.join(known, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("stems"))
+    return spread(texts.join(of, "id", "left"), "id")
 
 
 def counts(rows: DataFrame, beam: int = BEAM, stemmed: bool = True) -> DataFrame:
     """(id, of, counts) of every hypothesis with each of its references: rows (id, hyp, refs). Unless ``stemmed`` only equal words match."""
-    texts = rows.select("id", F.concat(F.array("hyp"), "refs").alias("t")).select("id", F.posexplode("t").alias("of", "text")).select("id", "of", tokens("text").alias("tokens"))
-    ready = _with_stems(texts, stemmed)
-    hyps = ready.where("of = 0").select("id", F.col("w").alias("h"))
-    pairs = ready.where("of > 0").withColumnRenamed("w", "r").join(hyps, "id")
-    names = [f"{side}{part}" for side in "hr" for part in ("word", "stem", "function")]
-    flat = pairs.select("id", "of", *(F.col(f"{n[0]}.{n[1:]}").alias(n) for n in names))
+    texts = _tokens(rows)
+    often = _frequent(texts)
+    flat = _with_stems(texts) if stemmed else texts.withColumn("stems", F.lit(None).cast("map<string,string>"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for hw, hs, hf, rw, rs, rf in zip(*(f[n] for n in names)):
-                found = aligned(list(hw), list(hs), list(rw), list(rs), beam)
-                weights = [EXACT if hw[i] == rw[j] else STEM for i, j in found]
-                own = [sum(w for (i, _), w in zip(found, weights) if hf[i] == k) for k in (False, True)]
-                others = [sum(w for (_, j), w in zip(found, weights) if rf[j] == k) for k in (False, True)]
-                out.append((len(hf) - sum(hf), sum(hf), len(rf) - sum(rf), sum(rf), *own, *others, len(found), chunks(found)))
-            made = pd.DataFrame(out, columns=COUNTS)
-            yield pd.concat([f[["id", "of"]].reset_index(drop=True), made], axis=1)
+            for key, held, other in zip(f["id"], f["texts"], f["stems"]):
+                if held is None:
+                    continue
+                stem = dict(other) if other is not None else {}
+                hw, *refs = (list(t) for t in held)
+                hs, hf = [stem.get(w, w) for w in hw], [w in often for w in hw]
+                for of, rw in enumerate(refs, 1):
+                    rf = [w in often for w in rw]
+                    found = aligned(hw, hs, rw, [stem.get(w, w) for w in rw], beam)
+                    weights = [EXACT if hw[i] == rw[j] else STEM for i, j in found]
+                    own = [sum(w for (i, _), w in zip(found, weights) if hf[i] == k) for k in (False, True)]
+                    others = [sum(w for (_, j), w in zip(found, weights) if rf[j] == k) for k in (False, True)]
+                    out.append((key, of, len(hf) - sum(hf), sum(hf), len(rf) - sum(rf), sum(rf), *own, *others, len(found), chunks(found)))
+            yield pd.DataFrame(out, columns=["id", "of", *COUNTS])
 
     kind = rows.schema["id"].dataType.simpleString()
     return flat.mapInPandas(run, f"id {kind}, of int, {_COUNTS}")
 
 
+def equal_counts(rows: DataFrame) -> DataFrame:
+    """The counts of equal words alone, without chunks: a word is matched as often as both sides have it, so nothing is searched."""
+    texts = _tokens(rows)
+    often = _frequent(texts)
+    names = [c for c in COUNTS if c != "chunks"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for key, held in zip(f["id"], f["texts"]):
+                if held is None:
+                    continue
+                hyp, *refs = (Counter(t) for t in held)
+                parts = lambda c: [sum(n for w, n in c.items() if (w in often) == k) for k in (False, True)]
+                for of, ref in enumerate(refs, 1):
+                    both = parts(hyp & ref)
+                    out.append((key, of, *parts(hyp), *parts(ref), *map(float, both * 2), sum(both)))
+            yield pd.DataFrame(out, columns=["id", "of", *names])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return texts.mapInPandas(run, f"id {kind}, of int, " + ", ".join(c for c in _COUNTS.split(", ") if c.split()[0] in names))
+
+
 def score() -> Column:
     """The score of counts, or of their sums."""
     c = {n: F.col(n).cast("double") for n in COUNTS}

@@ -12,6 +12,7 @@ from trailweave.plans.agents import VIEWS_OF
 from trailweave.plans.base_sql import DIST, NODES, PICKS, STEPS, WALKED, words_sql
 from trailweave.sources import annotations, catalog, sinks, views
 from trailweave.sources.durable import durable, shared_folder
+from trailweave.sources.spread import spread
 from trailweave.sources.tables import table
 from trailweave.streaming import memory as stream
 
@@ -94,7 +95,7 @@ def mth12_relative_views(spark: SparkSession, sf: str) -> DataFrame:
 
 def txt09_scene_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """The bundle of scene questions: all scores with METEOR, times 100."""
-    p = text.pairs(spark, sf)
+    p = durable(spread(text.pairs(spark, sf), "id"))  # read by every score
     m = meteor.corpus(meteor.best(meteor.counts(p))).select(F.lit("meteor").alias("metric"), (F.col("meteor") * 100).alias("value"))
     return textmetrics.bundle(p).unionByName(m).select("metric", F.round("value", 3).alias("value"))
 

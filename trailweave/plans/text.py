@@ -91,7 +91,7 @@ def txt07_meteor_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def txt07_exact_counts(spark: SparkSession, sf: str) -> DataFrame:
     """What METEOR counts of equal words for every pair and reference: content and function words of both sides, and those matched."""
-    c = meteor.counts(pairs(spark, sf), stemmed=False)
+    c = meteor.equal_counts(pairs(spark, sf))
     whole = ["content", "function", "ref_content_matched", "ref_function_matched"]
     return c.select("id", F.col("of").alias("ref"), *(F.col(n).cast("long").alias(n) for n in whole), "hyp_content", "hyp_function", "ref_content", "ref_function", "matched")
 
