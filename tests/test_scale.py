@@ -52,3 +52,25 @@ def test_a_long_pair_is_aligned_in_short_time():
     for _ in range(20):
         found = meteor.aligned(words, words, turned, turned)
     assert len(found) == 200 and (time.process_time() - t) / 20 < 0.05
+
+
+def test_ways_of_all_pairs_at_once():
+    rng = random.Random(3)
+    for _ in range(30):
+        m = memory.GraphMemory()
+        for step in range(8):
+            at = rng.randrange(12)
+            for to in rng.sample(range(12), 4):
+                m.see(at, to, rng.randint(1, 30) / 4)
+            m.visit(at, step)
+        names = sorted(m.names)
+        want = [(a, b, m.distance(a, b), len(m.path(a, b))) for k, a in enumerate(names) for b in names[k + 1 :] if m.distance(a, b) < memory.UNKNOWN]
+        assert list(zip(*(list(x) for x in m.pairs()))) == want
+
+
+def test_pooled_needs_one_exchange(spark):
+    visits = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0)], "instr_id string, node long, v double")
+    seen = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 1.0), ("a", 2, 2.0)], "instr_id string, node long, v double")
+    p = memory.pooled(visits, seen, "v")
+    assert plan(p).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(p)
+    assert sorted(map(tuple, p.collect())) == [("a", 1, True, 3.0), ("a", 2, False, 1.5)]
