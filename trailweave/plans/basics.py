@@ -9,6 +9,7 @@ from trailweave.functions import arrays, geometry
 from trailweave.operators import annotate, candidates, memory, sampling
 from trailweave.plans.base_sql import EDGES, NODES, PICKS, STEPS, stripped_sql, words_sql
 from trailweave.sources import annotations, views
+from trailweave.sources.spread import spread
 from trailweave.sources.tables import table
 
 
@@ -137,7 +138,7 @@ def st02_status(spark: SparkSession, sf: str) -> DataFrame:
     s = views.steps(spark, sf)
     e = views.edges(spark, sf).select("scan", F.col("src").alias("node"), "dst")
     met = s.select("instr_id", "scan", "node", "pos", F.lit(True).alias("visited")).unionByName(s.join(e, ["scan", "node"]).select("instr_id", "scan", F.col("dst").alias("node"), "pos", F.lit(False).alias("visited")))
-    g = met.groupBy("instr_id", "node").agg(F.bool_or("visited").alias("visited"), F.max(F.when(F.col("visited"), F.col("pos"))).alias("traj_order"), F.min("pos").alias("first_seen"))
+    g = spread(met, "instr_id").groupBy("instr_id", "node").agg(F.bool_or("visited").alias("visited"), F.max(F.when(F.col("visited"), F.col("pos"))).alias("traj_order"), F.min("pos").alias("first_seen"))
     return g.groupBy("instr_id").agg(F.count_if("visited").alias("n_visited"), F.count_if(~F.col("visited")).alias("n_seen"), F.sum("traj_order").alias("orders"), F.sum("first_seen").alias("seen"))
 
 
