@@ -6,6 +6,7 @@ a stream that is drained once takes none, as timeouts would keep it running. The
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,21 +55,30 @@ def graph_memory(observations: DataFrame, timeout_ms: int | None = None) -> Data
 
     observations: (instr_id, pos, node, nbrs array<struct<dst,w>>), a trajectory's steps in order over the
     triggers. A row is emitted per trajectory and trigger: viewpoints known and visited, the sum of the
-    known distances, and the last step.
+    known distances, and the last step. State is the steps and what each saw, which grows with the walk; the matrix
+    of distances, which grows with the square of what is known, is made of them anew in each trigger.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        memory, last = (GraphMemory.load(state.get[0]), state.get[1]) if state.exists else (GraphMemory(), -1)
+        steps, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], -1)
         rows = pd.concat(list(parts)).sort_values("pos")
+        known = {node: seen for _, node, seen in steps if seen is not None}
         for pos, node, nbrs in rows[["pos", "node", "nbrs"]].itertuples(index=False):
-            for x in nbrs:
-                memory.see(node, x["dst"], x["w"])
-            memory.visit(node, int(pos))
+            seen = [[int(x["dst"]), float(x["w"])] for x in nbrs]
+            # what a viewpoint sees is kept once, as long as it sees the same
+            steps.append([int(pos), int(node), None if known.get(int(node)) == seen else seen])
+            known[int(node)] = seen
             last = max(last, int(pos))
-        state.update((memory.dump(), last))
+        state.update((json.dumps(steps, separators=(",", ":")), last))
+        memory, sights = GraphMemory(), {}
+        for pos, node, seen in steps:
+            sights[node] = seen = sights[node] if seen is None else seen
+            for dst, w in seen:
+                memory.see(node, dst, w)
+            memory.visit(node, pos)
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         n = len(memory.names)
