@@ -133,3 +133,12 @@ def test_asked_paths_in_blocks_of_sources(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK", 1)
     got = {r.src: (r.d, r.path) for r in G.asked_paths(edges, asked).collect()}
     assert len(got) == 30 and got[0] == (29.0, list(range(30))) and got[20] == (11.0, list(range(20, 8, -1)))
+
+
+def test_distances_by_tiles(spark, nodes):
+    """Blocks of a few nodes, so that scans of unlike size need unlike rounds."""
+    edges = spark.createDataFrame([r for r in near(nodes, 0.6) if r[0] == "a" or r[1] < 9 and r[2] < 9], EDGES)
+    some = nodes.where("scan = 'a' OR vp < 9")
+    want = {(r.scan, r.src, r.dst): r.d for r in G.shortest_distances(edges, some).collect()}
+    found = [((r.scan, r.src, r.dst), r.d) for r in G.min_plus_distances(edges, some, 15).collect()]
+    assert len(found) == len(want) and dict(found) == pytest.approx(want)

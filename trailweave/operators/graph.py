@@ -5,6 +5,9 @@ A graph is keyed by ``scan``; nodes are (scan, vp, x, y, z) and edges (scan, src
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,24 +139,96 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     )
 
 
-def min_plus_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same distances by joins, for scans too large for a task: squared until nothing changes.
+#: Nodes of a block: the distances between two blocks' nodes are a tile, and a task holds three tiles at most.
+BLOCK_NODES = 512
+
+
+def _through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least ways from a's rows to b's columns by way of what lies between."""
+    out = np.full((a.shape[0], b.shape[1]), np.inf)
+    for k in range(a.shape[1]):
+        np.minimum(out, a[:, k, None] + b[None, k], out=out)
+    return out
+
+
+def _as_tile(row: object, name: str, i: str, j: str) -> np.ndarray:
+    return np.frombuffer(getattr(row, name)).reshape(getattr(row, i), getattr(row, j))
+
+
+def _on_tiles(rows: DataFrame, make: Callable[[object], np.ndarray], kind: str) -> DataFrame:
+    """Tiles made of rows that have one or more: a group is one row, so that a task never holds a batch of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = next(pdf.itertuples(index=False))
+        return pdf[["scan", "parts", "i", "j", "ni", "nj"]].assign(t=[np.ascontiguousarray(make(r)).tobytes()])
+
+    return rows.groupBy("scan", "i", "j").applyInPandas(run, f"scan {kind}, parts long, i long, j long, ni long, nj long, t binary")
+
+
+def min_plus_distances(edges: DataFrame, nodes: DataFrame, block: int = BLOCK_NODES) -> DataFrame:
+    """The same distances for scans too large for a task, by joins of tiles.
 
-    Each squaring doubles the hops that are known. It is a join on the middle node and a minimum that is
-    taken on the map side first, and ends in a checkpoint; the count of pairs and the sum of their
-    distances tell whether it changed any (distances only get shorter).
+    A scan's nodes are dealt by hash to blocks of some ``block`` nodes; a tile holds the distances from a block's nodes
+    to another's. The blocks are passed through one after another, as Floyd's rule passes through nodes: the block's
+    own tile is relaxed, then the tiles of its row and column through it, then all others through those two. A round is
+    two joins of tiles and ends in a checkpoint; there are as many as the largest scan has blocks.
     """
-    d = edges.select("scan", "src", "dst", F.col("w").alias("d")).unionByName(nodes.select("scan", F.col("vp").alias("src"), F.col("vp").alias("dst"), F.lit(0.0).alias("d")))
-    d, mark = durable(d.groupBy("scan", "src", "dst").agg(F.min("d").alias("d"))), None
-    while True:
-        # decimals, so that the sum does not depend on the order of rows
-        now = tuple(d.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(38,9)"))).first())
-        if now == mark:
-            return d
-        mark = now
-        on = d.select("scan", F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("d").alias("e"))
-        two = d.withColumnRenamed("dst", "mid").join(on, ["scan", "mid"])
-        d = durable(two.groupBy("scan", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("e")).alias("d")))
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    edges = durable(edges.select("scan", "src", "dst", "w"))
+    ends = nodes.select("scan", "vp").unionByName(edges.select("scan", F.col("src").alias("vp"))).unionByName(edges.select("scan", F.col("dst").alias("vp"))).distinct()
+    parts = ends.groupBy("scan").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    dealt = ends.join(parts, "scan").withColumn("b", F.pmod(F.xxhash64("vp"), "parts"))
+    blocks = durable(dealt.groupBy("scan", "parts", "b").agg(F.array_sort(F.collect_list("vp")).alias("ids")))
+    at = blocks.select("scan", "parts", "b", F.size("ids").cast("long").alias("n"), F.posexplode("ids").alias("k", "vp"))
+    one, two = (at.select("scan", *(["parts"] if m == "i" else []), F.col("b").alias(m), F.col("n").alias(f"n{m}"), F.col("k").alias(f"k{m}"), F.col("vp").alias(c)) for m, c in (("i", "src"), ("j", "dst")))
+    same = at.select("scan", "parts", F.col("b").alias("i"), F.col("n").alias("ni"), F.col("k").alias("ki"), F.col("b").alias("j"), F.col("n").alias("nj"), F.col("k").alias("kj"), F.lit(0.0).alias("w"))
+    cells = same.unionByName(edges.join(one, ["scan", "src"]).join(two, ["scan", "dst"]).drop("src", "dst"))
+
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[:1]
+        t = np.full((int(first["ni"].iloc[0]), int(first["nj"].iloc[0])), np.inf)
+        np.minimum.at(t, (pdf["ki"].to_numpy(), pdf["kj"].to_numpy()), pdf["w"].to_numpy())
+        return first[["scan", "parts", "i", "j", "ni", "nj"]].assign(t=[t.tobytes()])
+
+    tiles = durable(cells.groupBy("scan", "i", "j").applyInPandas(filled, f"scan {kinds['scan']}, parts long, i long, j long, ni long, nj long, t binary"))
+    made = []  # tiles of scans whose blocks have all been passed through
+    for k in range(blocks.agg(F.max("parts")).first()[0] or 0):
+        here = tiles.where((F.col("i") == k) & (F.col("j") == k))
+        pivot = durable(_on_tiles(here, lambda r: relaxed(_as_tile(r, "t", "ni", "nj")), kinds["scan"]))
+        made.append(pivot.where(F.col("parts") == 1))
+        tiles = tiles.where(F.col("parts") > 1)
+        if not tiles.limit(1).count():
+            break
+        by = pivot.where(F.col("parts") > 1).select("scan", F.col("t").alias("p"), F.col("ni").alias("np"))
+        into = _on_tiles(tiles.where((F.col("j") == k) & (F.col("i") != k)).join(by, "scan"), lambda r: _through(_as_tile(r, "t", "ni", "nj"), _as_tile(r, "p", "np", "np")), kinds["scan"])
+        out = _on_tiles(tiles.where((F.col("i") == k) & (F.col("j") != k)).join(by, "scan"), lambda r: _through(_as_tile(r, "p", "np", "np"), _as_tile(r, "t", "ni", "nj")), kinds["scan"])
+        into, out = durable(into), durable(out)
+        a = into.select("scan", "parts", "i", "ni", F.col("nj").alias("nk"), F.col("t").alias("a"))
+        pairs = a.join(out.select("scan", "j", "nj", F.col("t").alias("b")), "scan")
+        rest = tiles.where((F.col("i") != k) & (F.col("j") != k)).select("scan", "parts", "i", "j", "ni", "nj", "t")
+        met = pairs.join(rest, ["scan", "parts", "i", "j", "ni", "nj"], "full")
+
+        def better(r: object) -> np.ndarray:
+            if r.a is None:
+                return _as_tile(r, "t", "ni", "nj")
+            way = _through(_as_tile(r, "a", "ni", "nk"), _as_tile(r, "b", "nk", "nj"))
+            return way if r.t is None else np.minimum(way, _as_tile(r, "t", "ni", "nj"))
+
+        met = met.withColumn("nk", F.coalesce("nk", F.lit(0).cast("long")))  # whole numbers, so that pandas has no floats of them
+        tiles = durable(reduce(DataFrame.unionByName, [pivot.where(F.col("parts") > 1), into, out, _on_tiles(met, better, kinds["scan"])]))
+        over = tiles.where(F.col("parts") == k + 1)
+        made.append(over)
+        tiles = tiles.where(F.col("parts") > k + 1)
+    ids = lambda m: blocks.select("scan", F.col("b").alias(m), F.col("ids").alias(f"{m}ids"))
+
+    def unfolded(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = next(pdf.itertuples(index=False))
+        t = _as_tile(r, "t", "ni", "nj")
+        a, b = np.nonzero(np.isfinite(t))
+        return pd.DataFrame({"scan": r.scan, "src": np.asarray(r.iids)[a], "dst": np.asarray(r.jids)[b], "d": t[a, b]})
+
+    every = reduce(DataFrame.unionByName, made) if made else tiles
+    return every.join(ids("i"), ["scan", "i"]).join(ids("j"), ["scan", "j"]).groupBy("scan", "i", "j").applyInPandas(unfolded, f"scan {kinds['scan']}, src {kinds['src']}, dst {kinds['dst']}, d double")
 
 
 def _large(nodes: DataFrame, most: int) -> DataFrame | None:
