@@ -5,8 +5,11 @@ import io
 import random
 import time
 
+import pandas as pd
+
 from trailweave.operators import memory, meteor
 from trailweave.operators import textmetrics as M
+from trailweave.streaming import topology
 
 
 def plan(df):
@@ -74,3 +77,22 @@ def test_pooled_needs_one_exchange(spark):
     p = memory.pooled(visits, seen, "v")
     assert plan(p).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(p)
     assert sorted(map(tuple, p.collect())) == [("a", 1, True, 3.0), ("a", 2, False, 1.5)]
+
+
+def test_topology_state_comes_and_goes_once_a_trigger(spark):
+    """A trajectory's entries are one state: no call to the store for each of them."""
+    stream = spark.readStream.format("rate").load()
+    seen = stream.selectExpr("'a' AS instr_id", "value AS pos", "value AS node", "array(value + 1) AS nbrs", "1.0 AS value", "false AS rewrite", "value AS scene", "value AS thing")
+    made = plan(topology.topology_memory(seen))
+    assert "FlatMapGroupsInPandasWithState" in made and "TransformWithState" not in made
+
+
+def test_topology_entries_over_triggers():
+    steps = pd.DataFrame([("a", 0, 1, [2, 3], 1.0, False, 5, None), ("a", 1, 2, [1], 3.0, False, None, 7), ("a", 2, 1, [2], 4.0, True, None, None)], columns=["instr_id", "pos", "node", "nbrs", "value", "rewrite", "scene", "thing"])
+    whole, parts = {}, {}
+    topology.walked(whole, steps)
+    assert set(topology.walked(parts, steps[:1])) == {1, 2, 3}
+    parts = topology._read(topology._written(parts))
+    assert set(topology.walked(parts, steps[1:2])) == {1, 2}
+    topology.walked(parts, steps[2:])
+    assert parts == whole and whole[1]["total"] == 4.0 and whole[1]["traj_order"] == 2 and whole[1]["s_env"] == 5 and whole[3] == {**topology.NEW, "first_seen": 0, "links": {1}}
