@@ -95,3 +95,23 @@ def test_path_lengths_against_plain_trees():
     want = [2 ** (-np.mean([path(t, 0, row, 0) for t in range(20)]) / mean_path(48)) for row in scaled]
     assert forest.score(x) == pytest.approx(want)
     assert np.mean(forest.score(x)[~good]) > np.mean(forest.score(x)[good]) + 0.1
+
+
+def test_scale_and_threshold_come_from_all_labelled_rows(spark):
+    """Trees of 40 rows, but medians, deviations and the threshold of 600."""
+    data = list(rows(600, 3))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in data], "doc_id long, quality int")
+    forest = Q.fit(docs, labels, max_labelled=40, max_clean_loss=0.02)
+    x = np.array([Q.rule_statistics(t)[1] for _, t, g in data if g])
+    assert forest.middle == pytest.approx(np.median(x, axis=0)) and forest.spread == pytest.approx(np.maximum(x.std(axis=0), Q.LEAST_SPREAD))
+    assert forest.threshold == np.sort(forest.score(x))[::-1][int(len(x) * 0.02)]
+
+
+def test_order_statistics(spark):
+    rnd = random.Random(8)
+    a, b = [rnd.choice([0.0, 1.0, rnd.random()]) for _ in range(999)], [rnd.gauss(0, 1) for _ in range(999)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    places = [0, 1, 400, 499, 500, 997, 998]
+    for p in places:
+        assert Q.order_statistics(df, {"a": [p], "b": [0, p]}, 999) == {"a": [sorted(a)[p]], "b": [min(b), sorted(b)[p]]}

@@ -6,8 +6,10 @@ splits part a row from the others, its path is short and its score high. The sco
 document is rejected is calibrated on the labelled rows: the lowest one that rejects at most
 ``max_clean_loss`` of the rows labelled good.
 
-The forest is fitted on the driver to at most ``max_labelled`` labelled rows (the smallest hashes of
-their ids), so its memory is bounded; statistics and verdicts cover every whole text.
+The scale (medians and deviations of the good rows) and the threshold come from all labelled rows, by
+Spark. The trees take small random samples each, as the method has it, from at most ``max_labelled``
+labelled rows (the smallest hashes of their ids), so the driver's memory is bounded; statistics and verdicts
+cover every whole text.
 
 Defined cases: null, empty and white-space-only texts have no words and fail the base rules; labels
 without quality are ignored, of labels or documents that repeat an id the least statistics count
@@ -22,10 +24,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.common import durable
+
 WHITESPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -93,11 +98,6 @@ def rule_statistics(text: str | None) -> tuple[list[int], list[float]]:
     return [n, word_chars, symbols, dup_lines, repeated], ratios
 
 
-def base_failed(n_words: int, n_repeat_words: int, min_words: int = MIN_WORDS) -> bool:
-    """The two rules that need no model."""
-    return n_words < min_words or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
-
-
 def _mean_path(n: np.ndarray | float) -> np.ndarray:
     """The mean path of an unsuccessful search among n rows."""
     n = np.asarray(n, dtype=float)
@@ -123,12 +123,17 @@ class IsolationForest:
 
     @classmethod
     def fit(
-        cls, x: np.ndarray, good: np.ndarray, trees: int = 100, sample: int = 64, bad_share: float = 0.05, seed: int = 9
+        cls, x: np.ndarray, good: np.ndarray, trees: int = 100, sample: int = 64, bad_share: float = 0.05, seed: int = 9,
+        scale: tuple[np.ndarray, np.ndarray] | None = None,
     ) -> IsolationForest:
-        """From all good rows and so many bad ones that they stay rare in every sample (``bad_share`` of the good)."""
+        """From all good rows and so many bad ones that they stay rare in every sample (``bad_share`` of the good).
+
+        ``scale``: medians and deviations, if they come from more rows than ``x``.
+        """
         rng = np.random.default_rng(seed)
         normal = x[good] if good.any() else x
-        middle, spread = np.median(normal, axis=0), np.maximum(normal.std(axis=0), LEAST_SPREAD)
+        middle, spread = scale or (np.median(normal, axis=0), normal.std(axis=0))
+        spread = np.maximum(spread, LEAST_SPREAD)
         bad = rng.permutation(np.flatnonzero(~good))[: max(8, int(bad_share * good.sum()))]
         made = cls(middle, spread, *(np.zeros(0),) * 3, 0)
         x = made.scaled(x[np.concatenate([np.flatnonzero(good), bad])])
@@ -168,12 +173,6 @@ class IsolationForest:
             total += path[node]
         return 2.0 ** (-total / len(self.axis) / max(float(_mean_path(self.sample)), 1e-9))
 
-    def calibrate(self, x: np.ndarray, good: np.ndarray, max_clean_loss: float) -> None:
-        """Set the threshold: rows that score above it are rejected."""
-        scores = self.score(x)
-        clean = np.sort(scores[good])[::-1]
-        self.threshold = float(clean[int(len(clean) * max_clean_loss)]) if len(clean) and (~good).any() else np.inf
-
 
 _STAT_FIELDS = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in RATIOS)
 
@@ -204,24 +203,76 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {_STAT_FIELDS}")
 
 
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], n: int) -> dict[str, list[float]]:
+    """The exact values at some places (from 0, in rising order) of columns of ``n`` rows without nulls.
+
+    A sketch of all rows brackets each place; rows below the bracket are counted, and what lies in it is
+    counted by value and walked on the driver: a few ten-thousandths of the rows. A bracket that misses is widened.
+    """
+    off, found = 2e-4, {}
+    while todo := {c: r for c, r in ranks.items() if c not in found}:
+        share = {c: [float(max(0.0, min(r) / n - off)), float(min(1.0, (max(r) + 1) / n + off))] for c, r in todo.items()}
+        brackets = df.agg(*(F.percentile_approx(c, share[c], 10_000).alias(c) for c in todo)).first().asDict()
+        below = df.agg(*(F.count_if(F.col(c) < brackets[c][0]).alias(c) for c in todo)).first()
+        each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in todo))).alias("e")).select("e.*")
+        inside = F.lit(False)
+        for c, (low, high) in brackets.items():
+            inside = inside | (F.col("c") == c) & F.col("v").between(low, high)
+        held: dict[str, list] = {c: [] for c in todo}
+        for r in each.where(inside).groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).collect():
+            held[r.c].append((r.v, r.k))
+        for c, wanted in todo.items():
+            values = sorted(held[c])
+            ends = below[c] + np.cumsum([k for _, k in values], dtype=np.int64)
+            if min(wanted) >= below[c] and len(ends) and max(wanted) < ends[-1]:
+                found[c] = [values[int(np.searchsorted(ends, w, side="right"))][0] for w in wanted]
+        off *= 10
+    return found
+
+
+def _scale(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medians and deviations of the ratios of ``n`` rows."""
+    middles = order_statistics(rows, {c: [(n - 1) // 2, n // 2] for c in RATIOS}, n)
+    spread = rows.agg(*(F.stddev_pop(c).alias(c) for c in RATIOS)).first()
+    # rounded, as sums of floats depend on the order of rows
+    return np.array([np.mean(middles[c]) for c in RATIOS]), np.array([round(spread[c], 9) for c in RATIOS])
+
+
+def _scores(rows: DataFrame, forest: IsolationForest) -> DataFrame:
+    """(score) of rows with ratios."""
+    model = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"score": model.value.score(f.to_numpy(dtype=float))})
+
+    return rows.select(*RATIOS).mapInPandas(run, "score double")
+
+
 def fit(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
     max_labelled: int = 6000, max_clean_loss: float = 0.0005, seed: int = 9, min_words: int = MIN_WORDS,
 ) -> IsolationForest | None:
-    """The forest and threshold, from at most ``max_labelled`` labelled rows; None without any."""
+    """The forest, its scale and threshold; None without labelled rows.
+
+    Numbers of all labelled rows are kept, and scale and threshold are taken from all of them; the trees draw
+    from at most ``max_labelled``. Texts do not cross: they become numbers where they are.
+    """
     named = labels.select(F.col(id_col).alias("l"), F.col(quality_col).cast("int").alias("good"))
-    chosen = named.where("l IS NOT NULL AND good IS NOT NULL").groupBy("l").agg(F.min("good").alias("good")).orderBy(F.xxhash64("l"), "l").limit(max_labelled)
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("i") == F.col("l"))
-    stats = statistics(rows.select(F.struct("i", "good").alias("key"), "t"), "key", "t")
-    found = stats.groupBy("key").agg(F.min(F.struct(*COUNTS, *RATIOS)).alias("s")).collect()
-    found = sorted(((tuple(r.key), r.s) for r in found), key=lambda r: str(r[0]))
-    found = [(k, s) for k, s in found if not base_failed(s.n_words, s.n_repeat_words, min_words)]
-    if not found:
+    named = named.where("l IS NOT NULL AND good IS NOT NULL").groupBy("l").agg(F.min("good").alias("good"))
+    stats = statistics(df, id_col, text_col).withColumnRenamed(id_col, "i")
+    least = stats.join(named, F.col("i") == F.col("l")).groupBy("l", "good").agg(F.min(F.struct(*COUNTS, *RATIOS)).alias("s"))
+    failed = (F.col("s.n_words") < min_words) | (100 * F.col("s.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("s.n_words"))
+    rows = durable(least.where(~failed).select("l", (F.col("good") > 0).alias("good"), *(f"s.{c}" for c in RATIOS)))
+    n, n_good = rows.agg(F.count(F.lit(1)), F.count_if("good")).first()
+    if not n:
         return None
-    x = np.array([[s[c] for c in RATIOS] for _, s in found])
-    good = np.array([k[1] > 0 for k, _ in found])
-    forest = IsolationForest.fit(x, good, seed=seed)
-    forest.calibrate(x, good, max_clean_loss)
+    drawn = sorted(rows.orderBy(F.xxhash64("l"), "l").limit(max_labelled).collect(), key=lambda r: str((r.l, r.good)))
+    normal = rows.where("good") if n_good else rows
+    forest = IsolationForest.fit(np.array([[r[c] for c in RATIOS] for r in drawn]), np.array([r.good for r in drawn]), seed=seed, scale=_scale(normal, n_good or n))
+    if 0 < n_good < n:
+        # rows that score above the threshold are rejected: it is the score of a good row that so many others are above
+        forest.threshold = order_statistics(_scores(normal, forest), {"score": [n_good - 1 - int(n_good * max_clean_loss)]}, n_good)["score"][0]
     return forest
 
 
