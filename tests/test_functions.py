@@ -198,3 +198,12 @@ def test_objects(spark):
     assert [r.o for r in df.select(candidates.chosen_object("s", "ids").alias("o")).collect()] == [8, None]
     r = df.select(candidates.object_target("ids", F.lit("8"), F.lit(True)).alias("t"), candidates.object_target("ids", F.lit("8"), F.lit(False)).alias("u")).collect()
     assert [(x.t, x.u) for x in r] == [(2, -100), (-100, -100)]
+
+
+def test_ngrams_work_their_tokens_out_once(spark):
+    """The words of a text are not split anew for every window."""
+    made = spark.range(1).select(A.ngrams(A.words(F.concat(F.lit("a b  c d "), F.col("id").cast("string"))), 3).alias("g"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert made.first().g == ["a b c", "b c d", "c d 0"]
+    none = spark.createDataFrame([(None,), ("a b",)], "t string").select(A.ngrams(A.words("t"), 3).alias("g")).collect()
+    assert [r.g for r in none] == [[], []]

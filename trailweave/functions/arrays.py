@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +23,15 @@ def spaced(text: Column | str) -> Column:
     return F.split(text, " ", -1)
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` makes of a value that is worked out once: an expression named inside a lambda is worked out anew for every element."""
+    return F.transform(F.array(value), make)[0]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All windows of n tokens, each joined by spaces; none if there are fewer tokens."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    windows = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda k: F.array_join(F.slice(t, k, n), " "))
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, windows(t)).otherwise(F.array().cast("array<string>")))
 
 
 def _common_subsequence(a: list[str], b: list[str]) -> int:
