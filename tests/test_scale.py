@@ -7,7 +7,7 @@ import time
 
 import pandas as pd
 
-from trailweave.operators import memory, meteor
+from trailweave.operators import annotate, memory, meteor
 from trailweave.operators import textmetrics as M
 from trailweave.streaming import topology
 
@@ -96,3 +96,12 @@ def test_topology_entries_over_triggers():
     assert set(topology.walked(parts, steps[1:2])) == {1, 2}
     topology.walked(parts, steps[2:])
     assert parts == whole and whole[1]["total"] == 4.0 and whole[1]["traj_order"] == 2 and whole[1]["s_env"] == 5 and whole[3] == {**topology.NEW, "first_seen": 0, "links": {1}}
+
+
+def test_an_instruction_carries_its_own_encoding_only(spark):
+    r = spark.createDataFrame([(7, 7, None, ["a b", "c", "d"], [[1, 2, 3], [4]]), (3, 3, 1.5, ["x"], [[5], [6]]), (4, 4, 0.5, ["y"], None)], "raw_idx long, path_id long, heading double, instructions array<string>, instr_encodings array<array<int>>")
+    made = annotate.instruction_rows(r, 2)
+    # the nested encodings end where instructions become rows, before these are dealt and put in order
+    assert "instr_encodings" not in made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    got = {x.instr_id: (x.sample_idx, x.instruction, x.instr_encoding, x.heading) for x in made.collect()}
+    assert got == {"r2r_3_0": (0, "x", [5], 1.5), "r2r_4_0": (1, "y", None, 0.5), "r2r_7_0": (2, "a b", [1, 2], 0.0), "r2r_7_1": (3, "c", [4], 0.0), "r2r_7_2": (4, "d", None, 0.0)}

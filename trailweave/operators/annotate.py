@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailweave.functions.arrays import first_words, run_lengths, stripped
+from trailweave.functions.arrays import bound, first_words, run_lengths, stripped
 
 FULL = 2 * math.pi
 
@@ -72,10 +72,15 @@ def fine_grained(df: DataFrame) -> DataFrame:
 
 
 def instruction_rows(df: DataFrame, longest: int = 200) -> DataFrame:
-    """Room-to-room records: (raw_idx, path_id, scan, path, heading, instructions, instr_encodings)."""
-    rows = numbered(by_instruction(df), "raw_idx", ["j"])
+    """Room-to-room records: (raw_idx, path_id, scan, path, heading, instructions, instr_encodings).
+
+    Each instruction takes its own encoding, cut, before rows are numbered: no row carries those of the whole record.
+    """
+    own = lambda all_: F.transform("instructions", lambda s, j: F.struct(s.alias("instruction"), F.slice(F.get(all_, j), 1, longest).alias("instr_encoding")))
+    paired = df.withColumn("instructions", bound(F.col("instr_encodings"), own)).drop("instr_encodings")
+    each = by_instruction(paired).withColumn("instr_encoding", F.col("instruction.instr_encoding")).withColumn("instruction", F.col("instruction.instruction"))
+    rows = numbered(each, "raw_idx", ["j"], width=1000)
     rows = rows.withColumn("instr_id", F.concat_ws("_", F.lit("r2r"), "path_id", "j"))
-    rows = rows.withColumn("instr_encoding", F.slice(F.get("instr_encodings", F.col("j")), 1, longest)).drop("instr_encodings")
     return rows.withColumn("heading", F.coalesce("heading", F.lit(0.0))).withColumn("data_type", F.lit("r2r"))
 
 
