@@ -53,3 +53,8 @@ def test_same_as_sql(spark, duck, name):
 def test_every_query_has_a_name_of_its_own_and_sql_names_exist():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.FLAGSHIP in registry.queries()
+
+
+@pytest.mark.parametrize("name", ["st04_candidate_cache", "st06_rollout"])
+def test_walks_same_as_sql(spark, duck, name):
+    test_same_as_sql(spark, duck, name)

@@ -7,7 +7,7 @@ import time
 
 import pandas as pd
 
-from trailweave.operators import annotate, memory, meteor
+from trailweave.operators import annotate, memory, meteor, observations
 from trailweave.operators import textmetrics as M
 from trailweave.streaming import topology
 
@@ -105,3 +105,9 @@ def test_an_instruction_carries_its_own_encoding_only(spark):
     assert "instr_encodings" not in made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     got = {x.instr_id: (x.sample_idx, x.instruction, x.instr_encoding, x.heading) for x in made.collect()}
     assert got == {"r2r_3_0": (0, "x", [5], 1.5), "r2r_4_0": (1, "y", None, 0.5), "r2r_7_0": (2, "a b", [1, 2], 0.0), "r2r_7_1": (3, "c", [4], 0.0), "r2r_7_2": (4, "d", None, 0.0)}
+
+
+def test_last_visits(spark):
+    """One row per viewpoint meets what it sees."""
+    steps = spark.createDataFrame([("s", 1, 0, 5, 9), ("s", 1, 1, 0, 2), ("s", 1, 1, 0, 3), ("s", 2, 0, 0, 1)], "scan string, vp long, week long, pos long, user_id long")
+    assert sorted(map(tuple, observations.last_visits(steps, ["week", "pos", "user_id"]).collect())) == [("s", 1, 1, 0, 3), ("s", 2, 0, 0, 1)]

@@ -134,6 +134,11 @@ def view_arrays(rows: DataFrame, size: int, objects: DataFrame | None = None, mo
     )
 
 
+def last_visits(steps: DataFrame, order: list[str]) -> DataFrame:
+    """(scan, vp, order..) of each viewpoint's last visit, found before anything that a visit sees is joined to it."""
+    return steps.groupBy("scan", "vp").agg(F.max(F.struct(*order)).alias("o")).select("scan", "vp", "o.*")
+
+
 def cached_candidates(observations: DataFrame, order: list[str]) -> DataFrame:
     """(scan, vp, nbr, view): the view last written for each neighbour of a viewpoint; observations: (scan, vp, candidate, order..)."""
     each = observations.select("scan", "vp", *order, F.explode("candidate").alias("c"))

@@ -122,7 +122,9 @@ def st04_candidate_cache(spark: SparkSession, sf: str) -> DataFrame:
     s = views.steps(spark, sf)
     b = C.best_views(views.nodes(spark, sf), views.edges(spark, sf))
     near = b.groupBy("scan", "vp").agg(F.array_sort(F.collect_list(F.struct("nbr", "view"))).alias("c"))
-    seen = s.withColumnRenamed("node", "vp").join(near, ["scan", "vp"])
+    # a visit writes all neighbours of its viewpoint, so earlier ones than the last are overwritten as a whole
+    last = O.last_visits(s.withColumnRenamed("node", "vp"), ["week", "pos", "user_id"])
+    seen = last.join(near, ["scan", "vp"])
     moved = F.transform("c", lambda c: F.struct(c["nbr"].alias("nbr"), ((c["view"] + F.col("pos")) % 36).alias("view")))
     return O.cached_candidates(seen.withColumn("candidate", moved), ["week", "pos", "user_id"])
 
