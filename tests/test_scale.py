@@ -2,10 +2,14 @@
 
 import contextlib
 import io
+import math
 import random
 import time
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pytest
 
 from trailweave.operators import annotate, memory, meteor, observations
 from trailweave.operators import textmetrics as M
@@ -36,6 +40,43 @@ def test_cider_counts_ids_where_rows_meet(spark):
     assert len({round(r.cider, 9) for r in scored.collect()}) == 1
 
 
+def test_cider_sends_a_buckets_key_once(spark):
+    """The same words in every id cross once for all ids of a bucket, not once for each."""
+    rows = spark.createDataFrame([(k, "a b c d", ["a b c d", "d c b a"]) for k in range(300)] + [(300, "x", ["y"]), (301, "", [""])], "id long, hyp string, refs array<string>")
+    scored = M.cider(rows).collect()
+    assert len(scored) == 302 and {r.id: r.cider for r in scored}[301] == 0
+    f = pd.DataFrame({"id": range(3), "one": [[np.arange(4), np.arange(4), np.arange(4)[::-1]]] * 3, "two": [[np.arange(4), np.arange(4), np.arange(4)[::-1]]] * 3})
+    c = M._Counted(f)
+    assert len(c.h1) == 4 + 6 + 4 + 2 and set(c.in_references()) == {3}
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_cider_of_several_buckets(spark, monkeypatch, given):
+    """Against sums by hand, with unlike numbers of references, empty texts, and frequencies above the number of documents."""
+    monkeypatch.setattr(M, "IDS_OF_A_BUCKET", 7)
+    rng = random.Random(4)
+    some = lambda: " ".join(rng.choices("abcdef", k=rng.randrange(9)))
+    rows = [(k, some(), [some() for _ in range(rng.randint(1, 4))]) for k in range(40)]
+    grams = lambda t: [Counter(" ".join(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)) for n in (1, 2, 3, 4)]
+    df = Counter(g for _, _, refs in rows for g in {g for r in refs for c in grams(r) for g in c})
+    of = 3.0 if given else 40.0
+
+    def slow(hyp, refs):
+        weighed = lambda t: [{g: n * (math.log(of) - math.log(max(1, df[g]))) for g, n in c.items()} for c in grams(t)]
+        total, h = 0.0, weighed(hyp)
+        for r in refs:
+            off = max(0, len(hyp.split()) - 1) - max(0, len(r.split()) - 1)
+            for a, b in zip(h, weighed(r)):
+                dot = sum(min(a[g], b[g]) * b[g] for g in a if g in b)
+                norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+                total += (dot / norm if norm else dot) * math.exp(-off * off / 72)
+        return total / 4 / len(refs) * 10
+
+    frame = spark.createDataFrame(rows, "id long, hyp string, refs array<string>")
+    got = M.cider(frame, M.document_frequency(frame), of) if given else M.cider(frame)
+    assert {r.id: r.cider for r in got.collect()} == pytest.approx({k: slow(h, r) for k, h, r in rows})
+
+
 def test_equal_words_are_counted_without_a_search(spark, monkeypatch):
     rows = spark.createDataFrame([(k, "a b a c " * 3 + f"w{k}", ["a a b " * 3, f"c w{k} c"]) for k in range(30)], "id long, hyp string, refs array<string>")
     searched = meteor.counts(rows, stemmed=False)

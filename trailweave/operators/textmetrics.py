@@ -42,11 +42,6 @@ def _hashes(tokens: Column) -> tuple[Column, Column]:
     return F.transform(tokens, lambda w: F.xxhash64(w)), F.transform(tokens, lambda w: F.xxhash64(F.lit(1), w))
 
 
-def _most_refs(rows: DataFrame, known: int | None) -> int:
-    """The greatest number of references an id has: what the caller knows, or one number asked for."""
-    return known if known is not None else rows.agg(F.max(F.size("refs"))).first()[0] or 0
-
-
 def _few_refs(most: int | None) -> Column:
     """The references; of an id that has more than ``most`` they raise."""
     if most is None:
@@ -95,43 +90,6 @@ def _keys(one: np.ndarray, two: np.ndarray, n: int) -> list[np.ndarray]:
     return made
 
 
-def _grams(rows: DataFrame, most: int) -> DataFrame:
-    """(id, order, h1, h2, hyp, ref0..): each n-gram's count in the hypothesis and in each of at most ``most`` references.
-
-    An id's texts are counted where they are, one id after the other, so that a task holds the n-grams of one
-    id at a time. More references than ``most`` raise.
-    """
-    texts = F.transform(F.concat(F.array("hyp"), _few_refs(most)), lambda t: F.coalesce(words(t), F.array().cast("array<string>")))
-    hashed = rows.select("id", F.transform(texts, lambda t: _hashes(t)[0]).alias("one"), F.transform(texts, lambda t: _hashes(t)[1]).alias("two"))
-    counts = ["hyp", *(f"ref{k}" for k in range(most))]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lo in range(0, len(f), 1000):
-                made: list[list] = [[] for _ in range(5)]
-                for number, one, two in zip(range(lo, len(f)), f["one"][lo : lo + 1000], f["two"][lo : lo + 1000]):
-                    if one is None:
-                        continue
-                    for n in ORDERS:
-                        each = [_keys(a, b, n) for a, b in zip(one, two)]
-                        h1, h2 = (np.concatenate([e[k] for e in each]) for k in (0, 1))
-                        if not len(h1):
-                            continue
-                        order = np.lexsort((h2, h1))
-                        h1, h2, of = h1[order], h2[order], np.repeat(np.arange(len(each)), [len(e[0]) for e in each])[order]
-                        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-                        found = np.zeros((int(new.sum()), most + 1), np.int64)
-                        np.add.at(found, (np.cumsum(new) - 1, of), 1)
-                        for to, x in zip(made, (np.full(len(found), number), np.full(len(found), n), h1[new], h2[new], found)):
-                            to.append(x)
-                if made[0]:
-                    number, order, h1, h2, found = (np.concatenate(x) for x in made)
-                    yield pd.DataFrame({"id": f["id"].to_numpy()[number], "order": order, "h1": h1, "h2": h2} | {c: found[:, k] for k, c in enumerate(counts)})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return hashed.mapInPandas(run, f"id {kind}, order int, h1 long, h2 long, " + ", ".join(f"{c} long" for c in counts))
-
-
 def reference_length(length: Column, lengths: Column, option: str) -> Column:
     """The length a hypothesis is held against: the closest (of two the shorter), the shortest or the mean."""
     if option == "shortest":
@@ -212,48 +170,111 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Ids whose texts are counted together.
+IDS_OF_A_BUCKET = 1000
+
+
 def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(order, h1, h2, df) of rows (order, one, two, df): hashes of an n-gram's tokens become its key."""
+    """(h1, h2, df) of rows (one, two, df): hashes of an n-gram's tokens become its key."""
     for f in frames:
         keys = [[k[0] for k in _keys(np.asarray(a), np.asarray(b), len(a))] for a, b in zip(f["one"], f["two"])]
-        yield pd.DataFrame({"order": f["order"], "h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "df": f["df"]})
+        yield pd.DataFrame({"h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "df": f["df"]})
+
+
+def _numbered_keys(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each key is first met, in the order of keys; the number of each place's key)."""
+    order = np.lexsort((h2, h1))
+    new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)][: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+class _Counted:
+    """The n-grams of some ids' texts: distinct keys in their order, and how often each text has each.
+
+    Texts are numbered through; an id's hypothesis comes before its references.
+    """
+
+    def __init__(self, f: pd.DataFrame):
+        f = f[f["one"].notna()]  # an id without an array of references has no texts
+        self.ids = f["id"]
+        texts = [(r, a, b) for r, (one, two) in enumerate(zip(f["one"], f["two"])) for a, b in zip(one, two)]
+        self.row = np.array([r for r, *_ in texts], np.int64)
+        sizes = np.array([len(a) for _, a, _ in texts], np.int64)
+        one, two = (np.concatenate([np.zeros(0, np.int64), *(t[k] for t in texts)]) for k in (1, 2))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(one))  # tokens of the text from here on
+        found = []
+        for n in ORDERS:
+            own = np.flatnonzero(left >= n)
+            found.append((*(k[own] for k in _keys(one, two, n)), text[own], np.full(len(own), n - 1)))
+        h1, h2, text, order = (np.concatenate(x) for x in zip(*found))
+        first, key = _numbered_keys(h1, h2)
+        self.h1, self.h2, self.order = h1[first], h2[first], order[first]
+        self.place, self.n = np.unique(key * max(1, len(texts)) + text, return_counts=True)
+        self.key, self.text = np.divmod(self.place, max(1, len(texts)))
+        self.hyp = np.searchsorted(self.row, self.row)  # the hypothesis of each text's id
+
+    def in_references(self) -> np.ndarray:
+        """Of how many ids the references have each key."""
+        ref = self.hyp[self.text] != self.text
+        met = np.unique(self.key[ref] * max(1, len(self.ids)) + self.row[self.text[ref]])
+        return np.bincount(met // max(1, len(self.ids)), minlength=len(self.h1))
+
+    def cosines(self, weight: np.ndarray) -> pd.DataFrame:
+        """(id, sums): of each reference the clipped cosines of all orders together; ``weight`` is that of each key."""
+        w, size = self.n * weight[self.key], len(self.row) * len(ORDERS)
+        at = self.text * len(ORDERS) + self.order[self.key]
+        norm = np.sqrt(np.bincount(at, w * w, size)).reshape(-1, len(ORDERS))
+        own = self.key * max(1, len(self.row)) + self.hyp[self.text]  # the same key in the id's hypothesis
+        where = np.minimum(np.searchsorted(self.place, own), max(0, len(self.place) - 1))
+        both = self.place[where] == own
+        dot = np.bincount(at, np.where(both, np.minimum(w[where], w) * w, 0.0), size).reshape(-1, len(ORDERS))
+        of = norm * norm[self.hyp]
+        sums = np.divide(dot, of, out=dot.copy(), where=of != 0).sum(axis=1)
+        ends = np.searchsorted(self.row, np.arange(len(self.ids) + 1))
+        return pd.DataFrame({"id": self.ids.to_numpy(), "sums": [sums[a + 1 : b] for a, b in zip(ends[:-1], ends[1:])]})
 
 
 def cider(rows: DataFrame, frequency: DataFrame | None = None, documents: float | None = None, most_refs: int | None = None) -> DataFrame:
-    """(id, cider). ``frequency`` (as ``document_frequency`` makes it) and ``documents`` may come from another corpus."""
-    most = _most_refs(rows, most_refs)
-    rows = durable(spread(rows.select("id", "hyp", "refs"), "id"))  # read three times
-    refs = [f"ref{k}" for k in range(most)]
-    grams = _grams(rows, most)
-    key = ["order", "h1", "h2"]
+    """(id, cider). ``frequency`` (as ``document_frequency`` makes it) and ``documents`` may come from another corpus.
+
+    Ids are dealt to buckets by hash. A bucket sends each of its distinct n-grams once, as a key of 128 bits with the
+    number of its ids whose references have it, to where the key's rows meet. Back come frequencies above one (none
+    and one weigh the same), by the key's place in the bucket's order, which is made again from the same texts.
+    """
+    rows = durable(rows.select("id", "hyp", _few_refs(most_refs).alias("refs")))  # read four times
+    count = rows.count()
+    of = float(count if documents is None else documents)
+    texts = F.transform(F.concat(F.array("hyp"), "refs"), lambda t: F.coalesce(words(t), F.array().cast("array<string>")))
+    dealt = spread(rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // IDS_OF_A_BUCKET))))), "bucket")
+    hashed = dealt.select("bucket", "id", F.transform(texts, lambda t: _hashes(t)[0]).alias("one"), F.transform(texts, lambda t: _hashes(t)[1]).alias("two"))
+
+    def sent(f: pd.DataFrame) -> pd.DataFrame:
+        c = _Counted(f)
+        return pd.DataFrame({"bucket": f["bucket"].iloc[0], "place": np.arange(len(c.h1)), "h1": c.h1, "h2": c.h2, "n": c.in_references()})
+
+    def scored(f: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        c = _Counted(f)
+        df = np.ones(len(c.h1))
+        df[back["place"].to_numpy(np.int64)] = back["df"]
+        return c.cosines(np.log(max(of, 1.0)) - np.log(df))
+
+    found = hashed.groupBy("bucket").applyInPandas(sent, "bucket long, place long, h1 long, h2 long, n long")
     if frequency is None:
-        # the n-grams cross once; how many ids' references have one is counted where its rows meet
-        met = spread(grams, *key).withColumn("df", F.sum(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in refs), F.lit(False)).cast("long")).over(Window.partitionBy(*key)))
+        met = spread(found, "h1", "h2").withColumn("df", F.sum("n").over(Window.partitionBy("h1", "h2")))
     else:
         one, two = _hashes(F.split("gram", " ", -1))
-        known = frequency.select("order", one.alias("one"), two.alias("two"), "df").mapInPandas(_keyed, "order int, h1 long, h2 long, df long")
-        met = grams.join(known, key, "left")
-    of = rows.agg(F.count(F.lit(1)).cast("double").alias("of")) if documents is None else rows.sparkSession.range(1).select(F.lit(float(documents)).alias("of"))
-    weight = F.log(F.greatest(F.col("of"), F.lit(1.0))) - F.log(F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
-    # rows go back to their ids as small whole numbers and are weighed and summed there
-    back = spread(met.select("id", "order", "hyp", *refs, "df"), "id")
-    weighed = back.crossJoin(F.broadcast(of)).withColumn("weight", weight)  # ``of`` is one row
-
-    # per id and order: squared norms of the hypothesis and of each reference, and their products
-    h, w = F.col("hyp") * F.col("weight"), {c: F.col(c) * F.col("weight") for c in refs}
-    sums = [F.sum(h * h).alias("norm"), *(F.sum(w[c] * w[c]).alias(f"{c}_norm") for c in refs), *(F.sum(F.least(h, w[c]) * w[c]).alias(f"{c}_dot") for c in refs)]
-    by_order = weighed.groupBy("id", "order").agg(*sums)
-
-    def cosine(c: str) -> Column:
-        norm = F.sqrt("norm") * F.sqrt(f"{c}_norm")
-        return F.when(norm != 0, F.col(f"{c}_dot") / norm).otherwise(F.col(f"{c}_dot"))
-
-    scored = by_order.groupBy("id").agg(*(F.sum(cosine(c)).alias(c) for c in refs))
+        known = frequency.select(one.alias("one"), two.alias("two"), "df").mapInPandas(_keyed, "h1 long, h2 long, df long")
+        met = found.join(known, ["h1", "h2"])
+    back = spread(met.where("df > 1").select("bucket", "place", "df"), "bucket")
+    sums = hashed.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInPandas(scored, f"id {rows.schema['id'].dataType.simpleString()}, sums array<double>")
     bigrams = lambda n: F.greatest(F.lit(0), n - 1)
     off = lambda t: bigrams(F.size(words("hyp"))) - bigrams(F.size(words(t)))
     lengths = rows.select("id", F.transform("refs", lambda t: F.exp(-(off(t) * off(t)) / (2 * SIGMA**2))).alias("penalties"))
-    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * F.get("penalties", F.lit(k)), F.lit(0.0)) for k, c in enumerate(refs)), F.lit(0.0))
-    return lengths.join(scored, "id", "left").select("id", (total / len(ORDERS) / F.size("penalties") * 10.0).alias("cider"))
+    total = F.aggregate(F.zip_with("sums", "penalties", lambda s, p: F.coalesce(s * p, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return lengths.join(sums, "id", "left").select("id", (total / len(ORDERS) / F.size("penalties") * 10.0).alias("cider"))
 
 
 # ---- exact match and bundles ---------------------------------------------------------------------
