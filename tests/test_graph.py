@@ -142,3 +142,31 @@ def test_distances_by_tiles(spark, nodes):
     want = {(r.scan, r.src, r.dst): r.d for r in G.shortest_distances(edges, some).collect()}
     found = [((r.scan, r.src, r.dst), r.d) for r in G.min_plus_distances(edges, some, 15).collect()]
     assert len(found) == len(want) and dict(found) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [4, 100])
+def test_asked_paths_by_tiles(spark, block):
+    """Blocks of a few nodes, whole weights so that many ways are equally short, and names that are texts."""
+    rng = random.Random(block)
+    links = [(s, f"n{a:02}", f"n{b:02}", float(rng.randint(1, 3))) for s, n in ((1, 20), (2, 5)) for a in range(n) for b in range(n) if a != b and rng.random() < 0.15]
+    edges = spark.createDataFrame(links, "scan int, src string, dst string, w double")
+    pairs = [(s, f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for s, n in ((1, 20), (2, 5), (3, 2)) for _ in range(20)]
+    asked = spark.createDataFrame(pairs, "scan int, src string, dst string").distinct()
+    rows = lambda df: sorted((r.scan, r.src, r.dst, r.d, r.hops, tuple(r.path)) for r in df.collect())
+    lone = [(3, a, a, 0.0, 0, (a,)) for a in sorted({a for s, a, b in pairs if s == 3 and a == b})]
+    want = [r for r in rows(G.asked_paths(edges, asked)) if r[0] != 3] + lone
+    assert rows(G._asked_by_joins(edges, asked, block)) == want
+
+
+def test_nodes_at_one_place_by_joins(spark, block=2):
+    """Steps of no length: labels of whole ways went round between such nodes without an end."""
+    both = [(9, 2, 1.0), (2, 1, 0.0), (1, 3, 0.0), (2, 3, 0.0), (3, 4, 1.0), (4, 0, 0.0)]
+    links = [(1, *e) for a, b, w in both for e in ((a, b, w), (b, a, w))]
+    edges = spark.createDataFrame(links, "scan int, src long, dst long, w double")
+    asked = spark.createDataFrame([(1, a, b) for a in (9, 2, 1) for b in (0, 1, 2, 3, 4, 9)], "scan int, src long, dst long")
+    got = G._asked_by_joins(edges, asked, block).collect()
+    w = {(a, b): x for _, a, b, x in links}
+    assert len(got) == 18
+    for r in got:
+        assert r.path[0] == r.src and r.path[-1] == r.dst and len(set(r.path)) == len(r.path) == r.hops + 1
+        assert sum(w[e] for e in zip(r.path, r.path[1:])) == r.d == dijkstra([x[1:] for x in links], r.src)[r.dst]

@@ -5,15 +5,16 @@ A graph is keyed by ``scan``; nodes are (scan, vp, x, y, z) and edges (scan, src
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from trailweave.sources.durable import durable
+from trailweave.sources.spread import spread
 
 #: A scan is one building: its matrix of nodes x nodes must fit a task. More nodes are an error, not a cut.
 MOST_NODES = 6000
@@ -334,30 +335,184 @@ def _asked_in_tasks(edges: DataFrame, asked: DataFrame, buckets: int, ways: bool
     return dealt.groupBy("scan", "bucket").cogroup(near.groupBy("scan", "part")).applyInPandas(run, form)
 
 
-def _asked_by_joins(edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """The same for scans of any size: labels (source, node, distance, way) spread from the asked sources, a step per round.
+#: Beyond all numbers of nodes: no node before.
+_NONE = np.iinfo(np.int64).max
+_CANDIDATE = np.dtype([("row", np.int32), ("col", np.int32), ("d", np.float64), ("before", np.int64), ("still", np.bool_)])
+_STEP = np.dtype([("src", np.int64), ("dst", np.int64), ("w", np.float64)])
 
-    A label goes on only while it is shorter than the longest way that its source still needs: the greatest
-    distance to an asked goal, once all of them are reached. Each round is a join with the edges and a
-    minimum, and ends in a checkpoint; two numbers tell whether anything changed.
+
+def _blob(kind: np.dtype, *columns: np.ndarray) -> bytes:
+    out = np.empty(len(columns[0]), kind)
+    for name, x in zip(kind.names, columns):
+        out[name] = x
+    return out.tobytes()
+
+
+class _Tile:
+    """Least distances from some sources to a block's nodes, and the node before each on the way.
+
+    Of equally short ways the one whose last step comes from the smallest node is taken. A step of no length (two
+    nodes at one place) is taken only where it shortens a way, so that no way goes round in a circle.
+    """
+
+    def __init__(self, row: object, block: int):
+        rows, width = len(row.sources), min(block, row.nodes - row.b * block)
+        self.lo, self.size = row.b * block, block
+        self.d = np.full((rows, width), np.inf) if row.d is None else np.frombuffer(row.d).reshape(rows, width).copy()
+        self.before = np.full((rows, width), _NONE) if row.before is None else np.frombuffer(row.before, np.int64).reshape(rows, width).copy()
+
+    def take(self, met: np.ndarray) -> None:
+        """Candidates, of each cell the best."""
+        met = met[np.lexsort((met["before"], met["still"], met["d"], met["col"], met["row"]))]
+        met = met[np.r_[True, (np.diff(met["row"]) != 0) | (np.diff(met["col"]) != 0)][: len(met)]]
+        at = met["row"], met["col"]
+        d, before = self.d[at], self.before[at]
+        less, same = met["d"] < d, (met["d"] == d) & ~met["still"]
+        self.before[at] = np.where(less, met["before"], np.where(same, np.minimum(before, met["before"]), before))
+        self.d[at] = np.minimum(d, met["d"])
+
+    def relax(self, steps: np.ndarray) -> None:
+        """Through the steps inside the block until nothing changes."""
+        if not len(steps):
+            return
+        steps = steps[np.argsort(steps["dst"], kind="stable")]
+        first = np.flatnonzero(np.r_[True, np.diff(steps["dst"]) != 0])
+        part = np.repeat(np.arange(len(first)), np.diff([*first, len(steps)]))
+        src, ends = steps["src"] - self.lo, steps["dst"][first] - self.lo
+        many = max(1, BLOCK // len(steps))
+        for lo in range(0, len(self.d), many):
+            rows, less = np.arange(lo, min(lo + many, len(self.d))), np.ones(1, bool)
+            while len(rows):
+                begin = self.d[rows][:, src]
+                via = begin + steps["w"]
+                best = np.minimum.reduceat(via, first, axis=1)
+                hit = via == best[:, part]
+                least = lambda ok: np.minimum.reduceat(np.where(ok, steps["src"], _NONE), first, axis=1)
+                moved, any_ = least(hit & (begin < via)), least(hit)
+                at = np.ix_(rows, ends)
+                d, before = self.d[at], self.before[at]
+                less = best < d
+                self.before[at] = np.where(less, np.where(moved < _NONE, moved, any_), np.where(best == d, np.minimum(before, moved), before))
+                self.d[at] = np.minimum(best, d)
+                rows = rows[less.any(axis=1)]
+
+    def sent(self, new: np.ndarray, steps: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(block, candidates) for the nodes that steps lead to out of the block, from its ``new`` cells."""
+        steps = steps[np.argsort(steps["dst"] // self.size, kind="stable")]
+        cuts = np.flatnonzero(np.diff(steps["dst"] // self.size)) + 1
+        for part in np.split(steps, cuts) if len(steps) else []:
+            best = np.empty(0, _CANDIDATE)
+            many = max(1, BLOCK // len(part))
+            for lo in range(0, len(self.d), many):
+                row, k = np.nonzero(new[lo : lo + many][:, part["src"] - self.lo])
+                d = self.d[row + lo, part["src"][k] - self.lo]
+                found = np.frombuffer(_blob(_CANDIDATE, row + lo, part["dst"][k] % self.size, d + part["w"][k], part["src"][k], d + part["w"][k] == d), _CANDIDATE)
+                found = found[np.lexsort((found["before"], found["still"], found["d"], found["col"], found["row"]))]
+                best = np.concatenate([best, found[np.r_[True, (np.diff(found["row"]) != 0) | (np.diff(found["col"]) != 0)][: len(found)]]])
+            if len(best):
+                yield int(part["dst"][0] // self.size), best.tobytes()
+
+
+def _asked_by_joins(edges: DataFrame, asked: DataFrame, block: int = BLOCK_NODES) -> DataFrame:
+    """The same for scans of any size: distances spread from the asked sources in tiles, a block's sources to a block's nodes.
+
+    A scan's nodes are numbered in their order and cut into blocks. In a round a tile takes what others send it, is relaxed
+    through the steps inside its block, and sends what has become shorter along the steps that leave it, while
+    that is shorter than the longest way its source still needs: the greatest distance to an asked goal, once all
+    of them are reached. A round is joins of tiles and ends in checkpoints; a scan of one block needs one round.
+    At last ways are walked back from their goals, from tile to tile.
     """
-    goals = durable(asked.select("scan", "src", F.col("dst").alias("node")))
-    steps = durable(edges.select("scan", F.col("src").alias("node"), F.col("dst").alias("to"), "w"))
-    label = F.struct("d", F.reverse("path").alias("back"))
-    known = goals.select("scan", "src", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.array("src").alias("path"), F.lit(True).alias("new")).distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    goals, edges = durable(asked.select("scan", "src", "dst")), durable(edges.select("scan", "src", "dst", "w"))
+    ends = reduce(DataFrame.unionByName, [x.select("scan", F.col(c).alias("vp")) for x in (edges, goals) for c in ("src", "dst")]).distinct()
+    names = durable(ends.withColumn("k", (F.row_number().over(Window.partitionBy("scan").orderBy("vp")) - 1).cast("long")))
+    as_numbers = lambda x: reduce(lambda y, c: y.withColumnRenamed(c, "vp").join(names, ["scan", "vp"]).drop("vp").withColumnRenamed("k", c), ["src", "dst"], x)
+    of = lambda c: F.floor(F.col(c) / block)
+    key, tile = ["scan", "g", "b"], f"scan {kinds['scan']}, g long, b long"
+
+    def apart(df: DataFrame) -> GroupedData:
+        """Grouped by the key under other names: both sides of a cogroup come from the same rows."""
+        return spread(df.select(*(F.col(c).alias(f"_{c}") for c in key), *(c for c in df.columns if c not in key), F.col("b").alias("b")), *(f"_{c}" for c in key)).groupBy(*(f"_{c}" for c in key))
+
+    # the edges of a block in one row, those that leave it apart and in parts of bounded size
+    packed = lambda f, **to: f.iloc[:1][["scan", "b"]].assign(**{next(iter(to)): [_blob(_STEP, *(f[c].to_numpy() for c in _STEP.names))]})
+    numbered = as_numbers(edges).withColumn("b", of("src"))
+    inner = durable(numbered.where(of("dst") == F.col("b")).groupBy("scan", "b").applyInPandas(lambda f: packed(f, inner=0), f"scan {kinds['scan']}, b long, inner binary"))
+    outer = numbered.where(of("dst") != F.col("b")).withColumn("part", F.floor(of("dst") / block))
+    outer = durable(outer.groupBy("scan", "b", "part").applyInPandas(lambda f: packed(f, outer=0), f"scan {kinds['scan']}, b long, outer binary"))
+
+    goals = durable(as_numbers(goals).withColumn("g", of("src")).withColumn("b", of("dst")))
+    nodes = names.groupBy("scan").agg(F.count(F.lit(1)).alias("nodes"))
+    sources = durable(goals.groupBy("scan", "g").agg(F.array_sort(F.collect_set("src")).alias("sources")).join(nodes, "scan"))
+    wanted = durable(goals.groupBy(*key).agg(F.collect_list(F.struct("src", "dst")).alias("wanted")))
+    own = sources.select("scan", "g", F.col("g").alias("b"), F.transform("sources", lambda k: k % block).alias("cols"), "sources")
+
+    def begun(f: pd.DataFrame) -> pd.DataFrame:
+        at = [(np.arange(len(c)), np.asarray(c), 0.0, np.asarray(k), False) for c, k in zip(f["cols"], f["sources"])]
+        return f[key].assign(met=[_blob(_CANDIDATE, *x) for x in at])
+
+    def merged(f: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        r = next(f.itertuples(index=False))
+        t = _Tile(r, block)
+        old = t.d.copy()
+        t.take(np.concatenate([np.empty(0, _CANDIDATE), *(np.frombuffer(x, _CANDIDATE) for x in met["met"])]))
+        t.relax(np.frombuffer(r.inner or b"", _STEP))
+        new, far = t.d < old, np.full(len(r.sources), -np.inf)
+        if r.wanted is not None:
+            src, dst = (np.array([w[c] for w in r.wanted], np.int64) for c in ("src", "dst"))
+            np.maximum.at(far, np.searchsorted(np.asarray(r.sources), src), t.d[np.searchsorted(np.asarray(r.sources), src), dst - t.lo])
+        return pd.DataFrame({"scan": [r.scan], "g": r.g, "b": r.b, "d": t.d.tobytes(), "before": t.before.tobytes(), "new": new.tobytes() if new.any() else None, "far": [far.tolist()]})
+
+    def passed(f: pd.DataFrame) -> pd.DataFrame:
+        r = next(f.itertuples(index=False))
+        t = _Tile(r, block)
+        new = np.frombuffer(r.new, bool).reshape(t.d.shape) & (t.d < np.asarray(r.far)[:, None])
+        found = [(j, c) for blob in f["outer"] for j, c in t.sent(new, np.frombuffer(blob, _STEP))]
+        return pd.DataFrame({"scan": r.scan, "g": r.g, "b": [j for j, _ in found], "met": [c for _, c in found]})
+
+    form = f"{tile}, d binary, before binary, new binary, far array<double>"
+    met = own.groupBy(*key).applyInPandas(begun, f"{tile}, met binary").unionByName(wanted.select(*key, F.lit(b"").alias("met")))
+    tiles = goals.sparkSession.createDataFrame([], form)
+    while True:
+        met = durable(met)
+        if not met.limit(1).count():
+            break
+        touched = met.select(*key).distinct()
+        full = touched.join(sources, ["scan", "g"]).join(inner, ["scan", "b"], "left").join(wanted, key, "left").join(tiles.select(*key, "d", "before"), key, "left")
+        now = durable(spread(full, *key).groupBy(*key).cogroup(apart(met)).applyInPandas(merged, form))
+        tiles = tiles.join(touched, key, "left_anti").unionByName(now)
+        leaving = now.where(F.col("new").isNotNull()).drop("far").join(outer, ["scan", "b"])
+        # how far a source has to go: to the last of its goals, without bound while one is unknown
+        far = tiles.select("scan", "g", F.posexplode("far").alias("row", "far")).groupBy("scan", "g", "row").agg(F.max("far").alias("far"))
+        far = far.groupBy("scan", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "far"))), lambda x: x["far"]).alias("far"))
+        met = leaving.join(far, ["scan", "g"]).join(sources, ["scan", "g"]).groupBy(*key).applyInPandas(passed, f"{tile}, met binary")
+
+    def walked(ways: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        r = next(f.itertuples(index=False), None)
+        t = None if r is None else _Tile(r, block)
+        for w in ways.itertuples(index=False) if t else ():
+            row, back = int(np.searchsorted(np.asarray(r.sources), w.src)), list(w.back)
+            d = t.d[row, back[0] - t.lo] if len(back) == 1 else w.d
+            if not np.isfinite(d):
+                continue
+            while back[-1] != w.src and back[-1] // block == r.b:
+                back.append(int(t.before[row, back[-1] - t.lo]))
+            out.append((w.scan, w.g, back[-1] // block, w.src, w.dst, d, back, back[-1] == w.src))
+        return pd.DataFrame(out, columns=["scan", "g", "b", "src", "dst", "d", "back", "done"])
+
+    tiles = durable(tiles.select(*key, "d", "before").join(sources, ["scan", "g"]))
+    ways, made = goals.withColumn("d", F.lit(None).cast("double")).withColumn("back", F.array("dst")), []
     while True:
-        known = durable(known)
-        if not known.where("new").limit(1).count():
+        ways = durable(spread(ways, *key).groupBy(*key).cogroup(apart(tiles)).applyInPandas(walked, f"{tile}, src long, dst long, d double, back array<long>, done boolean"))
+        made.append(ways.where("done"))
+        ways = ways.where("NOT done").drop("done")
+        if not ways.limit(1).count():
             break
-        # how far a source has to go: null (no bound) while a goal is unknown
-        need = goals.join(known.select("scan", "src", "node", "d"), ["scan", "src", "node"], "left").groupBy("scan", "src").agg(F.when(F.count_if(F.col("d").isNull()) == 0, F.max("d")).alias("far"))
-        front = known.where("new").join(need, ["scan", "src"]).where(F.col("far").isNull() | (F.col("d") < F.col("far")))
-        moved = front.join(steps, ["scan", "node"]).select("scan", "src", F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.array_append("path", F.col("to")).alias("path"), F.lit(True).alias("new"))
-        both = known.withColumn("new", F.lit(False)).unionByName(moved)
-        best = both.groupBy("scan", "src", "node").agg(F.min(F.struct(label.alias("label"), "new")).alias("b"))
-        known = best.select("scan", "src", "node", F.col("b.label.d").alias("d"), F.reverse("b.label.back").alias("path"), "b.new")
-    found = goals.join(known, ["scan", "src", "node"])
-    return found.select("scan", "src", F.col("node").alias("dst"), "d", (F.size("path") - 1).cast("long").alias("hops"), "path")
+    whole = reduce(DataFrame.unionByName, made)
+    places = whole.select("scan", "src", "dst", "d", F.posexplode(F.reverse("back")).alias("pos", "k")).join(names, ["scan", "k"])
+    path = places.groupBy("scan", "src", "dst", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vp"))), lambda x: x["vp"]).alias("path"))
+    return path.select("scan", F.col("path")[0].alias("src"), F.element_at("path", -1).alias("dst"), "d", (F.size("path") - 1).cast("long").alias("hops"), "path")
 
 
 def _asked(edges: DataFrame, asked: DataFrame, most_edges: int, buckets: int, ways: bool) -> DataFrame:
