@@ -67,3 +67,15 @@ def test_left_batches(spark):
     got = {r.k: (r.input_ids, r.attention_mask) for r in S.left_batches(rows, "batch", 4, 0).collect()}
     assert got == {0: ([1, 2, 3], [True] * 3), 1: ([0, 0, 4], [False, False, True]), 2: ([5, 6, 7, 8], [True] * 4)}
     assert not S.left_batches(rows.where(F.col("k") > 5), "batch", 4, 0).count()
+
+
+def test_words_become_ids_where_their_text_is(spark, monkeypatch):
+    """Nothing is dealt or joined by words; words beyond those remembered are taken apart anew."""
+    monkeypatch.setattr(S, "REMEMBERED", 1)
+    voc = spark.createDataFrame([("a", 20), ("ab", 21), ("abcd", 22), ("##c", 23), ("##cd", 24), ("##dé", 25)], "token string, id long")
+    df = spark.createDataFrame([(1, "abc abcd abcdé ABCDÉ <hist>"), (1, "x"), (None, "abcddé ab")], "k long, t string")
+    made = S.encoded(df, "k", "t", voc, {"<hist>": 5}, 2, 1, most=4)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.ids) for r in made.collect()] == [(1, [1, 21, 23, 22, 2, 2, 5]), (1, [1, 2]), (None, [1, 22, 25, 21])]
+    pieces = S.Pieces({"ab": 1, "##c": 2}, {"<hist>": 5}, 9, 4)
+    assert [pieces[w] for w in ("abc", "<hist>", "abcc", "b", "c")] == [(1, 2), (5,), (1, 2, 2), (9,), (9,)] and len(pieces) == 1

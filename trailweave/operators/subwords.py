@@ -1,13 +1,18 @@
 """Subword ids by longest match over a vocabulary table, and batches cut and padded on the left.
 
-Each distinct word is taken apart once: its substrings meet the vocabulary in one join, the longest match at
-every place is kept, and an expression walks from match to match. Words then meet their ids again by a join.
+A text's words become ids where the text is: nothing but the vocabulary, a bounded table, is sent to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailweave.functions import arrays
 
@@ -15,6 +20,8 @@ from trailweave.functions import arrays
 MARK = "##"
 #: Words of more letters are unknown, as in the usual scheme.
 LONGEST = 100
+#: Words whose ids a Python process remembers.
+REMEMBERED = 400_000
 
 
 def words(text: Column | str, specials: list[str]) -> Column:
@@ -24,48 +31,66 @@ def words(text: Column | str, specials: list[str]) -> Column:
     return F.transform(found, lambda w: F.when(w.isin(*specials), w).otherwise(F.lower(w)) if specials else F.lower(w))
 
 
-def pieces(known: DataFrame, vocabulary: DataFrame, unknown: int, most: int) -> DataFrame:
-    """(word, ids) of distinct words (word); ``vocabulary``: (token, id), tokens of up to ``most`` letters.
+def _longest(tokens: dict[str, int]) -> dict[str, int]:
+    """How long the longest token is that begins with given two letters (or is one): it bounds the search."""
+    out: dict[str, int] = {}
+    for t in tokens:
+        out[t[:2]] = max(len(t), out.get(t[:2], 0))
+    return out
 
-    From the left the longest token that fits; a word that no tokens cover, or that is too long, has the unknown id.
-    """
-    size = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), size - a)), lambda n: F.struct(a.alias("start"), n.alias("n")))))
-    short = known.where(size.between(1, LONGEST))
-    each = short.select("word", F.explode(spans).alias("s")).select("word", "s.start", "s.n")
-    part = F.substring(F.col("word"), F.col("start") + 1, F.col("n"))
-    each = each.withColumn("token", F.when(F.col("start") > 0, F.concat(F.lit(MARK), part)).otherwise(part))
-    longest = each.join(vocabulary, "token").groupBy("word", "start").agg(F.max(F.struct("n", "id")).alias("m"))
-    steps = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "m"))).alias("steps"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<long>").alias("ids"))
 
-    def step(a: Column, k: Column) -> Column:
-        m = F.try_element_at(F.col("steps"), k)
-        return F.when((a["at"] == k) & m.isNotNull(), F.struct((k + m["n"]).alias("at"), F.array_append(a["ids"], m["id"].cast("long")).alias("ids"))).otherwise(a)
+class Pieces(dict):
+    """Ids of words: from the left the longest token that fits. A word that no tokens cover, or that is too long, has the unknown id.
+
+    A word is taken apart when it is first asked for; up to ``REMEMBERED`` words are kept.
+    """
 
-    walked = steps.select("word", F.aggregate(F.sequence(F.lit(0), size - 1), begin, step).alias("a"))
-    whole = walked.where(F.col("a.at") == size).select(F.col("word").alias("w"), F.col("a.ids").alias("ids"))
-    return known.join(whole, known["word"] == whole["w"], "left").select("word", F.coalesce("ids", F.array(F.lit(unknown).cast("long"))).alias("ids"))
+    def __init__(self, vocabulary: dict[str, int], specials: dict[str, int], unknown: int, most: int):
+        super().__init__({s: (k,) for s, k in specials.items()})
+        self.unknown = (unknown,)
+        self.begin = {t: k for t, k in vocabulary.items() if 0 < len(t) <= most}
+        self.go_on = {t.removeprefix(MARK): k for t, k in vocabulary.items() if t.startswith(MARK) and 0 < len(t) - len(MARK) <= most}
+        self.longest = _longest(self.begin), _longest(self.go_on)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.taken_apart(word) if len(word) <= LONGEST else self.unknown
+        if len(self) < REMEMBERED:
+            self[word] = found
+        return found
+
+    def taken_apart(self, word: str) -> tuple[int, ...]:
+        out, at, size = [], 0, len(word)
+        tokens, (longest, further) = self.begin, self.longest
+        while at < size:
+            for end in range(min(size, at + longest.get(word[at : at + 2], 1)), at, -1):
+                if (k := tokens.get(word[at:end])) is not None:
+                    break
+            else:
+                return self.unknown
+            out.append(k)
+            at, tokens, longest = end, self.go_on, further
+        return tuple(out)
 
 
 def encoded(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, specials: dict[str, int], unknown: int, begin: int, most: int = 16) -> DataFrame:
-    """(key, ids) of every row, ``begin`` first; ``specials``: marks that are one id each."""
-    split = rows.select(F.col(key).alias("_key"), words(text, list(specials)).alias("w"))
-    places = split.select("_key", F.posexplode("w").alias("pos", "word"))
-    marked = F.create_map(*(x for s, i in specials.items() for x in (F.lit(s), F.lit(i).cast("long")))) if specials else None
-    plain = places.where(~F.col("word").isin(*specials)) if specials else places
-    known = pieces(plain.select("word").distinct(), vocabulary, unknown, most)
-    met = plain.join(known, "word").select("_key", "pos", "ids")
-    if specials:
-        met = met.unionByName(places.where(F.col("word").isin(*specials)).select("_key", "pos", F.array(F.try_element_at(marked, F.col("word"))).alias("ids")))
-    found = met.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda p: p["ids"])).alias("ids")).withColumnRenamed("_key", "_k")
-    first = F.array(F.lit(begin).cast("long"))
-    return split.join(found, F.col("_key") == F.col("_k"), "left").select(F.col("_key").alias(key), F.when(F.col("ids").isNull(), first).otherwise(F.concat(first, "ids")).alias("ids"))
+    """(key, ids) of every row, ``begin`` first; ``specials``: marks that are one id each; ``vocabulary``: (token, id), a bounded table of tokens of up to ``most`` letters."""
+    tokens = {r.token: r.id for r in vocabulary.select("token", "id").toLocalIterator()}
+    sent = rows.sparkSession.sparkContext.broadcast(Pieces(tokens, specials, unknown, most))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = sent.value.__getitem__
+        for t in texts:
+            yield pd.Series([np.fromiter(chain((begin,), chain.from_iterable(map(of, x.split(" "))) if x else ()), np.int64) for x in t], dtype=object)
+
+    # no word has a space in it, so that a text's words can cross as one string
+    return rows.select(F.col(key), ids(F.array_join(words(text, list(specials)), " ")).alias("ids"))
 
 
 def left_batches(rows: DataFrame, batch: str, most: int, fill: int) -> DataFrame:
     """Rows (.., ids, ``batch``) with the last ``most`` ids, padded on the left to the longest of their batch, and the mask of what is their own."""
     cut = rows.withColumn("ids", arrays.last_tokens(F.col("ids"), most))
     wide = cut.withColumn("_wide", F.max(F.size("ids")).over(Window.partitionBy(batch)))
-    made = wide.withColumn("attention_mask", arrays.length_mask(F.col("ids"), F.col("_wide"), left=True))
+    rest = F.col("_wide") - F.size("ids")
+    made = wide.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(False), rest), F.array_repeat(F.lit(True), F.size("ids"))))
     return made.withColumn("input_ids", arrays.padded(F.col("ids"), F.col("_wide"), F.lit(fill).cast("long"), left=True)).drop("_wide")

@@ -143,6 +143,8 @@ def str06_treebank(spark: SparkSession, sf: str) -> DataFrame:
 #: Marks that are one id each, and the other ids that are no tokens.
 SPECIALS = {"<cand>": 4, "<hist>": 5, "<obj>": 6}
 PAD, BEGIN, UNKNOWN, FIRST_ID = 0, 1, 2, 10
+#: Ids that a document keeps, the last ones.
+MOST_IDS = 1024
 
 
 def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,9 +165,10 @@ def txt13_tokens(spark: SparkSession, sf: str) -> DataFrame:
     marked = F.concat(F.lit("<hist> "), F.coalesce("text", F.lit("")), F.lit(" <cand><obj>"))
     docs = table(spark, sf, "documents").select("doc_id", marked.alias("text"))
     ids = subwords.encoded(docs, "doc_id", "text", _vocabulary(spark, sf), SPECIALS, UNKNOWN, BEGIN)
-    b = annotate.numbered(ids, "doc_id", []).withColumn("batch", F.floor(F.col("sample_idx") / 32))
-    made = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ","))
-    out = subwords.left_batches(b, "batch", 1024, PAD)
+    ids = ids.select("doc_id", arrays.last_tokens(F.col("ids"), MOST_IDS).alias("ids"))  # the rest is cut anyway, so it need not cross
+    b = annotate.numbered(ids, "doc_id", [], width=10_000).withColumn("batch", F.floor(F.col("sample_idx") / 32))
+    made = lambda c: F.md5(F.array_join(F.col(c).cast("array<int>").cast("array<string>"), ","))
+    out = subwords.left_batches(b, "batch", MOST_IDS, PAD)
     return out.select("doc_id", "batch", F.size("ids").alias("n"), F.size("input_ids").alias("width"), made("input_ids").alias("ids_md5"), made("attention_mask").alias("mask_md5"))
 
 
