@@ -10,7 +10,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from trailweave.functions import geometry
 from trailweave.operators import annotate, memory, meteor, observations
 from trailweave.operators import textmetrics as M
 from trailweave.streaming import topology
@@ -152,3 +154,58 @@ def test_last_visits(spark):
     """One row per viewpoint meets what it sees."""
     steps = spark.createDataFrame([("s", 1, 0, 5, 9), ("s", 1, 1, 0, 2), ("s", 1, 1, 0, 3), ("s", 2, 0, 0, 1)], "scan string, vp long, week long, pos long, user_id long")
     assert sorted(map(tuple, observations.last_visits(steps, ["week", "pos", "user_id"]).collect())) == [("s", 1, 1, 0, 3), ("s", 2, 0, 0, 1)]
+
+
+def test_known_pairs_come_in_batches_of_many_trajectories(spark, monkeypatch):
+    """No call for each trajectory; one whose steps lie in several batches is still one, and large ones leave in parts."""
+    monkeypatch.setattr(memory, "BATCH_ROWS", 10)
+    rng = random.Random(8)
+    see = lambda: sorted((rng.randrange(15), rng.randint(1, 40) / 4) for _ in range(rng.randrange(5)))
+    rows = [(i, p, rng.randrange(15), see()) for i, n in ((None, 3), ("a", 1), ("b", 25), ("c", 9)) for p in range(n)]
+    seen = spark.createDataFrame(rows, "instr_id string, pos long, node long, nbrs array<struct<dst: long, w: double>>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        known = memory.remembered(seen)
+        assert "MapInArrow" in plan(known) and "FlatMapGroups" not in plan(known)
+        got = sorted(map(tuple, known.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for i in (None, "a", "b", "c"):
+        m = memory.GraphMemory()
+        for _, p, node, nbrs in (r for r in rows if r[0] == i):
+            for dst, w in nbrs:
+                m.see(node, dst, w)
+            m.visit(node, p)
+        want += [(i, *x) for x in zip(*(list(c) for c in m.pairs()))]
+    assert got == sorted(want, key=repr)
+
+
+def test_memory_of_a_building_is_quick():
+    """Some 180 viewpoints known after 13 steps with 55 neighbours each."""
+    rng = random.Random(6)
+    at = {v: [rng.random() for _ in range(3)] for v in range(200)}
+    near = {v: sorted(at, key=lambda u: math.dist(at[u], at[v]))[1:56] for v in at}
+    walks = [[rng.randrange(200) for _ in range(13)] for _ in range(30)]
+
+    def walked(walk):
+        m = memory.GraphMemory()
+        for step, v in enumerate(walk):
+            m.look(v, near[v], np.array([math.dist(at[u], at[v]) for u in near[v]]))
+            m.visit(v, step)
+        return m.ways()
+
+    assert walked(walks[0])[2].shape[0] > 5000
+    t = time.process_time()
+    for w in walks:
+        walked(w)
+    assert (time.process_time() - t) / len(walks) < 0.015
+
+
+def test_rounding_without_decimals(spark):
+    ties = [k / 2e6 for k in range(-40, 40)] + [0.0000005, 1.0000005, 2.5e-7, 999999.9999995, 1e6 + 0.1234565, 1e300, -1e15, float("nan"), float("inf"), None, 0.1234564999999, 0.12345650000001]
+    rng = random.Random(2)
+    df = spark.createDataFrame([(x,) for x in ties + [rng.random() * 10 ** rng.randint(-8, 7) for _ in range(2000)]], "x double")
+    assert df.where(~geometry.rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+    assert "CASE WHEN" in plan(df.select(geometry.rounded(F.col("x"))))
