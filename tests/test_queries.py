@@ -58,3 +58,7 @@ def test_every_query_has_a_name_of_its_own_and_sql_names_exist():
 @pytest.mark.parametrize("name", ["st04_candidate_cache", "st06_rollout"])
 def test_walks_same_as_sql(spark, duck, name):
     test_same_as_sql(spark, duck, name)
+
+
+def test_stream_of_graphs_same_as_sql(spark, duck):
+    test_same_as_sql(spark, duck, "st01_stream_graph")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from trailweave.functions import geometry
 from trailweave.operators import annotate, memory, meteor, observations
 from trailweave.operators import textmetrics as M
-from trailweave.streaming import topology
+from trailweave.streaming import memory as stream_memory
+from trailweave.streaming import shards, topology
 
 
 def plan(df):
@@ -209,3 +210,76 @@ def test_rounding_without_decimals(spark):
     df = spark.createDataFrame([(x,) for x in ties + [rng.random() * 10 ** rng.randint(-8, 7) for _ in range(2000)]], "x double")
     assert df.where(~geometry.rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
     assert "CASE WHEN" in plan(df.select(geometry.rounded(F.col("x"))))
+
+
+class Kept:
+    """A group's state, by hand."""
+
+    def __init__(self):
+        self.value, self.now, self.timeout = None, 0, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+    hasTimedOut = property(lambda self: self.timeout is not None and self.timeout <= self.now)  # noqa: N815
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timeout = self.now + ms
+
+
+def test_trajectories_of_a_shard_keep_apart_and_run_out_alone():
+    def step(instr, held, rows, now):
+        after = (held or b"") + b"".join(r[1].encode() for r in rows)
+        return after, [(instr, after.decode())]
+
+    run, state = shards.runner(step, ["instr_id", "pos", "what"], ["instr_id", "said"], 100), Kept()
+    news = lambda now, *rows: setattr(state, "now", now) or [tuple(r) for f in run((0,), iter([pd.DataFrame(rows, columns=["instr_id", "pos", "what"])] if rows else []), state) for r in f.itertuples(index=False)]
+    assert news(1000, ("b", 1, "y"), ("a", 0, "p"), ("b", 0, "x")) == [("b", "xy"), ("a", "p")]
+    assert news(1060, ("a", 1, "q")) == [("a", "pq")] and state.timeout == 1100
+    assert news(1100) == [] and state.value[0] == ["a"] and state.timeout == 1160
+    assert news(1101, ("b", 2, "z")) == [("b", "z")]
+    assert news(1300) == [] and not state.exists
+
+
+def test_steps_as_bytes():
+    see = lambda *k: (np.array(k, np.int64), np.array(k) / 4)
+    steps = [(0, 5, *see(1, 2, 3)), (1, 6, *see()), (2, 5, *see(1, 2, 3)), (3, 5, *see(1, 2)), (4, 5, *see(1, 2))]
+    data = stream_memory.written(steps)
+    assert len(data) == 8 + 24 * 5 + 16 * 5  # the third and the fifth see what was seen before
+    back = stream_memory.read(data)
+    assert [(p, v, d.tolist(), w.tolist()) for p, v, d, w in back] == [(p, v, d.tolist(), w.tolist()) for p, v, d, w in steps]
+    assert stream_memory.written(back) == data
+
+
+def test_stream_of_graph_memories(spark, tmp_path):
+    """After each trigger what a memory knows, in shards of several trajectories."""
+    rng = random.Random(12)
+    see = lambda: sorted((rng.randrange(15), rng.randint(1, 40) / 4) for _ in range(rng.randrange(5)))
+    rows = [(f"i{k}", p, rng.randrange(15), see()) for k in range(30) for p in range(rng.randint(1, 9))]
+    seen = spark.createDataFrame(rows, "instr_id string, pos long, node long, nbrs array<struct<dst: long, w: double>>")
+    made = plan(stream_memory.graph_memory(spark.readStream.schema(seen.schema).parquet(str(tmp_path))))
+    assert "FlatMapGroupsInPandasWithState" in made and "hashpartitioning(shard#" in made
+    for lo, hi in ((0, 2), (2, 9)):
+        seen.where(f"pos >= {lo} AND pos < {hi}").write.mode("append").parquet(f"{tmp_path}/seen")
+        source = spark.readStream.schema(seen.schema).parquet(f"{tmp_path}/seen")
+        out = stream_memory.drained(spark, stream_memory.graph_memory(source, shards=3), f"{tmp_path}/run", "update", stream_memory.GRAPH_OUT)
+    got = {(r.instr_id, r.batch): (r.n_known, r.n_visited, round(r.total, 6), r.last) for r in out.collect()}
+    want = {}
+    for batch, most in ((0, 2), (1, 9)):
+        for i in {r[0] for r in rows if batch == 0 or r[1] >= 2}:
+            m = memory.GraphMemory()
+            walk = [r for r in rows if r[0] == i and r[1] < most]
+            for _, p, node, nbrs in walk:
+                for dst, w in nbrs:
+                    m.see(node, dst, w)
+                m.visit(node, p)
+            want[i, batch] = (len(m.names), len(m.visited), round(sum(m.pairs()[2]), 6), walk[-1][1])
+    assert got == want

@@ -15,6 +15,7 @@ from trailweave.sources.durable import durable, shared_folder
 from trailweave.sources.spread import spread
 from trailweave.sources.tables import table
 from trailweave.streaming import memory as stream
+from trailweave.streaming.topology import keyed_maps
 
 #: Numbers of a view's vector.
 SIZE = 8
@@ -231,10 +232,12 @@ def st01_stream_graph(spark: SparkSession, sf: str) -> DataFrame:
     seen = memory.observed(views.steps(spark, sf), views.edges(spark, sf))
     folder = shared_folder(spark)
     third = F.when(F.col("pos") < 2, 0).when(F.col("pos") < 5, 1).otherwise(2)
-    for k in range(3):
-        seen.where(third == k).write.mode("append").parquet(f"{folder}/seen")
-        source = spark.readStream.schema(seen.schema).parquet(f"{folder}/seen")
-        out = stream.drained(spark, stream.graph_memory(source), f"{folder}/run", "update", stream.GRAPH_OUT)
+    seen.withColumn("part", third).write.partitionBy("part").parquet(f"{folder}/all")
+    with keyed_maps(spark):
+        for k in range(3):
+            spark.read.schema(seen.schema).parquet(f"{folder}/all/part={k}").write.mode("append").parquet(f"{folder}/seen")
+            source = spark.readStream.schema(seen.schema).parquet(f"{folder}/seen")
+            out = stream.drained(spark, stream.graph_memory(source), f"{folder}/run", "update", stream.GRAPH_OUT)
     last = out.groupBy("instr_id").agg(F.max_by(F.struct("n_known", "n_visited"), "batch").alias("s"))
     return last.select("instr_id", "s.n_known", "s.n_visited")
 

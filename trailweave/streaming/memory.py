@@ -6,7 +6,6 @@ a stream that is drained once takes none, as timeouts would keep it running. The
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.operators.memory import UNKNOWN, GraphMemory
+from trailweave.streaming.shards import SHARDS, by_shard
 
 OUT = "user_id long, n_visits long, n_nodes long, mean_value double, last_event long"
 STATE = "n long, total double, last long, nodes array<long>"
@@ -50,43 +50,64 @@ def visit_memory(events: DataFrame, nodes: int = 50, timeout_ms: int | None = No
 GRAPH_OUT = "instr_id string, n_known long, n_visited long, total double, last long"
 
 
-def graph_memory(observations: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+#: A step of a trajectory: its place, its viewpoint, the neighbours seen there and how far they are.
+Step = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def written(steps: list[Step]) -> bytes:
+    """Steps as bytes: 24 of each and 16 of each neighbour; what a viewpoint sees is kept once, as long as it sees the same."""
+    known, heads, kept = {}, [], []
+    for pos, node, dst, w in steps:
+        old = known.get(node)
+        if old is not None and np.array_equal(old[0], dst) and np.array_equal(old[1], w):
+            heads += (pos, node, -1)
+            continue
+        heads += (pos, node, len(dst))
+        kept.append((dst, w))
+        known[node] = dst, w
+    parts = [np.array([len(steps), *heads], np.int64), *(np.asarray(x[0], np.int64) for x in kept), *(np.asarray(x[1], np.float64) for x in kept)]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def read(data: bytes) -> list[Step]:
+    """The steps that were ``written``."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    heads = np.frombuffer(data, np.int64, 3 * n, 8).tolist()
+    total = sum(max(size, 0) for size in heads[2::3])
+    start = 8 + 24 * n
+    dst, w = np.frombuffer(data, np.int64, total, start), np.frombuffer(data, np.float64, total, start + 8 * total)
+    known, steps, at = {}, [], 0
+    for pos, node, size in zip(heads[::3], heads[1::3], heads[2::3]):
+        if size >= 0:
+            known[node] = dst[at : at + size], w[at : at + size]
+            at += size
+        steps.append((pos, node, *known[node]))
+    return steps
+
+
+def graph_memory(observations: DataFrame, timeout_ms: int | None = None, shards: int = SHARDS) -> DataFrame:
     """The whole graph memory of each trajectory as stream state: distances among viewpoints seen, relaxed step by step.
 
     observations: (instr_id, pos, node, nbrs array<struct<dst,w>>), a trajectory's steps in order over the
     triggers. A row is emitted per trajectory and trigger: viewpoints known and visited, the sum of the
     known distances, and the last step. State is the steps and what each saw, which grows with the walk; the matrix
-    of distances, which grows with the square of what is known, is made of them anew in each trigger.
+    of distances, which grows with the square of what is known, is made of them anew in each trigger. Neighbours come
+    and stay as arrays of numbers, and trajectories share the state's entries (``shards``).
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        steps, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], -1)
-        rows = pd.concat(list(parts)).sort_values("pos")
-        known = {node: seen for _, node, seen in steps if seen is not None}
-        for pos, node, nbrs in rows[["pos", "node", "nbrs"]].itertuples(index=False):
-            seen = [[int(x["dst"]), float(x["w"])] for x in nbrs]
-            # what a viewpoint sees is kept once, as long as it sees the same
-            steps.append([int(pos), int(node), None if known.get(int(node)) == seen else seen])
-            known[int(node)] = seen
-            last = max(last, int(pos))
-        state.update((json.dumps(steps, separators=(",", ":")), last))
-        memory, sights = GraphMemory(), {}
-        for pos, node, seen in steps:
-            sights[node] = seen = sights[node] if seen is None else seen
-            for dst, w in seen:
-                memory.see(node, dst, w)
+    def step(instr: str, held: bytes | None, rows: list[tuple], now: int | None) -> tuple[bytes, list[tuple]]:
+        steps = (read(held) if held else []) + rows
+        memory = GraphMemory()
+        for pos, node, dst, w in steps:
+            memory.look(node, dst.tolist(), w)
             memory.visit(node, pos)
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
         n = len(memory.names)
         above = np.triu(memory.d[:n, :n], 1)
         total = float(above[(above > 0) & (above < UNKNOWN)].sum())
-        yield pd.DataFrame({"instr_id": [key[0]], "n_known": [n], "n_visited": [len(memory.visited)], "total": [total], "last": [last]})
+        return written(steps), [(instr, n, len(memory.visited), total, max(s[0] for s in steps))]
 
-    return observations.groupBy("instr_id").applyInPandasWithState(run, GRAPH_OUT, "memory string, last long", "update", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
+    rows = observations.select("instr_id", "pos", "node", F.col("nbrs.dst").alias("dsts"), F.col("nbrs.w").alias("ws"))
+    return by_shard(rows, step, GRAPH_OUT, timeout_ms, shards)
 
 
 def windowed_visits(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
