@@ -283,3 +283,40 @@ def test_stream_of_graph_memories(spark, tmp_path):
                 m.visit(node, p)
             want[i, batch] = (len(m.names), len(m.visited), round(sum(m.pairs()[2]), 6), walk[-1][1])
     assert got == want
+
+
+def test_stream_of_topology_memories(spark, tmp_path):
+    """Trajectories of a shard over two triggers, as if each were walked at once."""
+    rng = random.Random(14)
+    rows = [(f"i{k}", p, rng.randrange(15), rng.sample(range(15), rng.randrange(5)), rng.random(), rng.random() < 0.2, rng.choice([None, p]), rng.choice([None, p * 10])) for k in range(30) for p in range(rng.randint(1, 9))]
+    seen = spark.createDataFrame(rows, "instr_id string, pos long, node long, nbrs array<long>, value double, rewrite boolean, scene long, thing long")
+    memories = lambda: topology.topology_memory(spark.readStream.schema(seen.schema).parquet(f"{tmp_path}/seen"), shards=3)
+    with topology.keyed_maps(spark):
+        for lo, hi in ((0, 2), (2, 9)):
+            seen.where(f"pos >= {lo} AND pos < {hi}").write.mode("append").parquet(f"{tmp_path}/seen")
+            out = stream_memory.drained(spark, memories(), f"{tmp_path}/run", "update", topology.OUT)
+    assert "hashpartitioning(shard#" in plan(memories())
+    got = {(r.batch, r.instr_id, r.node): tuple(r)[2:11] for r in out.collect()}
+    want = {}
+    for i in {r[0] for r in rows}:
+        entries = {}
+        for batch, (lo, hi) in enumerate(((0, 2), (2, 9))):
+            part = pd.DataFrame([r for r in rows if r[0] == i and lo <= r[1] < hi], columns=seen.columns)
+            for node, e in topology.walked(entries, part).items() if len(part) else ():
+                want[batch, i, node] = (e["visited"], e["traj_order"], e["first_seen"], e["s_env"], e["d_env"], e["total"] / e["n"] if e["n"] else None, e["most"], e["n"], len(e["links"]))
+    assert got == want
+
+
+def test_topology_of_a_building_is_quick():
+    """Some 200 entries met in 13 steps with 55 neighbours each, kept and read in every trigger."""
+    rng = random.Random(6)
+    walks = [[(p, rng.randrange(200), rng.sample(range(200), 55), 1.0, False, p, None) for p in range(13)] for _ in range(30)]
+    t = time.process_time()
+    for steps in walks:
+        held = None
+        for lo, hi in ((0, 2), (2, 5), (5, 13)):
+            entries = topology._read(held) if held else {}
+            topology.walked(entries, steps[lo:hi])
+            held = topology._written(entries)
+        assert len(held) < 6000
+    assert (time.process_time() - t) / len(walks) < 0.01
