@@ -229,13 +229,14 @@ def st08_expert_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 def st01_stream_graph(spark: SparkSession, sf: str) -> DataFrame:
     """The graph memory of each trajectory as stream state: steps come in three parts, after each the stream goes on from its checkpoint."""
-    seen = memory.observed(views.steps(spark, sf), views.edges(spark, sf))
+    s = durable(views.steps(spark, sf).select("instr_id", "pos", "scan", "node"))
+    e = durable(views.edges(spark, sf))
     folder = shared_folder(spark)
     third = F.when(F.col("pos") < 2, 0).when(F.col("pos") < 5, 1).otherwise(2)
-    seen.withColumn("part", third).write.partitionBy("part").parquet(f"{folder}/all")
     with keyed_maps(spark):
         for k in range(3):
-            spark.read.schema(seen.schema).parquet(f"{folder}/all/part={k}").write.mode("append").parquet(f"{folder}/seen")
+            seen = memory.observed(s.where(third == k), e)  # a step's neighbours are written once
+            seen.write.mode("append").parquet(f"{folder}/seen")
             source = spark.readStream.schema(seen.schema).parquet(f"{folder}/seen")
             out = stream.drained(spark, stream.graph_memory(source), f"{folder}/run", "update", stream.GRAPH_OUT)
     last = out.groupBy("instr_id").agg(F.max_by(F.struct("n_known", "n_visited"), "batch").alias("s"))
